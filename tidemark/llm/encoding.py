@@ -68,14 +68,15 @@ def pack_ids(ids: Iterable[int]) -> bytes:
 class Encoder:
     """``encode_many(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
 
-    ``limit``: characters of chunks to keep; beyond it the cache starts anew, so memory is bounded.
+    ``limit``: characters of chunks to keep, ``pieces``: of pre-tokens; beyond these a cache starts anew,
+    so memory is bounded.
     """
 
-    def __init__(self, path: str, limit: int = 12_000_000):
+    def __init__(self, path: str, limit: int = 6_000_000, pieces: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.path, self.limit, self.held = path, limit, 0
+        self.path, self.limit, self.pieces, self.held = path, limit, pieces, 0
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -101,7 +102,9 @@ class Encoder:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         out = {"word": self._words, "byte": self._bytes, "plain": self._plainly}[self.kind](texts)
         if self.held > self.limit:
-            self._head, self._tail, self._runs, self._pre, self.held = {}, {}, {}, {}, 0
+            self._head, self._tail, self._runs, self.held = {}, {}, {}, 0
+        if len(self._pre) > self.pieces:
+            self._pre = {}
         return out
 
     def _plainly(self, texts: list[str]) -> list[bytes]:
@@ -124,7 +127,7 @@ class Encoder:
             self._pre.update(zip(new, map(self._piece, new), strict=True))
             self._pre["\n"] = _MARK
             cache.update(zip(plain, b"".join(map(self._pre.__getitem__, pieces)).split(_MARK), strict=True))
-            self.held += len(body) + sum(map(len, new)) + 8 * (len(plain) + len(new))
+            self.held += len(body) + 8 * len(plain)
         if hard:
             cache.update(zip(hard, self._plainly([before + c for c in hard]), strict=True))
             self.held += sum(map(len, hard)) + 8 * len(hard)
@@ -185,7 +188,7 @@ def encoder(path: str) -> Encoder:
     return _OPEN[path]
 
 
-def batches(batch: pa.RecordBatch, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def batches(batch: pa.RecordBatch, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of about ``chars`` characters, so that a batch of long texts is not encoded at once."""
     sizes, start, held = pc.binary_length(batch.column("text")).to_pylist(), 0, 0
     for i, n in enumerate(sizes):

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encoding import WORD_BPE, with_ids
@@ -131,16 +132,16 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SEGMENT_SCHEMA).parquet(path)
 
 
-def _part_starts(segments: DataFrame) -> DataFrame:
-    """Ids before each part: one row per write task."""
-    totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    return totals.select("part", F.coalesce(before, F.lit(0)).alias("part_start"))
+def _part_starts(segments: DataFrame) -> dict[int, int]:
+    """Ids before each part: one number per write task, however many documents there are."""
+    totals = sorted((r["part"], r["n"]) for r in segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
+    return dict(zip((p for p, _ in totals), accumulate((n for _, n in totals), initial=0), strict=False))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): every document of the files, ids as little-endian unsigned 32-bit integers."""
     segments = _segments(spark, path)
+    first = _part_starts(segments)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -149,10 +150,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
                 cut = [ids[a:z].astype("<u4").tobytes() for a, z in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([s["part"]] * len(cut), pa.int32()), pa.array(s["doc_ids"], pa.int64()), pa.array(starts + s["before"]), pa.array(lengths), pa.array(cut, pa.binary())], names=["part", "doc_id", "in_part", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(s["doc_ids"], pa.int64()), pa.array(starts + s["before"] + first[s["part"]]), pa.array(lengths), pa.array(cut, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    rows = segments.select("part", "before", "doc_ids", "lengths", "codes").mapInArrow(run, "part int, doc_id long, in_part long, n_tokens long, ids binary")
-    return rows.join(_part_starts(segments), "part").select("doc_id", (F.col("part_start") + F.col("in_part")).alias("start"), "n_tokens", "ids")
+    return segments.select("part", "before", "doc_ids", "lengths", "codes").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def read_tokens(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
