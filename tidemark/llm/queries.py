@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_codes, tree_bpe
+from . import packing, quality, token_codes, tree_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_codes": token_codes.op1_token_codes,
         "op2_tree_bpe": tree_bpe.op2_tree_bpe,
+        "op4_adaptive_quality": quality.op4_adaptive_quality,
         "op10_hilbert_packing": packing.op10_hilbert_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_adaptive_quality": quality.ORACLE_SQL}
