@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, token_codes, tree_bpe
+from . import line_dedup, packing, quality, simhash, token_codes, tree_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_codes": token_codes.op1_token_codes,
         "op2_tree_bpe": tree_bpe.op2_tree_bpe,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_adaptive_quality": quality.op4_adaptive_quality,
+        "op9_simhash_anchors": simhash.op9_simhash_anchors,
         "op10_hilbert_packing": packing.op10_hilbert_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_adaptive_quality": quality.ORACLE_SQL}
+    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op4_adaptive_quality": quality.ORACLE_SQL}
