@@ -1,11 +1,11 @@
 """Exact, fast tokenizer calls for Spark's Python workers.
 
 The tokenizers library spends most of its time per call, and words repeat. A text is cut where its
-pre-tokenizer always cuts (white space), each distinct chunk is encoded once per worker, and the
-chunks' ids are concatenated. Chunks of plain Latin text skip the general pipeline: they are
-pre-tokenized with the published pattern and handed to the BPE model directly. Every other chunk, and
-every tokenizer of another shape, goes through ``Tokenizer.encode`` itself, so ids are always the
-library's own.
+word-level pre-tokenizer always cuts (white space), each distinct word is encoded once per worker, and the
+words' ids are concatenated. Words of plain Latin text skip the general pipeline: they are pre-tokenized with
+the published pattern and handed to the BPE model directly. Byte-level BPE whose ids are merge ranks runs
+Latin-1 texts through tiktoken, whose result is the same. Everything else goes through ``Tokenizer.encode``
+itself; tests hold all paths against it.
 """
 
 from __future__ import annotations
@@ -34,9 +34,6 @@ _SPLIT = re.compile(f"[{WS}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: No normalization, combining mark or unusual case rule below U+0250.
 _PLAIN = re.compile("[!-~\xa1-ɏ]+")
-_BYTE_CHUNKS = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
-#: White space other than single spaces and line feeds between words.
-_UNEVEN = re.compile(f"[{WS.replace(' ', '').replace(chr(9) + '-' + chr(13), chr(9) + chr(11) + '-' + chr(13))}]|[ \n][ \n]|^[ \n]|[ \n]$|^$")
 
 
 def tokenizer_path(name_or_path: str) -> str:
@@ -90,19 +87,17 @@ class Encoder:
             self.kind = "byte"
         elif simple and [p["type"] for p in before.get("pretokenizers", [])] == ["Split", "ByteLevel"] and before["pretokenizers"][0]["pattern"].get("Regex") == WORD_PATTERN and [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.kind = "word"
-        self._lower = self.kind == "word"
-        self._cut = regex.compile(WORD_PATTERN + r"|\n" if self._lower else BYTE_PATTERN).findall
+        self._ranked = self._by_rank(spec["model"]) if self.kind == "byte" else None
+        self._cut = regex.compile(WORD_PATTERN + r"|\n").findall
         self._model = self.tokenizer.model
         self._marks = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
-        self._head: dict[str, bytes] = {}
-        self._tail: dict[str, bytes] = {}
-        self._runs: dict[str, bytes] = {}
+        self._cache: dict[str, bytes] = {}
         self._pre: dict[str, bytes] = {}
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         out = {"word": self._words, "byte": self._bytes, "plain": self._plainly}[self.kind](texts)
         if self.held > self.limit:
-            self._head, self._tail, self._runs, self.held = {}, {}, {}, 0
+            self._cache, self.held = {}, 0
         if len(self._pre) > self.pieces:
             self._pre = {}
         return out
@@ -110,72 +105,62 @@ class Encoder:
     def _plainly(self, texts: list[str]) -> list[bytes]:
         return [pack_ids(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fill(self, cache: dict[str, bytes], missing: Iterable[str], before: str = "") -> None:
-        """Encodes new chunks; the plain ones all at once, with a line feed between them."""
+    def _fill(self, missing: Iterable[str]) -> None:
+        """Encodes new words; the plain ones all at once, with a line feed between them."""
         plain, hard = [], []
-        for chunk in missing:
-            (plain if _PLAIN.fullmatch(chunk) else hard).append(chunk)
-        body = before + f"\n{before}".join(plain)
+        for word in missing:
+            (plain if _PLAIN.fullmatch(word) else hard).append(word)
+        body = "\n".join(plain)
         if any(s in body for s in self.specials):
-            hard += [c for c in plain if self._marks.search(c)]
-            plain = [c for c in plain if not self._marks.search(c)]
-            body = before + f"\n{before}".join(plain)
+            hard += [w for w in plain if self._marks.search(w)]
+            plain = [w for w in plain if not self._marks.search(w)]
         if plain:
-            pieces = self._cut(body.lower() if self._lower else body)
+            pieces = self._cut("\n".join(plain).lower())
             new = set(pieces).difference(self._pre)
             new.discard("\n")
             self._pre.update(zip(new, map(self._piece, new), strict=True))
             self._pre["\n"] = _MARK
-            cache.update(zip(plain, b"".join(map(self._pre.__getitem__, pieces)).split(_MARK), strict=True))
-            self.held += len(body) + 8 * len(plain)
+            self._cache.update(zip(plain, b"".join(map(self._pre.__getitem__, pieces)).split(_MARK), strict=True))
         if hard:
-            cache.update(zip(hard, self._plainly([before + c for c in hard]), strict=True))
-            self.held += sum(map(len, hard)) + 8 * len(hard)
+            self._cache.update(zip(hard, self._plainly(hard), strict=True))
+        self.held += sum(map(len, plain)) + sum(map(len, hard)) + 8 * (len(plain) + len(hard))
 
     def _piece(self, piece: str) -> bytes:
-        tokens = self._model.tokenize(piece if piece.isascii() and piece[0] != " " else "".join(map(_ALPHABET.__getitem__, piece.encode())))
+        tokens = self._model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_ALPHABET))
         return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def _words(self, texts: list[str]) -> list[bytes]:
         cut = [[w for w in _SPLIT.split(t) if w] if _SEPARATORS.search(t) else t.split() for t in texts]
-        self._fill(self._head, set().union(*cut).difference(self._head))
-        return [b"".join(map(self._head.__getitem__, words)) for words in cut]
+        self._fill(set().union(*cut).difference(self._cache))
+        return [b"".join(map(self._cache.__getitem__, words)) for words in cut]
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
-        """Chunks are a word with the one space before it; a line break between two words stands alone."""
-        marked = [i for i, t in enumerate(texts) if any(s in t for s in self.specials)]
-        if marked:  # what stands before a special token ends there, which changes its last white space
-            whole = dict(zip(marked, self._plainly([texts[i] for i in marked]), strict=True))
-            rest = iter(self._bytes([t for i, t in enumerate(texts) if i not in whole]))
-            return [whole[i] if i in whole else next(rest) for i in range(len(texts))]
-        cut, heads, tails, runs = [], set(), set(), {"\n"}
-        for t in texts:
-            if _UNEVEN.search(t):
-                chunks = _BYTE_CHUNKS.findall(t)
-                for c in chunks:
-                    if _SPLIT.match(c, len(c) - 1):
-                        runs.add(c)
-                    elif c[0] == " ":
-                        tails.add(c[1:])
-                    else:
-                        heads.add(c)
-                cut.append((False, chunks))
-            else:
-                lines = [line.split(" ") for line in t.split("\n")]
-                for line in lines:
-                    heads.add(line[0])
-                    tails.update(line[1:])
-                cut.append((True, lines))
-        self._fill(self._head, heads.difference(self._head))
-        self._fill(self._tail, tails.difference(self._tail), " ")
-        self._fill(self._runs, runs.difference(self._runs))
-        head, tail, runs, feed, out = self._head, self._tail, self._runs, self._runs["\n"], []
-        for even, chunks in cut:
-            if even:
-                out.append(feed.join([b"".join([head[line[0]], *map(tail.__getitem__, line[1:])]) for line in chunks]))
-            else:
-                out.append(b"".join([runs[c] if c in runs else tail[c[1:]] if c[0] == " " else head[c] for c in chunks]))
-        return out
+        """Latin-1 texts by the ranked form of the same vocabulary, others by the library itself."""
+        if self._ranked is None:
+            return self._plainly(texts)
+        easy = [_latin(t) and not any(s in t for s in self.specials) for t in texts]
+        hard = iter(self._plainly([t for t, e in zip(texts, easy, strict=True) if not e]))
+        return [self._ranked.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() if e else next(hard) for t, e in zip(texts, easy, strict=True)]
+
+    def _by_rank(self, model: dict):
+        """The same vocabulary for tiktoken, if its ids are ranks: bytes first, then merges in order."""
+        pairs = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        ids = [model["vocab"].get(t) for t in pairs]
+        alone = {t: i for t, i in model["vocab"].items() if t not in self.specials}
+        if ids != list(range(256, 256 + len(pairs))) or len(alone) != 256 + len(pairs):
+            return None
+        import tiktoken
+
+        byte_of = {c: b for b, c in _ALPHABET.items()}
+        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in alone.items()}
+        return tiktoken.Encoding("ranked", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
 
 _OPEN: dict[str, Encoder] = {}

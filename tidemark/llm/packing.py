@@ -25,39 +25,38 @@ BUCKETS, DIMS, BITS = 1024, 3, 10
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def hilbert_key(point: np.ndarray, bits: int) -> int:
-    """Place of a grid point on the Hilbert curve (transpose form of the axes, then interleaved bits)."""
-    x, m = [int(v) for v in point], 1 << (bits - 1)
-    q = m
-    while q > 1:
-        p = q - 1
+def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
+    """Places of grid points (n, dims) on the Hilbert curve: axes to transposed form, then interleaved bits."""
+    x = [points[:, i].astype(np.int64) for i in range(points.shape[1])]
+    for b in range(bits - 1, 0, -1):
+        low = (1 << b) - 1
         for i in range(len(x)):
-            if x[i] & q:
-                x[0] ^= p
-            else:
-                t = (x[0] ^ x[i]) & p
-                x[0] ^= t
-                x[i] ^= t
-        q >>= 1
+            high = x[i] >> b & 1 == 1
+            swap = np.where(high, 0, (x[0] ^ x[i]) & low)
+            x[0] = np.where(high, x[0] ^ low, x[0] ^ swap)
+            x[i] = x[i] ^ swap if i else x[0]
     for i in range(1, len(x)):
-        x[i] ^= x[i - 1]
-    t, q = 0, m
-    while q > 1:
-        if x[-1] & q:
-            t ^= q - 1
-        q >>= 1
-    x = [v ^ t for v in x]
-    return sum(((v >> b) & 1) << (b * len(x) + len(x) - 1 - i) for b in range(bits) for i, v in enumerate(x))
-
-
-def document_key(ids: np.ndarray, signs: np.ndarray) -> int:
-    """Key of a document's ids; -1 without ids, so empty documents come first."""
-    if not len(ids):
-        return -1
-    hashed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(54)).astype(np.int64)
-    counts = np.sqrt(np.bincount(hashed, minlength=BUCKETS).astype(np.float64))
-    z = counts @ signs / np.linalg.norm(counts)
-    return hilbert_key(np.clip((z + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1), BITS)
+        x[i] = x[i] ^ x[i - 1]
+    flip = np.zeros_like(x[0])
+    for b in range(bits - 1, 0, -1):
+        flip ^= np.where(x[-1] >> b & 1 == 1, (1 << b) - 1, 0)
+    key = np.zeros_like(x[0])
+    for b in range(bits - 1, -1, -1):
+        for v in x:
+            key = key << 1 | (v ^ flip) >> b & 1
+    return key
+
+
+def document_keys(ids: list[bytes], signs: np.ndarray) -> np.ndarray:
+    """Keys of documents' ids; -1 without ids, so empty documents come first."""
+    sizes = np.array([len(x) // 4 for x in ids])
+    flat = np.frombuffer(b"".join(ids), "<u4").astype(np.uint64)
+    hashed = (flat * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(54)).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(len(ids)) * BUCKETS, sizes) + hashed, minlength=len(ids) * BUCKETS).reshape(-1, BUCKETS)
+    root = np.sqrt(counts)
+    z = root @ signs / np.maximum(np.sqrt(sizes), 1)[:, None]
+    grid = np.clip((z + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+    return np.where(sizes == 0, -1, hilbert_keys(grid, BITS))
 
 
 def pack(docs: DataFrame, *, tokenizer: str = BYTE_BPE, end_id: int = 1, length: int = 2048, partitions: int | None = None) -> DataFrame:
@@ -74,8 +73,8 @@ def pack(docs: DataFrame, *, tokenizer: str = BYTE_BPE, end_id: int = 1, length:
     def key(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             ids = b.column("ids").to_pylist()
-            keys = [document_key(np.frombuffer(x, "<u4"), signs) for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(keys, pa.int64()), pa.array([x + end for x in ids], pa.binary())], names=["doc_id", "h", "key", "ids"])
+            keys = np.concatenate([document_keys(ids[i : i + 512], signs) for i in range(0, len(ids), 512)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(keys), pa.array([x + end for x in ids], pa.binary())], names=["doc_id", "h", "key", "ids"])
 
     coded = materialize(with_ids(rows, tokenizer).mapInArrow(key, "doc_id long, h long, key long, ids binary"), "packing")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
