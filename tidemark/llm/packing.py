@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encoding import BYTE_BPE, with_ids
-from .store import documents, materialize, text_of
+from .store import documents, materialize, small_batches, text_of
 
 BUCKETS, DIMS, BITS = 1024, 3, 10
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -101,4 +101,5 @@ def pack(docs: DataFrame, *, tokenizer: str = BYTE_BPE, end_id: int = 1, length:
 
 
 def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pack(documents(spark, sf_dir)).drop("ids")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, quality, simhash, token_codes, tree_bpe
+from . import edit_counts, html_text, line_dedup, media, packing, quality, shards, simhash, token_codes, tree_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_tree_bpe": tree_bpe.op2_tree_bpe,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_adaptive_quality": quality.op4_adaptive_quality,
+        "op5_minimax_shards": shards.op5_minimax_shards,
+        "op6_edit_counts": edit_counts.op6_edit_counts,
+        "op7_archive_media": media.op7_archive_media,
+        "op8_tag_path_text": html_text.op8_tag_path_text,
         "op9_simhash_anchors": simhash.op9_simhash_anchors,
         "op10_hilbert_packing": packing.op10_hilbert_packing,
     }

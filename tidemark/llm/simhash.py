@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import P, documents, materialize, text_of
+from .store import P, documents, materialize, small_batches, text_of
 
 SHINGLE, THRESHOLD, SEED = 4, 4, 42
 MIN_CODE_BITS, MAX_CODE_BITS = 4, 20
@@ -194,4 +194,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op9_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

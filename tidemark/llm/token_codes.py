@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encoding import WORD_BPE, with_ids
-from .store import P, documents, new_path, text_of
+from .store import P, documents, new_path, small_batches, text_of
 
 BLOCK = 512
 SEGMENT_SCHEMA = "part int, segment int, before long, n_tokens long, doc_ids array<long>, lengths array<long>, codes binary"
@@ -179,6 +179,7 @@ def read_tokens(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
 
 
 def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     path = new_path(spark, "codes")
     write_codes(documents(spark, sf_dir), path)
     return read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

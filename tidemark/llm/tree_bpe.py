@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .encoding import _SPLIT, WORD_BPE, encoder, pack_ids, tokenizer_path, with_ids
-from .store import documents, text_of
+from .store import documents, small_batches, text_of
 
 #: Texts of more characters are encoded as leaves of about so many.
 LONG, LEAF = 32_768, 8_192
@@ -163,5 +163,6 @@ def decode_ids(tokens: DataFrame, tokenizer: str = WORD_BPE) -> DataFrame:
 
 
 def op2_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     decoded = decode_ids(encode_documents(documents(spark, sf_dir)))
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
