@@ -9,7 +9,8 @@ word, become hashed keys (length, j, hash of the words before, hash of the words
 key are one edit apart. The earliest line of each key is the witness, the word sequences of line and witness
 are verified, and verified lines go. Keys are aggregated before they are joined back, so no pairs are listed
 within a group. Since one edit leaves a line's head or tail alone, only lines that share either with another
-line get variants.
+line are looked at closer; of these, only lines that agree with another on all but one of eight blocks get
+variants, for the words of that block. Both conditions are necessary for a pair, so none is lost.
 
 Texts are shuffled once, into a table bucketed by row key that all later joins by row reuse.
 """
@@ -47,6 +48,19 @@ def _ends(words: Column, n: Column) -> Column:
     return F.when(n < MIN_WORDS, F.array().cast("array<bigint>")).otherwise(let(power, at))
 
 
+def _blocks(words: Column, n: Column, m: Column) -> Column:
+    """(m, lo, hi, key) for the line as one of ``m`` words without words lo + 1 to hi; one word more falls into the gap if n = m + 1."""
+    q = F.greatest(F.lit(1), F.floor(m / 8).cast("int"))
+
+    def block(b: Column) -> Column:
+        lo, hi = b * q, F.when(b == 7, m).otherwise(F.least((b + 1) * q, m))
+        left = F.greatest(m - hi, F.lit(0))
+        cut = F.xxhash64(m, b, F.slice(words, F.lit(1), F.least(lo, m)), F.slice(words, n - left + 1, left))
+        return F.struct(m.alias("m"), lo.alias("lo"), hi.alias("hi"), cut.alias("key"))
+
+    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), block), lambda s: s["lo"] < m)
+
+
 def _lines(table: DataFrame) -> DataFrame:
     """(row key, line number, words, n) of every line with a word."""
     rows = table.where(F.col("text").isNotNull()).select(*ROW, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -74,15 +88,27 @@ def _near(lines: DataFrame, table: DataFrame, firsts: DataFrame) -> DataFrame:
     place = F.struct(F.col(ROW[0]).alias("doc"), F.col("line_no"), F.col(ROW[1]).alias("h")).alias("place")
     chosen = materialize(found.select(_words_hash(F.col("words")).alias("k"), place, "words").select("k.*", "place", "words").dropDuplicates(LINE), "candidates")
 
+    # the edit's block: lines that agree on all but one of about eight blocks, for either length of the partner
+    n, j = F.col("n"), F.col("j")
+    sized = chosen.withColumn("n", F.size("words"))
+    blocks = sized.select(*LINE, F.explode(F.concat(_blocks(F.col("words"), n, n), _blocks(F.col("words"), n, n - 1))).alias("b"))
+    shared = blocks.groupBy("b.key").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).where("a != z").select("key")
+    flagged = blocks.select(*LINE, "b.*").join(shared, "key", "left_semi").groupBy(*LINE).agg(F.collect_list(F.struct("m", "lo", "hi")).alias("flags"))
+
     # hashes of the words before and after each place, as exclusive ors of (word, distance from that end)
     one = Window.partitionBy(*LINE).orderBy("j")
-    words = chosen.select(*LINE, "place", F.size("words").alias("n"), F.posexplode("words").alias("i", "w")).withColumn("j", F.col("i") + 1)
-    summed = words.withColumns({"p": F.xxhash64("w", "j"), "s": F.xxhash64("w", F.col("n") - F.col("j"))})
+    words = sized.join(flagged, LINE).select(*LINE, "place", "n", "flags", F.posexplode("words").alias("i", "w")).withColumn("j", F.col("i") + 1)
+    summed = words.withColumns({"p": F.xxhash64("w", "j"), "s": F.xxhash64("w", n - j)})
     summed = summed.withColumns({"upto": F.bit_xor("p").over(one.rowsBetween(Window.unboundedPreceding, 0)), "since": F.bit_xor("s").over(one.rowsBetween(0, Window.unboundedFollowing))})
     before, after = F.col("upto").bitwiseXOR(F.col("p")), F.col("since").bitwiseXOR(F.col("s"))
     key = lambda kind, n, j, a, z: F.xxhash64(F.lit(kind), n.cast("int"), j.cast("int"), a, z)
-    n, j = F.col("n"), F.col("j")
-    variants = F.array(key("replaced", n, j, before, after), key("lost", n - 1, j, before, after), key("lost", n, j, before, F.col("since")), F.when(n == j, key("lost", n, j + 1, F.col("upto"), F.lit(0).cast("long"))))
+    within = lambda own, end: F.exists("flags", lambda f: (f["m"] == (n if own else n - 1)) & (j > f["lo"]) & (j <= f["hi"] + end))
+    variants = F.array(
+        F.when(within(True, 0), key("replaced", n, j, before, after)),
+        F.when(within(False, 1), key("lost", n - 1, j, before, after)),
+        F.when(within(True, 1), key("lost", n, j, before, F.col("since"))),
+        F.when((n == j) & within(True, 0), key("lost", n, j + 1, F.col("upto"), F.lit(0).cast("long"))),
+    )
     keyed = summed.select(*LINE, "place", F.explode(variants).alias("v")).where("v IS NOT NULL")
     best = keyed.groupBy("v").agg(F.min(F.struct("place", *LINE)).alias("w"), F.count("*").alias("c")).where("c > 1").select("v", "w")
     witness = keyed.join(best, "v").where("w.place < place").groupBy(*LINE).agg(F.min("w").alias("w")).select(*LINE, F.col("w.k1").alias("w1"), F.col("w.k2").alias("w2"))
