@@ -109,10 +109,12 @@ def q_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(entropy.covariance(closes(spark, sf_dir), "close"), 4)
 
 
-@register(f"""WITH {sql.trades('event_type')}, {sql.bars(H6)}, m AS (SELECT a.idx, a.close AS x, b.close AS y FROM bars a JOIN bars b ON a.idx = b.idx WHERE a.ticker = 'click' AND b.ticker = 'purchase'),
-c AS (SELECT idx, var_pop(x) OVER w AS a, covar_pop(x, y) OVER w AS b, var_pop(y) OVER w AS d, count(*) OVER w AS n FROM m WINDOW w AS (ORDER BY idx ROWS 9 PRECEDING)),
-e AS (SELECT idx, n, (a + d) / 2 + sqrt(((a - d) / 2) ** 2 + b * b) AS l1, (a + d) / 2 - sqrt(((a - d) / 2) ** 2 + b * b) AS l2 FROM c)
-SELECT idx, round(-l1 * log2(l1) - l2 * log2(l2), 3) AS pair_entropy, round(-l2 * log2(l2), 3) AS pair_secondary_entropy, n = 10 AS ready FROM e WHERE n >= 3""")
+@register(f"""WITH {sql.trades('event_type')}, {sql.bars(H6)}, g AS (SELECT DISTINCT idx FROM bars WHERE ticker IN ('click', 'purchase')),
+m0 AS (SELECT g.idx, last_value(a.close IGNORE NULLS) OVER v AS x, last_value(b.close IGNORE NULLS) OVER v AS y FROM g LEFT JOIN bars a ON a.idx = g.idx AND a.ticker = 'click' LEFT JOIN bars b ON b.idx = g.idx AND b.ticker = 'purchase' WINDOW v AS (ORDER BY g.idx ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT idx, x AS x0, y AS y0, CASE WHEN y IS NOT NULL THEN x END AS x, CASE WHEN x IS NOT NULL THEN y END AS y FROM m0),
+c AS (SELECT idx, var_pop(x) OVER w AS a, covar_pop(x, y) OVER w AS b, var_pop(y) OVER w AS d, count(x) OVER w AS n, count(x0) OVER w = 10 AND count(y0) OVER w = 10 AS ready FROM m WINDOW w AS (ORDER BY idx ROWS 9 PRECEDING)),
+e AS (SELECT idx, n, ready, (a + d) / 2 + sqrt(((a - d) / 2) ** 2 + b * b) AS l1, (a + d) / 2 - sqrt(((a - d) / 2) ** 2 + b * b) AS l2 FROM c WHERE n >= 3)
+SELECT idx, round(CASE WHEN l1 > 1e-9 THEN -l1 * log2(l1) ELSE 0 END + CASE WHEN l2 > 1e-9 THEN -l2 * log2(l2) ELSE 0 END, 3) + 0.0 AS pair_entropy, round(CASE WHEN l2 > 1e-9 THEN -l2 * log2(l2) ELSE 0 END, 3) + 0.0 AS pair_secondary_entropy, ready FROM e""")
 def q_entropy_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropies of two members' last ten closes."""
     pair = closes(spark, sf_dir).where(F.col("ticker").isin("click", "purchase"))
