@@ -34,7 +34,7 @@ CLOSED_BY = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td"
 HOLDERS = {"table", "ul", "ol", "dl", "div", "article", "section", "main", "body", "aside", "nav", "footer", "header", "form", "blockquote"}
 
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))""", re.S)
 _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _STOPS = re.compile(r"[.,;:!?…、。，；：！？¿¡]")
@@ -76,7 +76,7 @@ class Page:
             if m is None:
                 break
             at = m_end
-            name = (m["name"] or "").lower()
+            name, attrs = (m["name"] or "").lower(), (m["attrs"] or "").removesuffix(">")
             if m["cdata"]:
                 self._add(m["cdata"], stack, fresh)
                 fresh = False
@@ -89,7 +89,7 @@ class Page:
                     while stack.pop()[0] != name:
                         pass
                 continue
-            if name in VOID or m["attrs"].endswith("/") and name not in INLINE and name not in REGION and name != "p":
+            if name in VOID or attrs.endswith("/") and name not in INLINE and name not in REGION and name != "p":
                 continue
             if name in RAW:
                 end = re.compile(rf"</{name}\s*>", re.I).search(s, at)
@@ -103,7 +103,7 @@ class Page:
                         break
                     del stack[i:]
             path, region, off = stack[-1][1:] if stack else ("", 0, False)
-            off = off or _named_boilerplate(name, m["attrs"]) or (name == "header" and not any(x[0] in ("article", "main") for x in stack))
+            off = off or _named_boilerplate(name, attrs) or (name == "header" and not any(x[0] in ("article", "main") for x in stack))
             if name in REGION and name != "body":
                 self.parent.append(region)
                 self.kind.append(name)

@@ -1,10 +1,10 @@
 """Quality rules with adaptive thresholds (operator 4). DataFrame functions only.
 
 Each document gets four ratios. Per language and source, each ratio's distribution is kept as a mergeable
-quantile sketch: counts of values rounded down to five significant bits, so any quantile is off by at most
+quantile sketch: counts of values rounded up to five significant bits, so any quantile is off by at most
 1/16, equal for any order of merging, and a group's sketch has a few hundred rows at most. The threshold of a
-group is its median plus four times the distance to its third quartile, and never under a tolerance that
-clean text stays below. Groups of few documents take the merged sketch of their language. Documents are then
+group is its median plus four times the distance to its third quartile, that distance taken as a quarter of
+the median at least, and never under a tolerance that clean text stays below. Groups of few documents take the merged sketch of their language. Documents are then
 joined with their group's thresholds and filtered.
 """
 
@@ -22,7 +22,7 @@ WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Per ratio: the tolerance in thousandths (of a character for the mean length of words).
-TOLERANCE = {"symbols": 150, "dup_lines": 500, "repeats": 250, "word_length": 15_000}
+TOLERANCE = {"symbols": 50, "dup_lines": 500, "repeats": 300, "word_length": 15_000}
 SPREAD, MIN_GROUP = 4, 100
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -84,7 +84,7 @@ def sketch(counted: DataFrame, keys: list[str]) -> DataFrame:
     pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("ratio"), v.alias("v")) for k, v in ratios().items())))
     low = F.expr("greatest(length(bin(v)) - 5, 0)")
     rows = counted.select(*keys, pairs.alias("r")).select(*keys, "r.*").withColumn("low", low)
-    return rows.groupBy(*keys, "ratio", F.expr("shiftleft(shiftright(v, low), low)").alias("value")).agg(F.count("*").alias("n"))
+    return rows.groupBy(*keys, "ratio", F.expr("shiftleft(shiftright(v, low) + 1, low) - 1").alias("value")).agg(F.count("*").alias("n"))
 
 
 def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,7 +96,7 @@ def limits(sketches: DataFrame, keys: list[str]) -> DataFrame:
     group = Window.partitionBy(*keys, "ratio")
     ranked = sketches.withColumns({"upto": F.sum("n").over(group.orderBy("value")), "n_docs": F.sum("n").over(group)})
     at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("n_docs") * q, F.col("value")))
-    return ranked.groupBy(*keys, "ratio").agg(F.max("n_docs").alias("n_docs"), (at(50) + SPREAD * (at(75) - at(50))).alias("high"))
+    return ranked.groupBy(*keys, "ratio").agg(F.max("n_docs").alias("n_docs"), at(50).alias("mid"), at(75).alias("top")).select(*keys, "ratio", "n_docs", F.expr(f"mid + {SPREAD} * greatest(top - mid, mid div 4)").alias("high"))
 
 
 def thresholds(counted: DataFrame) -> DataFrame:
@@ -161,15 +161,15 @@ m AS (SELECT *, CASE WHEN word_chars = 0 THEN 0 ELSE 1000 * n_symbols // word_ch
 u AS (SELECT lang, source, ratio, CAST(v AS BIGINT) AS v FROM (
         SELECT lang, source, 'symbols' AS ratio, symbols AS v FROM m UNION ALL SELECT lang, source, 'dup_lines', dup_lines FROM m
         UNION ALL SELECT lang, source, 'repeats', repeats FROM m UNION ALL SELECT lang, source, 'word_length', word_length FROM m)),
-s AS (SELECT lang, source, ratio, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) AS value FROM u),
+s AS (SELECT lang, source, ratio, (((v >> greatest(length(bin(v)) - 5, 0)) + 1) << greatest(length(bin(v)) - 5, 0)) - 1 AS value FROM u),
 k AS (SELECT lang, source, ratio, value, count(*) AS n FROM s GROUP BY ALL),
 kl AS (SELECT lang, ratio, value, sum(n) AS n FROM k GROUP BY ALL),
 q AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY value) AS upto, sum(n) OVER (PARTITION BY lang, source, ratio) AS nd FROM k),
 ql AS (SELECT *, sum(n) OVER (PARTITION BY lang, ratio ORDER BY value) AS upto, sum(n) OVER (PARTITION BY lang, ratio) AS nd FROM kl),
 t AS (SELECT lang, source, ratio, max(nd) AS nd, min(value) FILTER (WHERE upto * 100 >= nd * 50) AS a, min(value) FILTER (WHERE upto * 100 >= nd * 75) AS b FROM q GROUP BY ALL),
 tl AS (SELECT lang, ratio, min(value) FILTER (WHERE upto * 100 >= nd * 50) AS a, min(value) FILTER (WHERE upto * 100 >= nd * 75) AS b FROM ql GROUP BY ALL),
-h AS (SELECT t.lang, t.source, t.ratio, greatest(CASE t.ratio WHEN 'symbols' THEN 150 WHEN 'dup_lines' THEN 500 WHEN 'repeats' THEN 250 ELSE 15000 END,
-             CASE WHEN t.nd >= 100 THEN t.a + 4 * (t.b - t.a) ELSE tl.a + 4 * (tl.b - tl.a) END) AS high
+h AS (SELECT t.lang, t.source, t.ratio, greatest(CASE t.ratio WHEN 'symbols' THEN 50 WHEN 'dup_lines' THEN 500 WHEN 'repeats' THEN 300 ELSE 15000 END,
+             CASE WHEN t.nd >= 100 THEN t.a + 4 * greatest(t.b - t.a, t.a // 4) ELSE tl.a + 4 * greatest(tl.b - tl.a, tl.a // 4) END) AS high
       FROM t JOIN tl ON t.lang IS NOT DISTINCT FROM tl.lang AND t.ratio = tl.ratio),
 g AS (SELECT lang, source, max(high) FILTER (WHERE ratio = 'symbols') AS hs, max(high) FILTER (WHERE ratio = 'dup_lines') AS hd,
              max(high) FILTER (WHERE ratio = 'repeats') AS hr, max(high) FILTER (WHERE ratio = 'word_length') AS hw FROM h GROUP BY ALL)
