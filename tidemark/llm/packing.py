@@ -2,8 +2,9 @@
 
 A document's token ids are counted in hashed buckets, the counts are projected to three dimensions with
 fixed random signs, and the point's place on a Hilbert curve is its key. Rows are range-sorted by (key,
-doc_id, text hash), so neighbours are alike and equal documents, however many, spread over partitions. Each
-partition lays its documents end to end and cuts every ``length`` tokens: only its last sequence is padded.
+doc_id, text hash, part), so neighbours are alike and equal documents, however many, spread over partitions;
+long documents go in parts, so rows are of like size and no task must hold one whole. Each partition lays its
+rows end to end and cuts every ``length`` tokens: only its last sequence is padded.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .encoding import BYTE_BPE, with_ids
 from .store import documents, materialize, small_batches, text_of
 
 BUCKETS, DIMS, BITS = 1024, 3, 10
+#: Tokens of a row that is dealt.
+PART = 8192
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -74,23 +77,29 @@ def pack(docs: DataFrame, *, tokenizer: str = BYTE_BPE, end_id: int = 1, length:
         for b in it:
             ids = b.column("ids").to_pylist()
             keys = np.concatenate([document_keys(ids[i : i + 512], signs) for i in range(0, len(ids), 512)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(keys), pa.array([x + end for x in ids], pa.binary())], names=["doc_id", "h", "key", "ids"])
-
-    coded = materialize(with_ids(rows, tokenizer).mapInArrow(key, "doc_id long, h long, key long, ids binary"), "packing")
+            whole = [x + end for x in ids]
+            row, start = zip(*((i, s) for i, x in enumerate(whole) for s in range(0, len(x) // 4, PART)), strict=True)
+            parts = [whole[i][4 * s : 4 * (s + PART)] for i, s in zip(row, start, strict=True)]
+            at = np.array(row)
+            total = np.array([len(x) // 4 for x in whole])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), b.column("h").take(pa.array(at)), pa.array(keys[at]), pa.array(start, pa.int64()), pa.array(total[at]), pa.array(parts, pa.binary())], names=["doc_id", "h", "key", "start", "total", "ids"])
+
+    coded = materialize(with_ids(rows, tokenizer).mapInArrow(key, "doc_id long, h long, key long, start long, total long, ids binary"), "packing")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = coded.repartitionByRange(n, "key", "doc_id", "h").sortWithinPartitions("key", "doc_id", "h").select("doc_id", "ids")
+    order = ["key", "doc_id", "h", "start"]
+    dealt = coded.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "start", "total", "ids")
 
     def fill(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence, at = TaskContext.get().partitionId() << 32, 0
         for b in it:
             out = []
-            for d, ids in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                total, start = len(ids) // 4, 0
-                while start < total:
-                    size = min(length - at, total - start)
-                    piece = ids[4 * start : 4 * (start + size)]
-                    out.append((d, start, size, zlib.crc32(piece), total, sequence, at, piece))
-                    start, at = start + size, at + size
+            for d, first, total, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "total", "ids")), strict=True):
+                done, n_ids = 0, len(ids) // 4
+                while done < n_ids:
+                    size = min(length - at, n_ids - done)
+                    piece = ids[4 * done : 4 * (done + size)]
+                    out.append((d, first + done, size, zlib.crc32(piece), total, sequence, at, piece))
+                    done, at = done + size, at + size
                     if at == length:
                         sequence, at = sequence + 1, 0
             if out:
