@@ -158,6 +158,14 @@ def test_main_text(tags):
     assert html_text.main_text(PAGE.format(open=tags[0], close=tags[1])) == TEXT
 
 
+def test_names_about_the_page():
+    page = "<body class='has-ads'><div class='layout with-sidebar'><article class='post no-comments'><p>Main text, long enough.</p></article></div><div class=sidebar>Other, text.</div></body>"
+    assert html_text.main_text(page) == "Main text, long enough."
+    assert html_text.main_text("<div class='widget'><p>All there is, really.</p></div>") == "All there is, really."
+    assert html_text.main_text("<article><p>Short.</p></article><article class=comment><p>A much longer reader comment, with commas, and more.</p></article>") == "Short."
+    assert html_text.main_text("<article><p>a<button>press<p>b</p></article>") == "a press b"
+
+
 def test_odd_pages(spark):
     for source, want in [(None, ""), ("", ""), ("plain words", "plain words"), ("<p>open <i>tags", "open tags"), ("<article>short</article><footer>much longer footer, here it is.</footer>", "short"), ("<article><p>a &lt;b&gt; &#233; &unknown; c</article", "a <b> é &unknown; c"), ("<script>x", ""), ("<article><p>cut off <a href='x", "cut off"), ("<p title='a>b'>x < y<br/>z", "x < y z")]:
         assert html_text.main_text(source) == want, source

@@ -29,6 +29,12 @@ REGION = ["article", "main", "section", "div", "td", "body"]
 BOILERPLATE = ["nav", "footer", "aside", "form", "menu", "dialog", "head"]
 ROLES = ["navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"]
 MARKS = ["ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disqus", "disclaimer", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "promotion", "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "warning", "widget"]
+#: Of these, what marks an article as not the main one.
+ARTICLE_MARKS = ["advert", "advertisement", "comment", "comments", "promo", "promoted", "related", "replies", "reply", "sponsor", "sponsored", "teaser"]
+#: A class name that starts so tells of the page around, not of itself.
+ABOUT = ["has", "is", "no", "not", "show", "with", "without"]
+#: Elements whose content is never text, closed or not.
+TO_THE_END = ["script", "style", "textarea", "title", "template", "noscript", "iframe"]
 #: A block start closes an open paragraph or item of the same kind.
 CLOSED_BY = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 HOLDERS = {"table", "ul", "ol", "dl", "div", "article", "section", "main", "body", "aside", "nav", "footer", "header", "form", "blockquote"}
@@ -41,7 +47,7 @@ _STOPS = re.compile(r"[.,;:!?…、。，；：！？¿¡]")
 THRESHOLD = 0.3
 
 
-def _named_boilerplate(name: str, attrs: str) -> bool:
+def _named_boilerplate(name: str, attrs: str, by_name: bool) -> bool:
     if name in BOILERPLATE:
         return True
     if not attrs.strip():
@@ -49,14 +55,18 @@ def _named_boilerplate(name: str, attrs: str) -> bool:
     found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
     if found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return True
-    marks = set(_WORDS.findall(_CAMEL.sub(" ", f"{found.get('class', '')} {found.get('id', '')}").lower()))
-    return name not in ("body", "html", "article", "main") and bool(marks.intersection(MARKS))
+    if not by_name or name in ("body", "html", "main"):
+        return False
+    named = [_WORDS.findall(_CAMEL.sub(" ", c).lower()) for c in f"{found.get('class', '')} {found.get('id', '')}".split()]
+    marks = {w for words in named if words and words[0] not in ABOUT for w in words}
+    return bool(marks.intersection(ARTICLE_MARKS if name == "article" else MARKS))
 
 
 class Page:
     """Texts of a page with their tag paths; regions form a tree by number."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, by_name: bool = True):
+        self.by_name = by_name
         self.texts: list[list] = []  # [text, path, region, in a link, boilerplate, starts a block]
         self.parent, self.kind, self.size = [-1], ["body"], [0]
         self._read(source)
@@ -93,7 +103,7 @@ class Page:
                 continue
             if name in RAW:
                 end = re.compile(rf"</{name}\s*>", re.I).search(s, at)
-                at = end.end() if end else len(s)
+                at = end.end() if end else len(s) if name in TO_THE_END else at
                 continue
             if name not in INLINE:
                 closes = CLOSED_BY.get(name, {"p"})
@@ -103,7 +113,7 @@ class Page:
                         break
                     del stack[i:]
             path, region, off = stack[-1][1:] if stack else ("", 0, False)
-            off = off or _named_boilerplate(name, attrs) or (name == "header" and not any(x[0] in ("article", "main") for x in stack))
+            off = off or _named_boilerplate(name, attrs, self.by_name) or (name == "header" and not any(x[0] in ("article", "main") for x in stack))
             if name in REGION and name != "body":
                 self.parent.append(region)
                 self.kind.append(name)
@@ -184,7 +194,13 @@ class Page:
 
 
 def main_text(source: str | None) -> str:
-    return Page(source).main_text() if source else ""
+    if not source:
+        return ""
+    page = Page(source)
+    text = page.main_text()
+    if text or "article" in page.kind or "main" in page.kind:
+        return text
+    return Page(source, by_name=False).main_text()  # class names that take everything away were about the page
 
 
 def extract(pages: DataFrame) -> DataFrame:
