@@ -77,3 +77,27 @@ def wave_target(points, marks, alpha, look_back):
             else:
                 r["s_down"], r["s_target"] = hold * gain + (1 - hold) * r["down"], hold * gain + (1 - hold) * r["s_up"]
     return out
+
+
+def adaptive_bars(events, interval, sample_size, window):
+    """Bar number of each (ts, volume); everything is worked out anew from all events so far."""
+    out, at, bar = [], None, -1
+    for n in range(1, len(events) + 1):
+        seen, acc, ends = events[:n], 0.0, {}
+        for ts, v in seen:
+            acc += v
+            ends[ts // interval] = acc - seen[0][1]  # the first event's own volume is left out
+        totals = list(ends.values())
+        volumes = [b - a for a, b in zip([0.0, *totals], totals)]
+        ts, base = seen[-1][0], None
+        if len(volumes) > window:
+            base = sum(volumes[:window]) / window
+        elif len(volumes) >= min(sample_size, window // 2):
+            passed = ts - ts // interval * interval
+            values = volumes[:-1] + ([volumes[-1] / max(1, passed) * interval] if passed > interval / 2 else [])
+            base = sum(values) / len(values) if values and sum(values) > 0 else None
+        now = (ts // interval, 0) if base is None else (0, acc // base)
+        if at is None or now[0] > at[0] or now[1] > at[1]:
+            at, bar = now, bar + 1
+        out.append(bar)
+    return out

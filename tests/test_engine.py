@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from models import ema, extremes, wave_target
+from models import adaptive_bars, ema, extremes, wave_target
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import CN
@@ -198,6 +198,20 @@ def test_adaptive_clock_never_revises(spark):
     assert a[: len(b) - 1] == b[:-1] and sum(r[-1] for r in a) == sum(d[2] for d in data)
 
 
+def test_adaptive_clock_against_model():
+    rnd = random.Random(9)
+    for _ in range(20):
+        ts, events = 0.0, []
+        for _ in range(250):
+            ts += rnd.choice([0.5, 3.0, 20.0, 200.0])
+            events.append((ts, float(rnd.randint(1, 9))))
+        clock, acc, got = volume_clock.AdaptiveClock(60.0, 4, 10), 0.0, []
+        for t, v in events:
+            acc += v
+            got.append(clock.step(t, acc, v))
+        assert got == adaptive_bars(events, 60.0, 4, 10)
+
+
 def test_forecasts_against_numpy(spark):
     rnd = np.random.default_rng(3)
     days, n = 9, 4
@@ -247,3 +261,33 @@ def test_config(tmp_path):
     assert (c.A.B.x, c.get("A.B", "y.z").year, c.A.B.list, c.A.B.w, c.get("A.B.empty"), c.get("no", default=3)) == (1, 2024, [1, 2], "text", None, 3)
     with pytest.raises(KeyError):
         c.set(1, "A")
+
+
+def test_factors_on_every_clock(spark):
+    from tidemark.plans import factors  # noqa: F401
+    from tidemark.plans.registry import FactorSet, FactorSpec, param_grid
+    from tidemark.sources.tape import trades
+
+    t = trades(spark, "/root/testdata/sf0.001", "event_type")
+    chosen = FactorSet()
+    for clock, step in (("time", 21600), ("volume", 500.0), ("adaptive", 21600), ("profile", 1800)):
+        for plan, params in (("trend", {"alpha": 0.1}), ("macd", {}), ("mean_price", {"sample_size": 3}), ("flow", {}), ("entropy", {"sample_size": 4, "members": ["click", "view"]})):
+            chosen.add(FactorSpec(f"Monitor.{plan}.{clock}", plan, {"clock": clock, "interval": step, **params}))
+    chosen.add(FactorSpec("Monitor.index", "trend", {"interval": 21600, "alpha": 0.1, "weights": {"click": 1, "view": 3}}))
+    got = {r["f"]: r["n"] for r in chosen.collect(t).withColumn("f", F.regexp_extract("factor", r"^(index|\w+\.\w+)", 1)).groupBy("f").agg(F.count("*").alias("n")).collect()}
+    assert set(got) == {n.removeprefix("Monitor.") for n in chosen.specs} and min(got.values()) > 0
+    assert list(param_grid({"a": [1, 2], "b": [3, 4]}, {"b": 9}, "T"))[1] == {"a": 2, "b": 9, "name": "Monitor.Grid.T.1"}
+    with pytest.raises(ValueError):
+        FactorSpec("X", "trend")
+
+
+def test_registry_round_trip(tmp_path):
+    from tidemark.plans.registry import DecisionCore, FactorSet, FactorSpec
+
+    s = FactorSet()
+    s.add(FactorSpec("Monitor.A", "trend", {"alpha": 0.5}))
+    s.dump(tmp_path / "f.json")
+    assert FactorSet.load(tmp_path / "f.json").digest == s.digest
+    DecisionCore().dump(tmp_path / "core.2024.json", {"a": 1})
+    DecisionCore().dump(tmp_path / "core.2025.json", {"a": 2})
+    assert DecisionCore.load(tmp_path, "core.*.json") == {"a": 2}

@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,7 +61,7 @@ def relative_change(bars: DataFrame, value: str) -> DataFrame:
     return bars.withColumn(f"{value}_change", F.try_divide(F.col(value) - before, F.nullif(before, F.lit(0.0))))
 
 
-def buy_share(bars: DataFrame) -> DataFrame:
-    """Share of buys in a bar's notional; without either, one half."""
+def buy_share() -> Column:
+    """Share of buys in a bar's notional (columns notional_buy, notional_sell); without either, one half."""
     total = F.col("notional_buy") + F.col("notional_sell")
-    return bars.withColumn("buy_share", F.coalesce(F.try_divide("notional_buy", F.nullif(total, F.lit(0.0))), F.lit(0.5)))
+    return F.coalesce(F.try_divide("notional_buy", F.nullif(total, F.lit(0.0))), F.lit(0.5))

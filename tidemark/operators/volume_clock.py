@@ -75,8 +75,7 @@ class AdaptiveClock:
     done: list[float] = field(default_factory=list)
     frozen: float | None = None
     bar: int = -1
-    time_idx: float | None = None
-    volume_idx: float | None = None
+    at: tuple[float, float] | None = None
 
     def baseline(self, ts: float, acc: float, own: float) -> float | None:
         """Mean bucket volume so far; an open bucket counts, scaled, once over half of it has passed."""
@@ -96,26 +95,21 @@ class AdaptiveClock:
                     self.frozen = mean
                     return mean
                 self.done.clear()
+        if len(self.done) + 1 < min(self.sample_size, self.window // 2):
+            return None
         values, passed = list(self.done), ts - self.bucket_start
         if passed > 0.5 * self.interval:
             values.append((acc - self.bucket_volume) / max(1.0, passed) * self.interval)
-        if len(values) < min(self.sample_size, self.window // 2):
-            return None
-        mean = sum(values) / len(values)
+        mean = sum(values) / len(values) if values else 0.0
         return mean if mean > 0 else None
 
     def step(self, ts: float, acc: float, own: float) -> int:
-        """Number of the row's bar; it grows when either index does."""
+        """Number of the row's bar; it grows when either index does. The unused index is zero."""
         base = self.baseline(ts, acc, own)
-        if base is None:
-            now, self.volume_idx = ts // self.interval, None
-            rolled = self.time_idx is None or now > self.time_idx
-            self.time_idx = now if rolled else self.time_idx
-        else:
-            now = acc // base
-            rolled = self.volume_idx is None or now > self.volume_idx
-            self.volume_idx = now if rolled else self.volume_idx
-        self.bar += rolled
+        now = (ts // self.interval, 0.0) if base is None else (0.0, acc // base)
+        if self.at is None or now[0] > self.at[0] or now[1] > self.at[1]:
+            self.at = now
+            self.bar += 1
         return self.bar
 
 

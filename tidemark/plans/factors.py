@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calendar import CN
 from ..functions.filters import side_split
-from ..operators import composite, entropy, recurrence, sampling, volume_clock
+from ..operators import composite, entropy, recurrence, sampling, volume_clock, volume_profile
 from .registry import FactorSpec, factor_plan
 
 CLOSE = (sampling.Topic("close", "price", "update"),)
+BAR_TS = sampling.Topic("bar_ts", "ts", "max")
+#: (sampling interval in seconds, bars of history) of the entropy factor on the profile clock.
+ENTROPY_GRID = [(5, 60), (15, 60), (30, 30), (60, 15), (150, 10)]
 
 
 def _clock(tape: DataFrame, spec: FactorSpec, topics: tuple[sampling.Topic, ...]) -> DataFrame:
-    """(ticker, idx, topics) on the spec's clock: time, volume or adaptive."""
-    p = spec.params
+    """(ticker, idx, topics, bar_ts) on the spec's clock: time, volume, adaptive, or the day's volume profile."""
+    p, topics = spec.params, (*topics, BAR_TS)
     kind = p.get("clock", "time")
     if kind == "time":
         return sampling.fixed_bars(tape, p["interval"], topics)
@@ -22,50 +26,58 @@ def _clock(tape: DataFrame, spec: FactorSpec, topics: tuple[sampling.Topic, ...]
         return volume_clock.volume_bars(tape, p["interval"], topics)
     if kind == "adaptive":
         return volume_clock.adaptive_bars_final(tape, p["interval"], p.get("baseline_window", 100), topics)
+    if kind == "profile":
+        inside = tape.where(CN.in_session(F.col("ts")))
+        bars = volume_profile.profile_bars(inside, CN, p["interval"], volume_profile.naive_forecast(inside), topics)
+        return bars.withColumn("idx", F.col("day").cast("long") * 1_000_000 + F.col("idx")).drop("day")
     raise ValueError(f"unknown clock {kind!r}")
 
 
-def _at(p: dict) -> Column:
-    return ((F.col("idx") + 1) * p["interval"]).cast("double")
+def _stamped(rows: DataFrame, bars: DataFrame, keys: tuple[str, ...] = ("ticker", "idx")) -> DataFrame:
+    """Adds ts: when the row's bar, or the last of its members' bars, ended."""
+    return rows.join(bars.groupBy(*keys).agg(F.max("bar_ts").alias("ts")), list(keys))
 
 
 @factor_plan("trend")
 def trend(tape: DataFrame, spec: FactorSpec) -> DataFrame:
     """EMA of relative changes, by ticker; with weights, their composite under ``index``."""
     p = spec.params
-    rows = recurrence.trend(_clock(tape, spec, CLOSE), p["alpha"])
-    if "weights" in p:
-        w = rows.sparkSession.createDataFrame([("index", t, float(x)) for t, x in p["weights"].items()], "index_name string, ticker string, weight double")
-        rows = composite.composite(composite.normalize(w), rows, "trend", by=("idx",), name="trend").withColumn("ticker", F.lit("index"))
-    return rows.select(_at(p).alias("ts"), F.col("ticker").alias("key"), F.col("trend").alias("value"))
+    bars = _clock(tape, spec, CLOSE)
+    rows = recurrence.trend(bars, p["alpha"])
+    if "weights" not in p:
+        return _stamped(rows, bars).select("ts", F.col("ticker").alias("key"), F.col("trend").alias("value"))
+    w = rows.sparkSession.createDataFrame([("index", t, float(x)) for t, x in p["weights"].items()], "index_name string, ticker string, weight double")
+    rows = composite.composite(composite.normalize(w), rows, "trend", by=("idx",), name="trend")
+    return _stamped(rows, bars, ("idx",)).select("ts", F.lit("index").alias("key"), F.col("trend").alias("value"))
 
 
 @factor_plan("macd")
 def macd(tape: DataFrame, spec: FactorSpec) -> DataFrame:
-    p = spec.params
-    rows = recurrence.macd(_clock(tape, spec, CLOSE))
-    return rows.select(_at(p).alias("ts"), F.concat_ws(".", "ticker", F.lit("macd_diff_adjusted")).alias("key"), F.col("diff_adjusted").alias("value"))
+    bars = _clock(tape, spec, CLOSE)
+    rows = _stamped(recurrence.macd(bars), bars)
+    return rows.select("ts", F.concat_ws(".", "ticker", F.lit("macd_diff_adjusted")).alias("key"), F.col("diff_adjusted").alias("value"))
 
 
 @factor_plan("entropy")
 def entropy_factor(tape: DataFrame, spec: FactorSpec) -> DataFrame:
     """Entropy and secondary entropy of members' prices, and of their relative changes."""
     p = spec.params
-    rows = entropy.relative_change(_clock(tape, spec, CLOSE), "close")
-    price = entropy.rolling_entropy(rows, p["members"], "close", p["sample_size"], "price")
-    change = entropy.rolling_entropy(rows, p["members"], "close_change", p["sample_size"], "price_pct").select("idx", "price_pct_entropy")
-    both = price.join(change, "idx")
+    bars = entropy.relative_change(_clock(tape, spec, CLOSE), "close")
+    price = entropy.rolling_entropy(bars, p["members"], "close", p["sample_size"], "price")
+    change = entropy.rolling_entropy(bars, p["members"], "close_change", p["sample_size"], "price_pct").select("idx", "price_pct_entropy")
+    both = _stamped(price.join(change, "idx"), bars, ("idx",))
     values = ["price_entropy", "price_secondary_entropy", "price_pct_entropy"]
-    return both.select(_at(p).alias("ts"), F.col("ready"), F.explode(F.array(*(F.struct(F.lit(v).alias("key"), F.col(v).alias("value")) for v in values))).alias("z")).select("ts", "z.*", "ready")
+    return both.select("ts", "ready", F.explode(F.array(*(F.struct(F.lit(v).alias("key"), F.col(v).alias("value")) for v in values))).alias("z")).select("ts", "z.*", "ready")
 
 
 @factor_plan("mean_price")
 def mean_price(tape: DataFrame, spec: FactorSpec) -> DataFrame:
     """Mean close of the last bars; NULL until there are ``sample_size``."""
-    p = spec.params
-    w = sampling.history(p["sample_size"])
-    rows = _clock(tape, spec, CLOSE).select("ticker", "idx", F.when(F.count("close").over(w) == p["sample_size"], F.avg("close").over(w)).alias("v"))
-    return rows.select(_at(p).alias("ts"), F.col("ticker").alias("key"), F.col("v").alias("value"), F.col("v").isNotNull().alias("ready"))
+    n = spec.params["sample_size"]
+    w = sampling.history(n)
+    bars = _clock(tape, spec, CLOSE)
+    mean = F.when(F.count("close").over(w) == n, F.avg("close").over(w))
+    return bars.select(F.col("bar_ts").alias("ts"), F.col("ticker").alias("key"), mean.alias("value"), mean.isNotNull().alias("ready"))
 
 
 @factor_plan("flow")
@@ -74,4 +86,4 @@ def flow(tape: DataFrame, spec: FactorSpec) -> DataFrame:
     buy, sell = side_split(F.col("notional"))
     rows = tape.withColumns({"b": buy, "s": sell})
     bars = _clock(rows, spec, (sampling.Topic("notional_buy", "b", "accumulate"), sampling.Topic("notional_sell", "s", "accumulate")))
-    return bars.select(_at(spec.params).alias("ts"), F.col("ticker").alias("key"), entropy.buy_share(bars).alias("value"))
+    return bars.select(F.col("bar_ts").alias("ts"), F.col("ticker").alias("key"), entropy.buy_share().alias("value"))
