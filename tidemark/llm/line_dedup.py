@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .quality import let, words_of
+from .quality import WHITE, let, words_of
 from .store import P, documents, materialize, new_path
 
 MIN_WORDS = 8
@@ -64,7 +64,8 @@ def _blocks(words: Column, n: Column, m: Column) -> Column:
 def _lines(table: DataFrame) -> DataFrame:
     """(row key, line number, words, n) of every line with a word."""
     rows = table.where(F.col("text").isNotNull()).select(*ROW, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.select(*ROW, "line_no", words_of(F.col("line")).alias("words")).withColumn("n", F.size("words")).where("n > 0")
+    rows = rows.where(F.translate("line", WHITE, "") != "")
+    return rows.select(*ROW, "line_no", words_of(F.col("line")).alias("words")).withColumn("n", F.size("words"))
 
 
 def bucketed(docs: DataFrame) -> DataFrame:

@@ -59,12 +59,14 @@ def with_counts(docs: DataFrame) -> DataFrame:
     text = text_of()
     worded = let(F.filter(F.split(text, "\n"), lambda line: F.translate(line, WHITE, "") != ""), lambda ls: F.struct(F.size(ls).alias("n"), (F.size(ls) - F.size(F.array_distinct(ls))).alias("dup")))
     found = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeats")))
-    out = docs.withColumns({f"{P}w": found, f"{P}l": worded})
+    made = F.struct(found.alias(f"{P}w"), worded.alias(f"{P}l"), F.length(F.translate(text, WHITE, "")).cast("long").alias(f"{P}word_chars"), (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias(f"{P}n_symbols"))
+    # from a generator, so that filters and later columns use the counts and do not make them again
+    out = docs.select(*docs.columns, F.inline(F.array(made)))
     return out.select(
         *docs.columns,
         F.col(f"{P}w.n").alias(f"{P}n_words"),
-        F.length(F.translate(text, WHITE, "")).cast("long").alias(f"{P}word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias(f"{P}n_symbols"),
+        f"{P}word_chars",
+        f"{P}n_symbols",
         F.col(f"{P}l.dup").cast("long").alias(f"{P}n_dup_lines"),
         F.col(f"{P}w.repeats").alias(f"{P}n_repeat_words"),
         F.col(f"{P}l.n").cast("long").alias(f"{P}n_lines"),
