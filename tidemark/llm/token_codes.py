@@ -165,7 +165,7 @@ def read_tokens(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     ends = "aggregate(slice(d, 1, i), 0L, (a, x) -> a + x.lengths)"
     index = light.select("part", "segment", "d", F.posexplode("d").alias("i", "x")).select("part", "segment", F.col("x.doc_ids").alias("doc_id"), F.col("x.lengths").alias("n"), F.expr(ends).alias("first"))
     hits = wanted.select("doc_id", "position").join(index, "doc_id").where("position >= 0 AND position < n")
-    asked = hits.groupBy("part", "segment", F.floor(F.rand(7) * 16).alias(f"{P}salt")).agg(F.collect_list(F.struct("doc_id", "position", (F.col("first") + F.col("position")).alias("at"))).alias("asked"))
+    asked = hits.groupBy("part", "segment", F.pmod(F.xxhash64("doc_id", "position"), F.lit(16)).alias(f"{P}salt")).agg(F.collect_list(F.struct("doc_id", "position", (F.col("first") + F.col("position")).alias("at"))).alias("asked"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
