@@ -77,7 +77,7 @@ def q_pool_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_pool_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New cells over stored ones, times floored, one factor left out."""
     stored = factor_rows(spark, sf_dir)
-    new = stored.select((F.col("ts") + 100).alias("ts"), "factor", (F.col("value") + 1).alias("value")).orderBy("ts")
+    new = stored.select((F.col("ts") + 100).alias("ts"), "factor", (F.col("value") + 1).alias("value"))
     return pool.upsert(stored, new, interval=43200.0, exclude=["view.close"])
 
 

@@ -27,13 +27,13 @@ def latest_cells(factors: DataFrame, order: str = "version") -> DataFrame:
 
 
 def upsert(stored: DataFrame, new: DataFrame, *, interval: float | None = None, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """``stored`` with the cells of ``new`` over it; new times are floored to ``interval`` first."""
+    """``stored`` with the cells of ``new`` over it; new times are floored to ``interval``, the latest of a cell counts."""
     rows = new.where(F.col("factor").isin(include)) if include else new
     rows = rows.where(~F.col("factor").isin(exclude)) if exclude else rows
-    rows = rows.withColumn("ts", floor_ts(interval)) if interval else rows
-    order = F.struct(F.lit(1).alias("v"), F.monotonically_increasing_id().alias("n"))
-    both = stored.select("ts", "factor", "value", F.struct(F.lit(0).alias("v"), F.lit(0).cast("long").alias("n")).alias("version"))
-    return latest_cells(both.unionByName(rows.select("ts", "factor", "value", order.alias("version"))))
+    at = floor_ts(interval).alias("ts") if interval else F.col("ts")
+    version = lambda n: F.struct(F.lit(n).alias("n"), F.col("ts"), F.col("value")).alias("version")
+    both = stored.select("ts", "factor", "value", version(0)).unionByName(rows.select(at, "factor", "value", version(1)))
+    return latest_cells(both)
 
 
 def write(factors: DataFrame, path: str) -> None:
