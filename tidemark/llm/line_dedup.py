@@ -81,7 +81,8 @@ def bucketed(docs: DataFrame) -> DataFrame:
 def _near(lines: DataFrame, table: DataFrame, firsts: DataFrame) -> DataFrame:
     """(k1, k2) of distinct lines that have an earlier line one edit away."""
     ends = lines.where(F.size("ends") > 0).select(F.explode("ends").alias("e"), *LINE)
-    shared = ends.groupBy("e").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).where("a != z").select("e")
+    # aggregates are written before they are joined back: then both sides of the join are plain shuffles, whose hot keys Spark splits
+    shared = materialize(ends.groupBy("e").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).where("a != z").select("e"), "line_ends")
     wanted = ends.join(shared, "e", "left_semi").select(*LINE).distinct().join(firsts, LINE)
     asked = wanted.groupBy(F.col("first.doc").alias(ROW[0]), F.col("first.h").alias(ROW[1])).agg(F.collect_set("first.line_no").alias("asked"))
     found = table.select(*ROW, "text").join(asked, ROW).select(*ROW, F.explode("asked").alias("line_no"), F.col("text"))
@@ -93,7 +94,7 @@ def _near(lines: DataFrame, table: DataFrame, firsts: DataFrame) -> DataFrame:
     n, j = F.col("n"), F.col("j")
     sized = chosen.withColumn("n", F.size("words"))
     blocks = sized.select(*LINE, F.explode(F.concat(_blocks(F.col("words"), n, n), _blocks(F.col("words"), n, n - 1))).alias("b"))
-    shared = blocks.groupBy("b.key").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).where("a != z").select("key")
+    shared = materialize(blocks.groupBy("b.key").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).where("a != z").select("key"), "line_blocks")
     flagged = blocks.select(*LINE, "b.*").join(shared, "key", "left_semi").groupBy(*LINE).agg(F.collect_list(F.struct("m", "lo", "hi")).alias("flags"))
 
     # hashes of the words before and after each place, as exclusive ors of (word, distance from that end)
@@ -111,7 +112,7 @@ def _near(lines: DataFrame, table: DataFrame, firsts: DataFrame) -> DataFrame:
         F.when((n == j) & within(True, 0), key("lost", n, j + 1, F.col("upto"), F.lit(0).cast("long"))),
     )
     keyed = summed.select(*LINE, "place", F.explode(variants).alias("v")).where("v IS NOT NULL")
-    best = keyed.groupBy("v").agg(F.min(F.struct("place", *LINE)).alias("w"), F.count("*").alias("c")).where("c > 1").select("v", "w")
+    best = materialize(keyed.groupBy("v").agg(F.min(F.struct("place", *LINE)).alias("w"), F.count("*").alias("c")).where("c > 1").select("v", "w"), "line_witnesses")
     witness = keyed.join(best, "v").where("w.place < place").groupBy(*LINE).agg(F.min("w").alias("w")).select(*LINE, F.col("w.k1").alias("w1"), F.col("w.k2").alias("w2"))
 
     left = chosen.select(*LINE, F.col("words").alias("a"))
@@ -135,7 +136,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = materialize(hashed.select(*ROW, "line_no", "k.*", "ends"), "line_keys")
     firsts = materialize(lines.groupBy(*LINE).agg(F.min(F.struct(F.col(ROW[0]).alias("doc"), F.col("line_no"), F.col(ROW[1]).alias("h"))).alias("first")), "line_firsts")
     near = materialize(_near(lines, table, firsts), "line_near")
-    decided = firsts.join(near.withColumn("near", F.lit(True)), LINE, "left")
+    decided = materialize(firsts.join(near.withColumn("near", F.lit(True)), LINE, "left"), "line_decisions")
     here = F.struct(F.col(ROW[0]).alias("doc"), F.col("line_no"))
     gone = lines.join(decided, LINE).where(F.col("near") | (here > F.struct(F.col("first.doc"), F.col("first.line_no"))))
     removed = gone.groupBy(*ROW).agg(F.collect_set("line_no").alias(f"{P}removed"))
