@@ -163,6 +163,7 @@ def test_names_about_the_page():
     assert html_text.main_text(page) == "Main text, long enough."
     assert html_text.main_text("<div class='widget'><p>All there is, really.</p></div>") == "All there is, really."
     assert html_text.main_text("<article><p>Short.</p></article><article class=comment><p>A much longer reader comment, with commas, and more.</p></article>") == "Short."
+    assert html_text.main_text("<div class=site-header>Site</div><div class=c><div class=post-header><h1>Head</h1></div><p>Body text, long enough to count.</p></div>") == "Head Body text, long enough to count."
     assert html_text.main_text("<article><p>a<button>press<p>b</p></article>") == "a press b"
 
 

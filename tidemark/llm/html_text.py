@@ -33,6 +33,8 @@ MARKS = ["ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrum
 ARTICLE_MARKS = ["advert", "advertisement", "comment", "comments", "promo", "promoted", "related", "replies", "reply", "sponsor", "sponsored", "teaser"]
 #: A class name that starts so tells of the page around, not of itself.
 ABOUT = ["has", "is", "no", "not", "show", "with", "without"]
+#: A header of these is part of the text.
+OWN = ["article", "content", "entry", "post", "section", "story"]
 #: Elements whose content is never text, closed or not.
 TO_THE_END = ["script", "style", "textarea", "title", "template", "noscript", "iframe"]
 #: A block start closes an open paragraph or item of the same kind.
@@ -58,7 +60,7 @@ def _named_boilerplate(name: str, attrs: str, by_name: bool) -> bool:
     if not by_name or name in ("body", "html", "main"):
         return False
     named = [_WORDS.findall(_CAMEL.sub(" ", c).lower()) for c in f"{found.get('class', '')} {found.get('id', '')}".split()]
-    marks = {w for words in named if words and words[0] not in ABOUT for w in words}
+    marks = {w for words in named if words and words[0] not in ABOUT for w in words if w != "header" or not set(words).intersection(OWN)}
     return bool(marks.intersection(ARTICLE_MARKS if name == "article" else MARKS))
 
 
