@@ -111,7 +111,7 @@ def _near(lines: DataFrame, table: DataFrame, firsts: DataFrame) -> DataFrame:
         F.when(within(True, 1), key("lost", n, j, before, F.col("since"))),
         F.when((n == j) & within(True, 0), key("lost", n, j + 1, F.col("upto"), F.lit(0).cast("long"))),
     )
-    keyed = summed.select(*LINE, "place", F.explode(variants).alias("v")).where("v IS NOT NULL")
+    keyed = materialize(summed.select(*LINE, "place", F.explode(variants).alias("v")).where("v IS NOT NULL"), "line_variants")
     best = materialize(keyed.groupBy("v").agg(F.min(F.struct("place", *LINE)).alias("w"), F.count("*").alias("c")).where("c > 1").select("v", "w"), "line_witnesses")
     witness = keyed.join(best, "v").where("w.place < place").groupBy(*LINE).agg(F.min("w").alias("w")).select(*LINE, F.col("w.k1").alias("w1"), F.col("w.k2").alias("w2"))
 
