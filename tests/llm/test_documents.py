@@ -167,6 +167,25 @@ def test_names_about_the_page():
     assert html_text.main_text("<article><p>a<button>press<p>b</p></article>") == "a press b"
 
 
+def test_names_drop_no_whole_article():
+    body = "<h1>The title</h1><p>The article's own text, long enough to count, with commas.</p><p>And a second one, as long as the first, or nearly.</p>"
+    want = "The title The article's own text, long enough to count, with commas. And a second one, as long as the first, or nearly."
+    side = "<div class=sidebar><p>Other, text.</p></div>"
+    for page in (
+        f"<div class='content-sidebar-wrap'><main>{body}</main>{side}</div>",
+        f"<div class='content-sidebar-wrap'><article>{body}</article>{side}</div>",
+        f"<div class='content-sidebar-wrap'><div class=post>{body}</div>{side}</div><div>&copy; 2020</div>",
+        f"<div id=header-layout><div class=menu-grid>{body}</div></div>{side}",
+        f"<article class='post comments-open'>{body}</article>",
+        f"<article class='post tag-related'>{body}</article><div>&copy; 2020</div>",
+        f"<main><div class='widget-area'><article>{body}</article></div></main><div class=related><article><p>Another one, to read.</p></article></div>",
+        f"<article>{body}<div class=comments><p>{'A reader comment, longer than the text. ' * 20}</p></div></article>",
+        f"<article><div class='nav-content'>{body}</div></article>",
+    ):
+        assert html_text.main_text(page).removesuffix(" © 2020") == want, page
+    assert html_text.main_text("<article><p>A <span class='ad-hoc promo'>marked</span> word, <em class=notice>kept</em>.</p></article>") == "A marked word, kept."
+
+
 def test_odd_pages(spark):
     for source, want in [(None, ""), ("", ""), ("plain words", "plain words"), ("<p>open <i>tags", "open tags"), ("<article>short</article><footer>much longer footer, here it is.</footer>", "short"), ("<article><p>a &lt;b&gt; &#233; &unknown; c</article", "a <b> é &unknown; c"), ("<script>x", ""), ("<article><p>cut off <a href='x", "cut off"), ("<p title='a>b'>x < y<br/>z", "x < y z")]:
         assert html_text.main_text(source) == want, source

@@ -4,7 +4,8 @@ The texts of a page are grouped by their root-to-leaf tag path. Text length and
 and divided by the path's nodes and links, are smoothed over page order, fused by their product, and a
 threshold relative to the page picks content paths. The block that holds most of the picked text is the
 content region; it gives all its texts, headings and short paragraphs included, but for parts that name
-themselves as boilerplate. Every page is independent: Spark maps over them, nothing is shuffled.
+themselves as boilerplate. A name drops nothing that holds the page's main element or most of its picked text.
+Every page is independent: Spark maps over them, nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -31,6 +32,12 @@ ROLES = ["navigation", "banner", "contentinfo", "complementary", "search", "form
 MARKS = ["ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disqus", "disclaimer", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "promotion", "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "warning", "widget"]
 #: Of these, what marks an article as not the main one.
 ARTICLE_MARKS = ["advert", "advertisement", "comment", "comments", "promo", "promoted", "related", "replies", "reply", "sponsor", "sponsored", "teaser"]
+#: Marks of what stands beside the text and can be longer than it.
+BESIDE = {*ARTICLE_MARKS, "ad", "ads", "adverts", "promotion", "disqus", "respond", "cookie", "cookies", "consent", "gdpr"}
+#: Of these, what readers wrote.
+READERS = {"comment", "comments", "replies", "reply"}
+#: An article's class name that ends so tells of its state.
+STATES = ["open", "closed", "enabled", "disabled"]
 #: A class name that starts so tells of the page around, not of itself.
 ABOUT = ["has", "is", "no", "not", "show", "with", "without"]
 #: A header of these is part of the text.
@@ -49,19 +56,21 @@ _STOPS = re.compile(r"[.,;:!?…、。，；：！？¿¡]")
 THRESHOLD = 0.3
 
 
-def _named_boilerplate(name: str, attrs: str, by_name: bool) -> bool:
+def _boilerplate(name: str, attrs: str, by_name: bool) -> tuple[bool, set[str]]:
+    """Whether an element is never content, and the marks in its names. Names of inline elements tell of style."""
     if name in BOILERPLATE:
-        return True
+        return True, set()
     if not attrs.strip():
-        return False
+        return False, set()
     found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
     if found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
-    if not by_name or name in ("body", "html", "main"):
-        return False
+        return True, set()
+    if not by_name or name in ("body", "html", "main") or name in INLINE:
+        return False, set()
     named = [_WORDS.findall(_CAMEL.sub(" ", c).lower()) for c in f"{found.get('class', '')} {found.get('id', '')}".split()]
-    marks = {w for words in named if words and words[0] not in ABOUT for w in words if w != "header" or not set(words).intersection(OWN)}
-    return bool(marks.intersection(ARTICLE_MARKS if name == "article" else MARKS))
+    named = [words for words in named if words and words[0] not in ABOUT and not (name == "article" and words[-1] in STATES)]
+    marks = {w for words in named for w in words if w != "header" or not set(words).intersection(OWN)}
+    return False, marks.intersection(ARTICLE_MARKS if name == "article" else MARKS)
 
 
 class Page:
@@ -69,12 +78,14 @@ class Page:
 
     def __init__(self, source: str, by_name: bool = True):
         self.by_name = by_name
-        self.texts: list[list] = []  # [text, path, region, in a link, boilerplate, starts a block]
-        self.parent, self.kind, self.size = [-1], ["body"], [0]
+        self.texts: list[list] = []  # [text, path, region, in a link, boilerplate, starts a block, mark]
+        self.parent, self.kind, self.off, self.mark = [-1], ["body"], [False], [-1]
+        self.marks: list[tuple[int, str, set[str], bool]] = []  # parent, element, words, inside an article or main
         self._read(source)
+        self._settle()
 
     def _read(self, s: str) -> None:
-        stack: list[tuple[str, str, int, bool]] = []  # name, path, region, boilerplate
+        stack: list[tuple[str, str, int, bool, int]] = []  # name, path, region, boilerplate, mark
         at, fresh = 0, True
         while at < len(s):
             m = _TOKEN.search(s, at)
@@ -114,23 +125,88 @@ class Page:
                     if i is None or stack[i][0] not in closes or stack[i][0] in HOLDERS:
                         break
                     del stack[i:]
-            path, region, off = stack[-1][1:] if stack else ("", 0, False)
-            off = off or _named_boilerplate(name, attrs, self.by_name) or (name == "header" and not any(x[0] in ("article", "main") for x in stack))
+            path, region, off, mark = stack[-1][1:] if stack else ("", 0, False, -1)
+            never, words = _boilerplate(name, attrs, self.by_name)
+            off = off or never or (name == "header" and not any(x[0] in ("article", "main") for x in stack))
+            if words:
+                self.marks.append((mark, name, words, any(x[0] in ("article", "main") for x in stack)))
+                mark = len(self.marks) - 1
             if name in REGION and name != "body":
                 self.parent.append(region)
                 self.kind.append(name)
-                self.size.append(0)
+                self.off.append(off)
+                self.mark.append(mark)
                 region = len(self.parent) - 1
-            stack.append((name, f"{path}/{name}", region, off))
+            stack.append((name, f"{path}/{name}", region, off, mark))
 
     def _add(self, raw: str, stack: list, fresh: bool) -> None:
-        _, path, region, off = stack[-1] if stack else ("", "", 0, False)
-        self.texts.append([html.unescape(raw) if "&" in raw else raw, path, region, "/a" in path and any(x[0] == "a" for x in stack), off, fresh])
+        _, path, region, off, mark = stack[-1] if stack else ("", "", 0, False, -1)
+        self.texts.append([html.unescape(raw) if "&" in raw else raw, path, region, "/a" in path and any(x[0] == "a" for x in stack), off, fresh, mark])
+
+    def _settle(self) -> None:
+        """Decides by the ratios which marks hold: none that holds the page's main element or most of its picked text."""
+        if not self.marks:
+            return
+        n = len(self.marks)
+        beside = [bool(words & BESIDE) for _, _, words, _ in self.marks]  # or inside such a mark
+        for m, (up, *_) in enumerate(self.marks):
+            beside[m] = beside[m] or up >= 0 and beside[up]
+        named = [-1] * len(self.parent)  # the innermost article or main of a region
+        for r, k in enumerate(self.kind):
+            named[r] = r if k in ("article", "main") else named[self.parent[r]] if r else -1
+        paths = self.content_paths()
+        held, own, articles, free_of, main = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
+        total, total_own, free = 0, 0, 0
+        for text, path, region, _, off, _, mark in self.texts:
+            size = 0 if off or path not in paths else len(text.strip())
+            if not size:
+                continue
+            aside = mark >= 0 and beside[mark]
+            total += size
+            total_own += 0 if aside else size
+            if mark >= 0:
+                held[mark] += size
+                own[mark] += 0 if aside else size
+            if named[region] >= 0:
+                if mark >= 0:
+                    free_of[mark] += size
+                else:
+                    free += size
+                if not aside and self.mark[named[region]] >= 0:
+                    articles[self.mark[named[region]]] += size
+        for r, k in enumerate(self.kind):
+            if k == "main" and not self.off[r] and self.mark[r] >= 0:
+                main[self.mark[r]] = True
+        for m in range(n - 1, -1, -1):
+            up = self.marks[m][0]
+            if up >= 0:
+                held[up] += held[m]
+                own[up] += own[m]
+                articles[up] += articles[m]
+                main[up] = main[up] or main[m]
+        holds = [True] * n
+        for m, (up, name, words, inside) in enumerate(self.marks):
+            if up >= 0 and holds[up]:
+                continue
+            if main[m]:
+                holds[m] = False
+            elif name == "article":
+                holds[m] = held[m] * 2 <= total or bool(words & READERS) and free > 0
+            elif words & BESIDE:  # all but a rest of the page
+                again = up >= 0 and bool(words & BESIDE & self.marks[up][2])
+                holds[m] = not again and (free > 0 and not inside or (total - held[m]) * 10 >= held[m])
+            else:
+                holds[m] = articles[m] <= free and (own[m] * 2 <= total_own or free > 0 and not inside)
+            if not holds[m]:
+                free += free_of[m]
+        for x in self.texts:
+            x[4] = x[4] or x[6] >= 0 and holds[x[6]]
+        self.off = [off or m >= 0 and holds[m] for off, m in zip(self.off, self.mark, strict=True)]
 
     def content_paths(self) -> set[str]:
         """Paths whose smoothed and fused ratios pass the threshold."""
         total: dict[str, list[float]] = {}
-        for text, path, _, link, off, _ in self.texts:
+        for text, path, _, link, off, *_ in self.texts:
             n = len(text.strip())
             if not off and n:
                 f = total.setdefault(path, [0, 0, 0, 0])
@@ -151,7 +227,7 @@ class Page:
     def region(self, paths: set[str]) -> int:
         """The innermost region with nearly all picked text; an article or main element if one has most of it."""
         held = [0] * len(self.parent)
-        for text, path, region, _, off, _ in self.texts:
+        for text, path, region, _, off, *_ in self.texts:
             if not off and path in paths:
                 held[region] += len(text.strip())
         for i in range(len(held) - 1, 0, -1):
@@ -187,7 +263,7 @@ class Page:
         for i in range(len(self.parent)):
             inside[i] = i == chosen or (self.parent[i] >= 0 and inside[self.parent[i]])
         out = []
-        for text, _, region, _, off, fresh in self.texts:
+        for text, _, region, _, off, fresh, _ in self.texts:
             if inside[region] and not off:
                 out.append(f" {text}" if fresh else text)
             elif fresh:
@@ -200,7 +276,7 @@ def main_text(source: str | None) -> str:
         return ""
     page = Page(source)
     text = page.main_text()
-    if text or "article" in page.kind or "main" in page.kind:
+    if text or any(k in ("article", "main") and not off for k, off in zip(page.kind, page.off, strict=True)):
         return text
     return Page(source, by_name=False).main_text()  # class names that take everything away were about the page
 
