@@ -186,6 +186,21 @@ def test_names_drop_no_whole_article():
     assert html_text.main_text("<article><p>A <span class='ad-hoc promo'>marked</span> word, <em class=notice>kept</em>.</p></article>") == "A marked word, kept."
 
 
+def test_picked_text_outside_the_region_is_kept():
+    lead, long = "A lead paragraph, with what matters most, of some length.", "<p>" + "A sentence of the body, one of many. " * 12 + "</p>"
+    body = " ".join(("A sentence of the body, one of many. " * 12).split())
+    for page, want in (
+        (f"<div id=post><div class=intro><p>{lead}</p></div><h2>Part</h2><div class=body>{long}</div></div>", f"{lead} Part {body}"),
+        (f"<div class=a><p>{lead}</p><div class=b><p>{lead}</p><div class=c>{long}</div></div></div>", f"{lead} {lead} {body}"),
+        (f"<nav>Menu</nav><main><h1>Title</h1><p>{lead}</p><article>{long}</article></main><footer>Foot</footer>", f"Title {lead} {body}"),
+        (f"<main><h1>Title</h1><div>By A</div><article>{long}</article><ul><li><a href=x>Next one</a></ul></main>", f"Title By A {body}"),
+        (f"<article>{long}</article><article><p>{lead}</p></article>", f"{body} {lead}"),
+        (f"<h1>Title</h1><div><div>{long}{long}</div></div>", f"Title {body} {body}"),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mspace/><mn>1</mn><annotation>x=1</annotation></math>, and <object data=f><param name=a>file</object> or <canvas>drawing</canvas>.</p></article>", "Let x=1, and file or drawing."),
+    ):
+        assert html_text.main_text(page) == want, page
+
+
 def test_odd_pages(spark):
     for source, want in [(None, ""), ("", ""), ("plain words", "plain words"), ("<p>open <i>tags", "open tags"), ("<article>short</article><footer>much longer footer, here it is.</footer>", "short"), ("<article><p>a &lt;b&gt; &#233; &unknown; c</article", "a <b> é &unknown; c"), ("<script>x", ""), ("<article><p>cut off <a href='x", "cut off"), ("<p title='a>b'>x < y<br/>z", "x < y z")]:
         assert html_text.main_text(source) == want, source

@@ -3,8 +3,9 @@
 The texts of a page are grouped by their root-to-leaf tag path. Text length and punctuation, summed per path
 and divided by the path's nodes and links, are smoothed over page order, fused by their product, and a
 threshold relative to the page picks content paths. The block that holds most of the picked text is the
-content region; it gives all its texts, headings and short paragraphs included, but for parts that name
-themselves as boilerplate. A name drops nothing that holds the page's main element or most of its picked text.
+content region; it gives all its texts, headings and short paragraphs included. Outside of it, every block of text
+with a picked path is kept, and so are the blocks between kept ones that are not mostly links, the rest of the main
+element and headings right before. Parts that name themselves as boilerplate are not. A name drops nothing that holds the page's main element or most of its picked text.
 Every page is independent: Spark maps over them, nothing is shuffled.
 """
 
@@ -23,9 +24,10 @@ from pyspark.sql import types as T
 from .store import small_batches
 
 # Element names of HTML.
-RAW = ["script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "button", "math", "canvas", "audio", "video"]
+RAW = ["script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "select", "button", "audio", "video", "annotation", "annotation-xml"]
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
-INLINE = ["a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "nobr"]
+MATH = ["annotation", "annotation-xml", "math", "maction", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics"]
+INLINE = [*MATH, "canvas", "object", "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "nobr"]
 REGION = ["article", "main", "section", "div", "td", "body"]
 BOILERPLATE = ["nav", "footer", "aside", "form", "menu", "dialog", "head"]
 ROLES = ["navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"]
@@ -53,6 +55,7 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|
 _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _STOPS = re.compile(r"[.,;:!?…、。，；：！？¿¡]")
+_HEADING = re.compile(r"/h[1-6](?:/|$)")
 THRESHOLD = 0.3
 
 
@@ -112,7 +115,7 @@ class Page:
                     while stack.pop()[0] != name:
                         pass
                 continue
-            if name in VOID or attrs.endswith("/") and name not in INLINE and name not in REGION and name != "p":
+            if name in VOID or attrs.endswith("/") and (name in MATH or name not in INLINE) and name not in REGION and name != "p":
                 continue
             if name in RAW:
                 end = re.compile(rf"</{name}\s*>", re.I).search(s, at)
@@ -258,17 +261,39 @@ class Page:
         return max(shared)
 
     def main_text(self) -> str:
-        chosen = self.region(self.content_paths())
-        inside = [False] * len(self.parent)
+        paths = self.content_paths()
+        chosen = self.region(paths)
+        inside, around = [False] * len(self.parent), [False] * len(self.parent)
+        at = chosen
+        while at >= 0:  # the outermost article or main around the region
+            if self.kind[at] in ("article", "main") and not self.off[at]:
+                around = [i == at for i in range(len(self.parent))]
+            at = self.parent[at]
         for i in range(len(self.parent)):
-            inside[i] = i == chosen or (self.parent[i] >= 0 and inside[self.parent[i]])
-        out = []
-        for text, _, region, _, off, fresh, _ in self.texts:
-            if inside[region] and not off:
-                out.append(f" {text}" if fresh else text)
-            elif fresh:
-                out.append(" ")
-        return " ".join("".join(out).split())
+            up = self.parent[i]
+            inside[i] = i == chosen or up >= 0 and inside[up]
+            around[i] = around[i] or up >= 0 and around[up]
+        blocks: list[list] = []  # texts of one block that may be kept
+        for x in self.texts:
+            if x[5] or not blocks:
+                blocks.append([])
+            blocks[-1].append(x)
+        blocks = [[x for x in block if not x[4]] for block in blocks]
+        blocks = [block for block in blocks if any(x[0].strip() for x in block)]
+        picked, plain, heads = [], [], []
+        for block in blocks:
+            size = sum(len(x[0].strip()) for x in block)
+            picked.append(any(inside[x[2]] or x[1] in paths and x[0].strip() for x in block))
+            plain.append(sum(len(x[0].strip()) for x in block if x[3]) * 2 <= size)
+            heads.append(any(_HEADING.search(x[1]) for x in block))
+        kept = [i for i, k in enumerate(picked) if k]
+        first, last = (kept[0], kept[-1]) if kept else (0, -1)
+        keep = [k or plain[i] and (first < i < last or any(around[x[2]] for x in blocks[i])) for i, k in enumerate(picked)]
+        for i in range(first - 1, -1, -1):
+            if not heads[i] or not plain[i]:
+                break
+            keep[i] = True
+        return " ".join(" ".join("".join(x[0] for x in block) for block, k in zip(blocks, keep, strict=True) if k).split())
 
 
 def main_text(source: str | None) -> str:
