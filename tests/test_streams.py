@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.plans import catalog
+from tidemark.sources.tape import trades
 from tidemark.streaming import runs
 
 
@@ -39,3 +40,37 @@ def test_waves(spark, parts):
 
 def test_ema_rows(spark, parts):
     assert runs.ema(spark, parts, 0.2).count() == 600
+
+
+@pytest.fixture(scope="module")
+def shuffled(spark, tmp_path_factory):
+    """Events in part files by a hash, spread over 300 days; the files are written in no order of time."""
+    root = str(tmp_path_factory.mktemp("shuffled"))
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_id < 600").withColumn("user_id", F.col("user_id") % 5)
+    late = df.withColumn("ts", (F.col("ts").cast("timestamp") + F.expr("make_interval(0, 0, 0, event_id DIV 2)")).cast(df.schema["ts"].dataType))
+    late.repartition(4, F.xxhash64("event_id")).sortWithinPartitions(F.xxhash64("event_id", F.lit(1))).write.parquet(f"{root}/events.parquet")
+    return root
+
+
+@pytest.mark.parametrize("name", ["fixed_bars", "volume_bars", "ema", "decoder", "dedup"])
+def test_files_in_any_order(spark, shuffled, name, monkeypatch):
+    monkeypatch.setattr(runs, "ROWS", 100)
+    got = catalog.queries()[f"q_stream_{name}"](spark, shuffled)
+    if name == "dedup":
+        return same(got, spark.read.parquet(f"{shuffled}/events.parquet").select("user_id", "event_type").distinct())
+    if name == "ema":
+        memory, want = {}, []
+        for r in trades(spark, shuffled).orderBy("ts", "seq").collect():
+            m = memory.get(r["ticker"])
+            memory[r["ticker"]] = m = r["price"] if m is None else 0.2 * r["price"] + 0.8 * m
+            want.append((r["ticker"], r["seq"], round(m, 6)))
+        assert sorted((r["ticker"], r["seq"]) for r in got.collect()) == sorted(w[:2] for w in want)
+        assert all(abs(r["ema"] - w[2]) < 2e-6 for r, w in zip(sorted(got.collect(), key=lambda r: r["seq"]), sorted(want, key=lambda w: w[1]), strict=True))
+        return None
+    batch = {"fixed_bars": "q_candles", "volume_bars": "q_volume_bars", "decoder": "q_online_decoder"}[name]
+    want = catalog.queries()[batch](spark, shuffled)
+    if name == "fixed_bars":
+        want = want.withColumnRenamed("bucket", "idx")
+    got = got.drop("n")
+    same(got, want.select(*got.columns))
+    return None

@@ -1,7 +1,12 @@
-"""Streams over the events table, run until their input ends; each equals its batch query."""
+"""Streams over the events table, run until their input ends; each equals its batch query.
+
+The table's files may be in any order, so a stream reads a copy that Spark has dealt by ranges of event time.
+"""
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,13 +15,36 @@ from ..sources.shared import scratch
 from . import processors
 
 
-def source(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
-    """Events as trades by user, ``files`` of the input a micro-batch, in event time ``at``."""
-    path = f"{sf_dir}/events.parquet"
-    raw = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(f"{path}*")  # a glob, as the table may be one file
+#: Rows of a micro-batch, about.
+ROWS = 500_000
+
+
+def in_order(spark: SparkSession, folder: str) -> int:
+    """Number of files in ``folder``; they get modification times in the order of their names, as a stream picks them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files = sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().endswith(".parquet")), key=lambda f: f.getName())
+    start = int(time.time() - len(files)) * 1000
+    for i, f in enumerate(files):
+        fs.setTimes(f, start + i * 1000, -1)
+    times = [fs.getFileStatus(f).getModificationTime() for f in files]
+    if any(a >= b for a, b in zip(times, times[1:], strict=False)):
+        raise OSError(f"{folder}: the store keeps its own modification times, so files can't be put in event-time order")
+    return len(files)
+
+
+def source(spark: SparkSession, sf_dir: str, rows: int | None = None) -> tuple[DataFrame, float]:
+    """Events as trades by user in event time ``at``, some ``rows`` a micro-batch in their order; and their span in seconds."""
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("double")
     at = F.col("ts").cast("timestamp")
-    return raw.select(F.col("user_id").cast("string").alias("ticker"), (F.unix_micros(at) / 1e6).alias("ts"), F.col("event_id").alias("seq"), at.alias("at"), F.col("value").alias("price"), k.alias("volume"), "event_type", "user_id")
+    tape = raw.select(F.col("user_id").cast("string").alias("ticker"), (F.unix_micros(at) / 1e6).alias("ts"), F.col("event_id").alias("seq"), at.alias("at"), F.col("value").alias("price"), k.alias("volume"), "event_type", "user_id")
+    n, first, last = tape.agg(F.count("*"), F.min("ts"), F.max("ts")).first()
+    batches = max(-(-n // (rows or ROWS)), min(len(raw.inputFiles()), 8), 1)
+    path = scratch(spark, "stream_feed")
+    tape.repartitionByRange(batches, "ts", "seq").sortWithinPartitions("ts", "seq").write.parquet(path)
+    files = max(-(-in_order(spark, path) // batches), 1)
+    return spark.readStream.schema(tape.schema).option("maxFilesPerTrigger", files).parquet(path), (last or 0.0) - (first or 0.0)
 
 
 def to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
@@ -42,31 +70,32 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fixed_bars(spark: SparkSession, sf_dir: str, seconds: int) -> DataFrame:
-    """Bars by event time. Late rows count until the watermark passes; open bars are updated in place."""
+    """Bars by event time, updated in place until the watermark passes; rows come in event-time order, so none is late."""
     at = F.struct("ts", "seq")
-    tape = source(spark, sf_dir).withColumn("ticker", F.col("event_type")).withWatermark("at", "1 day")
+    tape = source(spark, sf_dir)[0].withColumn("ticker", F.col("event_type")).withWatermark("at", "1 day")
     bars = tape.groupBy("ticker", F.window("at", f"{seconds} seconds").alias("w")).agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"))
     out = bars.select("ticker", (F.unix_seconds("w.start") / seconds).cast("long").alias("idx"), "open", "high", "low", "close", "volume")
     return latest(to_table(out, "stream_bars", "update"), ["ticker", "idx"])
 
 
 def volume_bars(spark: SparkSession, sf_dir: str, interval: float) -> DataFrame:
-    rows = source(spark, sf_dir).select("ticker", "ts", "seq", "price", "volume")
+    rows = source(spark, sf_dir)[0].select("ticker", "ts", "seq", "price", "volume")
     return latest(to_table(processors.volume_bars(rows, interval), "stream_volume_bars", "update"), ["ticker", "idx"])
 
 
 def ema(spark: SparkSession, sf_dir: str, alpha: float) -> DataFrame:
-    rows = source(spark, sf_dir).select("ticker", "ts", "seq", "price")
+    rows = source(spark, sf_dir)[0].select("ticker", "ts", "seq", "price")
     return to_table(processors.ema(rows, "price", alpha), "stream_ema", "append").drop("batch")
 
 
 def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = source(spark, sf_dir).select("ticker", "ts", "seq", "price")
+    rows = source(spark, sf_dir)[0].select("ticker", "ts", "seq", "price")
     out = to_table(processors.waves(rows, confirmation=0.05, timeout=43200.0, up=0.5, down=0.5), "stream_waves", "append")
     return out.select("ticker", F.round("start_ts", 3).alias("start_ts"), F.round("end_ts", 3).alias("end_ts"), "start_price", "end_price", "high", "low", "flag")
 
 
 def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of events of each user, repeats dropped while the watermark has not passed them."""
-    rows = source(spark, sf_dir).withWatermark("at", "60 days").dropDuplicatesWithinWatermark(["user_id", "event_type"])
+    """Kinds of events of each user, repeats dropped; the watermark covers the table's span, so no state expires."""
+    rows, span = source(spark, sf_dir)
+    rows = rows.withWatermark("at", f"{int(span) + 1} seconds").dropDuplicatesWithinWatermark(["user_id", "event_type"])
     return to_table(rows.select("user_id", "event_type"), "stream_dedup", "append").drop("batch")
