@@ -155,6 +155,40 @@ def test_wave_target_against_model(spark):
             assert close(r[a], w[b]), (r["ts"], a, r[a], w[b])
 
 
+def test_no_key_is_held_whole(spark):
+    rnd, rows = random.Random(8), []
+    for i in range(900):
+        rows.append((rnd.choice("aaab"), float(i * 700 + rnd.randint(0, 2) * 100_000), float(rnd.randint(95, 105))))
+    t = tape(spark, rows).repartition(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        options = {"confirmation": 0.02, "timeout": 20_000.0, "up": 0.05, "down": 0.05}
+        signals = t.withColumns({"value": F.col("price") - 100, "upper": F.col("price") - 97, "lower": F.col("price") - 103})
+        found = {"points": decoder.turning_points(t, 3), "waves": decoder.decode_waves(t, **options), "actions": display.signal_actions(signals).select("ticker", "seq", "action")}
+        for df in found.values():
+            assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
+        got = {k: sorted(map(tuple, df.collect())) for k, df in found.items()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    points, waves, actions = [], [], []
+    for key in "ab":
+        path = sorted((ts, i, p) for i, (k, ts, p) in enumerate(rows) if k == key)
+        points += [(key, *x) for x in extremes([(ts, p) for ts, _, p in path], 3)]
+        d, position = decoder.OnlineDecoder(**options), 0
+        for ts, i, p in path:
+            if w := d.step(p, ts):
+                waves.append((key, *w.row()))
+            if position == 0:
+                action = 1 if p > 103 else -1 if p < 97 else 0
+            else:
+                action = 1 if position < 0 and p > 100 else -1 if position > 0 and p < 100 else 0
+            position += action
+            actions.append((key, i, action))
+    assert max(x[1] for x in points) == 3
+    assert got == {"points": sorted(points), "waves": sorted(waves), "actions": sorted(actions)}
+
+
 def test_retrospective_wave_ends_at_its_extreme():
     d = decoder.OnlineDecoder(retrospective=True, up=0.5, down=0.5)
     closed = [w for w in (d.step(p, float(i)) for i, p in enumerate([100, 99, 103, 101, 100])) if w]

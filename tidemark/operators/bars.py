@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import SessionCalendar
 from ..functions.filters import finite
+from .running import in_key_order, key_values
 
 FEE_RATE = 0.00016
 
@@ -70,20 +73,23 @@ def signal_actions(rows: DataFrame, *, keys: tuple[str, ...] = ("ticker",)) -> D
     """Adds action: flat enters long where ``lower`` > 0 and short where ``upper`` < 0; a position is closed when
     ``value`` changes sign. The position decides each step, so rows of a key are walked in order."""
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"], ignore_index=True)
-        position, actions = 0, []
-        for value, upper, lower in zip(pdf["value"], pdf["upper"], pdf["lower"], strict=True):
-            if position == 0:
-                action = 1 if lower > 0 else -1 if upper < 0 else 0
-            else:
-                action = 1 if position < 0 < value else -1 if value < 0 < position else 0
-            position += action
-            actions.append(action)
-        return pdf.assign(action=actions)
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, position = None, 0
+        for pdf in parts:
+            actions = []
+            for key, value, upper, lower in zip(key_values(pdf, keys), pdf["value"], pdf["upper"], pdf["lower"], strict=True):
+                if key != held:
+                    held, position = key, 0
+                if position == 0:
+                    action = 1 if lower > 0 else -1 if upper < 0 else 0
+                else:
+                    action = 1 if position < 0 < value else -1 if value < 0 < position else 0
+                position += action
+                actions.append(action)
+            yield pdf.assign(action=actions)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.groupBy(*keys).applyInPandas(walk, f"{kinds}, action long")
+    return in_key_order(rows, keys).mapInPandas(walk, f"{kinds}, action long")
 
 
 def order_size(position: Column, side: Column) -> Column:

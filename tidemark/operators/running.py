@@ -6,6 +6,7 @@ accumulated over blocks and joined back, so a key with most of the rows still sp
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +48,16 @@ def asof(left: DataFrame, right: DataFrame, at: Column, *, forward: bool = True,
     return found.select("__l.*", F.col("__f.ts").alias("matched_ts"), F.col(f"__f.{value}").alias("matched"))
 
 
+def in_key_order(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``rows`` with a key's rows one after the other in a partition, for walks that carry a small state over batches."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "ts", "seq")
+
+
+def key_values(pdf: pd.DataFrame, keys: tuple[str, ...]) -> list[tuple]:
+    """The key of every row; missing values are None, which equals itself."""
+    return list(zip(*(pdf[k].astype(object).where(pdf[k].notna(), None) for k in keys), strict=True))
+
+
 def _left_rank(forward: bool, strict: bool) -> int:
     """Place of a left row among right rows of its time: before them if it searches forward and may match them."""
     return 0 if forward != strict else 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch
 from .decoder import turning_points
 from .running import asof
 
@@ -19,15 +20,20 @@ def fixed_horizon(frame: DataFrame, horizon: float, *, price: str = "price", kee
     return out.withColumn(f"pct_change_{horizon:g}", F.try_divide("matched", F.nullif(F.col(price), F.lit(0.0))) - 1).drop("matched", "matched_ts")
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from a table: what several branches read is made once and its plan stays out of theirs."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def wave_segments(frame: DataFrame, extremes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Rows with seg (extremes up to and at the row), state and the segment's next extremes."""
     order = Window.partitionBy(*keys).orderBy("ts")
     marks = extremes.select(*keys, "ts", F.col("flag").alias("e_flag"), F.col("price").alias("e_price"))
     marks = marks.withColumns({"seg": F.row_number().over(order), "next_ts": F.lead("ts").over(order), "next_flag": F.lead("e_flag").over(order), "after_price": F.lead("e_price", 2).over(order)})
-    events = frame.unionByName(marks.select(*keys, "ts", F.struct("seg", F.col("ts").alias("from_ts"), "e_flag", "next_ts", "next_flag", "after_price").alias("m")).withColumn("__o", F.lit(0)), allowMissingColumns=True)
-    events = events.withColumn("__o", F.coalesce("__o", F.lit(1)))
-    m = F.last("m", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("ts", "__o").rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("m", m).where("__o = 1").select(*frame.columns, "m.*")
+    marks = marks.select(*keys, "ts", F.struct("seg", F.col("ts").alias("from_ts"), "e_flag", "next_ts", "next_flag", "after_price").alias("m"))
+    return asof(frame, marks, F.col("ts"), forward=False, keys=keys, value="m").select(*frame.columns, "matched.*")
 
 
 def wave_target(frame: DataFrame, *, price: str = "price", level: int = 4, keys: tuple[str, ...] = ("ticker",), smooth: bool = True, alpha: float = 0.008, look_back: float = 900.0) -> DataFrame:
@@ -38,12 +44,12 @@ def wave_target(frame: DataFrame, *, price: str = "price", level: int = 4, keys:
     it, the probability of holding on falls with the loss still ahead, and blends in the next segment's gain.
     """
     extremes = turning_points(frame, level, keys=keys, price=price).where(F.col("level") == level).groupBy(*keys, "ts").agg(F.max_by("price", F.col("flag")).alias("price"), F.max("flag").alias("flag"))
-    rows = wave_segments(frame, extremes, keys)
+    rows = _written(wave_segments(frame, _written(extremes, "extremes"), keys), "segments")
     p = F.col(price)
     # the row at a segment's start also ends the one before
     both = F.when(F.col("ts") == F.col("from_ts"), F.array(F.col("seg"), F.col("seg") - 1)).otherwise(F.array("seg"))
     spread = rows.withColumn("s", F.explode(both))
-    ahead = Window.partitionBy(*keys, "s").orderBy("ts", "seq").rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*keys, "s").orderBy(F.desc("ts"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
     own = spread.withColumns({"local_max": F.max(p).over(ahead), "local_min": F.min(p).over(ahead)}).where("s = seg OR seg IS NULL").drop("s")
     before = rows.where("seg IS NULL").select(*rows.columns, F.lit(None).cast("double").alias("local_max"), F.lit(None).cast("double").alias("local_min"))
     own = own.where("seg IS NOT NULL").unionByName(before)

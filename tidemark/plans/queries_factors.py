@@ -168,7 +168,7 @@ b AS (SELECT *, last_value(nullif(d, 0) IGNORE NULLS) OVER (PARTITION BY ticker
 SELECT ticker, round(ts, 3) AS ts, price, CAST(-d AS INT) AS flag FROM b WHERE d <> 0 AND (c IS NULL OR c <> d)""")
 def q_turning_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D7 level 0, D8: turning points as windows."""
-    return decoder.first_level(trades(spark, sf_dir)).withColumn("ts", F.round("ts", 3))
+    return decoder.first_level(trades(spark, sf_dir)).drop("seq").withColumn("ts", F.round("ts", 3))
 
 
 @register()
