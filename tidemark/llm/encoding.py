@@ -1,8 +1,8 @@
 """Exact, fast tokenizer calls for Spark's Python workers.
 
 The tokenizers library spends most of its time per call, and words repeat. A text is cut where its
-word-level pre-tokenizer always cuts (white space), each distinct word is encoded once per worker, and the
-words' ids are concatenated. Words of plain Latin text skip the general pipeline: they are pre-tokenized with
+word-level pre-tokenizer always cuts (white space), each distinct word is encoded when a worker first meets it, and
+the words' ids are concatenated. Words of plain Latin text skip the general pipeline: they are pre-tokenized with
 the published pattern and handed to the BPE model directly. Byte-level BPE whose ids are merge ranks runs
 Latin-1 texts through tiktoken, whose result is the same. Everything else goes through ``Tokenizer.encode``
 itself; tests hold all paths against it.
@@ -14,7 +14,8 @@ import json
 import os
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,6 +33,7 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 WS = "\t-\r \x85\xa0  -     　"
 _SPLIT = re.compile(f"[{WS}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+_STOPS = frozenset(".,;:!?")
 #: No normalization, combining mark or unusual case rule below U+0250.
 _PLAIN = re.compile("[!-~\xa1-ɏ]+")
 
@@ -62,21 +64,49 @@ def pack_ids(ids: Iterable[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class _Pieces(dict):
+    """Ids of pre-tokens, made when first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.make(piece)
+        return ids
+
+
+class _Words(dict):
+    """Ids of words, made when first asked for. Words of letters, and those with one stop at the end, are no more than that in the pattern."""
+
+    def __init__(self, pieces: _Pieces, hard: Callable[[str], bytes]):
+        super().__init__()
+        self.pieces, self.hard, self.held = pieces, hard, 0
+
+    def __missing__(self, word: str) -> bytes:
+        if not word.isascii():
+            ids = self.hard(word)
+        elif word.isalpha():
+            ids = self.pieces[word.lower()]
+        elif word[-1] in _STOPS and word[:-1].isalpha():
+            ids = self.pieces[word[:-1].lower()] + self.pieces[word[-1]]
+        else:
+            ids = self.hard(word)
+        self[word] = ids
+        self.held += len(word) + 8
+        return ids
+
+
 class Encoder:
     """``encode_many(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
 
-    ``limit``: characters of chunks to keep, ``pieces``: of pre-tokens; beyond these a cache starts anew,
+    ``limit``: characters of words to keep, ``pieces``: of pre-tokens; beyond these a cache starts anew,
     so memory is bounded.
     """
 
-    def __init__(self, path: str, limit: int = 6_000_000, pieces: int = 400_000):
+    def __init__(self, path: str, limit: int = 9_000_000, pieces: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.path, self.limit, self.pieces, self.held = path, limit, pieces, 0
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path, self.limit, self.pieces = path, limit, pieces
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.specials = [a["content"] for a in spec.get("added_tokens", [])]
@@ -88,59 +118,72 @@ class Encoder:
         elif simple and [p["type"] for p in before.get("pretokenizers", [])] == ["Split", "ByteLevel"] and before["pretokenizers"][0]["pattern"].get("Regex") == WORD_PATTERN and [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.kind = "word"
         self._ranked = self._by_rank(spec["model"]) if self.kind == "byte" else None
-        self._cut = regex.compile(WORD_PATTERN + r"|\n").findall
-        self._model = self.tokenizer.model
+        self._cut = regex.compile(WORD_PATTERN).findall
         self._marks = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
-        self._cache: dict[str, bytes] = {}
-        self._pre: dict[str, bytes] = {}
+        self._pre = _Pieces(self._piece)
+        self._ids = _Words(self._pre, self._word)
+
+    @cached_property
+    def tokenizer(self):
+        """The library's own; made when it is first needed."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.no_truncation()
+        made.no_padding()
+        return made
+
+    @cached_property
+    def _model(self):
+        return self.tokenizer.model
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         out = {"word": self._words, "byte": self._bytes, "plain": self._plainly}[self.kind](texts)
-        if self.held > self.limit:
-            self._cache, self.held = {}, 0
-        if len(self._pre) > self.pieces:
-            self._pre = {}
+        self.trim()
         return out
 
+    def trim(self) -> None:
+        """Starts a full cache anew."""
+        if self._ids.held > self.limit:
+            self._ids.clear()
+            self._ids.held = 0
+        if len(self._pre) > self.pieces:
+            self._pre.clear()
+
     def _plainly(self, texts: list[str]) -> list[bytes]:
         return [pack_ids(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fill(self, missing: Iterable[str]) -> None:
-        """Encodes new words; the plain ones all at once, with a line feed between them."""
-        plain, hard = [], []
-        for word in missing:
-            (plain if _PLAIN.fullmatch(word) else hard).append(word)
-        body = "\n".join(plain)
-        if any(s in body for s in self.specials):
-            hard += [w for w in plain if self._marks.search(w)]
-            plain = [w for w in plain if not self._marks.search(w)]
-        if plain:
-            pieces = self._cut("\n".join(plain).lower())
-            new = set(pieces).difference(self._pre)
-            new.discard("\n")
-            self._pre.update(zip(new, map(self._piece, new), strict=True))
-            self._pre["\n"] = _MARK
-            self._cache.update(zip(plain, b"".join(map(self._pre.__getitem__, pieces)).split(_MARK), strict=True))
-        if hard:
-            self._cache.update(zip(hard, self._plainly(hard), strict=True))
-        self.held += sum(map(len, plain)) + sum(map(len, hard)) + 8 * (len(plain) + len(hard))
+    def pre_tokens(self, word: str) -> list[str] | None:
+        """Lower-cased pre-tokens of a word of plain Latin text; None for others, and for words with special tokens."""
+        if not _PLAIN.fullmatch(word) or self._marks and self._marks.search(word):
+            return None
+        low = word.lower()
+        return [low] if low.isalpha() else self._cut(low)
+
+    def _word(self, word: str) -> bytes:
+        pieces = self.pre_tokens(word)
+        return self._plainly([word])[0] if pieces is None else b"".join(map(self._pre.__getitem__, pieces))
 
     def _piece(self, piece: str) -> bytes:
         tokens = self._model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_ALPHABET))
         return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
+    @staticmethod
+    def words(text: str) -> list[str]:
+        return [w for w in _SPLIT.split(text) if w] if _SEPARATORS.search(text) else text.split()
+
     def _words(self, texts: list[str]) -> list[bytes]:
-        cut = [[w for w in _SPLIT.split(t) if w] if _SEPARATORS.search(t) else t.split() for t in texts]
-        self._fill(set().union(*cut).difference(self._cache))
-        return [b"".join(map(self._cache.__getitem__, words)) for words in cut]
+        ids = self._ids.__getitem__
+        return [b"".join(map(ids, self.words(t))) for t in texts]
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         """Latin-1 texts by the ranked form of the same vocabulary, others by the library itself."""
         if self._ranked is None:
             return self._plainly(texts)
         easy = [_latin(t) and not any(s in t for s in self.specials) for t in texts]
-        hard = iter(self._plainly([t for t, e in zip(texts, easy, strict=True) if not e]))
-        return [self._ranked.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() if e else next(hard) for t, e in zip(texts, easy, strict=True)]
+        others = [t for t, e in zip(texts, easy, strict=True) if not e]
+        hard = iter(self._plainly(others) if others else [])
+        return [self._ranked.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False).tobytes() if e else next(hard) for t, e in zip(texts, easy, strict=True)]
 
     def _by_rank(self, model: dict):
         """The same vocabulary for tiktoken, if its ids are ranks: bytes first, then merges in order."""

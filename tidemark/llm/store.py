@@ -6,7 +6,6 @@ loss of any executor, and later stages read only the columns they need.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,14 +16,21 @@ P = "__tm_"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set, as in tests."""
+    """The shared folder of the session; in local mode, where none is set, one under the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     return base
 
 
+def partitions_for(spark: SparkSession, n_bytes: int | None) -> int:
+    """Partitions for so many bytes: the session's shuffle partitions, or more if each would pass its advisory size."""
+    advisory = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(n_bytes or 0) // advisory))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
 
@@ -40,6 +46,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns by their quoted names, which may hold dots and backticks."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def text_of(column: str = "text") -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -19,11 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encoding import WORD_BPE, with_ids
-from .store import P, documents, new_path, small_batches, text_of
+from .encoding import WORD_BPE, batches, encoder, tokenizer_path
+from .store import P, documents, new_path, partitions_for, small_batches, text_of
 
 BLOCK = 512
-SEGMENT_SCHEMA = "part int, segment int, before long, n_tokens long, doc_ids array<long>, lengths array<long>, codes binary"
+SEGMENT_SCHEMA = "part int, segment int, before long, n_tokens long, doc_ids array<long>, starts array<long>, lengths array<long>, codes binary"
 
 
 class Codes:
@@ -94,38 +94,43 @@ def write_codes(docs: DataFrame, path: str, *, tokenizer: str = WORD_BPE, end_id
     repeated rows each stand. Texts are dealt by range of (doc_id, hash), so one much repeated doc_id
     spreads over partitions; only the row's own document must fit in a task.
     """
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark, path_of_tokenizer = docs.sparkSession, tokenizer_path(tokenizer)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("h", F.xxhash64("text"))
+    n = partitions or partitions_for(spark, rows.agg(F.sum(F.octet_length("text") + 24)).first()[0])
     dealt = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     end = struct.pack("<I", end_id) if end_id is not None else b""
 
+    schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("codes", pa.binary())])
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segment, before = TaskContext.get().partitionId(), 0, 0
         doc_ids: list[int | None] = []
-        held: list[bytes] = []
+        ends: list[int] = []
+        held = bytearray()
 
         def flush() -> pa.RecordBatch:
-            nonlocal segment, before
-            ids = np.frombuffer(b"".join(held), "<u4")
-            row = {"part": part, "segment": segment, "before": before, "n_tokens": len(ids), "doc_ids": list(doc_ids), "lengths": [len(x) // 4 for x in held], "codes": Codes.of(ids).to_bytes()}
-            segment, before = segment + 1, before + len(ids)
-            doc_ids.clear(), held.clear()
-            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("codes", pa.binary())]))
-
-        size = 0
-        for b in it:
-            for d, ids in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                doc_ids.append(d)
-                held.append(ids + end)
-                size += len(held[-1]) // 4
-                if size >= segment_tokens:
-                    yield flush()
-                    size = 0
-        if held:
+            nonlocal segment, before, held
+            ids, stop = np.frombuffer(held, "<u4"), np.array(ends, np.int64)
+            start = np.concatenate([[0], stop[:-1]])
+            row = {"part": part, "segment": segment, "before": before, "n_tokens": len(ids), "doc_ids": doc_ids.copy(), "starts": start, "lengths": stop - start, "codes": Codes.of(ids).to_bytes()}
+            segment, before, held = segment + 1, before + len(ids), bytearray()
+            doc_ids.clear(), ends.clear()
+            return pa.RecordBatch.from_pylist([row], schema=schema)
+
+        enc = encoder(path_of_tokenizer)
+        for whole in it:
+            for b in batches(whole):
+                for d, ids in zip(b.column("doc_id").to_pylist(), enc.encode_many(b.column("text").to_pylist()), strict=True):
+                    doc_ids.append(d)
+                    held += ids
+                    held += end
+                    ends.append(len(held) // 4)
+                    if ends[-1] >= segment_tokens:
+                        yield flush()
+        if doc_ids:
             yield flush()
 
-    with_ids(dealt, tokenizer).mapInArrow(run, SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(run, SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def _segments(spark: SparkSession, path: str) -> DataFrame:
@@ -139,20 +144,21 @@ def _part_starts(segments: DataFrame) -> dict[int, int]:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): every document of the files, ids as little-endian unsigned 32-bit integers."""
+    """(doc_id, start, n_tokens, ids): every document of the files, ids as little-endian unsigned 32-bit integers.
+
+    Rows as written: nulls, empty texts (the end id alone) and repeated rows each stand. No segments: no rows.
+    """
     segments = _segments(spark, path)
     first = _part_starts(segments)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for s in b.to_pylist():
-                ids, lengths = Codes.from_bytes(s["codes"]).decode(), np.array(s["lengths"], np.int64)
-                ends = np.cumsum(lengths)
-                starts = ends - lengths
-                cut = [ids[a:z].astype("<u4").tobytes() for a, z in zip(starts, ends, strict=True)]
+                ids, starts, lengths = Codes.from_bytes(s["codes"]).decode().astype("<u4", copy=False), np.array(s["starts"], np.int64), np.array(s["lengths"], np.int64)
+                cut = [ids[a : a + n].tobytes() for a, n in zip(s["starts"], s["lengths"], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(s["doc_ids"], pa.int64()), pa.array(starts + s["before"] + first[s["part"]]), pa.array(lengths), pa.array(cut, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return segments.select("part", "before", "doc_ids", "lengths", "codes").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return segments.select("part", "before", "doc_ids", "starts", "lengths", "codes").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def read_tokens(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
@@ -161,9 +167,8 @@ def read_tokens(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     Positions outside a document, and unknown doc_ids, give no row.
     """
     segments = _segments(spark, path)
-    light = segments.select("part", "segment", F.arrays_zip("doc_ids", "lengths").alias("d"))
-    ends = "aggregate(slice(d, 1, i), 0L, (a, x) -> a + x.lengths)"
-    index = light.select("part", "segment", "d", F.posexplode("d").alias("i", "x")).select("part", "segment", F.col("x.doc_ids").alias("doc_id"), F.col("x.lengths").alias("n"), F.expr(ends).alias("first"))
+    light = segments.select("part", "segment", F.explode(F.arrays_zip("doc_ids", "starts", "lengths")).alias("x"))
+    index = light.select("part", "segment", F.col("x.doc_ids").alias("doc_id"), F.col("x.lengths").alias("n"), F.col("x.starts").alias("first"))
     hits = wanted.select("doc_id", "position").join(index, "doc_id").where("position >= 0 AND position < n")
     asked = hits.groupBy("part", "segment", F.pmod(F.xxhash64("doc_id", "position"), F.lit(16)).alias(f"{P}salt")).agg(F.collect_list(F.struct("doc_id", "position", (F.col("first") + F.col("position")).alias("at"))).alias("asked"))
 
