@@ -19,12 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .encoding import BYTE_BPE, with_ids
-from .store import documents, materialize, small_batches, text_of
+from .encoding import BYTE_BPE, batches, encoder, tokenizer_path
+from .store import documents, materialize, partitions_for, small_batches, text_of
 
 BUCKETS, DIMS, BITS = 1024, 3, 10
 #: Tokens of a row that is dealt.
-PART = 8192
+PART = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -52,6 +52,10 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
 
 def document_keys(ids: list[bytes], signs: np.ndarray) -> np.ndarray:
     """Keys of documents' ids; -1 without ids, so empty documents come first."""
+    return np.concatenate([_keys(ids[i : i + 256], signs) for i in range(0, len(ids), 256)])
+
+
+def _keys(ids: list[bytes], signs: np.ndarray) -> np.ndarray:
     sizes = np.array([len(x) // 4 for x in ids])
     flat = np.frombuffer(b"".join(ids), "<u4").astype(np.uint64)
     hashed = (flat * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(54)).astype(np.int64)
@@ -70,13 +74,15 @@ def pack(docs: DataFrame, *, tokenizer: str = BYTE_BPE, end_id: int = 1, length:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("h", F.xxhash64("text"))
+    path = tokenizer_path(tokenizer)
     signs = np.random.default_rng(20).choice([-1.0, 1.0], (BUCKETS, DIMS))
     end = struct.pack("<I", end_id)
 
     def key(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            ids = b.column("ids").to_pylist()
-            keys = np.concatenate([document_keys(ids[i : i + 512], signs) for i in range(0, len(ids), 512)])
+        enc = encoder(path)
+        for b in (part for whole in it for part in batches(whole, 500_000)):
+            ids = enc.encode_many(b.column("text").to_pylist())
+            keys = document_keys(ids, signs)
             whole = [x + end for x in ids]
             row, start = zip(*((i, s) for i, x in enumerate(whole) for s in range(0, len(x) // 4, PART)), strict=True)
             parts = [whole[i][4 * s : 4 * (s + PART)] for i, s in zip(row, start, strict=True)]
@@ -84,8 +90,9 @@ def pack(docs: DataFrame, *, tokenizer: str = BYTE_BPE, end_id: int = 1, length:
             total = np.array([len(x) // 4 for x in whole])
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), b.column("h").take(pa.array(at)), pa.array(keys[at]), pa.array(start, pa.int64()), pa.array(total[at]), pa.array(parts, pa.binary())], names=["doc_id", "h", "key", "start", "total", "ids"])
 
-    coded = materialize(with_ids(rows, tokenizer).mapInArrow(key, "doc_id long, h long, key long, start long, total long, ids binary"), "packing")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    coded = materialize(rows.mapInArrow(key, "doc_id long, h long, key long, start long, total long, ids binary"), "packing")
+    sized = coded.agg(F.sum(F.least(F.col("total") - F.col("start"), F.lit(PART)) * 4 + 40)).first()[0]
+    n = partitions or partitions_for(spark, sized)
     order = ["key", "doc_id", "h", "start"]
     dealt = coded.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "start", "total", "ids")
 
