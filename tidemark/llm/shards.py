@@ -21,7 +21,7 @@ from .store import documents, materialize, text_of
 
 FIRST_BITS, MORE_BITS = 12, 8
 #: Rows of one numbering task.
-CELL = 4096
+CELL = 1 << 16
 
 
 def greedy(ends: list[int], capacity: int, shards: int) -> list[int] | None:
@@ -88,11 +88,11 @@ def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): a row for each row of ``docs``.
 
     Size: UTF-8 bytes and 8. Null text: no bytes, in one group with the empty text. Slots are gapless from 0
-    in each shard, in an order of hashed cells. Null and repeated doc_ids, and repeated rows, each get a slot.
+    in each shard, in an order of hashed cells. Null and repeated doc_ids, and repeated rows, each get a slot; texts of any length.
     Fewer groups than shards leave shards empty; an empty table gives an empty result.
     """
     text = text_of()
-    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("key")), "sizes")
+    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("row")), "sizes")
     groups = materialize(rows.groupBy("key").agg(F.sum("size").alias("size")), "groups")
     rest, left, own = groups.agg(F.sum("size")).first()[0] or 0, shards, []
     for r in groups.orderBy(F.desc("size"), "key").limit(shards).collect():  # at most ``shards`` groups exceed an even share
@@ -107,15 +107,15 @@ def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
     for i, key in enumerate(own):
         shard = F.when(F.col("key") == key, i).otherwise(shard)
     placed = rows.withColumn("shard", shard.cast("int"))
-    # rows are numbered within cells of bounded size; a cell starts after the cells before it in its shard
+    # rows, equal ones too, are numbered within cells of bounded size; a cell starts after the cells before it in its shard
     cells = placed.groupBy("shard").count().collect()
     parts = [1] * shards
     for r in cells:
         parts[r["shard"]] = -(-r["count"] // CELL)
-    celled = placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "key", F.lit(5)), F.get(F.array(*map(F.lit, parts)), F.col("shard"))))
+    celled = placed.withColumn("cell", F.pmod(F.xxhash64("row", F.lit(5)), F.get(F.array(*map(F.lit, parts)), F.col("shard"))))
     counts = celled.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    number = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "key")) - 1
+    number = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("row")) - 1
     return celled.withColumn("number", number).join(starts, ["shard", "cell"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("number")).alias("slot"))
 
 
