@@ -1,11 +1,14 @@
 """Main text of web pages by tag-path ratios (operator 8).
 
-The texts of a page are grouped by their root-to-leaf tag path. Text length and punctuation, summed per path
-and divided by the path's nodes and links, are smoothed over page order, fused by their product, and a
-threshold relative to the page picks content paths. The block that holds most of the picked text is the
-content region; it gives all its texts, headings and short paragraphs included. Outside of it, every block of text
-with a picked path is kept, and so are the blocks between kept ones that are not mostly links, the rest of the main
-element and headings right before. Parts that name themselves as boilerplate are not. A name drops nothing that holds the page's main element or most of its picked text.
+The blocks of a page are grouped by their root-to-leaf path of block elements. Text length outside of links and
+punctuation, by block of a path, are smoothed over the paths in page order and fused as the root of their product; paths
+that pass a share of the page's mean, weighted by text, are content, and with them paths that end in the same element
+further up. Their blocks are the content nodes. The smallest
+region with nearly all of them gives its other texts too, headings and short paragraphs; elsewhere so do the blocks
+between kept ones that are not mostly links, and headings right before. Elements that HTML defines as something else
+(navigation, forms and the like) have no part in this. Names only break ties: an article element wins over as much text
+outside, and of paths that passed, parts that name themselves as comments or adverts are dropped, unless they hold the
+page's main element or most of its content nodes.
 Every page is independent: Spark maps over them, nothing is shuffled.
 """
 
@@ -14,7 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,9 +57,12 @@ _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))""", re.S)
 _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_STOPS = re.compile(r"[.,;:!?…、。，；：！？¿¡]")
+_STOPS = re.compile(r"[.,;:!?…](?=\s|\Z)|[、。，；：！？]")
 _HEADING = re.compile(r"/h[1-6](?:/|$)")
-THRESHOLD = 0.3
+#: Power of a path's text in its score.
+SHARE = 0.25
+#: Share of the page's mean score.
+THRESHOLD = 0.6
 
 
 def _boilerplate(name: str, attrs: str, by_name: bool) -> tuple[bool, set[str]]:
@@ -140,11 +146,11 @@ class Page:
                 self.off.append(off)
                 self.mark.append(mark)
                 region = len(self.parent) - 1
-            stack.append((name, f"{path}/{name}", region, off, mark))
+            stack.append((name, path if name in INLINE else f"{path}/{name}", region, off, mark))
 
     def _add(self, raw: str, stack: list, fresh: bool) -> None:
         _, path, region, off, mark = stack[-1] if stack else ("", "", 0, False, -1)
-        self.texts.append([html.unescape(raw) if "&" in raw else raw, path, region, "/a" in path and any(x[0] == "a" for x in stack), off, fresh, mark])
+        self.texts.append([html.unescape(raw) if "&" in raw else raw, path, region, any(x[0] == "a" for x in stack), off, fresh, mark])
 
     def _settle(self) -> None:
         """Decides by the ratios which marks hold: none that holds the page's main element or most of its picked text."""
@@ -157,7 +163,7 @@ class Page:
         named = [-1] * len(self.parent)  # the innermost article or main of a region
         for r, k in enumerate(self.kind):
             named[r] = r if k in ("article", "main") else named[self.parent[r]] if r else -1
-        paths = self.content_paths()
+        paths = self.content_paths() | self.content_paths({m for m in range(n) if beside[m]})
         held, own, articles, free_of, main = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
         total, total_own, free = 0, 0, 0
         for text, path, region, _, off, _, mark in self.texts:
@@ -206,40 +212,47 @@ class Page:
             x[4] = x[4] or x[6] >= 0 and holds[x[6]]
         self.off = [off or m >= 0 and holds[m] for off, m in zip(self.off, self.mark, strict=True)]
 
-    def content_paths(self) -> set[str]:
-        """Paths whose smoothed and fused ratios pass the threshold."""
-        total: dict[str, list[float]] = {}
-        for text, path, _, link, off, *_ in self.texts:
+    def content_paths(self, without: Collection[int] = ()) -> set[str]:
+        """Paths whose smoothed and fused ratios pass the threshold; ``without`` the texts of some marks."""
+        total: dict[str, list[float]] = {}  # characters outside of links, blocks, stops
+        seen = None  # the path of the block at hand, if it is counted
+        for text, path, _, link, off, fresh, mark in self.texts:
             n = len(text.strip())
-            if not off and n:
-                f = total.setdefault(path, [0, 0, 0, 0])
-                f[0] += n
-                f[1] += 1
-                f[2] += len(_STOPS.findall(text))
-                f[3] += n if link else 0
-        if not total:
-            return set()
-        order = list(total)  # in page order of their first text
-        length = [math.log1p((f[0] - f[3]) / f[1]) for f in total.values()]
-        stops = [math.log1p(f[2] / f[1]) for f in total.values()]
-        smooth = lambda v: [(v[max(i - 1, 0)] + 2 * x + v[min(i + 1, len(v) - 1)]) / 4 for i, x in enumerate(v)]
-        fused = [(a + b) / 2 * (1 + c) for a, b, c in zip(length, smooth(length), smooth(stops), strict=True)]
-        top = max(fused)
-        return {p for p, score in zip(order, fused, strict=True) if score > 0 and score >= THRESHOLD * top}
+            seen = None if fresh else seen
+            if not off and n and mark not in without:
+                f = total.setdefault(path, [0, 0, 0])
+                f[1] += seen != path
+                seen = path
+                if not link:
+                    f[0] += n
+                    f[2] += len(_STOPS.findall(text))
+        ratios = [(f[0] / f[1], f[2] / f[1]) for f in total.values()]  # in page order of their first text
+        smooth = lambda v: [(v[max(i - 1, 0)] + 6 * x + v[min(i + 1, len(v) - 1)]) / 8 for i, x in enumerate(v)]
+        share = [f[0] ** SHARE for f in total.values()]
+        fused = [math.sqrt(length * (1 + stops)) * part for length, stops, part in zip(smooth([r[0] for r in ratios]), smooth([r[1] for r in ratios]), share, strict=True)]
+        weight = sum(f[0] for f in total.values())
+        mean = sum(score * f[0] for score, f in zip(fused, total.values(), strict=True)) / max(weight, 1)
+        picked = {p for (p, f), score in zip(total.items(), fused, strict=True) if f[0] and score >= THRESHOLD * mean}
+        # paths that end in the same element further up, below the page itself, go with them
+        above = {(p[:i], p[p.rindex("/") :]) for p in picked for i in range(len(p)) if p[i] == "/"}
+        above = {(up, leaf) for up, leaf in above if up not in ("", "/html", "/html/body", "/body")}
+        return picked | {p for p, f in total.items() if f[0] and p and (p[: p.rindex("/")], p[p.rindex("/") :]) in above}
 
     def region(self, paths: set[str]) -> int:
-        """The innermost region with nearly all picked text; an article or main element if one has most of it."""
-        held = [0] * len(self.parent)
-        for text, path, region, _, off, *_ in self.texts:
-            if not off and path in paths:
-                held[region] += len(text.strip())
+        """The innermost region with nearly all picked text. Ties go to an article or main element."""
+        held, whole = [0] * len(self.parent), [0] * len(self.parent)
+        for text, path, region, link, off, *_ in self.texts:
+            if not off and not link:
+                held[region] += len(text.strip()) * (path in paths)
+                whole[region] += len(text.strip())
         for i in range(len(held) - 1, 0, -1):
             held[self.parent[i]] += held[i]
-        named = [i for i, k in enumerate(self.kind) if k in ("article", "main")]
+            whole[self.parent[i]] += whole[i]
+        named = [i for i, k in enumerate(self.kind) if k in ("article", "main") and whole[i]]
         if named:
-            best = max(named, key=lambda i: (held[i], -i))
-            if held[best] or any(x[2] == best for x in self.texts):
-                inner = [i for i in named if held[i] >= 0.9 * held[best]]
+            best = max(named, key=lambda i: (held[i], whole[i], -i))
+            if max(held[best], whole[best]) * 2 >= held[0] - held[best]:
+                inner = [i for i in named if held[i] >= 0.9 * held[best] and (held[i] or i == best)]
                 outer = [i for i in named if i not in inner and held[i] > 0]
                 # several articles of weight: their common parent
                 return inner[-1] if not outer or held[best] >= 2 * max(held[i] for i in outer) else self._common([i for i in named if held[i] > 0])
@@ -271,7 +284,7 @@ class Page:
             at = self.parent[at]
         for i in range(len(self.parent)):
             up = self.parent[i]
-            inside[i] = i == chosen or up >= 0 and inside[up]
+            inside[i] = i == chosen and i > 0 or up >= 0 and inside[up]  # the page itself is no region
             around[i] = around[i] or up >= 0 and around[up]
         blocks: list[list] = []  # texts of one block that may be kept
         for x in self.texts:
