@@ -39,14 +39,35 @@ def test_tree_join_is_exact():
     for _ in range(150):
         word = "".join(rnd.choices(rnd.choice(["ab", "thein", "a", "etaoinshrdlu", "!?.", "0éß"]), k=rnd.randint(1, 500)))
         word, size = "".join(_ALPHABET[c] for c in word.encode()), rnd.choice([1, 3, 7, 50])
-        cuts = [word[i : i + size] for i in range(0, len(word), size)]
-        assert model.join_all([model.encode(c, i == len(cuts) - 1) for i, c in enumerate(cuts)]) == model.encode(word, True)
+        assert model.symbols_tree(word, True, size) == (pack_ids(model.encode(word, True)), -(-len(word) // size) - 1)
 
 
-def test_tree_encoding_and_decoding(spark):
+def test_leaves_of_any_size_join_to_the_whole():
+    path, rnd = tokenizer_path(WORD_BPE), random.Random(9)
+    model, enc = tree_bpe.WordBpe(path), encoder(path)
+    words = ["the", "don't", "Wörter,", "x" * 40, "a<|endoftext|>b", "12,5", "'s", "...", "İΣς", "naïve", "<|endoftext|>", "hello.World!"]
+    values = texts(300, 11) + [" ".join(rnd.choices(words, k=60)) for _ in range(60)] + ["".join(rnd.choices(words, k=30)) for _ in range(60)]
+    for text, want in zip(values, library(WORD_BPE, values)):
+        for size in (1, 2, 5, 16, 1000):
+            assert model.tree(text, enc, size)[0] == pack_ids(want), (text, size)
+
+
+def test_given_documents_are_joined(spark):
+    """Every document longer than a leaf comes out of joins."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r["doc_id"]: r for r in tree_bpe.encode_documents(docs).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    for r, want in zip(rows, library(WORD_BPE, [r["text"] for r in rows])):
+        chars = len("".join((r["text"] or "").split()))
+        assert bytes(got[r["doc_id"]]["ids"]) == pack_ids(want)
+        assert (got[r["doc_id"]]["n_joins"] > 0) == (chars > tree_bpe.LEAF)
+
+
+@pytest.mark.parametrize("leaf, subtree", [(500, 3000), (60, 700), (512, 1 << 18)])
+def test_tree_encoding_and_decoding(spark, leaf, subtree):
     values = EDGES + texts(60, 2)
     df = frame(spark, values)
-    out = tree_bpe.decode_ids(tree_bpe.encode_documents(df, long=3000, leaf=500)).collect()
+    out = tree_bpe.decode_ids(tree_bpe.encode_documents(df, leaf=leaf, subtree=subtree)).collect()
     want = library(WORD_BPE, values)
     tok = encoder(tokenizer_path(WORD_BPE)).tokenizer
     assert sorted((str(r["doc_id"]), bytes(r["ids"]), r["text"]) for r in out) == sorted((str(None if i == 3 else i), pack_ids(w), tok.decode(w, skip_special_tokens=False)) for i, w in enumerate(want))
@@ -105,13 +126,35 @@ def test_edits_encode_little():
     assert 0 < tree.encoded < 1000
 
 
-def test_edit_counts(spark):
-    values = [None, "", "one two three", "twin", "twin"]
-    df = spark.createDataFrame([(i if i < 4 else 3, t, 1) for i, t in enumerate(values)], "doc_id long, text string, leaves int")
-    edits = spark.createDataFrame([(2, 2, 0, 3, "1"), (2, 1, 100, 0, " four"), (0, 1, 5, 5, "new"), (1, 1, None, None, None)], "doc_id long, seq long, pos long, n_delete long, insert string")
-    out = edit_counts.count_edited(edit_counts.gather_edits(df, edits)).orderBy("doc_id").collect()
-    assert [("".join(r["leaves"]), r["n_tokens_after"]) for r in out] == [("new", 1), ("", 0), ("1 two three four", 4), ("twin", 1), ("twin", 1)]
-    assert edit_counts.count_edited(df.limit(0).withColumn("edits", F.array(edit_counts.sample_edits()[0]))).count() == 0
+def edit(text, pos, n, new):
+    at = min(max(pos or 0, 0), len(text))
+    return text[:at] + (new or "") + text[at + max(n or 0, 0) :]
+
+
+def test_kept_trees_take_batches_of_edits(spark, tmp_path):
+    """Trees are written and read between batches; counts equal the library's, and no more than the regions is encoded."""
+    rnd = random.Random(6)
+    values = [None, "", "one two three", "twin", "twin", *("".join(rnd.choices("thein .,é\n", k=rnd.choice([5, 400, 4000]))) for _ in range(12)), "word " * 40_000]
+    ids = [None if i == 7 else 3 if i == 4 else i for i in range(len(values))]
+    df = spark.createDataFrame([(d, t, 1) for d, t in zip(ids, values)], "doc_id long, text string, leaves int")
+    texts_ = {d: [t or "" for e, t in zip(ids, values) if e == d] for d in ids}
+    trees = edit_counts.build_trees(df)
+    for batch in range(3):
+        edits = [(d, k, rnd.choice([None, 0, 3, 900, 10**9]), rnd.choice([None, 0, 1, 40]), rnd.choice([None, "", " ", "new words", "x"])) for d in [None, 0, 3, 5, 6, 17] for k in range(rnd.randint(1, 4))]
+        trees.write.parquet(f"{tmp_path}/{batch}")
+        kept = spark.read.parquet(f"{tmp_path}/{batch}")
+        trees = edit_counts.apply_edits(edit_counts.gather_edits(kept, spark.createDataFrame(edits, "doc_id long, seq long, pos long, n_delete long, insert string")))
+        for d, _, pos, n, new in edits:
+            texts_[d] = [edit(t, pos, n, new) for t in texts_[d]]
+    out = trees.collect()
+    tok = encoder(tokenizer_path(WORD_BPE)).tokenizer
+    count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    assert sorted(str((r["doc_id"], "".join(r["leaves"]), r["n_tokens"], r["n_chars"])) for r in out) == sorted(str((d, t, count(t), len(t))) for d, some in texts_.items() for t in some)
+    assert sorted(str((r["doc_id"], r["n_tokens_built"])) for r in out) == sorted(str((d, count(t or ""))) for d, t in zip(ids, values))
+    by_id = {r["doc_id"]: r["n_chars_encoded"] for r in out}
+    assert by_id[2] == 0 and 0 < by_id[17] < 20_000
+    assert edit_counts.build_trees(df.limit(0)).count() == 0
+    assert edit_counts.apply_edits(trees.limit(0).withColumn("edits", edit_counts.sample_edits(1))).count() == 0
 
 
 def test_hilbert_neighbours():
