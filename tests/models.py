@@ -101,3 +101,30 @@ def adaptive_bars(events, interval, sample_size, window):
             at, bar = now, bar + 1
         out.append(bar)
     return out
+
+
+def profile_bars(events, interval, length, window):
+    """Bar number of each (elapsed, volume) of a day; the forecast is worked out anew from all events so far."""
+
+    def forecast(seen):
+        by = {}
+        for e, v in seen:
+            by[e // interval] = by.get(e // interval, 0.0) + v
+        n = 0
+        while n in by:
+            n += 1
+        return sum(by[i] for i in range(n)) / seen[-1][0] * length if n >= window / 2 and seen[-1][0] > 0 else None
+
+    out, bucket, last, bar, frozen = [], None, 0, 0, None
+    for n, (e, _) in enumerate(events, 1):
+        if frozen is None and e // interval >= window and n > 1:
+            frozen = forecast(events[: n - 1])
+        if bucket is None:
+            day = frozen if frozen is not None else forecast(events[:n])
+            bucket = day / (length / interval) if day else None
+        idx = e // interval if bucket is None else sum(v for _, v in events[:n]) // bucket
+        if idx > last:
+            bar, bucket = bar + 1, None
+        last = idx
+        out.append(bar)
+    return out

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from models import adaptive_bars, ema, extremes, wave_target
+from models import adaptive_bars, ema, extremes, profile_bars, wave_target
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import CN
@@ -267,6 +267,91 @@ def test_forecasts_against_numpy(spark):
     assert np.allclose(whole, (vol + base)[:, :k].sum(1) + feats @ beta + base[:, k])
 
 
+def test_forecasts_see_no_later_day(spark):
+    rnd = np.random.default_rng(4)
+    days, n = 7, 4
+    obs = [("a", d, i, *map(float, rnd.uniform(1, 9, 4)), True) for d in range(days) for i in range(n)]
+    grid = spark.createDataFrame(obs, "ticker string, day long, i long, acc_vol double, acc_amt double, px_range double, px_diff double, is_init boolean")
+    r = volume_profile.residuals(grid, volume_profile.out_of_sample(volume_profile.sma_baseline(grid)))
+    pdf = r.toPandas().sort_values(["day", "i"])
+    table = lambda c: pdf[c].to_numpy().reshape(-1, n)
+    vol, base = table("acc_vol"), table("b_acc_vol").sum(1)
+    fit = lambda x, y: np.linalg.lstsq(np.hstack([x, np.ones((len(x), 1))]), y, rcond=None)[0]
+    whole = {x["day"]: x["forecast"] for x in volume_profile.walk_forward(r).collect()}
+    part = {x["day"]: x["forecast"] for x in volume_profile.walk_forward(r, 2).collect()}
+    assert whole[1] is None and part[1] is None and len(whole) == days - 1
+    for d in range(1, days - 1):
+        x = np.hstack([table(c) for c in volume_profile.FEATURES])
+        assert whole[d + 1] == pytest.approx(np.append(x[d], 1) @ fit(x[:d], vol[:d].sum(1)) + base[d])
+        want = vol[d, :2].sum() + base[d]
+        for k in (2, 3):
+            x = np.hstack([table(c)[:, :k] for c in volume_profile.FEATURES])
+            now = np.hstack([np.concatenate([table(c)[d, :2], np.zeros(k - 2)]) for c in volume_profile.FEATURES])
+            want += np.append(now, 1) @ fit(x[:d], vol[:d, k])
+        assert part[d + 1] == pytest.approx(want)
+
+
+def test_profile_clock_against_model(spark):
+    rnd = random.Random(10)
+    for _ in range(20):
+        e, events = 0.0, []
+        for _ in range(200):
+            e += rnd.choice([0.5, 3.0, 20.0, 90.0])
+            events.append((e, float(rnd.randint(1, 9))))
+        clock, acc, got = volume_profile.ProfileClock(60.0, 14400.0, 6), 0.0, []
+        for t, v in events:
+            acc += v
+            got.append(clock.step(t, v, acc))
+        assert got == profile_bars(events, 60.0, 14400.0, 6)
+    day = 34200.0
+    data = [(k, day + t, 10.0, v) for k in "ab" for t, v in events if t < 7000]
+    bars = volume_profile.profile_bars_online(tape(spark, data).repartition(3), CN, 60.0, (Topic("n", "volume", "accumulate"),), window=6)
+    want = {}
+    for k in "ab":
+        own = [x for x in events if x[0] < 7000]
+        for b, (_, v) in zip(profile_bars(own, 60.0, CN.length, 6), own):
+            want[k, 0, b] = want.get((k, 0, b), 0.0) + v
+    assert {(r["ticker"], r["day"], r["idx"]): r["n"] for r in bars.collect()} == want
+
+
+def test_blocks_of_any_width_give_one_series(spark, monkeypatch):
+    rnd = random.Random(12)
+    xs = [rnd.uniform(1, 9) for _ in range(90)]
+    df = spark.createDataFrame([("a", 7 * i, x) for i, x in enumerate(xs)], "ticker string, idx long, close double")
+    found = []
+    for width in (1, 50, 1024):
+        monkeypatch.setattr(recurrence, "BLOCK", width)
+        found.append([r[2:] for r in rows(recurrence.macd(df), "idx")])
+        assert [r[2] for r in rows(recurrence.ema_series(df, "close", 0.3), "idx")] == pytest.approx(ema(xs, 0.3))
+        assert recurrence.ema_last(df, "close", 0.3).first()["ema"] == pytest.approx(ema(xs, 0.3)[-1])
+    for other in found[1:]:
+        assert np.allclose(other, found[0])
+
+
+def test_entropy_topics_against_numpy(spark):
+    from tidemark.plans import factors  # noqa: F401
+    from tidemark.plans.registry import FactorSet, FactorSpec
+
+    rnd = random.Random(13)
+    data = [(t, i * 10 + k, rnd.randint(5, 9), rnd.randint(1, 9), rnd.choice([-1, 1])) for i in range(12) for k, t in enumerate("ab")]
+    spec = FactorSpec("Monitor.E", "entropy", {"interval": 10, "sample_size": 5, "members": ["a", "b"], "weights": {"a": 2.0}})
+    got = {(r["ts"], r["factor"]): r["value"] for r in FactorSet({spec.name: spec}).collect(tape(spark, data)).collect()}
+    own = lambda f: {t: [f(p * (2.0 if t == "a" else 1.0), v, s) for u, _, p, v, s in data if u == t] for t in "ab"}
+    wanted = {"price": own(lambda p, v, s: p), "notional": own(lambda p, v, s: p * v), "notional_buy_pct": own(lambda p, v, s: float(s > 0)), "notional_sell_pct": own(lambda p, v, s: float(s < 0))}
+    for name, series in wanted.items():
+        for i in range(4, 12):
+            last = np.array([series[t][i - 4 : i + 1] for t in "ab"])
+            assert close(got[float(i * 10 + 1), f"E.{name}_entropy"], entropy.spectral(np.cov(last, ddof=0))[0]), (name, i)
+
+
+def test_snapshots_go_on(spark):
+    df = spark.createDataFrame([("a", i, float(i % 5)) for i in range(20)] + [("b", i, 1.0 + i) for i in range(12, 20)], "ticker string, idx long, x double")
+    states = recurrence.snapshot(df.where("idx < 10"), "x", 0.3)
+    got = {(r["ticker"], r["idx"]): r["ema"] for r in recurrence.resume(df, "x", states, 0.3).collect()}
+    want = {(t, i): v for t, first in (("a", 0), ("b", 12)) for i, v in zip(range(first, 20), ema([float(i % 5) if t == "a" else 1.0 + i for i in range(first, 20)], 0.3)) if i >= 10}
+    assert set(got) == set(want) and all(close(got[k], want[k]) for k in want)
+
+
 def test_ledger_and_signals(spark):
     t = tape(spark, [(1, 10), (2, 12), (3, 11), (4, 9)]).withColumn("action", F.element_at(F.array(*map(F.lit, [1, 0, -1, -1])), (F.col("seq") + 1).cast("int")))
     got = [(r["position"], r["cash"], r["pnl"], r["nav"]) for r in display.ledger(t).orderBy("seq").collect()]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans import catalog
 from tidemark.sources.tape import trades
-from tidemark.streaming import runs
+from tidemark.streaming import processors, runs
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +42,23 @@ def test_ema_rows(spark, parts):
     assert runs.ema(spark, parts, 0.2).count() == 600
 
 
+def test_a_stopped_stream_goes_on_from_its_state(spark, tmp_path):
+    """The second run gets only the new file, and the memories of the first."""
+    rows = [(t, float(i), i, float(i % 7)) for i in range(40) for t in "ab"]
+    df = spark.createDataFrame(rows, "ticker string, ts double, seq long, price double")
+    found = {}
+    for part in ("ts < 20", "ts >= 20"):
+        df.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        out = runs.to_table(processors.ema(stream, "price", 0.3), "again", "append", f"{tmp_path}/run")
+        found = {(r["ticker"], r["seq"]): r["ema"] for r in out.collect()}
+    memory, want = {}, {}
+    for t, _, seq, x in rows:
+        memory[t] = x if t not in memory else 0.3 * x + 0.7 * memory[t]
+        want[t, seq] = memory[t]
+    assert found == pytest.approx(want)
+
+
 @pytest.fixture(scope="module")
 def shuffled(spark, tmp_path_factory):
     """Events in part files by a hash, spread over 300 days; the files are written in no order of time."""

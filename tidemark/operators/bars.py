@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import SessionCalendar
 from ..functions.filters import finite
-from .running import in_key_order, key_values
+from .running import in_key_order, key_values, running
 
 FEE_RATE = 0.00016
 
@@ -31,16 +31,31 @@ def session_candles(tape: DataFrame, calendar: SessionCalendar, interval: float)
     return rows.groupBy("ticker", day.alias("day"), idx.cast("long").alias("idx")).agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"))
 
 
-def overlay(predictions: DataFrame, interval: float, names: tuple[str, ...] = ("value", "upper", "lower")) -> DataFrame:
-    """(bucket, names): the last finite prediction of each bucket."""
+def overlay(predictions: DataFrame, interval: float, names: tuple[str, ...] = ("value", "upper", "lower"), keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, bucket, names): the last finite prediction of each bucket."""
     ok = predictions.where(finite(F.col(names[0])))
-    return ok.groupBy(F.floor(F.col("ts") / interval).alias("bucket")).agg(*(F.max_by(n, F.col("ts")).alias(n) for n in names))
+    return ok.groupBy(*keys, F.floor(F.col("ts") / interval).alias("bucket")).agg(*(F.max_by(n, F.col("ts")).alias(n) for n in names))
 
 
 def forward_fill(df: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``value`` or the last one before it. Without keys the rows must be few: one series."""
-    w = Window.partitionBy(*(keys or (F.lit(0),))).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(value, F.last(value, ignorenulls=True).over(w))
+    """``value`` or the last one before it, by key; without keys, one series."""
+    if keys:
+        return running(df, lasts={value: F.col(value)}, keys=keys)
+    return running(df.withColumn("__one", F.lit(0)), lasts={value: F.col(value)}, keys=("__one",)).drop("__one")
+
+
+def throttle(rows: DataFrame, interval: float, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
+    """The last row of every aligned interval: what a display, or a poll of factors, shows once an interval at most."""
+    names = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys, F.floor(F.col("ts") / interval).alias("__step")).agg(F.max_by(F.struct(*names), F.struct("ts", "seq")).alias("r"))
+    return last.select(*keys, "r.*")
+
+
+def export_candles(candles: DataFrame, path: str) -> None:
+    """Candles as CSV with a header, by day, times ascending."""
+    columns = ["ticker", "bucket", "ts_start", "open", "high", "low", "close", "volume"]
+    day = F.date_format(F.timestamp_seconds("ts_start"), "yyyyMMdd").alias("market_date")
+    candles.select(*columns, day).repartition("market_date").sortWithinPartitions("ts_start", "ticker").write.mode("overwrite").partitionBy("market_date").option("header", True).csv(path)
 
 
 def ledger(rows: DataFrame, *, keys: tuple[str, ...] = ("ticker",), fee_rate: float = FEE_RATE) -> DataFrame:
@@ -49,17 +64,15 @@ def ledger(rows: DataFrame, *, keys: tuple[str, ...] = ("ticker",), fee_rate: fl
     An action trades at its row's price. When the position returns to flat, the trade's cash is realised into
     pnl and starts again at zero. An action of 0 only marks the position to the price.
     """
-    upto = Window.partitionBy(*keys).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     flow = -F.col("action") * F.col("price")
-    out = rows.withColumns({"flow": flow, "position": F.sum("action").over(upto), "n_action": F.sum(F.when(F.col("action") != 0, 1).otherwise(0)).over(upto), "fee": F.sum(F.abs(flow) * fee_rate).over(upto)})
-    opens = (F.col("action") != 0) & (F.col("position") - F.col("action") == 0)
-    out = out.withColumn("trade_id", F.sum(F.when(opens, 1).otherwise(0)).over(upto))
-    within = Window.partitionBy(*keys, "trade_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    spent = F.sum("flow").over(within)
-    out = out.withColumns({"spent": spent, "closes": (F.col("position") == 0) & (F.col("action") != 0)})
-    out = out.withColumn("pnl", F.sum(F.when(F.col("closes"), F.col("spent")).otherwise(0.0)).over(upto))
-    cash = F.when(F.col("position") == 0, 0.0).otherwise(F.col("spent"))
-    return out.withColumn("cash", cash).withColumn("nav", F.col("position") * F.col("price") + F.col("cash")).drop("flow", "spent", "closes")
+    acts = F.col("action") != 0
+    out = running(rows, {"position": F.col("action"), "n_action": F.when(acts, 1).otherwise(0), "fee": F.abs(flow) * fee_rate, "paid": flow}, keys=keys)
+    # flat between trades: all that was paid up to a close is realised by it
+    opens, closes = acts & (F.col("position") - F.col("action") == 0), acts & (F.col("position") == 0)
+    out = running(out, {"trade_id": F.when(opens, 1).otherwise(0)}, {"pnl": F.when(closes, F.col("paid"))}, keys=keys)
+    pnl = F.coalesce("pnl", F.lit(0.0))
+    cash = F.when(F.col("position") == 0, 0.0).otherwise(F.col("paid") - pnl)
+    return out.withColumns({"cash": cash, "pnl": pnl}).withColumn("nav", F.col("position") * F.col("price") + F.col("cash")).drop("paid")
 
 
 def drawdown(book: DataFrame, *, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:

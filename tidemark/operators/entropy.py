@@ -14,8 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def covariance(bars: DataFrame, value: str) -> DataFrame:
-    """(a, b, cov, n): population covariance of every two tickers over their common buckets."""
+def covariance(bars: DataFrame, value: str, members: list[str] | None = None) -> DataFrame:
+    """(a, b, cov, n): population covariance of every two members of an index over their common buckets.
+
+    The result has a row for each pair of members, so ``members`` bounds it; without, all tickers are members.
+    """
+    bars = bars if members is None else bars.where(F.col("ticker").isin(*members))
     left = bars.select(F.col("ticker").alias("a"), "idx", F.col(value).alias("x"))
     right = bars.select(F.col("ticker").alias("b"), "idx", F.col(value).alias("y"))
     return left.join(right, "idx").where("a <= b").groupBy("a", "b").agg(F.covar_pop("x", "y").alias("cov"), F.count("*").alias("n"))
@@ -42,8 +46,9 @@ def rolling_entropy(bars: DataFrame, members: list[str], value: str, n: int, nam
         filled = rows.withColumn("x", F.last("x", ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, 0)))
         series = filled.withColumn("xs", F.collect_list("x").over(upto.rowsBetween(-(n - 1), 0)))
     else:
-        seen = F.collect_list("x").over(upto.rowsBetween(Window.unboundedPreceding, 0))
-        series = rows.withColumn("xs", F.slice(seen, F.greatest(F.lit(1), F.size(seen) - n + 1), F.lit(n)))
+        own = rows.where("x IS NOT NULL").withColumn("xs", F.collect_list("x").over(upto.rowsBetween(-(n - 1), 0)))
+        held = grid.join(own.select("ticker", "idx", "xs"), ["ticker", "idx"], "left")
+        series = held.withColumn("xs", F.coalesce(F.last("xs", ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, 0)), F.array().cast("array<double>")))
     names = [f"{name}_entropy", f"{name}_secondary_entropy"]
 
     def evaluate(pdf: pd.DataFrame) -> pd.DataFrame:

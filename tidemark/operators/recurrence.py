@@ -1,7 +1,8 @@
-"""EMA, MACD and trend: recurrences over a key's ordered bars, folded inside Spark's own expressions.
+"""EMA, MACD and trend: recurrences over a key's ordered bars.
 
-A key's bars are gathered in order and folded once, with the series as the accumulator. Bars are the small,
-already aggregated form of the tape; a key holds as many as its clock has ticked.
+An EMA is affine in the memory it starts from. A key's bars are cut into blocks by their order; every block is folded
+from an empty memory inside Spark's own expressions, a key's few blocks are folded in turn for the memory that each
+starts with, and that is joined back and added, with its weight. So no key's bars stand in one row.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Retention of a step, so that after 60 steps a half, a fifth, a tenth, a hundredth and a thousandth remain.
 RETENTION = {"0.5": 0.9885, "0.2": 0.9735, "0.1": 0.9624, "0.01": 0.9261, "0.001": 0.8913}
+#: Width of a block in the order's unit.
+BLOCK = 1024
 ALPHA = {k: 1 - v for k, v in RETENTION.items()}
 
 
@@ -18,9 +21,45 @@ def alpha_of(window: int) -> float:
     return 2 / (window + 1)
 
 
-def _ordered(df: DataFrame, value: str, keys: tuple[str, ...], order: str) -> DataFrame:
-    rows = F.sort_array(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("x")))))
-    return df.groupBy(*keys).agg(rows.alias("rows"))
+def _blocks(df: DataFrame, value: str, alphas: dict[str, float], keys: tuple[str, ...], order: str) -> DataFrame:
+    """(keys, __b, rows, and of each name its series from an empty memory); NULLs are passed over."""
+    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("x"))))
+    cut = df.where(F.col(value).isNotNull()).groupBy(*keys, F.floor(F.col(order) / BLOCK).alias("__b")).agg(rows.alias("rows"))
+    start = F.struct(F.lit(0.0).alias("m"), F.array().cast("array<double>").alias("s"))
+
+    def series(alpha: float) -> Column:
+        def step(acc: Column, row: Column) -> Column:
+            new = alpha * row["x"] + (1 - alpha) * acc["m"]
+            return F.struct(new.alias("m"), F.concat(acc["s"], F.array(new)).alias("s"))
+
+        return F.aggregate("rows", start, step)["s"]
+
+    return cut.select(*keys, "__b", "rows", *(series(a).alias(f"__{n}") for n, a in alphas.items()))
+
+
+def _starts(blocks: DataFrame, alphas: dict[str, float], keys: tuple[str, ...], seed: float | None) -> DataFrame:
+    """(keys, s): the blocks of a key in order, with the memories that each starts with; ``first`` marks the first."""
+    ends = blocks.select(*keys, F.struct("__b", F.size("rows").alias("n"), F.get("rows", F.lit(0))["x"].alias("x"), *(F.element_at(f"__{n}", -1).alias(n) for n in alphas)).alias("e"))
+    kinds = ", ".join(f"{n}: double" for n in alphas)
+    blank = F.struct(*(F.lit(seed).cast("double").alias(n) for n in alphas), F.array().cast(f"array<struct<__b: bigint, first: boolean, {kinds}>>").alias("s"))
+
+    def step(acc: Column, e: Column) -> Column:
+        memory = {n: F.coalesce(acc[n], e["x"]) for n in alphas}
+        after = [(e[n] + F.pow(F.lit(1 - a), e["n"]) * memory[n]).alias(n) for n, a in alphas.items()]
+        here = F.struct(e["__b"].alias("__b"), (F.size(acc["s"]) == 0).alias("first"), *(m.alias(n) for n, m in memory.items()))
+        return F.struct(*after, F.concat(acc["s"], F.array(here)).alias("s"))
+
+    return ends.groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias("e")).select(*keys, F.aggregate("e", blank, step).alias("z"))
+
+
+def emas(df: DataFrame, value: str, alphas: dict[str, float], *, keys: tuple[str, ...] = ("ticker",), order: str = "idx", seed: float | None = None) -> DataFrame:
+    """(keys, order, x, first, one column a name): several EMAs of one value; ``first`` marks a key's first row."""
+    blocks = _blocks(df, value, alphas, keys, order)
+    starts = _starts(blocks, alphas, keys, seed).select(*keys, F.explode("z.s").alias("z")).select(*keys, F.col("z.__b").alias("__b"), F.col("z.first").alias("__first"), *(F.col(f"z.{n}").alias(f"__m_{n}") for n in alphas))
+    joined = blocks.join(starts, [*keys, "__b"])
+    each = joined.select(*keys, "__first", *(f"__m_{n}" for n in alphas), F.posexplode(F.arrays_zip("rows", *(f"__{n}" for n in alphas))).alias("__i", "z"))
+    values = (F.col(f"z.__{n}") + F.pow(F.lit(1 - a), F.col("__i") + 1) * F.col(f"__m_{n}") for n, a in alphas.items())
+    return each.select(*keys, F.col("z.rows.o").alias(order), F.col("z.rows.x").alias("x"), (F.col("__first") & (F.col("__i") == 0)).alias("first"), *(v.alias(n) for n, v in zip(alphas, values, strict=True)))
 
 
 def ema_series(df: DataFrame, value: str, alpha: float, *, keys: tuple[str, ...] = ("ticker",), order: str = "idx", seed: float | None = None, emit_seed: bool = True) -> DataFrame:
@@ -28,40 +67,41 @@ def ema_series(df: DataFrame, value: str, alpha: float, *, keys: tuple[str, ...]
 
     ``emit_seed=False``: the first value's row is NULL, as it only fills the memory.
     """
-    start = F.struct(F.lit(seed).cast("double").alias("m"), F.array().cast("array<double>").alias("s"))
-
-    def step(acc: Column, row: Column) -> Column:
-        new = F.when(acc["m"].isNull(), row["x"]).otherwise(alpha * row["x"] + (1 - alpha) * acc["m"])
-        return F.struct(new.alias("m"), F.concat(acc["s"], F.array(new)).alias("s"))
-
-    folded = _ordered(df, value, keys, order).select(*keys, "rows", F.aggregate("rows", start, step)["s"].alias("s"))
-    out = folded.select(*keys, F.posexplode(F.arrays_zip("rows", "s")).alias("__i", "z")).select(*keys, "__i", F.col("z.rows.o").alias(order), F.col("z.s").alias("ema"))
-    return out.select(*keys, order, F.when((F.col("__i") > 0) | F.lit(emit_seed or seed is not None), F.col("ema")).alias("ema"))
+    out = emas(df, value, {"ema": alpha}, keys=keys, order=order, seed=seed)
+    return out.select(*keys, order, F.when(~F.col("first") | F.lit(emit_seed or seed is not None), F.col("ema")).alias("ema"))
 
 
 def ema_last(df: DataFrame, value: str, alpha: float, *, keys: tuple[str, ...] = ("ticker",), order: str = "idx") -> DataFrame:
     """(keys, ema): the memory after the last value."""
-    last = F.aggregate("rows", F.lit(None).cast("double"), lambda m, r: F.when(m.isNull(), r["x"]).otherwise(alpha * r["x"] + (1 - alpha) * m))
-    return _ordered(df, value, keys, order).select(*keys, last.alias("ema"))
+    alphas = {"ema": alpha}
+    return _starts(_blocks(df, value, alphas, keys, order), alphas, keys, None).select(*keys, F.col("z.ema").alias("ema"))
 
 
 def macd(df: DataFrame, price: str = "close", *, short: int = 12, long: int = 26, signal: int = 9, keys: tuple[str, ...] = ("ticker",), order: str = "idx") -> DataFrame:
     """(keys, order, line, signal, diff, diff_adjusted); all memories start at the first price, the signal at the first line."""
-    a, b, c = alpha_of(short), alpha_of(long), alpha_of(signal)
-    blank = F.lit(None).cast("double")
-    start = F.struct(blank.alias("f"), blank.alias("g"), blank.alias("h"), F.array().cast("array<struct<line:double,signal:double>>").alias("s"))
-
-    def step(acc: Column, row: Column) -> Column:
-        x = row["x"]
-        f = F.when(acc["f"].isNull(), x).otherwise(a * x + (1 - a) * acc["f"])
-        g = F.when(acc["g"].isNull(), x).otherwise(b * x + (1 - b) * acc["g"])
-        h = F.when(acc["h"].isNull(), f - g).otherwise(c * (f - g) + (1 - c) * acc["h"])
-        return F.struct(f.alias("f"), g.alias("g"), h.alias("h"), F.concat(acc["s"], F.array(F.struct((f - g).alias("line"), h.alias("signal")))).alias("s"))
-
-    folded = _ordered(df, price, keys, order).select(*keys, "rows", F.aggregate("rows", start, step)["s"].alias("s"))
-    z = folded.select(*keys, F.explode(F.arrays_zip("rows", "s")).alias("z")).select(*keys, F.col("z.rows.o").alias(order), F.col("z.rows.x").alias("x"), "z.s.*")
+    both = emas(df, price, {"f": alpha_of(short), "g": alpha_of(long)}, keys=keys, order=order)
+    line = both.withColumn("line", F.col("f") - F.col("g"))
+    out = emas(line, "line", {"signal": alpha_of(signal)}, keys=keys, order=order).withColumnRenamed("x", "line")
+    prices = both.select(*keys, order, "x")
     diff = F.col("line") - F.col("signal")
-    return z.select(*keys, order, "line", "signal", diff.alias("diff"), F.try_divide(diff, "x").alias("diff_adjusted"))
+    return out.join(prices, [*keys, order]).select(*keys, order, "line", "signal", diff.alias("diff"), F.try_divide(diff, "x").alias("diff_adjusted"))
+
+
+def snapshot(df: DataFrame, value: str, alpha: float, *, keys: tuple[str, ...] = ("ticker",), order: str = "idx") -> DataFrame:
+    """(keys, state): each key's memory and the place it has come to, as JSON."""
+    last = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.max(order).alias("at"))
+    return ema_last(df, value, alpha, keys=keys, order=order).join(last, list(keys)).select(*keys, F.to_json(F.struct(F.lit(alpha).alias("alpha"), "at", F.col("ema").alias("memory"))).alias("state"))
+
+
+def resume(df: DataFrame, value: str, states: DataFrame, alpha: float, *, keys: tuple[str, ...] = ("ticker",), order: str = "idx") -> DataFrame:
+    """(keys, order, ema) of the rows after each key's snapshot, going on from its memory; keys without one start anew."""
+    held = states.select(*keys, F.from_json("state", "alpha double, at double, memory double").alias("h"))
+    rows = df.join(held, list(keys), "left").where(F.col("h").isNull() | (F.col(order) > F.col("h.at")))
+    # the memory is one row before the first: its EMA from an empty start is the memory itself
+    before = held.join(rows.select(*keys).distinct(), list(keys)).select(*keys, F.col("h.at").cast(df.schema[order].dataType).alias(order), F.col("h.memory").alias(value), F.lit(True).alias("__held"))
+    both = rows.select(*keys, order, value, F.lit(False).alias("__held")).unionByName(before)
+    out = ema_series(both, value, alpha, keys=keys, order=order)
+    return out.join(before.select(*keys, order), [*keys, order], "left_anti")
 
 
 def trend(bars: DataFrame, alpha: float, price: str = "close", keys: tuple[str, ...] = ("ticker",)) -> DataFrame:

@@ -13,14 +13,25 @@ from pyspark.sql import functions as F
 DAY = 86400.0
 
 
+def running(df: DataFrame, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, keys: tuple[str, ...] = ("ticker",), block: float = DAY) -> DataFrame:
+    """Adds, in the order of (ts, seq): of ``sums`` the sum up to and with each row, of ``lasts`` the last value that is not NULL."""
+    sums, lasts = sums or {}, lasts or {}
+    rows = df.withColumns({"__block": F.floor(F.col("ts") / block), **{f"__s_{n}": c for n, c in sums.items()}, **{f"__l_{n}": c for n, c in lasts.items()}})
+    at = F.struct("ts", "seq")
+    ends = rows.groupBy(*keys, "__block").agg(*(F.sum(f"__s_{n}").alias(f"__t_{n}") for n in sums), *(F.max_by(f"__l_{n}", F.when(F.col(f"__l_{n}").isNotNull(), at)).alias(f"__e_{n}") for n in lasts))
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(*keys, "__block", *(F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in sums), *(F.last(f"__e_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in lasts))
+    inside = Window.partitionBy(*keys, "__block").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    within = rows.withColumns({**{f"__s_{n}": F.sum(f"__s_{n}").over(inside) for n in sums}, **{f"__l_{n}": F.last(f"__l_{n}", ignorenulls=True).over(inside) for n in lasts}})
+    joined = within.join(starts, [*keys, "__block"])
+    named = {**{n: F.col(f"__b_{n}") + F.col(f"__s_{n}") for n in sums}, **{n: F.coalesce(f"__l_{n}", f"__c_{n}") for n in lasts}}
+    kept = [c for c in df.columns if c not in named]
+    return joined.select(*kept, *(c.alias(n) for n, c in named.items()))
+
+
 def running_sum(df: DataFrame, value: Column, name: str, keys: tuple[str, ...] = ("ticker",), block: float = DAY) -> DataFrame:
     """Adds ``name``: the sum of ``value`` up to and with each row, in the order of (ts, seq)."""
-    rows = df.withColumns({"__block": F.floor(F.col("ts") / block), "__v": value})
-    totals = rows.groupBy(*keys, "__block").agg(F.sum("__v").alias("__t"))
-    before = F.sum("__t").over(Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = totals.select(*keys, "__block", F.coalesce(before, F.lit(0)).alias("__s"))
-    inside = F.sum("__v").over(Window.partitionBy(*keys, "__block").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("__in", inside).join(starts, [*keys, "__block"]).withColumn(name, F.col("__s") + F.col("__in")).drop("__block", "__v", "__in", "__s")
+    return running(df, {name: value}, keys=keys, block=block)
 
 
 def asof(left: DataFrame, right: DataFrame, at: Column, *, forward: bool = True, strict: bool = False, keys: tuple[str, ...] = ("ticker",), value: str = "price", block: float = DAY) -> DataFrame:

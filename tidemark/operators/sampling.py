@@ -89,6 +89,12 @@ def last_bars(sampled: DataFrame, n: int) -> DataFrame:
     return sampled.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
 
 
+def history_array(sampled: DataFrame, value: str, n: int) -> DataFrame:
+    """(ticker, values): the last ``n`` bars' values in order, the open bar's at the end."""
+    rows = F.sort_array(F.collect_list(F.struct("idx", F.col(value).alias("v"))))
+    return last_bars(sampled, n).groupBy("ticker").agg(rows.alias("r")).select("ticker", F.transform("r", lambda s: s["v"]).alias("values"))
+
+
 def active_and_latest(sampled: DataFrame, value: str) -> DataFrame:
     """(ticker, active, last_closed, n_closed): the open bucket, and the closed one before it."""
     rows = F.sort_array(F.collect_list(F.struct("idx", value)), asc=False)

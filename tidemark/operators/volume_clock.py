@@ -13,15 +13,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import running_sum
+from .running import running, running_sum
 from .sampling import Topic, bars
 
 
-def event_volume(use_notional: bool = False) -> Column:
-    """What a row adds to the clock; snapshots carry session totals and add the increase."""
+def event_clock(tape: DataFrame, use_notional: bool = False, session: Column | None = None, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
+    """Adds ``vol_acc``: trades and bars add their volume (or notional), a snapshot puts its session total in its place.
+
+    Other events, and rows out of session, leave it. Give a day among the keys for totals that start anew each day.
+    """
     own, total = ("notional", "total_traded_notional") if use_notional else ("volume", "total_traded_volume")
-    before = F.lag(total).over(Window.partitionBy("ticker", "dtype").orderBy("ts", "seq"))
-    return F.when(F.col("dtype") == "TickData", F.col(total) - F.coalesce(before, F.lit(0.0))).when(F.col("dtype").isin("TradeData", "TransactionData", "BarData"), F.col(own)).otherwise(0.0)
+    inside = F.lit(True) if session is None else session
+    adds = F.when(inside & F.col("dtype").isin("TradeData", "TransactionData", "BarData"), F.col(own))
+    rows = running(tape, {"__sum": F.coalesce(adds, F.lit(0.0))}, keys=keys)
+    # what the last snapshot said, and what had been added by then
+    rows = running(rows, lasts={"__tick": F.when(inside & (F.col("dtype") == "TickData") & F.col(total).isNotNull(), F.struct(F.col(total).alias("total"), F.col("__sum").alias("sum")))}, keys=keys)
+    vol = F.coalesce(F.col("__tick.total") + F.col("__sum") - F.col("__tick.sum"), F.col("__sum"))
+    return rows.withColumn("vol_acc", vol).drop("__sum", "__tick")
 
 
 def with_volume(tape: DataFrame, value: str = "volume", session: Column | None = None) -> DataFrame:
@@ -55,10 +63,17 @@ def aligned_clock(tape: DataFrame, weights: DataFrame, intervals: DataFrame, ste
 
     The global order is cut into steps of ``step`` seconds, summed first, so only one row a step is ordered.
     """
-    scale = weights.join(intervals.select("ticker", "baseline"), "ticker").agg(F.sum(F.col("weight") * F.col("baseline"))).first()[0]
+    scale = weights.join(intervals.select("ticker", "baseline"), "ticker").agg(F.nullif(F.sum(F.col("weight") * F.col("baseline")), F.lit(0.0)).alias("scale"))
     rows = tape.join(weights.select("ticker", "weight"), "ticker").groupBy(F.floor(F.col("ts") / step).alias("step_idx")).agg(F.sum(F.col("weight") * F.col(value)).alias("v"))
     acc = running_sum(rows.select(F.lit("all").alias("ticker"), (F.col("step_idx") * step).alias("ts"), F.col("step_idx").alias("seq"), "step_idx", "v"), F.col("v"), "acc")
-    return acc.select("step_idx", F.floor(F.col("acc") / scale).cast("long").alias("clock") if scale else F.lit(None).cast("long").alias("clock"))
+    # ``scale`` is an aggregate without groups: one row
+    return acc.join(F.broadcast(scale)).select("step_idx", F.floor(F.col("acc") / F.col("scale")).cast("long").alias("clock"))
+
+
+def aligned_bars(tape: DataFrame, clock: DataFrame, step: float, topics: tuple[Topic, ...]) -> DataFrame:
+    """Bars of all tickers on one ``clock`` (step_idx, clock); rows without one have no bar."""
+    rows = tape.withColumn("step_idx", F.floor(F.col("ts") / step)).join(clock.where("clock IS NOT NULL"), "step_idx")
+    return bars(rows, topics, F.col("clock"))
 
 
 @dataclass
@@ -141,6 +156,6 @@ def _whole(step):
     return run
 
 
-def readiness(bounds: DataFrame, column: str) -> DataFrame:
-    """Whether every ticker has a value, by index."""
-    return bounds.agg(F.bool_and(F.col(column).isNotNull()).alias("ready"))
+def readiness(bounds: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, ready): whether every ticker has a value."""
+    return bounds.groupBy(*by).agg(F.bool_and(F.col(column).isNotNull()).alias("ready"))

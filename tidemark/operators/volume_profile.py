@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import SessionCalendar
 from .recurrence import alpha_of, ema_series
+from .running import in_key_order, key_values, running_sum
+from .sampling import Topic, bars
 
 MEASURES = ["acc_vol", "acc_amt", "px_range", "px_diff"]
 FEATURES = ["acc_amt", "px_range", "px_diff"]
@@ -153,9 +158,116 @@ def predict_intervals(resid: DataFrame, models: DataFrame, at: int) -> DataFrame
     return later.select("ticker", "day", (F.col("seen") + F.col("model") + F.col("base")).alias("forecast"))
 
 
+def walk_forward(resid: DataFrame, at: int | None = None, min_days: int = 1) -> DataFrame:
+    """(ticker, day, forecast): each day's volume by a model of the days before it alone; NULL with under ``min_days`` of them.
+
+    Without ``at``, the accumulated model on the whole day's features; with it, the interval models at the start of
+    interval ``at``. A ticker's days by intervals are one matrix.
+    """
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = lambda c: pdf.pivot(index="day", columns="i", values=c).sort_index()
+        vol, base = table("acc_vol"), table("b_acc_vol").to_numpy().sum(axis=1)
+        feats, v = [table(c).to_numpy() for c in FEATURES], vol.to_numpy()
+        out: list[float | None] = []
+        for d in range(len(v)):
+            if d < min_days:
+                out.append(None)
+            elif at is None:
+                x = np.hstack(feats)
+                out.append(float(np.append(x[d], 1.0) @ _fit(x[:d], v[:d].sum(axis=1))) + base[d])
+            else:
+                total = v[d, :at].sum() + base[d]
+                for k in range(max(at, 1), v.shape[1]):
+                    x = np.hstack([f[:, :k] for f in feats])
+                    now = np.hstack([np.where(np.arange(k) < at, f[d, :k], 0.0) for f in feats])
+                    total += float(np.append(now, 1.0) @ _fit(x[:d], v[:d, k]))
+                out.append(total)
+        return pd.DataFrame({"ticker": pdf["ticker"].iloc[0], "day": vol.index, "forecast": out})
+
+    return resid.groupBy("ticker").applyInPandas(fit, "ticker string, day long, forecast double")
+
+
 PROFILES = {"simple_online": simple_forecast, "accumulative_volume": (fit_accumulated, predict_accumulated), "interval_volume": (fit_intervals, predict_intervals)}
 
 
+@dataclass
+class ProfileClock:
+    """State of one ticker's day: a bucket's volume is the forecast day volume's share, forecast anew after each roll.
+
+    Without ``given``, the forecast comes from the leading intervals without a gap, once there are half of
+    ``window``, and stays when interval ``window`` is reached. With neither, buckets are session time.
+    """
+
+    interval: float
+    length: float
+    window: int
+    given: float | None = None
+    seen: dict[int, float] = field(default_factory=dict)
+    elapsed: float = 0.0
+    fixed: float | None = None
+    bucket: float | None = None
+    last: float = 0.0
+    bar: int = 0
+
+    def forecast(self) -> float | None:
+        """Of the day's volume, as it stands."""
+        if self.given is not None:
+            return self.given
+        if self.fixed is not None:
+            return self.fixed
+        n = next(i for i in range(len(self.seen) + 1) if i not in self.seen)
+        if n < self.window / 2 or self.elapsed <= 0:
+            return None
+        return sum(self.seen[i] for i in range(n)) / self.elapsed * self.length
+
+    @property
+    def ready(self) -> bool:
+        return self.forecast() is not None
+
+    def step(self, elapsed: float, volume: float, acc: float) -> int:
+        """Number of the row's bar; ``acc``: the day's volume with the row's own."""
+        i = int(elapsed // self.interval)
+        if self.fixed is None and i >= self.window:
+            self.fixed = self.forecast()
+        self.seen[i] = self.seen.get(i, 0.0) + volume
+        self.elapsed = elapsed
+        if self.bucket is None:
+            day = self.forecast()
+            self.bucket = day / (self.length / self.interval) if day else None
+        idx = elapsed // self.interval if self.bucket is None else acc // self.bucket
+        if idx > self.last:
+            self.bar, self.bucket = self.bar + 1, None
+        self.last = idx
+        return self.bar
+
+
+def profile_bars_online(tape: DataFrame, calendar: SessionCalendar, interval: float, topics: tuple, *, window: int = 15, forecast: DataFrame | None = None) -> DataFrame:
+    """(ticker, day, idx, ready, topics): bars of the profile clock as it stood at each row; ready as at the bar's last row.
+
+    ``forecast`` (ticker, day, forecast) is a model's, made before the day; without one the day forecasts itself. Rows
+    are walked in order with a small state, so no ticker's day is held whole.
+    """
+    keys = ("ticker", "day")
+    rows = tape.where(calendar.in_session(F.col("ts"))).withColumn("day", F.floor((F.col("ts") + calendar.utc_offset) / 86400.0))
+    light = rows.select(*keys, "ts", "seq", calendar.elapsed(F.col("ts")).alias("e"), F.coalesce("volume", F.lit(0.0)).alias("v"))
+    light = light.join(forecast.select(*keys, "forecast"), list(keys), "left") if forecast is not None else light.withColumn("forecast", F.lit(None).cast("double"))
+
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, clock, acc = None, None, 0.0
+        for pdf in parts:
+            out = []
+            for key, e, v, given in zip(key_values(pdf, keys), pdf["e"], pdf["v"], pdf["forecast"], strict=True):
+                if clock is None or key != held:
+                    held, clock, acc = key, ProfileClock(interval, calendar.length, window, None if pd.isna(given) else float(given)), 0.0
+                acc += v
+                out.append((clock.step(e, v, acc), clock.ready))
+            yield pdf[[*keys, "ts", "seq"]].assign(bar=[b for b, _ in out], ready=[r for _, r in out])
+
+    numbered = in_key_order(light, keys).mapInPandas(walk, "ticker string, day long, ts double, seq long, bar long, ready boolean")
+    return bars(rows.join(numbered, [*keys, "ts", "seq"]), (*topics, Topic("ready", "ready", "update")), F.col("bar"), keys)
+
+
 def naive_forecast(tape: DataFrame) -> DataFrame:
     """(ticker, day, forecast): the volume of the day before; NULL on the first."""
     days = tape.groupBy("ticker", F.floor(F.col("ts") / 86400.0).alias("day")).agg(F.sum("volume").alias("v"))
@@ -164,9 +276,6 @@ def naive_forecast(tape: DataFrame) -> DataFrame:
 
 def profile_bars(tape: DataFrame, calendar: SessionCalendar, interval: float, forecast: DataFrame, topics: tuple) -> DataFrame:
     """(ticker, day, idx, topics): bars of an even share of the forecast day volume; by session time without one."""
-    from .running import running_sum
-    from .sampling import bars
-
     rows = tape.withColumn("day", F.floor(F.col("ts") / 86400.0))
     rows = running_sum(rows, F.coalesce("volume", F.lit(0.0)), "vol_acc", keys=("ticker", "day")).join(forecast, ["ticker", "day"], "left")
     step = F.col("forecast") / (calendar.length / interval)

@@ -12,7 +12,7 @@ from .registry import FactorSpec, factor_plan
 
 CLOSE = (sampling.Topic("close", "price", "update"),)
 BAR_TS = sampling.Topic("bar_ts", "ts", "max")
-#: (sampling interval in seconds, bars of history) of the entropy factor on the profile clock.
+# Fixed values: (sampling interval in seconds, bars of history) of the entropy factors on the profile clock.
 ENTROPY_GRID = [(5, 60), (15, 60), (30, 30), (60, 15), (150, 10)]
 
 
@@ -28,8 +28,8 @@ def _clock(tape: DataFrame, spec: FactorSpec, topics: tuple[sampling.Topic, ...]
         return volume_clock.adaptive_bars_final(tape, p["interval"], p.get("baseline_window", 100), topics)
     if kind == "profile":
         inside = tape.where(CN.in_session(F.col("ts")))
-        bars = volume_profile.profile_bars(inside, CN, p["interval"], volume_profile.naive_forecast(inside), topics)
-        return bars.withColumn("idx", F.col("day").cast("long") * 1_000_000 + F.col("idx")).drop("day")
+        bars = volume_profile.profile_bars_online(inside, CN, p["interval"], topics, window=p.get("profile_window", 15))
+        return bars.withColumn("idx", F.col("day").cast("long") * 1_000_000 + F.col("idx")).drop("day", "ready")
     raise ValueError(f"unknown clock {kind!r}")
 
 
@@ -60,16 +60,33 @@ def macd(tape: DataFrame, spec: FactorSpec) -> DataFrame:
 
 @factor_plan("entropy")
 def entropy_factor(tape: DataFrame, spec: FactorSpec) -> DataFrame:
-    """Entropy and secondary entropy of members' prices, and of their relative changes."""
+    """Entropy and secondary entropy of members' prices, and entropies of their relative changes, notional and shares of buys and sells.
+
+    ``weights``, if given, scale a member's prices and notional.
+    """
     p = spec.params
-    bars = entropy.relative_change(_clock(tape, spec, CLOSE), "close")
-    price = entropy.rolling_entropy(bars, p["members"], "close", p["sample_size"], "price")
-    change = entropy.rolling_entropy(bars, p["members"], "close_change", p["sample_size"], "price_pct").select("idx", "price_pct_entropy")
-    both = _stamped(price.join(change, "idx"), bars, ("idx",))
-    values = ["price_entropy", "price_secondary_entropy", "price_pct_entropy"]
+    buy, sell = side_split(F.col("notional"))
+    topics = (*CLOSE, sampling.Topic("notional", "notional", "accumulate"), sampling.Topic("notional_buy", "b", "accumulate"), sampling.Topic("notional_sell", "s", "accumulate"))
+    bars = _clock(tape.withColumns({"b": buy, "s": sell}), spec, topics)
+    if p.get("weights"):
+        weight = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in p["weights"].items() for x in kv)), F.col("ticker")).cast("double"), F.lit(1.0))
+        bars = bars.withColumns({c: F.col(c) * weight for c in ("close", "notional", "notional_buy", "notional_sell")})
+    bars = entropy.relative_change(bars, "close").withColumn("buy_share", entropy.buy_share()).withColumn("sell_share", 1 - F.col("buy_share"))
+    n, members = p["sample_size"], p["members"]
+    found = entropy.rolling_entropy(bars, members, "close", n, "price")
+    for column, name in (("close_change", "price_pct"), ("notional", "notional"), ("buy_share", "notional_buy_pct"), ("sell_share", "notional_sell_pct")):
+        found = found.join(entropy.rolling_entropy(bars, members, column, n, name).select("idx", f"{name}_entropy"), "idx")
+    both = _stamped(found, bars, ("idx",))
+    values = [f"{x}_entropy" for x in ("price", "price_pct", "notional", "notional_buy_pct", "notional_sell_pct")] + ["price_secondary_entropy"]
     return both.select("ts", "ready", F.explode(F.array(*(F.struct(F.lit(v).alias("key"), F.col(v).alias("value")) for v in values))).alias("z")).select("ts", "z.*", "ready")
 
 
+def entropy_profile_specs(members: list[str], weights: dict[str, float] | None = None) -> list[FactorSpec]:
+    """The entropy factor on the profile clock, at each of its parameterisations."""
+    fixed = {"clock": "profile", "members": members, **({"weights": weights} if weights else {})}
+    return [FactorSpec(f"Monitor.Entropy.VolumeProfile.{interval}.{n}", "entropy", {**fixed, "interval": interval, "sample_size": n}) for interval, n in ENTROPY_GRID]
+
+
 @factor_plan("mean_price")
 def mean_price(tape: DataFrame, spec: FactorSpec) -> DataFrame:
     """Mean close of the last bars; NULL until there are ``sample_size``."""

@@ -9,7 +9,7 @@ from ..operators import composite, decoder, entropy, recurrence, running, sampli
 from ..operators.sampling import OHLC, Topic
 from ..sources.tape import trades, type_weights
 from . import factors, sql  # noqa: F401
-from .catalog import register, rounded
+from .catalog import _ORACLES, register, rounded
 from .registry import FactorSet, FactorSpec
 
 H6, H1, DAY = 21600, 3600, 86400
@@ -60,7 +60,7 @@ def q_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""WITH RECURSIVE {sql.trades('event_type')}, {sql.bars(H6)}, {TREND}, {sql.ema('ch', 'change', 0.1)}, {sql.WEIGHTS}
 SELECT idx, round(sum(weight * ema), 4) + 0.0 AS trend FROM ema JOIN weights ON weights.ticker = ema.ticker GROUP BY 1""")
 def q_trend_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Composite of the members' trends."""
+    """Composite of the members' trends."""
     w = composite.normalize(type_weights(spark, sf_dir))
     return rounded(composite.composite(w, recurrence.trend(closes(spark, sf_dir), 0.1), "trend", by=("idx",), name="trend").select("idx", "trend"), 4)
 
@@ -73,6 +73,17 @@ def q_weights_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(composite.composite(composite.normalize(type_weights(spark, sf_dir)), last, "p"))
 
 
+@register(f"""WITH RECURSIVE {sql.trades()}, {sql.bars(H6)}, {sql.ema('bars', 'close', 0.2)}, h AS (SELECT CAST(avg(idx) AS BIGINT) AS mid FROM bars)
+SELECT ticker, idx, round(ema, 6) AS ema FROM ema, h WHERE idx > mid""")
+def q_ema_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EMA up to a bar, kept as JSON, and gone on with from there."""
+    bars = closes(spark, sf_dir, H6, "user_id")
+    mid = bars.agg(F.round(F.avg("idx")).cast("long").alias("mid"))
+    halves = bars.join(F.broadcast(mid))  # one row
+    states = recurrence.snapshot(halves.where("idx <= mid").select("ticker", "idx", "close"), "close", 0.2)
+    return rounded(recurrence.resume(halves.where("idx > mid").select("ticker", "idx", "close"), "close", states, 0.2))
+
+
 def _index_sql(missing: str) -> str:
     return f"""WITH {sql.trades('event_type')}, {sql.WEIGHTS}, r AS (SELECT ticker, arg_max(price, (ts, seq)) / nullif(arg_min(price, (ts, seq)), 0) AS ratio FROM tape WHERE ticker <> 'view' GROUP BY 1)
 SELECT 'types' AS index_name, round({missing}, 6) AS level FROM weights LEFT JOIN r ON r.ticker = weights.ticker"""
@@ -121,6 +132,27 @@ def q_entropy_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(entropy.rolling_entropy(pair, ["click", "purchase"], "close", 10, "pair"), 3).where("pair_entropy IS NOT NULL")
 
 
+@register()
+def q_trend_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trends on the adaptive and the profile clock, and their index; tested against a plain model of each step."""
+    tape, w = trades(spark, sf_dir, "event_type"), {t: 1.0 for t in ("click", "error", "purchase", "signup", "view")}
+    params = {"adaptive": {"clock": "adaptive", "interval": H6, "baseline_window": 20}, "profile": {"clock": "profile", "interval": 1800, "profile_window": 4}}
+    chosen = FactorSet()
+    for name, p in params.items():
+        chosen.add(FactorSpec(f"Monitor.Trend.{name}", "trend", {**p, "alpha": 0.1}))
+        chosen.add(FactorSpec(f"Monitor.TrendIndex.{name}", "trend", {**p, "alpha": 0.1, "weights": w}))
+    return rounded(chosen.collect(tape), 5)
+
+
+@register()
+def q_entropy_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entropy factor on the profile clock, at its five parameterisations; tested against numpy."""
+    chosen = FactorSet()
+    for spec in factors.entropy_profile_specs(["click", "purchase", "view"]):
+        chosen.add(spec)
+    return rounded(chosen.collect(trades(spark, sf_dir, "event_type")), 5)
+
+
 @register()
 def q_entropy_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entropy factor of five members, through the registry; tested against numpy."""
@@ -171,6 +203,13 @@ def q_turning_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoder.first_level(trades(spark, sf_dir)).drop("seq").withColumn("ts", F.round("ts", 3))
 
 
+@register(_ORACLES["q_online_decoder"].replace("SELECT ticker, round(cst, 3) AS start_ts, round(cet, 3) AS end_ts, csp AS start_price, cep AS end_price, chi AS high, clo AS low, cf AS flag FROM s", "SELECT ticker, round(cst, 3) AS start_ts, round(CASE WHEN csp <> 0 THEN (cep - csp) / csp END, 4) + 0.0 AS pct_change FROM s"))
+def q_wave_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: relative change of each wave."""
+    waves = decoder.decode_waves(trades(spark, sf_dir), **ONLINE)
+    return rounded(waves.select("ticker", F.round("start_ts", 3).alias("start_ts"), decoder.pct_change().alias("pct_change")), 4)
+
+
 @register()
 def q_recursive_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extremes of four levels; level 0 equals q_turning_points, the rest is tested against a plain model."""

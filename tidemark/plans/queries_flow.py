@@ -52,12 +52,33 @@ UNION ALL SELECT ticker, n, seq, a, position + a FROM (SELECT r.ticker, r.n, r.s
   WHEN s.position < 0 AND r.v > 0 THEN 1 WHEN s.position > 0 AND r.v < 0 THEN -1 ELSE 0 END AS a FROM s JOIN r ON r.ticker = s.ticker AND r.n = s.n + 1))
 SELECT ticker, seq, CAST(action AS BIGINT) AS action FROM s""")
 def q_signal_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actions from predictions and the position they lead to."""
+    """Actions from predictions and the position they lead to."""
     p = F.col("price")
     rows = trades(spark, sf_dir).select("ticker", "ts", "seq", (p - 100).alias("value"), (p - 50).alias("upper"), (p - 150).alias("lower"))
     return display.signal_actions(rows).select("ticker", "seq", "action")
 
 
+@register(f"WITH {LEDGER} SELECT ticker, seq, CAST(CASE WHEN sign(position) * (CASE WHEN ticker < '5' THEN 1 ELSE -1 END) < 0 THEN abs(position) ELSE 1 END AS DOUBLE) AS size FROM l")
+def q_order_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volume of a market order against each row's position."""
+    book = display.ledger(_actions(spark, sf_dir))
+    side = F.when(F.col("ticker") < "5", 1).otherwise(-1)
+    return book.select("ticker", "seq", display.order_size(F.col("position"), side).cast("double").alias("size"))
+
+
+@register(f"WITH {sql.trades('event_type')} SELECT ticker, arg_max(seq, (ts, seq)) AS seq, arg_max(price, (ts, seq)) AS price FROM tape GROUP BY ticker, floor(ts / 10000)")
+def q_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row of every aligned interval."""
+    return display.throttle(trades(spark, sf_dir, "event_type").select("ticker", "ts", "seq", "price"), 10_000.0).select("ticker", "seq", "price")
+
+
+@register("SELECT DISTINCT ticker FROM (SELECT event_type AS ticker FROM events WHERE value > 100 UNION ALL SELECT CAST(user_id AS VARCHAR) FROM events WHERE value < 50)")
+def q_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickers that either of two subscriptions wants."""
+    a = trades(spark, sf_dir, "event_type").where("price > 100").select("ticker")
+    return a.union(trades(spark, sf_dir).where("price < 50").select("ticker")).distinct()
+
+
 FACTORS = f"{sql.trades('event_type')}, {sql.bars(H6)}, f AS (SELECT CAST(idx * {H6} AS DOUBLE) AS ts, ticker || '.close' AS factor, close AS value FROM bars)"
 NAMES = [f"{t}.close" for t in ("click", "error", "purchase", "signup", "view")]
 
@@ -121,32 +142,32 @@ def q_locate_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {FACTORS}, p AS (SELECT ts, value * 2 AS pred FROM f WHERE factor = 'view.close' AND CAST(ts AS BIGINT) % 43200 = 0), c AS (SELECT ts, value FROM f WHERE factor = 'click.close') SELECT coalesce(c.ts, p.ts) AS ts, value, pred FROM c FULL JOIN p ON p.ts = c.ts WHERE value IS NOT NULL")
 def q_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Factors and predictions by time, rows without a price dropped."""
+    """One ticker's prices and predictions by time, rows without a price dropped."""
     f = factor_rows(spark, sf_dir)
     pred = f.where((F.col("factor") == "view.close") & (F.col("ts") % 43200 == 0)).select("ts", (F.col("value") * 2).alias("pred"))
     return f.where("factor = 'click.close'").select("ts", "value").join(pred, "ts", "full_outer").dropna(subset=["value"])
 
 
-@register(f"""WITH {FACTORS}, p AS (SELECT ts, CASE WHEN CAST(ts AS BIGINT) % 43200 = 0 THEN value END AS pred FROM f WHERE factor = 'click.close')
-SELECT ts, last_value(pred IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS pred FROM p""")
+@register(f"""WITH {FACTORS}, p AS (SELECT ts, factor, CASE WHEN CAST(ts AS BIGINT) % 43200 = 0 THEN value END AS pred FROM f)
+SELECT ts, factor, last_value(pred IGNORE NULLS) OVER (PARTITION BY factor ORDER BY ts ROWS UNBOUNDED PRECEDING) AS pred FROM p""")
 def q_ffill_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last prediction carried on."""
-    f = factor_rows(spark, sf_dir).where("factor = 'click.close'")
+    """The last prediction of each factor carried on."""
+    f = factor_rows(spark, sf_dir)
     rows = f.select("ts", F.lit(0).alias("seq"), "factor", F.when(F.col("ts") % 43200 == 0, F.col("value")).alias("pred"))
-    return display.forward_fill(rows, "pred", ("factor",)).select("ts", "pred")
+    return display.forward_fill(rows, "pred", ("factor",)).select("ts", "factor", "pred")
 
 
-@register(f"WITH {sql.trades('event_type')} SELECT CAST(floor(ts / {H1}) AS BIGINT) AS bucket, arg_max(price, ts) AS value, arg_max(price + 1, ts) AS upper, arg_max(price - 1, ts) AS lower FROM tape WHERE ticker = 'click' GROUP BY 1")
+@register(f"WITH {sql.trades('event_type')} SELECT ticker, CAST(floor(ts / {H1}) AS BIGINT) AS bucket, arg_max(price, ts) AS value, arg_max(price + 1, ts) AS upper, arg_max(price - 1, ts) AS lower FROM tape GROUP BY ALL")
 def q_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last prediction of each bucket for one ticker."""
+    """C4: the last prediction of each bucket, by ticker."""
     p = F.col("price")
-    rows = trades(spark, sf_dir, "event_type").where("ticker = 'click'").select("ts", p.alias("value"), (p + 1).alias("upper"), (p - 1).alias("lower"))
-    return display.overlay(rows, H1)
+    rows = trades(spark, sf_dir, "event_type").select("ticker", "ts", p.alias("value"), (p + 1).alias("upper"), (p - 1).alias("lower"))
+    return display.overlay(rows, H1, keys=("ticker",))
 
 
 @register("SELECT event_type AS name, count(*) AS calls, round(sum(value), 3) AS cumulative, round(avg(value), 6) AS mean, round(count(*) / sum(value), 6) AS per_second FROM events GROUP BY 1 ORDER BY sum(value) DESC LIMIT 3")
 def q_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three costliest calls."""
+    """The three costliest calls."""
     calls = events(spark, sf_dir).select(F.col("event_type").alias("name"), F.col("value").alias("seconds"))
     return rounded(feed.call_profile(calls, 3).withColumn("cumulative", F.round("cumulative", 3)))
 
@@ -188,11 +209,17 @@ def q_topic_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT event_id, json_extract_string(props, '$.k') AS k, value FROM events")
 def q_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows as JSON messages and back."""
+    """Rows as JSON messages and back."""
     sent = topics.messages(events(spark, sf_dir).select("event_id", F.get_json_object("props", "$.k").alias("k"), "value"), F.lit("events.history"))
     return sent.select(F.from_json("payload", "event_id long, k string, value double").alias("r")).select("r.*")
 
 
+@register("SELECT 'realtime.' || user_id || '.TradeData' AS topic, event_id, value FROM events")
+def q_message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream written as JSON messages; a later reader gets the history first."""
+    return runs.messages(spark, sf_dir)
+
+
 @register("SELECT * FROM (VALUES (0, 1, 3, 'Monitor.Grid.Trend.0'), (1, 2, 3, 'Monitor.Grid.Trend.1'), (2, 1, 4, 'Monitor.Grid.Trend.2'), (3, 2, 4, 'Monitor.Grid.Trend.3')) t(i, a, b, name)")
 def q_param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grid of parameters in order."""

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import CN
-from ..functions.filters import FilterMode, constituents, finite, mask, side_split
+from ..functions.filters import FilterMode, checked, constituents, dispatch, finite, mask, side_split
 from ..operators import bars as display
 from ..operators import sampling, volume_clock, volume_profile
+from ..operators.composite import normalize
+from ..operators.running import running_sum
 from ..operators.sampling import Topic
-from ..sources.tape import daily_supplier, trades, type_weights
+from ..sources.shared import scratch
+from ..sources.tape import TAPE, daily_supplier, read_tape, synthetic_bars, trades, type_weights, write_tape
 from . import sql
 from .catalog import long, register, rounded
 
@@ -27,13 +32,24 @@ def _flag_sql(m: int) -> str:
 
 @register(f"WITH {sql.trades()} {' UNION ALL '.join(map(_flag_sql, FLAGS))}")
 def q_mask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and volume that each combination of filters keeps, in one pass."""
+    """Rows and volume that each combination of filters keeps, in one pass."""
     tape = trades(spark, sf_dir)
     kept = {m: mask(FilterMode(m), CN, "kind") for m in FLAGS}
     one = tape.agg(*(F.struct(F.lit(m).alias("mode"), F.count_if(k).alias("n"), F.coalesce(F.sum(F.when(k, F.col("volume"))), F.lit(0.0)).alias("volume")).alias(f"m{m}") for m, k in kept.items()))
     return one.select(F.explode(F.array(*(f"m{m}" for m in FLAGS))).alias("r")).select("r.*")
 
 
+@register(f"WITH {sql.trades()} SELECT CASE WHEN kind IN ('TradeData', 'TransactionData') THEN 'trade' ELSE kind END AS branch, count(*) AS n, sum(volume) AS volume FROM tape GROUP BY 1")
+def q_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rows and volume of each class's branch; unknown classes fail."""
+    tape = checked(trades(spark, sf_dir).withColumn("dtype", F.col("kind")))
+    parts = [b.agg(F.lit(k).alias("branch"), F.count("*").alias("n"), F.sum("volume").alias("volume")) for k, b in dispatch(tape).items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("n > 0")
+
+
 @register(f"WITH {sql.trades()} SELECT CAST(floor(ts / 3600) AS BIGINT) % 24 AS hour, count(*) FILTER (WHERE {sql.SESSION}) AS inside, count(*) AS n FROM tape GROUP BY 1")
 def q_session_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2, F8: events in session by hour."""
@@ -89,10 +105,18 @@ def q_history_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""WITH {sql.trades()}, {sql.bars(H6)}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY idx DESC) AS k FROM bars)
 SELECT ticker, max(close) FILTER (WHERE k = 1) AS active, max(close) FILTER (WHERE k = 2) AS last_closed, count(*) - 1 AS n_closed FROM r GROUP BY 1""")
 def q_latest_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open and last closed bar."""
+    """Open and last closed bar."""
     return sampling.active_and_latest(sampling.fixed_bars(trades(spark, sf_dir), H6, sampling.OHLC), "close")
 
 
+@register(f"""WITH {sql.trades()}, {sql.bars(H6)}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY idx DESC) AS k FROM bars)
+SELECT ticker, string_agg(CAST(CAST(round(close * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY idx) AS closes FROM r WHERE k <= 8 GROUP BY 1""")
+def q_history_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last seven closed bars and the open one as an array."""
+    out = sampling.history_array(sampling.fixed_bars(trades(spark, sf_dir), H6, sampling.OHLC), "close", 8)
+    return out.select("ticker", F.array_join(F.transform("values", lambda x: F.round(x * 100).cast("long").cast("string")), ",").alias("closes"))
+
+
 @register(f"""WITH {sql.trades('event_type')}, {sql.bars(H1)}, s AS (SELECT ticker, unnest(range(min(idx), max(idx) + 1)) AS idx FROM bars GROUP BY ticker)
 SELECT s.ticker, s.idx, round(last_value(close IGNORE NULLS) OVER (PARTITION BY s.ticker ORDER BY s.idx ROWS UNBOUNDED PRECEDING), 6) AS close, coalesce(volume, 0) AS volume FROM s LEFT JOIN bars b ON b.ticker = s.ticker AND b.idx = s.idx""")
 def q_fill_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,10 +128,38 @@ def q_fill_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""WITH {sql.trades('event_type')}, {sql.bars(H1)} SELECT ticker, idx AS bucket, open, high, low, close, volume, n_trades AS ver, CAST(idx * {H1} AS BIGINT) AS ts_start, least(open, close) AS body_low,
 greatest(open, close) AS body_high, CASE WHEN close > open THEN 'up' ELSE 'down' END AS colour FROM bars""")
 def q_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly candles."""
+    """Hourly candles."""
     return display.candles(trades(spark, sf_dir, "event_type"), H1)
 
 
+@register(f"WITH {sql.trades('event_type')}, {sql.bars(H1)} SELECT ticker, idx AS bucket, CAST(idx * {H1} AS BIGINT) AS ts_start, open, high, low, close, volume FROM bars")
+def q_candle_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly candles exported as CSV and read back."""
+    path = scratch(spark, "candles")
+    made = display.candles(trades(spark, sf_dir, "event_type"), H1)
+    display.export_candles(made, path)
+    schema = ", ".join(f"{c} {made.schema[c].dataType.simpleString()}" for c in ("ticker", "bucket", "ts_start", "open", "high", "low", "close", "volume"))
+    return spark.read.schema(schema + ", market_date string").csv(path, header=True).drop("market_date")
+
+
+@register(f"WITH {sql.trades()} SELECT ticker, CAST(floor(ts / 86400) AS BIGINT) AS day, count(*) AS n, sum(volume) AS volume FROM tape WHERE kind IN ('TradeData', 'TickData') AND floor(ts / 86400) BETWEEN 19730 AND 19740 GROUP BY ALL")
+def q_tape_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tape written by date and ticker, and scanned by dates and classes that reach the scan."""
+    path, rows = scratch(spark, "tape"), trades(spark, sf_dir).withColumn("dtype", F.col("kind"))
+    write_tape(rows.select(*(F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TAPE.fields)), path)
+    day = lambda n: date.fromordinal(date(1970, 1, 1).toordinal() + n)
+    tape = read_tape(spark, path, day(19730), day(19740), dtypes=["TradeData", "TickData"])
+    return tape.groupBy("ticker", long(F.floor(F.col("ts") / 86400)).alias("day")).agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
+
+
+@register("SELECT CAST(d * 86400 + 34200 + i * 5 AS DOUBLE) AS ts, round(100 + sin(((d - 19723) * 3960 + i) / 400.0) * 3, 6) AS open_price, true AS ordered FROM (SELECT unnest(range(19723, 19726)) AS d), (SELECT unnest(range(0, 3960)) AS i)")
+def q_synthetic_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three days of random bars; their times, levels and order of prices are fixed."""
+    b = synthetic_bars(spark, [date(2024, 1, d) for d in (1, 2, 3)])
+    within = (F.col("low_price") <= F.col("open_price")) & (F.col("open_price") <= F.col("close_price")) & (F.col("close_price") <= F.col("high_price"))
+    return b.select("ts", F.round("open_price", 6).alias("open_price"), within.alias("ordered"))
+
+
 @register(f"""WITH {sql.trades('event_type')} SELECT ticker, CAST(floor(ts / 86400) AS BIGINT) AS day, CAST(least(floor({sql.ELAPSED} / 1800), 7) AS BIGINT) AS idx, arg_min(price, (ts, seq)) AS open,
 max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, sum(volume) AS volume FROM tape WHERE {sql.SESSION} GROUP BY ALL""")
 def q_session_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +181,30 @@ def q_volume_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volume_clock.with_volume(trades(spark, sf_dir)).select("ticker", "seq", "vol_acc")
 
 
+def _clock_sql(value: str) -> str:
+    return f"""WITH {sql.trades()}, s AS (SELECT *, sum({value}) OVER w AS total, sum(CASE WHEN {sql.SESSION} AND kind IN ('TradeData', 'TransactionData') THEN {value} ELSE 0 END) OVER w AS added FROM tape WINDOW w AS (PARTITION BY ticker ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT *, last_value(CASE WHEN kind = 'TickData' AND {sql.SESSION} THEN total - added END IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS lead FROM s)
+SELECT ticker, seq, round(added + coalesce(lead, 0), 4) AS vol_acc FROM k"""
+
+
+def _clock(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
+    """Clicks are snapshots that tell the total of all events so far."""
+    tape = running_sum(trades(spark, sf_dir).withColumn("dtype", F.col("kind")), F.col(value), f"total_traded_{value}")
+    return rounded(volume_clock.event_clock(tape, value == "notional", CN.in_session(F.col("ts"))).select("ticker", "seq", "vol_acc"), 4)
+
+
+@register(_clock_sql("volume"))
+def q_event_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clock of trades and snapshots, in session."""
+    return _clock(spark, sf_dir, "volume")
+
+
+@register(_clock_sql("notional"))
+def q_event_clock_notional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in notional."""
+    return _clock(spark, sf_dir, "notional")
+
+
 VOLUME_BARS = f"""WITH {sql.trades()}, v AS (SELECT *, sum(volume) OVER (PARTITION BY ticker ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS acc FROM tape)
 SELECT ticker, CAST(floor(acc / 500) AS BIGINT) AS idx, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, sum(volume) AS volume, round(sum(notional), 4) AS notional FROM v GROUP BY ALL"""
 
@@ -156,17 +232,26 @@ def q_adaptive_bars_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volume_clock.adaptive_bars_final(trades(spark, sf_dir, "event_type"), H6, 20, (Topic("close", "price", "update"), Topic("volume", "volume", "accumulate")))
 
 
-@register(f"""WITH {sql.trades('event_type')}, {BASELINE}, {sql.WEIGHTS}, s AS (SELECT sum(weight * baseline) AS scale FROM weights JOIN base ON base.ticker = weights.ticker),
-x AS (SELECT CAST(floor(ts / {H1}) AS BIGINT) AS step_idx, sum(weight * volume) AS v FROM tape JOIN weights ON weights.ticker = tape.ticker GROUP BY 1)
-SELECT step_idx, CAST(floor(round(sum(v) OVER (ORDER BY step_idx) / scale, 6)) AS BIGINT) AS clock FROM x, s""")
+ALIGNED = f"""WITH {sql.trades('event_type')}, {BASELINE}, {sql.WEIGHTS}, s AS (SELECT sum(weight * baseline) AS scale FROM weights JOIN base ON base.ticker = weights.ticker),
+x AS (SELECT CAST(floor(ts / {H1}) AS BIGINT) AS step_idx, sum(weight * volume) AS v FROM tape JOIN weights ON weights.ticker = tape.ticker GROUP BY 1)"""
+
+
+@register(ALIGNED + """ SELECT step_idx, CAST(floor(round(sum(v) OVER (ORDER BY step_idx) / scale, 6)) AS BIGINT) AS clock FROM x, s""")
 def q_aligned_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One clock for all members, by weighted volume."""
-    from ..operators.composite import normalize
-
     tape = trades(spark, sf_dir, "event_type")
     return volume_clock.aligned_clock(tape, normalize(type_weights(spark, sf_dir)), volume_clock.volume_baseline(tape, H6, 20), H1)
 
 
+@register(ALIGNED + """, c AS (SELECT step_idx, CAST(floor(round(sum(v) OVER (ORDER BY step_idx) / scale, 6)) AS BIGINT) AS idx FROM x, s)
+SELECT ticker, idx, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, sum(volume) AS volume, round(sum(notional), 4) AS notional FROM tape JOIN c ON c.step_idx = CAST(floor(ts / 3600) AS BIGINT) GROUP BY ALL""")
+def q_aligned_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of all members on the one clock."""
+    tape = trades(spark, sf_dir, "event_type")
+    clock = volume_clock.aligned_clock(tape, normalize(type_weights(spark, sf_dir)), volume_clock.volume_baseline(tape, H6, 20), H1)
+    return rounded(volume_clock.aligned_bars(tape, clock, H1, BAR), 4)
+
+
 @register()
 def q_adaptive_bars_online(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W13, W14 as they stood at each row; tested against a plain model."""
@@ -178,11 +263,31 @@ f AS (SELECT ticker, day, lag(day_volume) OVER (PARTITION BY ticker ORDER BY day
 a AS (SELECT t.*, CAST(floor(ts / 86400) AS BIGINT) AS day, sum(volume) OVER (PARTITION BY ticker, floor(ts / 86400) ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS acc FROM tape t WHERE {sql.SESSION})
 SELECT a.ticker, a.day, CAST(CASE WHEN step IS NULL OR step = 0 THEN floor({sql.ELAPSED} / 1800) ELSE floor(acc / step) END AS BIGINT) AS idx, arg_max(price, (ts, seq)) AS close, sum(volume) AS volume FROM a JOIN f ON f.ticker = a.ticker AND f.day = a.day GROUP BY ALL""")
 def q_profile_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W17, W18, T9, G17's clock: volume bars on the day's forecast, here the day before's volume."""
+    """W17 with one forecast a day, here the day before's volume: windows alone."""
     tape = trades(spark, sf_dir, "event_type").where(CN.in_session(F.col("ts")))
     return volume_profile.profile_bars(tape, CN, 1800, volume_profile.naive_forecast(tape), (Topic("close", "price", "update"), Topic("volume", "volume", "accumulate")))
 
 
+@register(f"""WITH {sql.trades('event_type')}, p AS (SELECT ticker, CAST(floor(ts / 86400) AS BIGINT) AS day, sum(volume) AS v FROM tape WHERE {sql.SESSION} GROUP BY ALL),
+f AS (SELECT ticker, day, nullif(lag(v) OVER (PARTITION BY ticker ORDER BY day), 0) / 8 AS step FROM p),
+a AS (SELECT t.*, CAST(floor(ts / 86400) AS BIGINT) AS day, sum(volume) OVER (PARTITION BY ticker, floor(ts / 86400) ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS acc FROM tape t WHERE {sql.SESSION}),
+b AS (SELECT a.*, step IS NOT NULL AS known, CASE WHEN step IS NULL THEN floor({sql.ELAPSED} / 1800) ELSE floor(acc / step) END AS i FROM a JOIN f ON f.ticker = a.ticker AND f.day = a.day),
+c AS (SELECT *, dense_rank() OVER (PARTITION BY ticker, day ORDER BY i) - CASE WHEN min(i) OVER (PARTITION BY ticker, day) = 0 THEN 1 ELSE 0 END AS idx FROM b)
+SELECT ticker, day, CAST(idx AS BIGINT) AS idx, arg_max(price, (ts, seq)) AS close, sum(volume) AS volume, arg_max(known, (ts, seq)) AS ready FROM c GROUP BY ALL""")
+def q_profile_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The online profile clock on a model's forecast, here the day before's volume; session time without one."""
+    tape = trades(spark, sf_dir, "event_type").where(CN.in_session(F.col("ts")))
+    topics = (Topic("close", "price", "update"), Topic("volume", "volume", "accumulate"))
+    return volume_profile.profile_bars_online(tape, CN, 1800, topics, window=1 << 30, forecast=volume_profile.naive_forecast(tape))
+
+
+@register()
+def q_profile_bars_online(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars whose bucket is forecast anew after each roll, by the day itself; tested against a plain model."""
+    topics = (Topic("close", "price", "update"), Topic("volume", "volume", "accumulate"))
+    return volume_profile.profile_bars_online(trades(spark, sf_dir, "event_type"), CN, 1800, topics, window=4)
+
+
 OBS = f"""o AS (SELECT ticker, CAST(floor(ts / 86400) AS BIGINT) AS day, CAST(floor({sql.ELAPSED} / 1800) AS BIGINT) AS i, sum(volume) AS acc_vol, sum(notional) AS acc_amt, max(price) - min(price) AS px_range,
   arg_max(price, (ts, seq)) - arg_min(price, (ts, seq)) AS px_diff FROM tape WHERE {sql.SESSION} AND {sql.ELAPSED} < 14400 GROUP BY ALL),
 days AS (SELECT DISTINCT ticker, day FROM o), gr AS (SELECT ticker, day, unnest(range(0, 8)) AS i FROM days),
@@ -249,16 +354,14 @@ def _resid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def q_accumulated_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least squares of the day's volume; tested against numpy."""
-    r = _resid(spark, sf_dir)
-    return rounded(volume_profile.predict_accumulated(r, volume_profile.fit_accumulated(r)), 3)
+    """Each day's volume by least squares on the days before; tested against numpy."""
+    return rounded(volume_profile.walk_forward(_resid(spark, sf_dir)), 3)
 
 
 @register()
 def q_interval_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least squares by interval; tested against numpy."""
-    r = _resid(spark, sf_dir)
-    return rounded(volume_profile.predict_intervals(r, volume_profile.fit_intervals(r), 4), 3)
+    """The same by interval, after four intervals of the day; tested against numpy."""
+    return rounded(volume_profile.walk_forward(_resid(spark, sf_dir), 4), 3)
 
 
 @register("""SELECT CAST(l_suppkey AS BIGINT) AS ticker, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS day, sum(l_quantity) AS volume, round(sum(l_extendedprice), 2) AS notional,

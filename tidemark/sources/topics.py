@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Actions by how many parts follow them.
@@ -24,6 +24,16 @@ def parse(topic: Column) -> Column:
     return F.struct(action.alias("action"), ticker.alias("ticker"), dtype.alias("dtype"))
 
 
+def send(stream: DataFrame, path: str, state: str) -> None:
+    """Appends a stream of (topic, payload) to a log of JSON files by topic, until its input ends; ``state``: its checkpoint."""
+    stream.writeStream.format("json").partitionBy("topic").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+def listen(spark: SparkSession, path: str) -> DataFrame:
+    """Stream of (topic, payload) from a log: its history first, then what is appended."""
+    return spark.readStream.schema("payload string, topic string").json(path)
+
+
 def messages(rows: DataFrame, topic: Column) -> DataFrame:
     """(topic, payload): rows as JSON, for any message sink; strings pass as they are."""
     if rows.columns == ["payload"] and rows.schema["payload"].dataType.simpleString() == "string":

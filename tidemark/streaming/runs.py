@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import topics
 from ..sources.shared import scratch
 from . import processors
 
@@ -47,13 +48,14 @@ def source(spark: SparkSession, sf_dir: str, rows: int | None = None) -> tuple[D
     return spark.readStream.schema(tape.schema).option("maxFilesPerTrigger", files).parquet(path), (last or 0.0) - (first or 0.0)
 
 
-def to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
+def to_table(stream: DataFrame, name: str, mode: str, path: str | None = None) -> DataFrame:
     """Runs ``stream`` over what there is; its rows with the number of the batch that wrote them.
 
-    A batch writes its own folder anew, so a batch that is repeated after a failure replaces itself.
+    A batch writes its own folder anew, so a batch that is repeated after a failure replaces itself. Given the ``path``
+    of an earlier run, it goes on from that run's state.
     """
     spark = stream.sparkSession
-    path = scratch(spark, name)
+    path = path or scratch(spark, name)
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
@@ -78,6 +80,16 @@ def fixed_bars(spark: SparkSession, sf_dir: str, seconds: int) -> DataFrame:
     return latest(to_table(out, "stream_bars", "update"), ["ticker", "idx"])
 
 
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events sent as JSON messages by topic, and read again from the log's start."""
+    path = scratch(spark, "messages")
+    rows = source(spark, sf_dir)[0]
+    sent = topics.messages(rows.select(F.col("seq").alias("event_id"), F.col("price").alias("value"), "ticker"), topics.push_topic(F.col("ticker"), F.lit("TradeData")))
+    topics.send(sent, f"{path}/log", f"{path}/state")
+    back = topics.listen(spark, f"{path}/log").select("topic", F.from_json("payload", "event_id long, value double").alias("r")).select("topic", "r.*")
+    return to_table(back, "stream_messages", "append").drop("batch")
+
+
 def volume_bars(spark: SparkSession, sf_dir: str, interval: float) -> DataFrame:
     rows = source(spark, sf_dir)[0].select("ticker", "ts", "seq", "price", "volume")
     return latest(to_table(processors.volume_bars(rows, interval), "stream_volume_bars", "update"), ["ticker", "idx"])
