@@ -85,20 +85,27 @@ def q_ema_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index_sql(missing: str) -> str:
-    return f"""WITH {sql.trades('event_type')}, {sql.WEIGHTS}, r AS (SELECT ticker, arg_max(price, (ts, seq)) / nullif(arg_min(price, (ts, seq)), 0) AS ratio FROM tape WHERE ticker <> 'view' GROUP BY 1)
-SELECT 'types' AS index_name, round({missing}, 6) AS level FROM weights LEFT JOIN r ON r.ticker = weights.ticker"""
+    return f"""WITH {sql.trades('event_type')}, w AS (SELECT event_type AS ticker, CAST(count(*) AS DOUBLE) AS weight FROM events GROUP BY 1 UNION ALL SELECT 'unseen', 200.0),
+r AS (SELECT ticker, arg_max(price, (ts, seq)) / nullif(arg_min(price, (ts, seq)), 0) AS ratio FROM tape GROUP BY 1)
+SELECT 'types' AS index_name, round({missing}, 6) AS level FROM w LEFT JOIN r ON r.ticker = w.ticker"""
+
+
+def _with_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights of all types, and of a member that never trades."""
+    more = spark.createDataFrame([("types", "unseen", 200.0)], "index_name string, ticker string, weight double")
+    return composite.normalize(type_weights(spark, sf_dir).unionByName(more))
 
 
 @register(_index_sql("1000 * sum(weight * coalesce(ratio, 1)) / sum(weight)"))
 def q_synthetic_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index level; a member never seen counts as unchanged."""
-    return rounded(composite.synthetic_index(trades(spark, sf_dir, "event_type").where("ticker <> 'view'"), composite.normalize(type_weights(spark, sf_dir)), base=1000.0))
+    return rounded(composite.synthetic_index(trades(spark, sf_dir, "event_type"), _with_unseen(spark, sf_dir), base=1000.0))
 
 
 @register(_index_sql("1000 * sum(weight * ratio) / sum(weight) FILTER (WHERE ratio IS NOT NULL)"))
 def q_synthetic_index_renorm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index level; a member never seen has no weight."""
-    return rounded(composite.synthetic_index(trades(spark, sf_dir, "event_type").where("ticker <> 'view'"), composite.normalize(type_weights(spark, sf_dir)), base=1000.0, missing="renormalize"))
+    return rounded(composite.synthetic_index(trades(spark, sf_dir, "event_type"), _with_unseen(spark, sf_dir), base=1000.0, missing="renormalize"))
 
 
 @register(f"""WITH {sql.trades('event_type')}, {sql.bars(H6)}, {sql.WEIGHTS}, b AS (SELECT ticker, arg_min(price, (ts, seq)) AS base FROM tape GROUP BY 1),
