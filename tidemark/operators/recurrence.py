@@ -21,9 +21,9 @@ def alpha_of(window: int) -> float:
     return 2 / (window + 1)
 
 
-def _blocks(df: DataFrame, value: str, alphas: dict[str, float], keys: tuple[str, ...], order: str) -> DataFrame:
+def _blocks(df: DataFrame, value: str, alphas: dict[str, float], keys: tuple[str, ...], order: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(keys, __b, rows, and of each name its series from an empty memory); NULLs are passed over."""
-    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("x"))))
+    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("x"), *keep)))
     cut = df.where(F.col(value).isNotNull()).groupBy(*keys, F.floor(F.col(order) / BLOCK).alias("__b")).agg(rows.alias("rows"))
     start = F.struct(F.lit(0.0).alias("m"), F.array().cast("array<double>").alias("s"))
 
@@ -52,14 +52,14 @@ def _starts(blocks: DataFrame, alphas: dict[str, float], keys: tuple[str, ...],
     return ends.groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias("e")).select(*keys, F.aggregate("e", blank, step).alias("z"))
 
 
-def emas(df: DataFrame, value: str, alphas: dict[str, float], *, keys: tuple[str, ...] = ("ticker",), order: str = "idx", seed: float | None = None) -> DataFrame:
-    """(keys, order, x, first, one column a name): several EMAs of one value; ``first`` marks a key's first row."""
-    blocks = _blocks(df, value, alphas, keys, order)
+def emas(df: DataFrame, value: str, alphas: dict[str, float], *, keys: tuple[str, ...] = ("ticker",), order: str = "idx", seed: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, order, x, first, keep, one column a name): several EMAs of one value; ``first`` marks a key's first row."""
+    blocks = _blocks(df, value, alphas, keys, order, keep)
     starts = _starts(blocks, alphas, keys, seed).select(*keys, F.explode("z.s").alias("z")).select(*keys, F.col("z.__b").alias("__b"), F.col("z.first").alias("__first"), *(F.col(f"z.{n}").alias(f"__m_{n}") for n in alphas))
     joined = blocks.join(starts, [*keys, "__b"])
     each = joined.select(*keys, "__first", *(f"__m_{n}" for n in alphas), F.posexplode(F.arrays_zip("rows", *(f"__{n}" for n in alphas))).alias("__i", "z"))
     values = (F.col(f"z.__{n}") + F.pow(F.lit(1 - a), F.col("__i") + 1) * F.col(f"__m_{n}") for n, a in alphas.items())
-    return each.select(*keys, F.col("z.rows.o").alias(order), F.col("z.rows.x").alias("x"), (F.col("__first") & (F.col("__i") == 0)).alias("first"), *(v.alias(n) for n, v in zip(alphas, values, strict=True)))
+    return each.select(*keys, F.col("z.rows.o").alias(order), F.col("z.rows.x").alias("x"), (F.col("__first") & (F.col("__i") == 0)).alias("first"), *(F.col(f"z.rows.{k}").alias(k) for k in keep), *(v.alias(n) for n, v in zip(alphas, values, strict=True)))
 
 
 def ema_series(df: DataFrame, value: str, alpha: float, *, keys: tuple[str, ...] = ("ticker",), order: str = "idx", seed: float | None = None, emit_seed: bool = True) -> DataFrame:
@@ -80,11 +80,10 @@ def ema_last(df: DataFrame, value: str, alpha: float, *, keys: tuple[str, ...] =
 def macd(df: DataFrame, price: str = "close", *, short: int = 12, long: int = 26, signal: int = 9, keys: tuple[str, ...] = ("ticker",), order: str = "idx") -> DataFrame:
     """(keys, order, line, signal, diff, diff_adjusted); all memories start at the first price, the signal at the first line."""
     both = emas(df, price, {"f": alpha_of(short), "g": alpha_of(long)}, keys=keys, order=order)
-    line = both.withColumn("line", F.col("f") - F.col("g"))
-    out = emas(line, "line", {"signal": alpha_of(signal)}, keys=keys, order=order).withColumnRenamed("x", "line")
-    prices = both.select(*keys, order, "x")
-    diff = F.col("line") - F.col("signal")
-    return out.join(prices, [*keys, order]).select(*keys, order, "line", "signal", diff.alias("diff"), F.try_divide(diff, "x").alias("diff_adjusted"))
+    line = both.select(*keys, order, F.col("x").alias("price"), (F.col("f") - F.col("g")).alias("line"))
+    out = emas(line, "line", {"signal": alpha_of(signal)}, keys=keys, order=order, keep=("price",))
+    diff = F.col("x") - F.col("signal")
+    return out.select(*keys, order, F.col("x").alias("line"), "signal", diff.alias("diff"), F.try_divide(diff, "price").alias("diff_adjusted"))
 
 
 def snapshot(df: DataFrame, value: str, alpha: float, *, keys: tuple[str, ...] = ("ticker",), order: str = "idx") -> DataFrame:
