@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import SessionCalendar
@@ -77,9 +77,8 @@ def ledger(rows: DataFrame, *, keys: tuple[str, ...] = ("ticker",), fee_rate: fl
 
 def drawdown(book: DataFrame, *, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
     """Adds, for rows with a position, the trade's worst nav so far and the time since it was opened."""
-    w = Window.partitionBy(*keys, "trade_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    held = book.where("position <> 0")
-    return held.withColumns({"max_drawdown": F.min("nav").over(w), "holding_time": F.col("ts") - F.first("ts").over(w)})
+    held = running(book.where("position <> 0"), mins={"max_drawdown": F.col("nav"), "__since": F.col("ts")}, keys=(*keys, "trade_id"))
+    return held.withColumn("holding_time", F.col("ts") - F.col("__since")).drop("__since")
 
 
 def signal_actions(rows: DataFrame, *, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:

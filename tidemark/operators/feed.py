@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .running import running
+
+#: Sequence numbers of one block.
+SEQ_BLOCK = 1 << 16
+
 
 def trade_statistics(trades: DataFrame) -> DataFrame:
     """(ticker, n_trades, acc_volume) of unique trades."""
@@ -14,15 +19,15 @@ def trade_statistics(trades: DataFrame) -> DataFrame:
 
 def snapshot_statistics(ticks: DataFrame) -> DataFrame:
     """(ticker, n_ticks, last_total): repeated and backward snapshots are dropped, the last total counts."""
-    w = Window.partitionBy("ticker").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = ticks.withColumn("__m", F.max("ts").over(w)).where(F.col("__m").isNull() | (F.col("ts") > F.col("__m")))
+    seen = running(ticks, maxes={"__m": F.col("ts")}, order=("seq",), block=SEQ_BLOCK, with_row=False)
+    fresh = seen.where(F.col("__m").isNull() | (F.col("ts") > F.col("__m")))
     return fresh.groupBy("ticker").agg(F.count("*").alias("n_ticks"), F.max_by("total_traded_volume", F.struct("ts", "seq")).alias("last_total"))
 
 
 def gaps(tape: DataFrame, limit: float = 6.0) -> DataFrame:
     """(ticker, ts, gap) of rows that come more than ``limit`` seconds after the row before."""
-    gap = F.col("ts") - F.lag("ts").over(Window.partitionBy("ticker").orderBy("ts", "seq"))
-    return tape.withColumn("gap", gap).where(F.col("gap") > limit).select("ticker", "ts", "gap")
+    rows = running(tape.select("ticker", "ts", "seq"), maxes={"__before": F.col("ts")}, with_row=False)
+    return rows.withColumn("gap", F.col("ts") - F.col("__before")).where(F.col("gap") > limit).select("ticker", "ts", "gap")
 
 
 def reconcile(trades: DataFrame, totals: DataFrame, tolerance: float = 1.005) -> DataFrame:

@@ -13,20 +13,32 @@ from pyspark.sql import functions as F
 DAY = 86400.0
 
 
-def running(df: DataFrame, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, keys: tuple[str, ...] = ("ticker",), block: float = DAY) -> DataFrame:
-    """Adds, in the order of (ts, seq): of ``sums`` the sum up to and with each row, of ``lasts`` the last value that is not NULL."""
-    sums, lasts = sums or {}, lasts or {}
-    rows = df.withColumns({"__block": F.floor(F.col("ts") / block), **{f"__s_{n}": c for n, c in sums.items()}, **{f"__l_{n}": c for n, c in lasts.items()}})
-    at = F.struct("ts", "seq")
-    ends = rows.groupBy(*keys, "__block").agg(*(F.sum(f"__s_{n}").alias(f"__t_{n}") for n in sums), *(F.max_by(f"__l_{n}", F.when(F.col(f"__l_{n}").isNotNull(), at)).alias(f"__e_{n}") for n in lasts))
-    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ends.select(*keys, "__block", *(F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in sums), *(F.last(f"__e_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in lasts))
-    inside = Window.partitionBy(*keys, "__block").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    within = rows.withColumns({**{f"__s_{n}": F.sum(f"__s_{n}").over(inside) for n in sums}, **{f"__l_{n}": F.last(f"__l_{n}", ignorenulls=True).over(inside) for n in lasts}})
+#: Of each kind: over rows, over blocks, and of what came before the block with what the block adds.
+_KINDS: dict[str, tuple] = {
+    "sums": (F.sum, F.sum, lambda before, inside: F.coalesce(before, F.lit(0)) + F.coalesce(inside, F.lit(0))),
+    "mins": (F.min, F.min, F.least),
+    "maxes": (F.max, F.max, F.greatest),
+    "lasts": (lambda c: F.last(c, ignorenulls=True), lambda c: F.last(c, ignorenulls=True), lambda before, inside: F.coalesce(inside, before)),
+}
+
+
+def running(df: DataFrame, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, *, mins: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None, keys: tuple[str, ...] = ("ticker",), block: float = DAY, order: tuple[str, ...] = ("ts", "seq"), with_row: bool = True) -> DataFrame:
+    """Adds, in ``order`` (a number first): sums, last values that are not NULL, least and greatest values up to each row.
+
+    ``with_row=False``: of the rows before it alone.
+    """
+    asked = {n: (kind, c) for kind, named in (("sums", sums), ("lasts", lasts), ("mins", mins), ("maxes", maxes)) for n, c in (named or {}).items()}
+    rows = df.withColumns({"__block": F.floor(F.col(order[0]) / block), **{f"__v_{n}": c for n, (_, c) in asked.items()}})
+    at = F.struct(*order)
+    total = {n: F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), at)) if kind == "lasts" else _KINDS[kind][0](f"__v_{n}") for n, (kind, _) in asked.items()}
+    ends = rows.groupBy(*keys, "__block").agg(*(t.alias(f"__t_{n}") for n, t in total.items()))
+    earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(*keys, "__block", *(_KINDS[kind][1](f"__t_{n}").over(earlier).alias(f"__b_{n}") for n, (kind, _) in asked.items()))
+    inside = Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if with_row else -1)
+    within = rows.withColumns({f"__i_{n}": _KINDS[kind][0](f"__v_{n}").over(inside) for n, (kind, _) in asked.items()})
     joined = within.join(starts, [*keys, "__block"])
-    named = {**{n: F.col(f"__b_{n}") + F.col(f"__s_{n}") for n in sums}, **{n: F.coalesce(f"__l_{n}", f"__c_{n}") for n in lasts}}
-    kept = [c for c in df.columns if c not in named]
-    return joined.select(*kept, *(c.alias(n) for n, c in named.items()))
+    named = [_KINDS[kind][2](F.col(f"__b_{n}"), F.col(f"__i_{n}")).alias(n) for n, (kind, _) in asked.items()]
+    return joined.select(*(c for c in df.columns if c not in asked), *named)
 
 
 def running_sum(df: DataFrame, value: Column, name: str, keys: tuple[str, ...] = ("ticker",), block: float = DAY) -> DataFrame:

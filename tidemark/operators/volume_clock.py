@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import running, running_sum
+from .running import in_key_order, key_values, running, running_sum
 from .sampling import Topic, bars
 
 
@@ -129,33 +129,26 @@ class AdaptiveClock:
 
 
 def adaptive_bars_online(tape: DataFrame, interval: float, window: int, topics: tuple[Topic, ...], *, sample_size: int = 20, value: str = "volume", keys: tuple[str, ...] = ("ticker", "day")) -> DataFrame:
-    """Bars of the clock as it stood at each row. The state starts anew for every ticker and day."""
+    """Bars of the clock as it stood at each row. The state starts anew for every ticker and day; no day is held whole."""
     rows = tape.withColumn("day", F.floor(F.col("ts") / 86400.0)) if "day" not in tape.columns else tape
     light = rows.select(*keys, "ts", "seq", F.coalesce(F.col(value), F.lit(0.0)).alias("v"))
 
-    def number(_: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        clock, acc = AdaptiveClock(interval, sample_size, window), 0.0
-        pdf = pd.concat(list(parts)).sort_values(["ts", "seq"], ignore_index=True)
-        out = []
-        for ts, v in zip(pdf["ts"], pdf["v"], strict=True):
-            acc += v
-            out.append(clock.step(ts, acc, v))
-        yield pdf[[*keys, "ts", "seq"]].assign(bar=out)
+    def number(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, clock, acc = None, None, 0.0
+        for pdf in parts:
+            out = []
+            for key, ts, v in zip(key_values(pdf, keys), pdf["ts"], pdf["v"], strict=True):
+                if clock is None or key != held:
+                    held, clock, acc = key, AdaptiveClock(interval, sample_size, window), 0.0
+                acc += v
+                out.append(clock.step(ts, acc, v))
+            yield pdf[[*keys, "ts", "seq"]].assign(bar=out)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in light.schema.fields if f.name != "v") + ", bar long"
-    numbered = light.groupBy(*keys).applyInPandas(_whole(number), schema)
+    numbered = in_key_order(light, keys).mapInPandas(number, schema)
     return bars(rows.join(numbered, [*keys, "ts", "seq"]), topics, F.col("bar"), keys)
 
 
-def _whole(step):
-    """A grouped function over one frame from a step over an iterator of frames."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(list(step(key, iter([pdf]))))
-
-    return run
-
-
 def readiness(bounds: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, ready): whether every ticker has a value."""
     return bounds.groupBy(*by).agg(F.bool_and(F.col(column).isNotNull()).alias("ready"))
