@@ -1,5 +1,7 @@
 """Streams over several files end in the batch result."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +61,20 @@ def test_a_stopped_stream_goes_on_from_its_state(spark, tmp_path):
     assert found == pytest.approx(want)
 
 
+def test_idle_keys_lose_their_state(spark, tmp_path):
+    """The watermark passes key a's last row by over 100 s while b trades; then a starts anew."""
+    files = [[("a", 0.0, 1.0), ("a", 10.0, 2.0)], [("b", 10_000.0, 1.0)], [("b", 10_001.0, 5.0)], [("a", 10_010.0, 9.0), ("b", 10_020.0, 9.0)]]
+    for n, part in enumerate(files):
+        rows = [(k, 5000.0 + ts, n * 10 + i, p) for i, (k, ts, p) in enumerate(part)]
+        spark.createDataFrame(rows, "ticker string, ts double, seq long, price double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{n}")
+        for f in (tmp_path / "in" / str(n)).glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = spark.readStream.schema("ticker string, ts double, seq long, price double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    marked = stream.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", "0 seconds")
+    out = runs.to_table(processors.ema(marked, "price", 0.5, idle=100.0), "idle", "append")
+    assert {r["seq"]: r["ema"] for r in out.collect()} == {0: 1.0, 1: 1.5, 10: 1.0, 20: 3.0, 30: 9.0, 31: 6.0}
+
+
 @pytest.fixture(scope="module")
 def shuffled(spark, tmp_path_factory):
     """Events in part files by a hash, spread over 300 days; the files are written in no order of time."""
