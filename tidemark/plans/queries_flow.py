@@ -126,11 +126,13 @@ def q_pool_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(back.groupBy("ts").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 4)
 
 
-@register(f"WITH {FACTORS}, c AS (SELECT DISTINCT floor(ts / 3600) * 3600 AS ts FROM tape), k AS (SELECT DISTINCT ts FROM f) SELECT c.ts, min(k.ts) AS matched_ts FROM c LEFT JOIN k ON k.ts > c.ts GROUP BY 1")
+@register(f"""WITH {FACTORS}, c AS (SELECT DISTINCT floor(ts / 3600) * 3600 AS ts FROM tape), k AS (SELECT DISTINCT ts FROM f), m AS (SELECT c.ts, min(k.ts) AS matched_ts FROM c LEFT JOIN k ON k.ts > c.ts GROUP BY 1)
+SELECT m.ts, matched_ts, {", ".join(f"max(value) FILTER (WHERE factor = '{n}') AS {n.replace('.', '_')}" for n in NAMES)} FROM m LEFT JOIN f ON f.ts = m.matched_ts GROUP BY 1, 2""")
 def q_cache_playback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The store seen from an hourly clock, the row strictly after each time."""
+    """The store's factors seen from an hourly clock, the row strictly after each time."""
     clock = trades(spark, sf_dir).select((F.floor(F.col("ts") / 3600) * 3600.0).alias("ts")).distinct()
-    return pool.playback(clock, factor_rows(spark, sf_dir), NAMES, forward=True, strict=True).select("ts", "matched_ts")
+    seen = pool.playback(clock, factor_rows(spark, sf_dir), NAMES, forward=True, strict=True)
+    return seen.select("ts", "matched_ts", *(F.try_element_at("factors", F.lit(n)).alias(n.replace(".", "_")) for n in NAMES))
 
 
 @register(f"WITH {FACTORS}, c AS (SELECT DISTINCT floor(ts / 3600) * 3600 + 1 AS ts FROM tape), k AS (SELECT DISTINCT ts FROM f) SELECT c.ts, coalesce(min(k.ts), floor(c.ts / {H6}) * {H6}) AS found FROM c LEFT JOIN k ON k.ts >= c.ts GROUP BY c.ts")
