@@ -1,29 +1,35 @@
 """Quality rules with adaptive thresholds (operator 4). DataFrame functions only.
 
-Each document gets four ratios. Per language and source, each ratio's distribution is kept as a mergeable
-quantile sketch: counts of values rounded up to five significant bits, so any quantile is off by at most
-1/16, equal for any order of merging, and a group's sketch has a few hundred rows at most. The threshold of a
-group is its median plus four times the distance to its third quartile, that distance taken as a quarter of
-the median at least, and never under a tolerance that clean text stays below. Groups of few documents take the merged sketch of their language. Documents are then
-joined with their group's thresholds and filtered.
+Each document gets four ratios: symbols by character, repeated lines by line, repeated words by word, and characters
+by word. Per language and source, the distribution of each ratio, and of the sizes that it is taken of, is kept as a
+mergeable quantile sketch: counts of values rounded up to five significant bits, so any quantile is off by at most
+1/16, equal for any order of merging, and a group's sketch has a few hundred rows at most. Documents that fail the
+base rules are left out of it.
+
+A group's threshold is its ninth decile plus five times the distance from its median to there. That distance is
+one event in a document of the group's median size at least (a symbol, a repeated line, two windows of words; for the
+mean length of words the sketch's own resolution), since a ratio can't tell finer. No fixed cutoff bounds it.
+Quantiles of a group of n documents are drawn towards those of its language by weight, n : 100, so sparse groups pass
+over into their language smoothly. Documents are joined with their group's thresholds and filtered; beyond the
+threshold each has one event free, which a short document could not spread.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import P, documents, materialize, text_of
+from .store import P, columns, documents, materialize, text_of
 
-WHITE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
-#: Per ratio: the tolerance in thousandths (of a character for the mean length of words).
-TOLERANCE = {"symbols": 50, "dup_lines": 500, "repeats": 300, "word_length": 15_000}
-SPREAD, MIN_GROUP = 4, 100
+#: Per ratio: what is counted, of what, and how many make an event.
+RATIOS = {"symbols": ("n_symbols", "word_chars", 1), "dup_lines": ("n_dup_lines", "n_lines", 1), "repeats": ("n_repeat_words", "n_words", 2 * WINDOW), "word_length": ("word_chars", "n_words", 0)}
+SIZES = ["word_chars", "n_lines", "n_words"]
+#: Ratios are in millionths. SPREAD: times the distance; PRIOR: documents that a language's quantiles count for.
+SCALE, SPREAD, PRIOR = 1_000_000, 5, 100
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -33,7 +39,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, "[ \\t-\\r]+"), "")
+
+
+def has_word(line: Column) -> Column:
+    return line.rlike("[^ \\t-\\r]")
 
 
 def repeated_words(words: Column) -> Column:
@@ -57,15 +67,15 @@ def repeated_words(words: Column) -> Column:
 def with_counts(docs: DataFrame) -> DataFrame:
     """Adds the five counts and the number of lines with a word, as prefixed columns. Null text: zeros."""
     text = text_of()
-    worded = let(F.filter(F.split(text, "\n"), lambda line: F.translate(line, WHITE, "") != ""), lambda ls: F.struct(F.size(ls).alias("n"), (F.size(ls) - F.size(F.array_distinct(ls))).alias("dup")))
-    found = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeats")))
-    made = F.struct(found.alias(f"{P}w"), worded.alias(f"{P}l"), F.length(F.translate(text, WHITE, "")).cast("long").alias(f"{P}word_chars"), (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias(f"{P}n_symbols"))
+    worded = let(F.filter(F.split(text, "\n"), has_word), lambda ls: F.struct(F.size(ls).alias("n"), (F.size(ls) - F.size(F.array_distinct(ls))).alias("dup")))
+    found = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated_words(w).alias("repeats")))
+    made = F.struct(found.alias(f"{P}w"), worded.alias(f"{P}l"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias(f"{P}n_symbols"))
     # from a generator, so that filters and later columns use the counts and do not make them again
-    out = docs.select(*docs.columns, F.inline(F.array(made)))
+    out = docs.select(*columns(docs), F.inline(F.array(made)))
     return out.select(
-        *docs.columns,
+        *columns(docs),
         F.col(f"{P}w.n").alias(f"{P}n_words"),
-        f"{P}word_chars",
+        F.col(f"{P}w.chars").alias(f"{P}word_chars"),
         f"{P}n_symbols",
         F.col(f"{P}l.dup").cast("long").alias(f"{P}n_dup_lines"),
         F.col(f"{P}w.repeats").alias(f"{P}n_repeat_words"),
@@ -73,70 +83,78 @@ def with_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def _ratio(part: str, whole: str, scale: int = 1000) -> Column:
-    return F.expr(f"if({P}{whole} = 0, 0L, {scale}L * {P}{part} div {P}{whole})")
+def measures() -> dict[str, Column]:
+    """The ratios and the sizes that they are taken of."""
+    ratio = lambda part, whole: F.expr(f"if({P}{whole} = 0, 0L, {SCALE}L * {P}{part} div {P}{whole})")
+    return {k: ratio(part, whole) for k, (part, whole, _) in RATIOS.items()} | {k: F.col(f"{P}{k}") for k in SIZES}
 
 
-def ratios() -> dict[str, Column]:
-    return {"symbols": _ratio("n_symbols", "word_chars"), "dup_lines": _ratio("n_dup_lines", "n_lines"), "repeats": _ratio("n_repeat_words", "n_words"), "word_length": _ratio("word_chars", "n_words")}
+def base_failed() -> Column:
+    return F.expr(f"{P}n_words < 20 OR 100 * {P}n_repeat_words > 30 * {P}n_words")
 
 
 def sketch(counted: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, ratio, value, n): documents by rounded value of each ratio."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("ratio"), v.alias("v")) for k, v in ratios().items())))
+    """(keys, measure, value, n): documents by rounded value of each measure, without those that fail the base rules."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), v.alias("v")) for k, v in measures().items())))
     low = F.expr("greatest(length(bin(v)) - 5, 0)")
-    rows = counted.select(*keys, pairs.alias("r")).select(*keys, "r.*").withColumn("low", low)
-    return rows.groupBy(*keys, "ratio", F.expr("shiftleft(shiftright(v, low) + 1, low) - 1").alias("value")).agg(F.count("*").alias("n"))
+    rows = counted.where(~base_failed()).select(*keys, pairs.alias("r")).select(*keys, "r.*").withColumn("low", low)
+    return rows.groupBy(*keys, "measure", F.expr("shiftleft(shiftright(v, low) + 1, low) - 1").alias("value")).agg(F.count("*").alias("n"))
 
 
 def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    return sketches.groupBy(*keys, "ratio", "value").agg(F.sum("n").alias("n"))
+    return sketches.groupBy(*keys, "measure", "value").agg(F.sum("n").alias("n"))
 
 
-def limits(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, ratio, n_docs, high): the threshold that a group's sketch gives."""
-    group = Window.partitionBy(*keys, "ratio")
+def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_docs, mid_ and top_ of each measure): median and ninth decile that a group's sketch gives."""
+    group = Window.partitionBy(*keys, "measure")
     ranked = sketches.withColumns({"upto": F.sum("n").over(group.orderBy("value")), "n_docs": F.sum("n").over(group)})
-    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("n_docs") * q, F.col("value")))
-    return ranked.groupBy(*keys, "ratio").agg(F.max("n_docs").alias("n_docs"), at(50).alias("mid"), at(75).alias("top")).select(*keys, "ratio", "n_docs", F.expr(f"mid + {SPREAD} * greatest(top - mid, mid div 4)").alias("high"))
+    at = lambda k, q: F.min(F.when((F.col("measure") == k) & (F.col("upto") * 100 >= F.col("n_docs") * q), F.col("value")))
+    return ranked.groupBy(*keys).agg(F.max("n_docs").alias("n_docs"), *(at(k, q).alias(f"{name}_{k}") for k in measures() for name, q in (("mid", 50), ("top", 90))))
 
 
 def thresholds(counted: DataFrame) -> DataFrame:
-    """(lang, source, limits by ratio): one row a group. Null languages and sources are groups of their own."""
+    """(lang, source, threshold of each ratio): one row a group that has a document past the base rules. Null languages and sources are groups of their own."""
     by_group = sketch(counted, ["lang", "source"])
-    by_lang = limits(merge(by_group, ["lang"]), ["lang"]).select(F.col("lang").alias("l"), F.col("ratio").alias("r"), F.col("high").alias("lang_high"))
-    own = limits(by_group, ["lang", "source"])
-    both = own.join(by_lang, own["lang"].eqNullSafe(by_lang["l"]) & (own["ratio"] == by_lang["r"]), "left")
-    tolerance = reduce(lambda c, kv: c.when(F.col("ratio") == kv[0], kv[1]), list(TOLERANCE.items())[1:], F.when(F.col("ratio") == "symbols", TOLERANCE["symbols"]))
-    high = F.greatest(tolerance.cast("long"), F.when(F.col("n_docs") >= MIN_GROUP, F.col("high")).otherwise(F.col("lang_high")))
-    return both.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == k, high)).alias(f"{P}max_{k}") for k in TOLERANCE))
+    own = quantiles(by_group, ["lang", "source"])
+    names = [c for c in own.columns if c.startswith(("mid_", "top_"))]
+    by_lang = quantiles(merge(by_group, ["lang"]), ["lang"]).select(F.col("lang").alias("l"), *(F.col(c).alias(f"l_{c}") for c in names))
+    drawn = own.join(by_lang, own["lang"].eqNullSafe(by_lang["l"])).select("lang", "source", *(F.expr(f"(n_docs * {c} + {PRIOR} * l_{c}) div (n_docs + {PRIOR})").alias(c) for c in names))
+    step = lambda k, whole, event: f"{event * SCALE}L div greatest(mid_{whole}, 1L)" if event else f"mid_{k} div 16"
+    return drawn.select("lang", "source", *(F.expr(f"top_{k} + {SPREAD} * greatest(top_{k} - mid_{k}, {step(k, whole, event)})").alias(f"{P}max_{k}") for k, (_, whole, event) in RATIOS.items()))
+
+
+def limits_of(counted: DataFrame) -> DataFrame:
+    """``thresholds``, written: the planner then knows their size, and broadcasts few of them without a shuffle of the rows."""
+    return materialize(thresholds(counted), "thresholds")
 
 
 def judge(counted: DataFrame, limits_by_group: DataFrame) -> DataFrame:
     """Adds base_failed and kept, prefixed, by joining documents with their group's thresholds."""
-    t = limits_by_group.select(F.col("lang").alias(f"{P}lang"), F.col("source").alias(f"{P}source"), *(f"{P}max_{k}" for k in TOLERANCE))
+    t = limits_by_group.select(F.col("lang").alias(f"{P}lang"), F.col("source").alias(f"{P}source"), *(f"{P}max_{k}" for k in RATIOS))
     joined = counted.join(t, counted["lang"].eqNullSafe(t[f"{P}lang"]) & counted["source"].eqNullSafe(t[f"{P}source"]), "left")
-    failed = F.expr(f"{P}n_words < 20 OR 100 * {P}n_repeat_words > 30 * {P}n_words")
-    within = reduce(lambda a, b: a & b, (v <= F.col(f"{P}max_{k}") for k, v in ratios().items()))
-    return joined.withColumns({f"{P}base_failed": failed, f"{P}kept": ~failed & within})
+    within = " AND ".join(f"{SCALE}L * ({P}{part} - {event}) <= {P}max_{k} * {P}{whole}" for k, (part, whole, event) in RATIOS.items())
+    return joined.withColumns({f"{P}base_failed": base_failed(), f"{P}kept": ~base_failed() & F.coalesce(F.expr(within), F.lit(False))})
 
 
 def assess(docs: DataFrame) -> DataFrame:
     """(doc_id, five counts, base_failed, kept), a row for each row of ``docs``; the counts are made once.
 
-    Null text: zeros, so it fails. Repeated rows: each judged. Empty table: empty result.
+    Null text: zeros, so it fails. Null language or source: a group of its own. Repeated rows: each counted and judged.
+    A ratio that ties with its threshold is kept. Texts of any length are read whole. Empty table: empty result.
     """
     counted = materialize(with_counts(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
-    return judge(counted, thresholds(counted)).select("doc_id", *(F.col(f"{P}{c}").alias(c) for c in COUNTS), F.col(f"{P}base_failed").alias("base_failed"), F.col(f"{P}kept").alias("kept"))
+    return judge(counted, limits_of(counted)).select("doc_id", *(F.col(f"{P}{c}").alias(c) for c in COUNTS), F.col(f"{P}base_failed").alias("base_failed"), F.col(f"{P}kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns.
+    """The rows of ``docs`` that ``assess`` keeps, with all their columns, whatever their names.
 
-    Thresholds are made in a first pass; the second counts again beside the text, so texts are never shuffled.
+    Rows are written once with their counts; thresholds come from the counts alone. Nulls, ties, repeated rows, long
+    texts and empty tables as in ``assess``.
     """
-    limits_by_group = materialize(thresholds(with_counts(docs.select("doc_id", "text", "lang", "source"))), "thresholds")
-    return judge(with_counts(docs), limits_by_group).where(f"{P}kept").select(*docs.columns)
+    counted = materialize(with_counts(docs), "counted")
+    return judge(counted, limits_of(counted)).where(f"{P}kept").select(*columns(docs))
 
 
 def op4_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,27 +174,30 @@ c AS (SELECT w.r, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines
       FROM w LEFT JOIN cov ON cov.r = w.r),
-m AS (SELECT *, CASE WHEN word_chars = 0 THEN 0 ELSE 1000 * n_symbols // word_chars END AS symbols,
-             CASE WHEN n_lines = 0 THEN 0 ELSE 1000 * n_dup_lines // n_lines END AS dup_lines,
-             CASE WHEN n_words = 0 THEN 0 ELSE 1000 * n_repeat_words // n_words END AS repeats,
-             CASE WHEN n_words = 0 THEN 0 ELSE 1000 * word_chars // n_words END AS word_length FROM c),
-u AS (SELECT lang, source, ratio, CAST(v AS BIGINT) AS v FROM (
-        SELECT lang, source, 'symbols' AS ratio, symbols AS v FROM m UNION ALL SELECT lang, source, 'dup_lines', dup_lines FROM m
-        UNION ALL SELECT lang, source, 'repeats', repeats FROM m UNION ALL SELECT lang, source, 'word_length', word_length FROM m)),
-s AS (SELECT lang, source, ratio, (((v >> greatest(length(bin(v)) - 5, 0)) + 1) << greatest(length(bin(v)) - 5, 0)) - 1 AS value FROM u),
-k AS (SELECT lang, source, ratio, value, count(*) AS n FROM s GROUP BY ALL),
-kl AS (SELECT lang, ratio, value, sum(n) AS n FROM k GROUP BY ALL),
-q AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY value) AS upto, sum(n) OVER (PARTITION BY lang, source, ratio) AS nd FROM k),
-ql AS (SELECT *, sum(n) OVER (PARTITION BY lang, ratio ORDER BY value) AS upto, sum(n) OVER (PARTITION BY lang, ratio) AS nd FROM kl),
-t AS (SELECT lang, source, ratio, max(nd) AS nd, min(value) FILTER (WHERE upto * 100 >= nd * 50) AS a, min(value) FILTER (WHERE upto * 100 >= nd * 75) AS b FROM q GROUP BY ALL),
-tl AS (SELECT lang, ratio, min(value) FILTER (WHERE upto * 100 >= nd * 50) AS a, min(value) FILTER (WHERE upto * 100 >= nd * 75) AS b FROM ql GROUP BY ALL),
-h AS (SELECT t.lang, t.source, t.ratio, greatest(CASE t.ratio WHEN 'symbols' THEN 50 WHEN 'dup_lines' THEN 500 WHEN 'repeats' THEN 300 ELSE 15000 END,
-             CASE WHEN t.nd >= 100 THEN t.a + 4 * greatest(t.b - t.a, t.a // 4) ELSE tl.a + 4 * greatest(tl.b - tl.a, tl.a // 4) END) AS high
-      FROM t JOIN tl ON t.lang IS NOT DISTINCT FROM tl.lang AND t.ratio = tl.ratio),
-g AS (SELECT lang, source, max(high) FILTER (WHERE ratio = 'symbols') AS hs, max(high) FILTER (WHERE ratio = 'dup_lines') AS hd,
-             max(high) FILTER (WHERE ratio = 'repeats') AS hr, max(high) FILTER (WHERE ratio = 'word_length') AS hw FROM h GROUP BY ALL)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND symbols <= hs AND dup_lines <= hd AND repeats <= hr AND word_length <= hw AS kept
-FROM m JOIN g ON m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DISTINCT FROM g.source
+m AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+             CASE WHEN word_chars = 0 THEN 0 ELSE 1000000 * n_symbols // word_chars END AS symbols,
+             CASE WHEN n_lines = 0 THEN 0 ELSE 1000000 * n_dup_lines // n_lines END AS dup_lines,
+             CASE WHEN n_words = 0 THEN 0 ELSE 1000000 * n_repeat_words // n_words END AS repeats,
+             CASE WHEN n_words = 0 THEN 0 ELSE 1000000 * word_chars // n_words END AS word_length FROM c),
+u AS (SELECT lang, source, measure, CAST(v AS BIGINT) AS v FROM (
+        SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_length', 'word_chars', 'n_lines', 'n_words']) AS measure,
+               unnest([symbols, dup_lines, repeats, word_length, word_chars, n_lines, n_words]) AS v FROM m WHERE NOT base_failed)),
+s AS (SELECT lang, source, measure, (((v >> greatest(length(bin(v)) - 5, 0)) + 1) << greatest(length(bin(v)) - 5, 0)) - 1 AS value FROM u),
+k AS (SELECT lang, source, measure, value, count(*) AS n FROM s GROUP BY ALL),
+kl AS (SELECT lang, measure, value, sum(n) AS n FROM k GROUP BY ALL),
+q AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY value) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS nd FROM k),
+ql AS (SELECT *, sum(n) OVER (PARTITION BY lang, measure ORDER BY value) AS upto, sum(n) OVER (PARTITION BY lang, measure) AS nd FROM kl),
+t AS (SELECT lang, source, measure, max(nd) AS nd, min(value) FILTER (WHERE upto * 100 >= nd * 50) AS a, min(value) FILTER (WHERE upto * 100 >= nd * 90) AS b FROM q GROUP BY ALL),
+tl AS (SELECT lang, measure, min(value) FILTER (WHERE upto * 100 >= nd * 50) AS a, min(value) FILTER (WHERE upto * 100 >= nd * 90) AS b FROM ql GROUP BY ALL),
+h AS (SELECT t.lang, t.source, t.measure, (t.nd * t.a + 100 * tl.a) // (t.nd + 100) AS a, (t.nd * t.b + 100 * tl.b) // (t.nd + 100) AS b
+      FROM t JOIN tl ON t.lang IS NOT DISTINCT FROM tl.lang AND t.measure = tl.measure),
+w2 AS (SELECT lang, source, max(a) FILTER (WHERE measure = 'word_chars') AS mc, max(a) FILTER (WHERE measure = 'n_lines') AS ml, max(a) FILTER (WHERE measure = 'n_words') AS mw FROM h GROUP BY ALL),
+lim AS (SELECT h.lang, h.source, measure, b + 5 * greatest(b - a, CASE measure WHEN 'symbols' THEN 1000000 // greatest(mc, 1) WHEN 'dup_lines' THEN 1000000 // greatest(ml, 1)
+             WHEN 'repeats' THEN 16000000 // greatest(mw, 1) ELSE a // 16 END) AS high FROM h JOIN w2 ON h.lang IS NOT DISTINCT FROM w2.lang AND h.source IS NOT DISTINCT FROM w2.source),
+g AS (SELECT lang, source, max(high) FILTER (WHERE measure = 'symbols') AS hs, max(high) FILTER (WHERE measure = 'dup_lines') AS hd,
+             max(high) FILTER (WHERE measure = 'repeats') AS hr, max(high) FILTER (WHERE measure = 'word_length') AS hw FROM lim GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(1000000 * (n_symbols - 1) <= hs * word_chars AND 1000000 * (n_dup_lines - 1) <= hd * n_lines
+         AND 1000000 * (n_repeat_words - 16) <= hr * n_words AND 1000000 * word_chars <= hw * n_words, false) AS kept
+FROM m LEFT JOIN g ON m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DISTINCT FROM g.source
 """
