@@ -220,6 +220,22 @@ def test_given_pages(spark):
         assert html_text.main_text(h) == " ".join(html.unescape(inner).split())
 
 
+def nameless(page):
+    """The page without any element or class that tells of its part."""
+    return re.sub(r"<(/?)(article|nav|footer)>", r"<\1div>", re.sub(r' class="[^"]*"', "", page))
+
+
+def test_ratios_choose_where_no_name_tells(monkeypatch):
+    """Given pages with all telling names taken out: the ratios find the article; without them nothing does."""
+    rows = duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' ORDER BY page_id LIMIT 100").fetchall()
+    right = lambda: sum(html_text.main_text(nameless(h)) == html_text.main_text(h) for (h,) in rows)
+    assert right() >= 90
+    every = type("Every", (set,), {"__contains__": lambda self, x: True})
+    for paths in (set(), every()):
+        monkeypatch.setattr(html_text.Page, "content_paths", lambda self, without=(), paths=paths: paths)
+        assert right() == 0
+
+
 def slow_fingerprint(text):
     from xxhash import xxh64_intdigest
 
@@ -288,6 +304,28 @@ def test_links_of_random_fingerprints(spark, monkeypatch, tile):
     assert [roots.get(i, i) for i in range(len(fps))] == brute_components(list(range(len(fps))), fps)
 
 
+def test_ball_holds_all_anchors():
+    fps = np.random.default_rng(3).integers(0, 1 << 64, 40, np.uint64)
+    for bits in (2, 5):
+        words = simhash.code(bits).astype(np.uint64)
+        anchors = (words[:, None] | words[None, :] << np.uint64(32)).ravel()
+        d = np.bitwise_count(fps[:, None] ^ anchors)
+        for i, low, high in simhash._halves(fps.view(np.int64), bits):
+            row, anchor = simhash._ball(low, high, 4)
+            assert sorted(zip(row + i, anchor)) == [(r, a) for r, a in zip(*np.nonzero(d <= d.min(axis=1, keepdims=True) + 4)) if i <= r < i + len(low)]
+            assert (d[np.arange(i, i + len(low)), simhash._homes(low, high)] == d[i : i + len(low)].min(axis=1)).all()
+
+
+def test_rows_without_doc_id_do_not_stand_in_for_each_other(spark):
+    texts = [f"{k} quite another text about {k} things, {k} times over, as {k} goes" for k in ("red", "green", "blue", "seven")]
+    df = spark.createDataFrame([(None, t, i) for i, t in enumerate(texts)], "doc_id long, text string, `x.y` int")
+    out = simhash.near_duplicates(df).collect()
+    fps = [slow_fingerprint(t) for t in texts]
+    assert all(r["component_id"] is None for r in out)
+    kept = simhash.keep_one(df).collect()
+    assert len(kept) == len(set(brute_components(list(range(4)), fps)))
+
+
 def test_components_of_a_chain(spark):
     edges = [(i + 1, i) for i in range(60)] + [(200, 100), (200, 150)]
     roots = {r["u"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
