@@ -232,7 +232,11 @@ def write_media(docs: DataFrame, path: str) -> None:
 
 
 def read_media(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, n_bytes, payload, media, feature) of every member under ``path``."""
+    """(doc_id, n_bytes, payload, media, feature) of every member under ``path``.
+
+    Null doc_ids come back as null, repeated rows each stand; equal payloads have equal media and features. Empty texts
+    are one row of spaces; a member of any length must fit in a task. No members: no rows.
+    """
     spark.dataSource.register(ArchiveSource)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
