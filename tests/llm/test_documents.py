@@ -195,6 +195,8 @@ def test_picked_text_outside_the_region_is_kept():
         (f"<nav>Menu</nav><main><h1>Title</h1><p>{lead}</p><article>{long}</article></main><footer>Foot</footer>", f"Title {lead} {body}"),
         (f"<main><h1>Title</h1><div>By A</div><article>{long}</article><ul><li><a href=x>Next one</a></ul></main>", f"Title By A {body}"),
         (f"<article>{long}</article><article><p>{lead}</p></article>", f"{body} {lead}"),
+        (f"<div class=top>Site, with a motto.</div><div class=x><h1>Title</h1><div>By A, May 3</div><div class=y>{long}{long}</div></div>", f"Title By A, May 3 {body} {body}"),
+        (f"<div><a href=1>Home</a> | <a href=2>News</a></div><div>{lead}<br>{lead}</div>", f"{lead} {lead}"),
         (f"<h1>Title</h1><div><div>{long}{long}</div></div>", f"Title {body} {body}"),
         ("<article><p>Let <math><mi>x</mi><mo>=</mo><mspace/><mn>1</mn><annotation>x=1</annotation></math>, and <object data=f><param name=a>file</object> or <canvas>drawing</canvas>.</p></article>", "Let x=1, and file or drawing."),
     ):

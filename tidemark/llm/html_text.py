@@ -59,6 +59,8 @@ _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _STOPS = re.compile(r"[.,;:!?…](?=\s|\Z)|[、。，；：！？]")
 _HEADING = re.compile(r"/h[1-6](?:/|$)")
+#: Blocks that can stand between a heading and the text.
+LEAD = 2
 #: Power of a path's text in its score.
 SHARE = 0.25
 #: Share of the page's mean score.
@@ -296,16 +298,20 @@ class Page:
         picked, plain, heads = [], [], []
         for block in blocks:
             size = sum(len(x[0].strip()) for x in block)
-            picked.append(any(inside[x[2]] or x[1] in paths and x[0].strip() for x in block))
             plain.append(sum(len(x[0].strip()) for x in block if x[3]) * 2 <= size)
+            picked.append(any(inside[x[2]] or plain[-1] and x[1] in paths and x[0].strip() for x in block))
             heads.append(any(_HEADING.search(x[1]) for x in block))
         kept = [i for i, k in enumerate(picked) if k]
         first, last = (kept[0], kept[-1]) if kept else (0, -1)
         keep = [k or plain[i] and (first < i < last or any(around[x[2]] for x in blocks[i])) for i, k in enumerate(picked)]
+        # headings right before, or over a line or two such as names and dates
+        at = first
         for i in range(first - 1, -1, -1):
-            if not heads[i] or not plain[i]:
+            if not plain[i] or not heads[i] and (at < first or first - i > LEAD):
                 break
-            keep[i] = True
+            if heads[i]:
+                keep[i:at] = [True] * (at - i)
+                at = i
         return " ".join(" ".join("".join(x[0] for x in block) for block, k in zip(blocks, keep, strict=True) if k).split())
 
 
