@@ -6,6 +6,7 @@ loss of any executor, and later stages read only the columns they need.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +17,12 @@ P = "__tm_"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; in local mode, where none is set, one under the warehouse."""
+    """The shared folder of the session; in local mode, where none is set, a temporary one of the application."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        base = f"file://{tempfile.gettempdir()}/tidemark-{spark.sparkContext.applicationId}"
     return base
 
 
