@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the session's checkpoint folder; in local mode, where none is set, one under the warehouse."""
+    """A new folder under the session's checkpoint folder; in local mode, where none is set, a temporary one of the application."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        base = f"file://{tempfile.gettempdir()}/tidemark-{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
