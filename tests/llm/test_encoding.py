@@ -163,6 +163,11 @@ def test_hilbert_neighbours():
     assert (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
 
 
+def test_narrow_ids_round_trip():
+    for ids in ([], [5], [65_535, 0], [65_536, 1], [1 << 31, 70_000, 3]):
+        assert packing.widen(packing.narrow(pack_ids(ids)), len(ids)) == pack_ids(ids)
+
+
 def test_packing(spark):
     values = EDGES + texts(80, 6)
     df = frame(spark, values)

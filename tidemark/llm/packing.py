@@ -66,6 +66,17 @@ def _keys(ids: list[bytes], signs: np.ndarray) -> np.ndarray:
     return np.where(sizes == 0, -1, hilbert_keys(grid, BITS))
 
 
+def narrow(ids: bytes) -> bytes:
+    """Ids of 32 bits as 16 bits, if all fit: half of what is written and dealt."""
+    numbers = np.frombuffer(ids, "<u4")
+    return numbers.astype("<u2").tobytes() if len(numbers) and numbers.max() < 1 << 16 else ids
+
+
+def widen(ids: bytes, n: int) -> bytes:
+    """``n`` ids of 32 bits, from what ``narrow`` made of them."""
+    return ids if len(ids) == 4 * n else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+
+
 def pack(docs: DataFrame, *, tokenizer: str = BYTE_BPE, end_id: int = 1, length: int = 2048, partitions: int | None = None) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids).
 
@@ -85,13 +96,13 @@ def pack(docs: DataFrame, *, tokenizer: str = BYTE_BPE, end_id: int = 1, length:
             keys = document_keys(ids, signs)
             whole = [x + end for x in ids]
             row, start = zip(*((i, s) for i, x in enumerate(whole) for s in range(0, len(x) // 4, PART)), strict=True)
-            parts = [whole[i][4 * s : 4 * (s + PART)] for i, s in zip(row, start, strict=True)]
+            parts = [narrow(whole[i][4 * s : 4 * (s + PART)]) for i, s in zip(row, start, strict=True)]
             at = np.array(row)
             total = np.array([len(x) // 4 for x in whole])
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), b.column("h").take(pa.array(at)), pa.array(keys[at]), pa.array(start, pa.int64()), pa.array(total[at]), pa.array(parts, pa.binary())], names=["doc_id", "h", "key", "start", "total", "ids"])
 
     coded = materialize(rows.mapInArrow(key, "doc_id long, h long, key long, start long, total long, ids binary"), "packing")
-    sized = coded.agg(F.sum(F.least(F.col("total") - F.col("start"), F.lit(PART)) * 4 + 40)).first()[0]
+    sized = coded.agg(F.sum(F.least(F.col("total") - F.col("start"), F.lit(PART)) * 2 + 40)).first()[0]
     n = partitions or partitions_for(spark, sized)
     order = ["key", "doc_id", "h", "start"]
     dealt = coded.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "start", "total", "ids")
@@ -101,6 +112,7 @@ def pack(docs: DataFrame, *, tokenizer: str = BYTE_BPE, end_id: int = 1, length:
         for b in it:
             out = []
             for d, first, total, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "total", "ids")), strict=True):
+                ids = widen(ids, min(PART, total - first))
                 done, n_ids = 0, len(ids) // 4
                 while done < n_ids:
                     size = min(length - at, n_ids - done)
