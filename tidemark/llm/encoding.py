@@ -104,7 +104,7 @@ class Encoder:
     so memory is bounded.
     """
 
-    def __init__(self, path: str, limit: int = 9_000_000, pieces: int = 400_000):
+    def __init__(self, path: str, limit: int = 7_000_000, pieces: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.path, self.limit, self.pieces = path, limit, pieces
         with open(path, encoding="utf-8") as f:

@@ -223,6 +223,17 @@ def encode_documents(docs: DataFrame, tokenizer: str = WORD_BPE, leaf: int = LEA
     return rows.where(~long).mapInArrow(whole, result).unionByName(coded.groupBy("row").applyInArrow(assemble, result))
 
 
+@cache
+def _names(path: str) -> list[str] | None:
+    """Tokens by id, of a tokenizer file without a decoder; None with one."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if spec.get("decoder") is not None:
+        return None
+    token = {i: t for t, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"] for a in spec.get("added_tokens", [])}
+    return [token.get(i, "") for i in range(max(token) + 1)]
+
+
 def decode_ids(tokens: DataFrame, tokenizer: str = WORD_BPE) -> DataFrame:
     """Adds ``text`` to the rows with ``ids``, as the library's decode with skip_special_tokens=False.
 
@@ -231,14 +242,13 @@ def decode_ids(tokens: DataFrame, tokenizer: str = WORD_BPE) -> DataFrame:
     path = tokenizer_path(tokenizer)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = encoder(path).tokenizer
-        plain = tok.decoder is None
-        names = [tok.id_to_token(i) for i in range(tok.get_vocab_size(with_added_tokens=True))] if plain else []
+        names = _names(path)  # no more is needed where tokens are joined by spaces
+        tok = None if names else encoder(path).tokenizer
         for b in it:
             text = []
             for ids in b.column("ids").to_pylist():
                 numbers = None if ids is None else memoryview(ids).cast("I").tolist()
-                text.append(None if ids is None else " ".join(map(names.__getitem__, numbers)) if plain else tok.decode(numbers, skip_special_tokens=False))
+                text.append(None if ids is None else " ".join(map(names.__getitem__, numbers)) if names else tok.decode(numbers, skip_special_tokens=False))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*b.schema.names, "text"])
 
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("text", T.StringType())]))
