@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edit_counts, html_text, line_dedup, media, packing, quality, shards, simhash, token_codes, tree_bpe
+from . import edit_counts, html_text, line_dedup, media, packing, quality, shards, simhash, sketches, token_codes, tree_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tag_path_text": html_text.op8_tag_path_text,
         "op9_simhash_anchors": simhash.op9_simhash_anchors,
         "op10_hilbert_packing": packing.op10_hilbert_packing,
+        "op13_bottom_k": sketches.op13_bottom_k,
     }
 
 
