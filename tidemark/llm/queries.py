@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edit_counts, html_text, line_dedup, media, packing, quality, shards, simhash, sketches, token_codes, tree_bpe
+from . import alignment, edit_counts, html_text, line_dedup, media, packing, phrases, quality, shards, simhash, sketches, token_codes, tree_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tag_path_text": html_text.op8_tag_path_text,
         "op9_simhash_anchors": simhash.op9_simhash_anchors,
         "op10_hilbert_packing": packing.op10_hilbert_packing,
+        "op11_toivonen_phrases": phrases.op11_toivonen_phrases,
+        "op12_pair_alignment": alignment.op12_pair_alignment,
         "op13_bottom_k": sketches.op13_bottom_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op4_adaptive_quality": quality.ORACLE_SQL}
+    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op4_adaptive_quality": quality.ORACLE_SQL, "op11_toivonen_phrases": phrases.ORACLE_SQL}
