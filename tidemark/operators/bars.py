@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import SessionCalendar
 from ..functions.filters import finite
-from .running import in_key_order, key_values, running
+from ..sources.shared import written
+from .running import DAY, running
 
 FEE_RATE = 0.00016
 
@@ -81,27 +79,54 @@ def drawdown(book: DataFrame, *, keys: tuple[str, ...] = ("ticker",)) -> DataFra
     return held.withColumn("holding_time", F.col("ts") - F.col("__since")).drop("__since")
 
 
-def signal_actions(rows: DataFrame, *, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
+#: Rows of a run, whose steps are composed in one expression.
+RUN = 256
+_SIDES = ("short", "flat", "long")
+
+
+def _apply(step: Column, position: Column) -> Column:
+    """The position after a step, which names the next one for each."""
+    return F.when(position < 0, step["short"]).when(position > 0, step["long"]).otherwise(step["flat"])
+
+
+def _after(first: Column, step: Column) -> Column:
+    """Two steps as one."""
+    return F.struct(*(_apply(step, first[s]).alias(s) for s in _SIDES))
+
+
+def signal_actions(rows: DataFrame, *, keys: tuple[str, ...] = ("ticker",), block: float = DAY) -> DataFrame:
     """Adds action: flat enters long where ``lower`` > 0 and short where ``upper`` < 0; a position is closed when
-    ``value`` changes sign. The position decides each step, so rows of a key are walked in order."""
-
-    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, position = None, 0
-        for pdf in parts:
-            actions = []
-            for key, value, upper, lower in zip(key_values(pdf, keys), pdf["value"], pdf["upper"], pdf["lower"], strict=True):
-                if key != held:
-                    held, position = key, 0
-                if position == 0:
-                    action = 1 if lower > 0 else -1 if upper < 0 else 0
-                else:
-                    action = 1 if position < 0 < value else -1 if value < 0 < position else 0
-                position += action
-                actions.append(action)
-            yield pdf.assign(action=actions)
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return in_key_order(rows, keys).mapInPandas(walk, f"{kinds}, action long")
+    ``value`` changes sign. Missing values decide nothing; all columns must have an order.
+
+    A row is a step from each of three positions to the next, and steps compose: runs of rows of a block of time are
+    folded into one step each, those into the block's, and a key's blocks in turn give the position that each run
+    starts from. So a key's rows spread over its runs, and only a short step for each run or block meets in one row.
+    """
+    sign = lambda c: F.when(F.isnan(c), 0).otherwise(F.coalesce(F.signum(c), F.lit(0.0))).cast("int")
+    value, upper, lower = (sign(F.col(c).cast("double")) for c in ("value", "upper", "lower"))
+    step = F.struct(F.when(value > 0, 0).otherwise(-1).alias("short"), F.when(lower > 0, 1).when(upper < 0, -1).otherwise(0).alias("flat"), F.when(value < 0, 0).otherwise(1).alias("long"))
+    key = F.struct(*keys).alias("__key")  # rows without a ticker are a key like any other
+    names = [c for c in rows.columns if c not in keys]
+    in_block = Window.partitionBy("__key", "__block").orderBy("ts", "seq")
+    cut = rows.select(key, F.floor(F.col("ts") / block).alias("__block"), F.col("ts"), F.col("seq"), step.alias("step"), F.struct(*names).alias("row"))
+    placed = cut.withColumn("__run", F.floor((F.row_number().over(in_block) - 1) / RUN))
+    runs = written(placed.groupBy("__key", "__block", "__run").agg(F.sort_array(F.collect_list(F.struct("ts", "seq", "step", "row"))).alias("rows")), "signal_runs")
+    nothing = F.struct(*(F.lit(p).alias(s) for p, s in enumerate(_SIDES, -1)))
+    whole = runs.select("__key", "__block", F.struct("__run", F.aggregate("rows", nothing, lambda a, r: _after(a, r["step"])).alias("step")).alias("r"))
+    listed = "array<struct<__run: bigint, step: struct<short: int, flat: int, long: int>>>"
+    steps = F.aggregate(F.sort_array("rs"), F.struct(nothing.alias("step"), F.array().cast(listed).alias("starts")), lambda a, r: F.struct(_after(a["step"], r["step"]).alias("step"), F.concat(a["starts"], F.array(F.struct(r["__run"].alias("__run"), a["step"].alias("step")))).alias("starts")))
+    blocks = whole.groupBy("__key", "__block").agg(F.collect_list("r").alias("rs")).select("__key", "__block", steps.alias("s"))
+    in_turn = F.aggregate(F.sort_array("bs"), F.struct(F.lit(0).alias("position"), F.array().cast("array<struct<__block: bigint, position: int>>").alias("starts")), lambda a, b: F.struct(_apply(b["step"], a["position"]).alias("position"), F.concat(a["starts"], F.array(F.struct(b["__block"].alias("__block"), a["position"].alias("position")))).alias("starts")))
+    held = blocks.groupBy("__key").agg(F.collect_list(F.struct("__block", F.col("s.step").alias("step"))).alias("bs")).select("__key", F.inline(in_turn["starts"]))
+    starts = blocks.join(held, ["__key", "__block"]).select("__key", "__block", "position", F.inline("s.starts")).select("__key", "__block", "__run", _apply(F.col("step"), F.col("position")).alias("position"))
+
+    def acted(a: Column, r: Column) -> Column:
+        new = _apply(r["step"], a["position"])
+        return F.struct(new.alias("position"), F.concat(a["actions"], F.array((new - a["position"]).cast("long"))).alias("actions"))
+
+    actions = F.aggregate("rows", F.struct(F.col("position"), F.array().cast("array<bigint>").alias("actions")), acted)["actions"]
+    each = runs.join(starts, ["__key", "__block", "__run"]).select("__key", F.inline(F.arrays_zip("rows", actions.alias("action"))))
+    return each.select(*(F.col(f"__key.{c}" if c in keys else f"rows.row.{c}").alias(c) for c in rows.columns), "action")
 
 
 def order_size(position: Column, side: Column) -> Column:
