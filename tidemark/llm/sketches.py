@@ -101,7 +101,7 @@ def with_next(docs: DataFrame, made: dict[str, Column] | None = None) -> DataFra
     spark, made, names = docs.sparkSession, made or {}, ["d", "h", "row"]
     d, h, row = (f"{P}{n}" for n in names)
     rows = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)), f"{P}text": text_of(), row: F.monotonically_increasing_id()}).withColumn(h, F.xxhash64(f"{P}text"))
-    n = 4 * partitions_for(spark, rows.agg(F.sum(F.octet_length(f"{P}text") + 24)).first()[0])
+    n = partitions_for(spark, rows.agg(F.sum(F.octet_length(f"{P}text") + 24)).first()[0])
     dealt = rows.select(d, h, row).repartitionByRange(n, d, h, row)
     firsts = sorted(tuple(r[1]) for r in dealt.groupBy(F.spark_partition_id()).agg(F.min(F.struct(d, h, row))).collect())  # at most one for each of the n
     if not firsts:
