@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import SessionCalendar
+from ..sources.shared import scratch, written
 from .recurrence import alpha_of, ema_series
 from .running import in_key_order, key_values, running_sum
 from .sampling import Topic, bars
@@ -128,7 +129,12 @@ def predict_accumulated(resid: DataFrame, models: DataFrame) -> DataFrame:
     by = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", F.col(c).alias("x")))), lambda s: s["x"])
     days = resid.groupBy("ticker", "day").agg(F.concat(*map(by, FEATURES), F.array(F.lit(1.0))).alias("x"), F.sum("b_acc_vol").alias("base"))
     dot = F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    return days.join(models, "ticker").select("ticker", "day", (dot + F.col("base")).alias("forecast"))
+    return days.join(models, _shared(models)).select("ticker", "day", (dot + F.col("base")).alias("forecast"))
+
+
+def _shared(models: DataFrame) -> list[str]:
+    """A model is its ticker's, or its ticker's on one day."""
+    return [c for c in ("ticker", "day") if c in models.columns]
 
 
 def fit_intervals(resid: DataFrame) -> DataFrame:
@@ -154,41 +160,109 @@ def predict_intervals(resid: DataFrame, models: DataFrame, at: int) -> DataFrame
     days = resid.groupBy("ticker", "day").agg(*(by(c).alias(f"x_{c}") for c in FEATURES), F.sum("b_acc_vol").alias("base"), F.sum(F.when(seen, F.col("acc_vol")).otherwise(0.0)).alias("seen"))
     x = F.concat(*(F.slice(f"x_{c}", F.lit(1), F.col("k").cast("int")) for c in FEATURES), F.array(F.lit(1.0)))
     dot = F.aggregate(F.zip_with(x, "beta", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    later = days.join(models.where(F.col("k") >= max(at, 1)), "ticker").groupBy("ticker", "day").agg(F.sum(dot).alias("model"), F.max("base").alias("base"), F.max("seen").alias("seen"))
+    later = days.join(models.where(F.col("k") >= max(at, 1)), _shared(models)).groupBy("ticker", "day").agg(F.sum(dot).alias("model"), F.max("base").alias("base"), F.max("seen").alias("seen"))
     return later.select("ticker", "day", (F.col("seen") + F.col("model") + F.col("base")).alias("forecast"))
 
 
+#: Days of a block, which one triangular factor stands for.
+FIT_DAYS = 32
+MODELS = "ticker string, day long, k long, beta array<double>"
+
+
+def _factor(rows: np.ndarray) -> np.ndarray:
+    """The triangle that least squares need of ``rows``: it has their products of columns. Factors one upon another give the factor of both."""
+    return np.linalg.qr(rows, mode="r")
+
+
+def _day_rows(resid: DataFrame) -> DataFrame:
+    """(ticker, day, block, row): a day's features, 1, and residual volumes by interval, as one array."""
+    by = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("i", F.col(c).alias("x")))), lambda s: s["x"])
+    days = resid.groupBy("ticker", "day").agg(F.concat(*map(by, FEATURES), F.array(F.lit(1.0)), by("acc_vol")).alias("row"))
+    return days.select("ticker", "day", F.floor(F.col("day") / FIT_DAYS).alias("block"), "row")
+
+
+def fit_daily(resid: DataFrame, at: int | None = None, min_days: int = 1) -> DataFrame:
+    """(ticker, day, k, beta): for each day the models that the days before it give, from ``min_days`` of them on.
+
+    k = 0 is the accumulated model; with ``at`` there are instead the models of intervals k >= ``at``. A block of days is
+    a factor, a ticker's few factors are merged in turn, and a block starts from what came before it, so no day is
+    fitted twice and a ticker's blocks are fitted beside each other.
+    """
+    rows = written(_day_rows(resid), "profile_rows")
+    kinds = "ticker string, block long, days long, width int, factor array<double>"
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = _factor(np.vstack(pdf["row"].tolist()))
+        return pd.DataFrame({"ticker": pdf["ticker"].iloc[:1], "block": pdf["block"].iloc[:1], "days": [len(pdf)], "width": [r.shape[1]], "factor": [r.ravel()]})
+
+    def before(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, held, days, out = pdf.sort_values("block"), None, 0, []
+        for ticker, block, n, width, factor in zip(*(pdf[c] for c in ("ticker", "block", "days", "width", "factor")), strict=True):
+            out.append((ticker, block, days, width, [] if held is None else held.ravel()))
+            own_ = factor.reshape(-1, width)
+            held, days = own_ if held is None else _factor(np.vstack([held, own_])), days + n
+        return pd.DataFrame(out, columns=pdf.columns)
+
+    def fit(days: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(days) and len(start):
+            days, width, n = days.sort_values("day"), int(start["width"].iloc[0]), int(start["days"].iloc[0])
+            held, i = np.asarray(start["factor"].iloc[0]).reshape(-1, width), (width - 1) // (len(FEATURES) + 1)
+            y = width - i
+            for day, row in zip(days["day"], days["row"], strict=True):
+                if n >= max(min_days, 1):
+                    if at is None:
+                        wanted = [(0, np.arange(y), held[:, y:].sum(axis=1))]
+                    else:
+                        wanted = [(k, np.concatenate([*(f * i + np.arange(k) for f in range(len(FEATURES))), [y - 1]]), held[:, y + k]) for k in range(max(at, 1), i)]
+                    out += [(days["ticker"].iloc[0], day, k, np.linalg.lstsq(held[:, cols], target, rcond=None)[0]) for k, cols, target in wanted]
+                held, n = np.vstack([held, row]), n + 1
+        return pd.DataFrame(out, columns=["ticker", "day", "k", "beta"])
+
+    blocks = rows.groupBy("ticker", "block").applyInPandas(own, kinds)
+    starts = blocks.groupBy("ticker").applyInPandas(before, kinds)
+    return rows.groupBy("ticker", "block").cogroup(starts.groupBy("ticker", "block")).applyInPandas(fit, MODELS)
+
+
+def store_models(models: DataFrame, path: str) -> None:
+    models.write.mode("overwrite").parquet(path)
+
+
+def load_models(spark: SparkSession, path: str) -> DataFrame:
+    """Models as they were stored, for any later run."""
+    return spark.read.schema(MODELS).parquet(path)
+
+
+def forecast_by(resid: DataFrame, models: DataFrame, at: int | None = None) -> DataFrame:
+    """(ticker, day, forecast) for every day; NULL where ``models`` (of ``fit_daily``, loaded or not) have none."""
+    found = predict_accumulated(resid, models) if at is None else predict_intervals(resid, models, at)
+    return resid.select("ticker", "day").distinct().join(found, ["ticker", "day"], "left")
+
+
 def walk_forward(resid: DataFrame, at: int | None = None, min_days: int = 1) -> DataFrame:
     """(ticker, day, forecast): each day's volume by a model of the days before it alone; NULL with under ``min_days`` of them.
 
     Without ``at``, the accumulated model on the whole day's features; with it, the interval models at the start of
-    interval ``at``. A ticker's days by intervals are one matrix.
+    interval ``at``. Models are stored, and the forecasts are made from the stored ones.
     """
+    path = scratch(resid.sparkSession, "profile_models")
+    store_models(fit_daily(resid, at, min_days), path)
+    return forecast_by(resid, load_models(resid.sparkSession, path), at)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = lambda c: pdf.pivot(index="day", columns="i", values=c).sort_index()
-        vol, base = table("acc_vol"), table("b_acc_vol").to_numpy().sum(axis=1)
-        feats, v = [table(c).to_numpy() for c in FEATURES], vol.to_numpy()
-        out: list[float | None] = []
-        for d in range(len(v)):
-            if d < min_days:
-                out.append(None)
-            elif at is None:
-                x = np.hstack(feats)
-                out.append(float(np.append(x[d], 1.0) @ _fit(x[:d], v[:d].sum(axis=1))) + base[d])
-            else:
-                total = v[d, :at].sum() + base[d]
-                for k in range(max(at, 1), v.shape[1]):
-                    x = np.hstack([f[:, :k] for f in feats])
-                    now = np.hstack([np.where(np.arange(k) < at, f[d, :k], 0.0) for f in feats])
-                    total += float(np.append(now, 1.0) @ _fit(x[:d], v[:d, k]))
-                out.append(total)
-        return pd.DataFrame({"ticker": pdf["ticker"].iloc[0], "day": vol.index, "forecast": out})
-
-    return resid.groupBy("ticker").applyInPandas(fit, "ticker string, day long, forecast double")
-
-
-PROFILES = {"simple_online": simple_forecast, "accumulative_volume": (fit_accumulated, predict_accumulated), "interval_volume": (fit_intervals, predict_intervals)}
+
+#: Forecasts of a day's volume by the profile's name.
+PROFILES = {
+    "simple_online": lambda grid, calendar, interval, window: simple_forecast(grid, calendar, interval, window),
+    "accumulative_volume": lambda grid, calendar, interval, window: walk_forward(residuals(grid, out_of_sample(ema_baseline(grid)))),
+    "interval_volume": lambda grid, calendar, interval, window: walk_forward(residuals(grid, out_of_sample(ema_baseline(grid))), window),
+}
+
+
+def profile_forecast(kind: str, grid: DataFrame, calendar: SessionCalendar, interval: float, window: int) -> DataFrame:
+    """(ticker, day, forecast) by the profile called ``kind``; ``window``: the intervals that are seen of the day."""
+    if kind not in PROFILES:
+        raise ValueError(f"no profile {kind!r}; there are {', '.join(PROFILES)}")
+    return PROFILES[kind](grid, calendar, interval, window)
 
 
 @dataclass

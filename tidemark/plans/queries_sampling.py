@@ -343,25 +343,20 @@ def q_profile_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT ticker, day, max(least(gap, 6)) AS n, sum(acc_vol) FILTER (WHERE i < least(gap, 6)) AS v FROM l GROUP BY ALL)
 SELECT ticker, day, round(CASE WHEN n >= 3 THEN v / (n * 1800) * 14400 END, 4) AS forecast FROM m""")
 def q_simple_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day volume from its leading intervals."""
-    return rounded(volume_profile.simple_forecast(profile_grid(spark, sf_dir), CN, 1800, 6), 4)
-
-
-def _resid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = profile_grid(spark, sf_dir)
-    return volume_profile.residuals(g, volume_profile.out_of_sample(volume_profile.ema_baseline(g)))
+    """Day volume from its leading intervals."""
+    return rounded(volume_profile.profile_forecast("simple_online", profile_grid(spark, sf_dir), CN, 1800, 6), 4)
 
 
 @register()
 def q_accumulated_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each day's volume by least squares on the days before; tested against numpy."""
-    return rounded(volume_profile.walk_forward(_resid(spark, sf_dir)), 3)
+    """Each day's volume by stored least squares on the days before; tested against numpy."""
+    return rounded(volume_profile.profile_forecast("accumulative_volume", profile_grid(spark, sf_dir), CN, 1800, 0), 3)
 
 
 @register()
 def q_interval_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by interval, after four intervals of the day; tested against numpy."""
-    return rounded(volume_profile.walk_forward(_resid(spark, sf_dir), 4), 3)
+    """The same by interval, after four intervals of the day; tested against numpy."""
+    return rounded(volume_profile.profile_forecast("interval_volume", profile_grid(spark, sf_dir), CN, 1800, 4), 3)
 
 
 @register("""SELECT CAST(l_suppkey AS BIGINT) AS ticker, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS day, sum(l_quantity) AS volume, round(sum(l_extendedprice), 2) AS notional,
