@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running
+
 
 def covariance(bars: DataFrame, value: str, members: list[str] | None = None) -> DataFrame:
     """(a, b, cov, n): population covariance of every two members of an index over their common buckets.
@@ -33,22 +35,87 @@ def spectral(matrix: np.ndarray) -> tuple[float, float]:
     return float(sum(terms)), float(sum(rest))
 
 
+#: Buckets of a block.
+BLOCK = 4096
+
+
+def _wide(bars: DataFrame, members: list[str], values: list[str]) -> DataFrame:
+    """(idx, m<i>_<value>): a row for each bucket, members beside each other, gaps filled with a member's last value."""
+    picked = [F.max(F.when(F.col("ticker") == m, F.col(v))).alias(f"m{i}_{v}") for v in values for i, m in enumerate(members)]
+    rows = bars.groupBy("idx").agg(*picked).withColumns({"__one": F.lit(0), "seq": F.lit(0)})
+    names = [f"m{i}_{v}" for v in values for i in range(len(members))]
+    return running(rows, lasts={n: F.col(n) for n in names}, keys=("__one",), block=float(BLOCK), order=("idx", "seq")).select("idx", *names)
+
+
+def rolling_moments(bars: DataFrame, members: list[str], values: list[str], n: int) -> DataFrame:
+    """(idx, and of each value n_<value>, cov_<value>): how many of the last ``n`` buckets all members have, and their covariances over these.
+
+    cov_<value> lists the population covariances of members i <= j, by i and j; a gap takes the member's last value. One
+    row a bucket stands for all members and values. Windows slide inside blocks of buckets; a block starts with a copy
+    of the ``n`` - 1 buckets before it, so a long series spreads over its blocks.
+    """
+    m = len(members)
+    wide = _wide(bars, members, values)
+    # buckets may be missing, so they are counted; blocks are of counted buckets
+    w = Window.partitionBy("__b").orderBy("idx")
+    parts = wide.withColumn("__b", F.floor(F.col("idx") / BLOCK))
+    sizes = parts.groupBy("__b").agg(F.count("*").alias("__n")).select("__b", (F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))  # a row for each block
+    place = F.col("__before") + F.row_number().over(w) - 1
+    size = max(BLOCK, n)
+    at = parts.join(sizes, "__b").withColumn("__k", place).withColumn("__own", F.floor(F.col("__k") / size))
+    halo = F.when(F.col("__k") % size > size - n, F.array(F.col("__own"), F.col("__own") + 1)).otherwise(F.array(F.col("__own")))
+    copies = at.withColumn("__block", F.explode(halo))
+    last = Window.partitionBy("__block").orderBy("__k").rowsBetween(-(n - 1), 0)
+    whole = {v: F.greatest(*(F.col(f"m{i}_{v}").isNull().cast("int") for i in range(m))) == 0 if m > 1 else F.col(f"m0_{v}").isNotNull() for v in values}
+    x = lambda v, i: F.when(whole[v], F.col(f"m{i}_{v}"))
+    made = {f"n_{v}": F.count(F.when(whole[v], 1)).over(last) for v in values}
+    made |= {f"cov_{v}": F.array(*(F.covar_pop(x(v, i), x(v, j)).over(last) for i in range(m) for j in range(i, m))) for v in values}
+    return copies.withColumns(made).where("__block = __own").select("idx", *made)
+
+
+def _spectra(m: int):
+    """Column function: entropy and secondary entropy of the covariances of ``m`` members."""
+    upper = np.triu_indices(m)
+
+    @F.pandas_udf("first double, second double")
+    def run(covs: pd.Series) -> pd.DataFrame:
+        flat = np.array([np.asarray(c, float) for c in covs]).reshape(len(covs), len(upper[0]))
+        square = np.zeros((len(flat), m, m))
+        square[:, upper[0], upper[1]] = square[:, upper[1], upper[0]] = np.nan_to_num(flat)
+        own = np.linalg.eigvalsh(square)
+        terms = np.where(own > 1e-12, -own * np.log2(np.where(own > 1e-12, own, 1.0)), 0.0)
+        return pd.DataFrame({"first": terms.sum(axis=1), "second": terms[:, :-1].sum(axis=1)})
+
+    return run
+
+
+def rolling_entropies(bars: DataFrame, members: list[str], names: dict[str, str], n: int) -> DataFrame:
+    """(idx, ready, and of each name <name>_entropy, <name>_secondary_entropy) for every bucket.
+
+    ``names`` are the columns of ``bars`` and what their entropies are called. Entropies are of the covariance over the
+    last ``n`` buckets, NULL under three common values; ready: each member has ``n`` of the first column.
+    """
+    moments, spectra = rolling_moments(bars, members, list(names), n), _spectra(len(members))
+    enough = {v: F.col(f"n_{v}") >= 3 for v in names}
+    found = moments.select("idx", *(f"n_{v}" for v in names), *(spectra(F.col(f"cov_{v}")).alias(f"__{v}") for v in names))
+    out = [F.when(enough[v], F.col(f"__{v}.{part}")).alias(f"{name}_{kind}") for v, name in names.items() for part, kind in (("first", "entropy"), ("second", "secondary_entropy"))]
+    return found.select("idx", (F.col(f"n_{next(iter(names))}") == n).alias("ready"), *out)
+
+
 def rolling_entropy(bars: DataFrame, members: list[str], value: str, n: int, name: str, align: str = "bucket") -> DataFrame:
     """(idx, <name>_entropy, <name>_secondary_entropy, ready) for every bucket, over the last ``n`` of each member.
 
     ``align="bucket"``: series share buckets, gaps take the member's last value. ``"position"``: the last n of
     each, from the right. Under three common values: NULL. ready: each member has n.
     """
+    if align == "bucket":
+        return rolling_entropies(bars, members, {value: name}, n).select("idx", f"{name}_entropy", f"{name}_secondary_entropy", "ready")
     upto = Window.partitionBy("ticker").orderBy("idx")
     grid = bars.select("idx").distinct().select("idx", F.explode(F.array(*map(F.lit, members))).alias("ticker"))
     rows = grid.join(bars.where(F.col("ticker").isin(*members)).select("ticker", "idx", F.col(value).alias("x")), ["ticker", "idx"], "left")
-    if align == "bucket":
-        filled = rows.withColumn("x", F.last("x", ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-        series = filled.withColumn("xs", F.collect_list("x").over(upto.rowsBetween(-(n - 1), 0)))
-    else:
-        own = rows.where("x IS NOT NULL").withColumn("xs", F.collect_list("x").over(upto.rowsBetween(-(n - 1), 0)))
-        held = grid.join(own.select("ticker", "idx", "xs"), ["ticker", "idx"], "left")
-        series = held.withColumn("xs", F.coalesce(F.last("xs", ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, 0)), F.array().cast("array<double>")))
+    own = rows.where("x IS NOT NULL").withColumn("xs", F.collect_list("x").over(upto.rowsBetween(-(n - 1), 0)))
+    held = grid.join(own.select("ticker", "idx", "xs"), ["ticker", "idx"], "left")
+    series = held.withColumn("xs", F.coalesce(F.last("xs", ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, 0)), F.array().cast("array<double>")))
     names = [f"{name}_entropy", f"{name}_secondary_entropy"]
 
     def evaluate(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -73,9 +73,8 @@ def entropy_factor(tape: DataFrame, spec: FactorSpec) -> DataFrame:
         bars = bars.withColumns({c: F.col(c) * weight for c in ("close", "notional", "notional_buy", "notional_sell")})
     bars = entropy.relative_change(bars, "close").withColumn("buy_share", entropy.buy_share()).withColumn("sell_share", 1 - F.col("buy_share"))
     n, members = p["sample_size"], p["members"]
-    found = entropy.rolling_entropy(bars, members, "close", n, "price")
-    for column, name in (("close_change", "price_pct"), ("notional", "notional"), ("buy_share", "notional_buy_pct"), ("sell_share", "notional_sell_pct")):
-        found = found.join(entropy.rolling_entropy(bars, members, column, n, name).select("idx", f"{name}_entropy"), "idx")
+    names = {"close": "price", "close_change": "price_pct", "notional": "notional", "buy_share": "notional_buy_pct", "sell_share": "notional_sell_pct"}
+    found = entropy.rolling_entropies(bars, members, names, n)
     both = _stamped(found, bars, ("idx",))
     values = [f"{x}_entropy" for x in ("price", "price_pct", "notional", "notional_buy_pct", "notional_sell_pct")] + ["price_secondary_entropy"]
     return both.select("ts", "ready", F.explode(F.array(*(F.struct(F.lit(v).alias("key"), F.col(v).alias("value")) for v in values))).alias("z")).select("ts", "z.*", "ready")

@@ -127,6 +127,27 @@ def q_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(entropy.covariance(closes(spark, sf_dir), "close"), 4)
 
 
+MEMBERS = ["click", "error", "purchase", "signup", "view"]
+_PAIRS = [(a, b) for i, a in enumerate(MEMBERS) for b in MEMBERS[i:]]
+_SEEN = " AND ".join(f"{m} IS NOT NULL" for m in MEMBERS)
+
+
+@register(f"""WITH {sql.trades('event_type')}, {sql.bars(H6)}, p AS (SELECT idx, {", ".join(f"max({{0}}) FILTER (WHERE ticker = '{m}') AS {m}".format("close") for m in MEMBERS)} FROM bars GROUP BY 1),
+f AS (SELECT idx, {", ".join(f"last_value({m} IGNORE NULLS) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING) AS {m}" for m in MEMBERS)} FROM p),
+k AS (SELECT idx, {", ".join(f"CASE WHEN {_SEEN} THEN {m} END AS {m}" for m in MEMBERS)} FROM f),
+c AS (SELECT idx, count(click) OVER w AS n, {", ".join(f"covar_pop({a}, {b}) OVER w AS {a}_{b}" for a, b in _PAIRS)} FROM k WINDOW w AS (ORDER BY idx ROWS 19 PRECEDING))
+""" + " UNION ALL ".join(f"SELECT idx, n, '{a}' AS a, '{b}' AS b, round({a}_{b} + 0.00000003, 4) + 0.0 AS cov FROM c" for a, b in _PAIRS))
+def q_rolling_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covariances of all members' closes over the last twenty buckets, a row for each bucket and pair.
+
+    Prices are decimals, so covariances may lie on a rounding's edge; both sides are moved off it.
+    """
+    moments = entropy.rolling_moments(closes(spark, sf_dir), MEMBERS, ["close"], 20)
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.get("cov_close", F.lit(i)) + 0.00000003).alias("cov")) for i, (a, b) in enumerate(_PAIRS)))
+    out = moments.select("idx", F.col("n_close").alias("n"), F.inline(pairs))
+    return rounded(out, 4)
+
+
 @register(f"""WITH {sql.trades('event_type')}, {sql.bars(H6)}, g AS (SELECT DISTINCT idx FROM bars WHERE ticker IN ('click', 'purchase')),
 m0 AS (SELECT g.idx, last_value(a.close IGNORE NULLS) OVER v AS x, last_value(b.close IGNORE NULLS) OVER v AS y FROM g LEFT JOIN bars a ON a.idx = g.idx AND a.ticker = 'click' LEFT JOIN bars b ON b.idx = g.idx AND b.ticker = 'purchase' WINDOW v AS (ORDER BY g.idx ROWS UNBOUNDED PRECEDING)),
 m AS (SELECT idx, x AS x0, y AS y0, CASE WHEN y IS NOT NULL THEN x END AS x, CASE WHEN x IS NOT NULL THEN y END AS y FROM m0),
@@ -163,8 +184,7 @@ def q_entropy_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def q_entropy_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entropy factor of five members, through the registry; tested against numpy."""
-    members = ["click", "error", "purchase", "signup", "view"]
-    spec = FactorSpec("Monitor.Entropy", "entropy", {"clock": "time", "interval": H6, "sample_size": 20, "members": members})
+    spec = FactorSpec("Monitor.Entropy", "entropy", {"clock": "time", "interval": H6, "sample_size": 20, "members": MEMBERS})
     return rounded(FactorSet({spec.name: spec}).collect(trades(spark, sf_dir, "event_type")), 5)
 
 
