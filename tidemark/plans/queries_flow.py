@@ -266,3 +266,22 @@ def q_stream_decoder(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated events dropped from a stream."""
     return runs.first_events(spark, sf_dir)
+
+
+IDLE = 5 * 86400
+SESSIONS = f"""{sql.trades()}, g AS (SELECT ticker, ts, seq, price, CASE WHEN ts - lag(ts) OVER w > {IDLE} THEN 1 ELSE 0 END AS gap FROM tape WINDOW w AS (PARTITION BY ticker ORDER BY ts, seq)),
+n AS (SELECT ticker, sum(gap) OVER (PARTITION BY ticker ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS run, ts, seq, price FROM g),
+o AS (SELECT ticker, run, price, seq, row_number() OVER (PARTITION BY ticker ORDER BY ts, seq) AS place FROM n), {sql.ema('o', 'price', 0.2, 'ticker, run', 'place')}"""
+
+
+@register(f"WITH RECURSIVE {SESSIONS} SELECT o.ticker, o.seq, round(ema, 6) AS ema FROM ema JOIN o ON o.ticker = ema.ticker AND o.place = ema.place")
+def q_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EMA of rows that arrive in no order within the watermark; a key silent for five days starts anew."""
+    return rounded(runs.sessions(spark, sf_dir, 0.2, float(IDLE))[0])
+
+
+@register(f"""WITH RECURSIVE {SESSIONS}, l AS (SELECT ticker, max(ts) AS seen FROM tape GROUP BY 1), e AS (SELECT o.ticker, arg_max(ema, o.place) AS memory FROM ema JOIN o ON o.ticker = ema.ticker AND o.place = ema.place GROUP BY 1)
+SELECT l.ticker, round(seen, 3) AS seen, round(memory, 6) AS memory FROM l JOIN e ON e.ticker = l.ticker WHERE seen + {IDLE} >= (SELECT max(ts) FROM tape) + 7200""")
+def q_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states that a stopped query's checkpoint holds: those of keys that were not idle at its last watermark."""
+    return runs.sessions(spark, sf_dir, 0.2, float(IDLE))[1].select("ticker", F.round("seen", 3).alias("seen"), F.round("memory", 6).alias("memory"))

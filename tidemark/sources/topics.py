@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 # Actions by how many parts follow them.
 PLAIN = ["on_order", "on_report", "launch_signal", "eod", "eod_done", "bod", "bod_done"]
@@ -24,9 +27,16 @@ def parse(topic: Column) -> Column:
     return F.struct(action.alias("action"), ticker.alias("ticker"), dtype.alias("dtype"))
 
 
-def send(stream: DataFrame, path: str, state: str) -> None:
-    """Appends a stream of (topic, payload) to a log of JSON files by topic, until its input ends; ``state``: its checkpoint."""
-    stream.writeStream.format("json").partitionBy("topic").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+def send(stream: DataFrame, path: str, state: str, drain: Callable[[StreamingQuery], None] | None = None) -> None:
+    """Appends a stream of (topic, payload) to a log of JSON files by topic, until its input ends; ``state``: its checkpoint.
+
+    ``drain`` waits for the end of an input that goes on by itself, such as a replay.
+    """
+    writer = stream.writeStream.format("json").partitionBy("topic").option("path", path).option("checkpointLocation", state)
+    if drain:
+        drain(writer.start())
+    else:
+        writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def listen(spark: SparkSession, path: str) -> DataFrame:

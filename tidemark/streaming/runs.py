@@ -1,6 +1,8 @@
 """Streams over the events table, run until their input ends; each equals its batch query.
 
-The table's files may be in any order, so a stream reads a copy that Spark has dealt by ranges of event time.
+The table's files may be in any order. A stream replays a copy that is partitioned by day, some days a micro-batch; inside
+these the rows come in no order. Aggregates by event time don't mind; keyed processors let rows wait until the watermark
+has passed them.
 """
 
 from __future__ import annotations
@@ -10,48 +12,60 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
-from ..sources import topics
+from ..sources import replay, topics
 from ..sources.shared import scratch
 from . import processors
 
 
-#: Rows of a micro-batch, about.
-ROWS = 500_000
-
-
-def in_order(spark: SparkSession, folder: str) -> int:
-    """Number of files in ``folder``; they get modification times in the order of their names, as a stream picks them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    files = sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().endswith(".parquet")), key=lambda f: f.getName())
-    start = int(time.time() - len(files)) * 1000
-    for i, f in enumerate(files):
-        fs.setTimes(f, start + i * 1000, -1)
-    times = [fs.getFileStatus(f).getModificationTime() for f in files]
-    if any(a >= b for a, b in zip(times, times[1:], strict=False)):
-        raise OSError(f"{folder}: the store keeps its own modification times, so files can't be put in event-time order")
-    return len(files)
+#: Rows of a micro-batch, about; a replay has ``BATCHES`` of them or more.
+ROWS, BATCHES = 500_000, 3
+#: Seconds of a slot in which keyed processors let rows wait.
+SLOT = 3600.0
 
 
 def source(spark: SparkSession, sf_dir: str, rows: int | None = None) -> tuple[DataFrame, float]:
-    """Events as trades by user in event time ``at``, some ``rows`` a micro-batch in their order; and their span in seconds."""
+    """Events as trades by user in event time ``at``, some ``rows`` a micro-batch by days; and their span in seconds.
+
+    Rows of one day are in no order. The closing row has no ticker.
+    """
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("double")
     at = F.col("ts").cast("timestamp")
     tape = raw.select(F.col("user_id").cast("string").alias("ticker"), (F.unix_micros(at) / 1e6).alias("ts"), F.col("event_id").alias("seq"), at.alias("at"), F.col("value").alias("price"), k.alias("volume"), "event_type", "user_id")
-    n, first, last = tape.agg(F.count("*"), F.min("ts"), F.max("ts")).first()
-    batches = max(-(-n // (rows or ROWS)), min(len(raw.inputFiles()), 8), 1)
+    n, first, last, days = tape.agg(F.count("*"), F.min("ts"), F.max("ts"), F.count_distinct(F.floor(F.col("ts") / 86400))).first()
     path = scratch(spark, "stream_feed")
-    tape.repartitionByRange(batches, "ts", "seq").sortWithinPartitions("ts", "seq").write.parquet(path)
-    files = max(-(-in_order(spark, path) // batches), 1)
-    return spark.readStream.schema(tape.schema).option("maxFilesPerTrigger", files).parquet(path), (last or 0.0) - (first or 0.0)
+    replay.write_days(tape, path)
+    step = max(days // max(-(-n // (rows or ROWS)), BATCHES), 1)
+    return replay.replay(spark, path, tape.schema, days=step, closing=3 * SLOT, progress=f"{path}-progress/day"), (last or 0.0) - (first or 0.0)
+
 
+def ordered(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """The source's rows for processors that fold in the order of time: the watermark follows the newest row by a slot."""
+    rows, _ = source(spark, sf_dir)
+    return rows.select("ticker", "ts", "seq", *names, "at").withWatermark("at", f"{int(SLOT)} seconds")
 
-def to_table(stream: DataFrame, name: str, mode: str, path: str | None = None) -> DataFrame:
+
+def drain(query: StreamingQuery) -> None:
+    """Waits until a replay's closing row, and what it sets off, is done; then stops."""
+    try:
+        while query.isActive:
+            done = query.lastProgress
+            if done and replay.END in str(done["sources"][0]["endOffset"]):
+                query.processAllAvailable()
+                break
+            time.sleep(0.1)
+    finally:
+        query.stop()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+def to_table(stream: DataFrame, name: str, mode: str, path: str | None = None, *, replayed: bool = False) -> DataFrame:
     """Runs ``stream`` over what there is; its rows with the number of the batch that wrote them.
 
-    A batch writes its own folder anew, so a batch that is repeated after a failure replaces itself. Given the ``path``
+    ``replayed``: a replay, which ends with its closing row. A batch writes its own folder anew, so a batch that is repeated after a failure replaces itself. Given the ``path``
     of an earlier run, it goes on from that run's state.
     """
     spark = stream.sparkSession
@@ -60,8 +74,11 @@ def to_table(stream: DataFrame, name: str, mode: str, path: str | None = None) -
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state")
+    if replayed:
+        drain(writer.start())
+    else:
+        writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{path}/out")
 
 
@@ -72,42 +89,51 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fixed_bars(spark: SparkSession, sf_dir: str, seconds: int) -> DataFrame:
-    """Bars by event time, updated in place until the watermark passes; rows come in event-time order, so none is late."""
+    """Bars by event time, updated in place until the watermark passes; days come in order, so no row is late."""
     at = F.struct("ts", "seq")
-    tape = source(spark, sf_dir)[0].withColumn("ticker", F.col("event_type")).withWatermark("at", "1 day")
+    tape = source(spark, sf_dir)[0].where("ticker IS NOT NULL").withColumn("ticker", F.col("event_type")).withWatermark("at", "1 day")
     bars = tape.groupBy("ticker", F.window("at", f"{seconds} seconds").alias("w")).agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"))
     out = bars.select("ticker", (F.unix_seconds("w.start") / seconds).cast("long").alias("idx"), "open", "high", "low", "close", "volume")
-    return latest(to_table(out, "stream_bars", "update"), ["ticker", "idx"])
+    return latest(to_table(out, "stream_bars", "update", replayed=True), ["ticker", "idx"])
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events sent as JSON messages by topic, and read again from the log's start."""
     path = scratch(spark, "messages")
-    rows = source(spark, sf_dir)[0]
+    rows = source(spark, sf_dir)[0].where("ticker IS NOT NULL")
     sent = topics.messages(rows.select(F.col("seq").alias("event_id"), F.col("price").alias("value"), "ticker"), topics.push_topic(F.col("ticker"), F.lit("TradeData")))
-    topics.send(sent, f"{path}/log", f"{path}/state")
+    topics.send(sent, f"{path}/log", f"{path}/state", drain)
     back = topics.listen(spark, f"{path}/log").select("topic", F.from_json("payload", "event_id long, value double").alias("r")).select("topic", "r.*")
     return to_table(back, "stream_messages", "append").drop("batch")
 
 
 def volume_bars(spark: SparkSession, sf_dir: str, interval: float) -> DataFrame:
-    rows = source(spark, sf_dir)[0].select("ticker", "ts", "seq", "price", "volume")
-    return latest(to_table(processors.volume_bars(rows, interval), "stream_volume_bars", "update"), ["ticker", "idx"])
+    rows = processors.volume_bars(ordered(spark, sf_dir, "price", "volume"), interval, late=SLOT)
+    out = to_table(rows, "stream_volume_bars", "update", replayed=True)
+    rest = [c for c in out.columns if c not in ("ticker", "idx", "batch")]
+    # a bar's later versions have more rows
+    return out.groupBy("ticker", "idx").agg(F.max_by(F.struct(*rest), "n").alias("r")).select("ticker", "idx", "r.*")
 
 
 def ema(spark: SparkSession, sf_dir: str, alpha: float) -> DataFrame:
-    rows = source(spark, sf_dir)[0].select("ticker", "ts", "seq", "price")
-    return to_table(processors.ema(rows, "price", alpha), "stream_ema", "append").drop("batch")
+    return to_table(processors.ema(ordered(spark, sf_dir, "price"), "price", alpha, late=SLOT), "stream_ema", "append", replayed=True).drop("batch")
+
+
+def sessions(spark: SparkSession, sf_dir: str, alpha: float, idle: float) -> tuple[DataFrame, DataFrame]:
+    """EMA that starts anew after ``idle`` seconds without a row, and (ticker, seen, memory) of the states that are left at the end."""
+    path = scratch(spark, "stream_sessions")
+    rows = to_table(processors.ema(ordered(spark, sf_dir, "price"), "price", alpha, idle=idle, late=SLOT), "stream_sessions", "append", path, replayed=True)
+    left = spark.read.format("statestore").option("stateVarName", "memory").load(f"{path}/state")
+    return rows.drop("batch"), left.select(F.col("key.ticker").alias("ticker"), "value.*")
 
 
 def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = source(spark, sf_dir)[0].select("ticker", "ts", "seq", "price")
-    out = to_table(processors.waves(rows, confirmation=0.05, timeout=43200.0, up=0.5, down=0.5), "stream_waves", "append")
+    out = to_table(processors.waves(ordered(spark, sf_dir, "price"), late=SLOT, confirmation=0.05, timeout=43200.0, up=0.5, down=0.5), "stream_waves", "append", replayed=True)
     return out.select("ticker", F.round("start_ts", 3).alias("start_ts"), F.round("end_ts", 3).alias("end_ts"), "start_price", "end_price", "high", "low", "flag")
 
 
 def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of events of each user, repeats dropped; the watermark covers the table's span, so no state expires."""
     rows, span = source(spark, sf_dir)
-    rows = rows.withWatermark("at", f"{int(span) + 1} seconds").dropDuplicatesWithinWatermark(["user_id", "event_type"])
-    return to_table(rows.select("user_id", "event_type"), "stream_dedup", "append").drop("batch")
+    rows = rows.where("ticker IS NOT NULL").withWatermark("at", f"{int(span) + 1} seconds").dropDuplicatesWithinWatermark(["user_id", "event_type"])
+    return to_table(rows.select("user_id", "event_type"), "stream_dedup", "append", replayed=True).drop("batch")
