@@ -96,7 +96,8 @@ def with_next(docs: DataFrame, made: dict[str, Column] | None = None) -> DataFra
 
     The order is (doc_id, text hash); null doc_ids come first, and rows that share both are alike and follow each
     other. After the last document comes the first. Null texts are empty, a single document follows itself, an empty
-    table gives no rows. ``docs`` must give the same rows when it is read twice. Other columns may have any names.
+    table gives no rows. ``docs`` must be a table's scan or as steady: if it gives its rows in another order when it is
+    read again, the query fails and says so. Other columns may have any names.
     """
     spark, made, names = docs.sparkSession, made or {}, ["d", "h", "row"]
     d, h, row = (f"{P}{n}" for n in names)
@@ -124,7 +125,8 @@ def with_next(docs: DataFrame, made: dict[str, Column] | None = None) -> DataFra
     order = Window.partitionBy(block).orderBy(guest, d, h, row)
     with_made = sent.withColumns({f"{P}{m}": c for m, c in made.items()})
     after = with_made.withColumns({f"{P}next_{m}": F.lead(f"{P}{m}").over(order) for m in ["text", *made]})
-    return after.where(F.col(guest) == 0).select(*columns(docs), *(F.col(f"{P}{x}{m}") for m in ["text", *made] for x in ("", "next_")))
+    followed = F.coalesce(f"{P}next_text", F.raise_error(F.lit("with_next: rows came in another order when they were read again; give a written table")).cast("string"))
+    return after.where(F.col(guest) == 0).withColumn(f"{P}next_text", followed).select(*columns(docs), *(F.col(f"{P}{x}{m}") for m in ["text", *made] for x in ("", "next_")))
 
 
 def op13_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
