@@ -3,9 +3,10 @@
 A sample of the documents is mined level by level with a lowered threshold. What it finds are proposals; their negative
 border are the phrases that are not proposed though both their parts, without the last and without the first word, are
 (of single words: all others). One pass over all documents counts proposals and border exactly. A phrase that is frequent
-has frequent parts only, so nothing is missed unless a phrase of the border turns out frequent; then another pass counts
-what such phrases border on, until none is left. Counts are of whole texts and exact whatever the sample holds: it
-decides only how many passes are needed.
+has frequent parts only, so nothing is missed unless a phrase of the border turns out frequent; then an expansion pass
+counts every longer phrase that such a one can be part of: those whose parts are known, failures of the border, or
+themselves counted in this pass. That closes the border. Counts are of whole texts and exact whatever the sample
+holds: it decides only how much is counted in which pass.
 
 Tasks learn which phrases are known from bits set by their hashes, a table of bounded size. Phrases that share another's
 bits are counted too, which costs work and changes nothing. Counting within a chunk of words is by hash, verified word by
@@ -19,6 +20,7 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .store import documents, materialize, small_batches, text_of
 
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
-#: One document in so many is in the sample.
+#: One document in so many is in the sample; its threshold lies a standard deviation below the expected count.
 SAMPLE = 8
 #: Bits of the table of known phrases at most, and bits for each phrase below that.
 MAX_BITS, BITS_EACH = 1 << 27, 16
@@ -128,7 +130,7 @@ def _groups(ids: np.ndarray, at: np.ndarray, hashes: np.ndarray, m: int) -> tupl
     return at[first], n
 
 
-def _count(ids: np.ndarray, stop: int, book: _Ids, old: Known | None, new: Known | None, words: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _count(ids: np.ndarray, stop: int, book: _Ids, old: Known | None, new: Known | None, words: bool, expand: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(m, places, how many, whether it is known) of the phrases that a pass counts and that start before ``stop``; m = 0 is the number of words."""
     raw = np.array(book.hashes, np.uint64)
     hash_of = mix(np.full(len(raw), book.start), raw)
@@ -141,28 +143,31 @@ def _count(ids: np.ndarray, stop: int, book: _Ids, old: Known | None, new: Known
         place[ids[:stop]] = np.arange(stop)
         yield 0, np.zeros(1, np.int64), n.sum(keepdims=True), np.ones(1, bool)
         yield 1, place[some], n[some], is_old[some]
-    # of each place that starts a known phrase of m - 1 words: its hash, and whether it is new
+    # of each place that starts a phrase of m - 1 words that is known, or counted by an expansion: its hash, and whether it is new
     at = np.flatnonzero(is_old[ids])
     hashes, fresh = hash_of[ids[at]], is_new[ids[at]]
     for m in range(2, LONGEST + 1):
         both = np.flatnonzero(at[1:] == at[:-1] + 1)
         if not len(both):
             return
-        at, wanted = at[both], (fresh[both] | fresh[both + 1]) & (at[both] < stop)
+        at, wanted = at[both], fresh[both] | fresh[both + 1]
         hashes = mix(hashes[both], raw[ids[at + m - 1]])
         inside = old.has(hashes)
-        if wanted.any():
-            place, n = _groups(ids, at[wanted], hashes[wanted], m)
+        own = wanted & (at < stop)
+        if own.any():
+            place, n = _groups(ids, at[own], hashes[own], m)
             yield m, place, n, inside[np.searchsorted(at, place)]
-        at, hashes = at[inside], hashes[inside]
-        fresh = new.has(hashes)
+        goes_on = inside | wanted if expand else inside
+        at, hashes = at[goes_on], hashes[goes_on]
+        fresh = new.has(hashes) | wanted[goes_on] if expand else new.has(hashes)
 
 
-def count(docs: DataFrame, threshold: int, old: Broadcast | None = None, new: Broadcast | None = None, *, words: bool = False) -> DataFrame:
+def count(docs: DataFrame, threshold: int, old: Broadcast | None = None, new: Broadcast | None = None, *, words: bool = False, expand: bool = False) -> DataFrame:
     """(lang, phrase, m, inside, n) of ``docs`` (lang, text, no nulls): exact counts from ``threshold`` on.
 
-    Counted are single words if asked for, and phrases both of whose parts are in ``old``, one of them in ``new``.
-    ``inside``: they are in ``old`` themselves. m = 0: all words of a language.
+    Counted are single words if asked for, and phrases both of whose parts are in ``old``, one of them in ``new``;
+    with ``expand``, phrases that are counted themselves stand for both. ``inside``: they are in ``old``. m = 0: all
+    words of a language. Tasks give each phrase of a chunk once, so phrases are dealt as they are, hot or not.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,14 +179,15 @@ def count(docs: DataFrame, threshold: int, old: Broadcast | None = None, new: Br
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
                 ids, book = np.concatenate(parts), books[lang]
+                names = pa.array(book.words, pa.binary()).cast(pa.string())
                 for start in range(0, len(ids), CHUNK):  # phrases that start in a chunk may end after it
                     part = ids[start : start + CHUNK + LONGEST - 1]
-                    for m, place, n, inside in _count(part, min(CHUNK, len(part)), book, *have, words):
-                        for i in range(0, len(place), 100_000):
-                            spans = [part[p : p + m].tolist() for p in place[i : i + 100_000].tolist()]
-                            phrases = pa.array([b" ".join([book.words[w] for w in s]) for s in spans], pa.binary()).cast(pa.string())
-                            k = len(phrases)
-                            yield pa.RecordBatch.from_arrays([pa.array([lang] * k), phrases, pa.array(np.full(k, m, np.int32)), pa.array(inside[i : i + k]), pa.array(n[i : i + k].astype(np.int64))], names=["lang", "phrase", "m", "inside", "n"])
+                    for m, place, n, inside in _count(part, min(CHUNK, len(part)), book, *have, words, expand):
+                        for i in range(0, len(place), 200_000):
+                            at = place[i : i + 200_000]
+                            each = [names.take(pa.array(part[at + j])) for j in range(m)]
+                            joined = pc.binary_join_element_wise(*each, " ") if m else pa.repeat("", len(at))
+                            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(at)), joined, pa.repeat(pa.scalar(m, pa.int32()), len(at)), pa.array(inside[i : i + len(at)]), pa.array(n[i : i + len(at)].astype(np.int64))], names=["lang", "phrase", "m", "inside", "n"])
             held.clear()
             if sum(len(b.words) for b in books.values()) > VOCABULARY:
                 books.clear()
@@ -198,7 +204,7 @@ def count(docs: DataFrame, threshold: int, old: Broadcast | None = None, new: Br
                     n_held = 0
         yield from flush()
 
-    found = docs.select("lang", "text").mapInArrow(run, COUNTED)
+    found = docs.select("lang", "text").mapInArrow(run, COUNTED).repartition("lang", "phrase")
     return found.groupBy("lang", "phrase", "m", "inside").agg(F.sum("n").alias("n")).where((F.col("n") >= threshold) | (F.col("m") == 0))
 
 
@@ -211,7 +217,7 @@ def frequent(docs: DataFrame, *, least: int = MIN_COUNT, sample: int = SAMPLE) -
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_of().alias("text"), "doc_id")
     some = materialize(texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample)) == 0).select("lang", "text"), "phrase_sample")
     mean = least / sample
-    low = max(2, ceil(mean - 2.5 * sqrt(mean)))
+    low = max(2, ceil(mean - sqrt(mean)))
     proposed = level = materialize(count(some, low, words=True).where("m > 0"), "phrase_proposals")
     for _ in range(2, LONGEST + 1):
         if level.isEmpty():
@@ -220,12 +226,12 @@ def frequent(docs: DataFrame, *, least: int = MIN_COUNT, sample: int = SAMPLE) -
         proposed = proposed.unionByName(level)
     bits = known(proposed)
     found = materialize(count(texts, least, bits, bits, words=True), "phrases")
-    out, beyond = found, found.where(f"m BETWEEN 1 AND {LONGEST - 1} AND NOT inside")
-    while not beyond.isEmpty():
-        every = out.where("m > 0")
-        more = count(texts, least, known(every), known(beyond))
-        beyond = materialize(more.join(every.select("lang", "phrase"), ["lang", "phrase"], "left_anti"), "phrases")
-        out = out.unionByName(beyond)
+    beyond = found.where(f"m BETWEEN 1 AND {LONGEST - 1} AND NOT inside")
+    out = found
+    if not beyond.isEmpty():
+        every = found.where("m > 0")
+        more = count(texts, least, known(every), known(beyond), expand=True)
+        out = out.unionByName(materialize(more.join(every.select("lang", "phrase"), ["lang", "phrase"], "left_anti"), "phrases"))
     return out.select("lang", "phrase", "m", "n")
 
 
