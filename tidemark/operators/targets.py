@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import scratch
+from ..sources.shared import written
 from .decoder import turning_points
-from .running import asof
+from .running import asof, running
 
 
 def fixed_horizon(frame: DataFrame, horizon: float, *, price: str = "price", keep: Column | None = None, block: float = 86400.0) -> DataFrame:
@@ -20,13 +20,6 @@ def fixed_horizon(frame: DataFrame, horizon: float, *, price: str = "price", kee
     return out.withColumn(f"pct_change_{horizon:g}", F.try_divide("matched", F.nullif(F.col(price), F.lit(0.0))) - 1).drop("matched", "matched_ts")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` from a table: what several branches read is made once and its plan stays out of theirs."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def wave_segments(frame: DataFrame, extremes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Rows with seg (extremes up to and at the row), state and the segment's next extremes."""
     order = Window.partitionBy(*keys).orderBy("ts")
@@ -36,6 +29,12 @@ def wave_segments(frame: DataFrame, extremes: DataFrame, keys: tuple[str, ...])
     return asof(frame, marks, F.col("ts"), forward=False, keys=keys, value="m").select(*frame.columns, "matched.*")
 
 
+def _ahead(rows: DataFrame, maxes: dict[str, Column], mins: dict[str, Column], keys: tuple[str, ...]) -> DataFrame:
+    """Adds greatest and least values from each row to its segment's end: a running extreme backwards in time, over blocks."""
+    back = rows.withColumns({"__back": -F.col("ts"), "__last": -F.col("seq")})
+    return running(back, maxes=maxes, mins=mins, keys=keys, order=("__back", "__last")).drop("__back", "__last")
+
+
 def wave_target(frame: DataFrame, *, price: str = "price", level: int = 4, keys: tuple[str, ...] = ("ticker",), smooth: bool = True, alpha: float = 0.008, look_back: float = 900.0) -> DataFrame:
     """Adds state, local_max, local_min, {up,down,target}_actual and, with ``smooth``, their smoothed forms.
 
@@ -44,13 +43,12 @@ def wave_target(frame: DataFrame, *, price: str = "price", level: int = 4, keys:
     it, the probability of holding on falls with the loss still ahead, and blends in the next segment's gain.
     """
     extremes = turning_points(frame, level, keys=keys, price=price).where(F.col("level") == level).groupBy(*keys, "ts").agg(F.max_by("price", F.col("flag")).alias("price"), F.max("flag").alias("flag"))
-    rows = _written(wave_segments(frame, _written(extremes, "extremes"), keys), "segments")
+    rows = written(wave_segments(frame, written(extremes, "extremes"), keys), "segments")
     p = F.col(price)
     # the row at a segment's start also ends the one before
     both = F.when(F.col("ts") == F.col("from_ts"), F.array(F.col("seg"), F.col("seg") - 1)).otherwise(F.array("seg"))
     spread = rows.withColumn("s", F.explode(both))
-    ahead = Window.partitionBy(*keys, "s").orderBy(F.desc("ts"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
-    own = spread.withColumns({"local_max": F.max(p).over(ahead), "local_min": F.min(p).over(ahead)}).where("s = seg OR seg IS NULL").drop("s")
+    own = _ahead(spread, {"local_max": p}, {"local_min": p}, (*keys, "s")).where("s = seg OR seg IS NULL").drop("s")
     before = rows.where("seg IS NULL").select(*rows.columns, F.lit(None).cast("double").alias("local_max"), F.lit(None).cast("double").alias("local_min"))
     own = own.where("seg IS NOT NULL").unionByName(before)
     up, down = F.try_divide("local_max", p) - 1, F.try_divide("local_min", p) - 1
@@ -65,8 +63,9 @@ def wave_target(frame: DataFrame, *, price: str = "price", level: int = 4, keys:
     ends = last.select(*keys, F.col("seg").alias("s"), F.col("from_ts").alias("w_from"), F.col("next_ts").alias("w_end"), F.col("next_flag").alias("w_flag"), F.col("after_price").alias("w_after"))
     part = own.where("seg IS NOT NULL").withColumn("s", F.explode(both)).join(ends, [*keys, "s"]).where((F.col("ts") >= F.greatest("w_from", F.col("w_end") - look_back)) & (F.col("ts") <= F.col("w_end")) & F.col("w_after").isNotNull())
     worst = F.when(F.col("w_flag") == -1, F.col("down_actual")).otherwise(-F.col("up_actual"))
-    loss = F.min(worst).over(ahead)
-    part = part.withColumn("loss", loss).withColumn("thr", F.greatest(F.min("loss").over(Window.partitionBy(*keys, "s")), F.lit(-alpha)))
+    part = _ahead(part, {}, {"loss": worst}, (*keys, "s"))
+    least = part.groupBy(*keys, "s").agg(F.greatest(F.min("loss"), F.lit(-alpha)).alias("thr"))
+    part = part.join(least, [*keys, "s"])
     hold = F.when(F.col("loss") > F.col("thr"), 1 - F.try_divide("loss", "thr")).otherwise(0.0)
     change = F.try_divide("w_after", p) - 1
     gain = F.when(F.col("w_flag") == -1, F.greatest(change, F.lit(0.0))).otherwise(F.least(change, F.lit(0.0)))
@@ -81,3 +80,11 @@ def wave_target(frame: DataFrame, *, price: str = "price", level: int = 4, keys:
         low, high = F.col(f"{c}.flag") == -1, F.col(f"{c}.flag") == 1
         state = {"up": F.when(low, mix(c, F.col("up_actual"))).otherwise(state["up"]), "down": F.when(high, mix(c, F.col("down_actual"))).otherwise(state["down"]), "target": F.when(low, mix(c, state["down"])).when(high, mix(c, state["up"])).otherwise(state["target"])}
     return out.select(*actual, *(v.alias(f"{k}_smoothed") for k, v in state.items()))
+
+
+def named_targets(frame: DataFrame, *, horizon: float = 900.0, level: int = 3, price: str = "price", keys: tuple[str, ...] = ("ticker",), alpha: float = 0.008, look_back: float = 900.0) -> DataFrame:
+    """``frame`` with its targets by the names that predictions carry: pct_change_<horizon>, and of ``level`` state_<level>, {up,down,target}_{actual,smoothed}_<level>."""
+    waves = wave_target(frame, price=price, level=level, keys=keys, alpha=alpha, look_back=look_back)
+    ends = [c for c in waves.columns if c == "state" or c.endswith(("_actual", "_smoothed"))]
+    named = waves.select(*frame.columns, *(F.col(c).alias(f"{c}_{level}") for c in ends))
+    return fixed_horizon(named, horizon, price=price)

@@ -237,21 +237,69 @@ def q_wave_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(waves.select("ticker", F.round("start_ts", 3).alias("start_ts"), decoder.pct_change().alias("pct_change")), 4)
 
 
-@register()
+def _levels(top: int) -> str:
+    """CTEs l0 to l<top> (ticker, k, ts, price, flag): extremes of each level, in the order in which they are found."""
+    first = f"""{sql.trades('event_type')}, a AS (SELECT *, sign(lead(price) OVER w - price) AS d FROM tape WINDOW w AS (PARTITION BY ticker ORDER BY ts, seq)),
+b AS (SELECT *, last_value(nullif(d, 0) IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM a),
+start AS (SELECT ticker, arg_min(ts, (ts, seq)) AS ts, arg_min(price, (ts, seq)) AS price FROM tape GROUP BY 1),
+l0 AS MATERIALIZED (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY ts, seq) AS k, ts, price, CAST(-d AS INT) AS flag FROM b WHERE d <> 0 AND (c IS NULL OR c <> d))"""
+    # a level holds the last point (m), the last point of either kind (t, b) and its last extreme (e); u is the point that a new one is tested for
+    return first + "".join(
+        f""",
+s{n} AS (SELECT ticker, 0::BIGINT AS k, price AS m, ts AS mt, NULL::DOUBLE AS t, NULL::DOUBLE AS tt, NULL::DOUBLE AS b, NULL::DOUBLE AS bt, NULL::DOUBLE AS e, NULL::DOUBLE AS u, NULL::DOUBLE AS ut, 0 AS f FROM start
+UNION ALL SELECT ticker, k, p, pt, CASE WHEN flag = 1 THEN p ELSE t END, CASE WHEN flag = 1 THEN pt ELSE tt END, CASE WHEN flag = -1 THEN p ELSE b END, CASE WHEN flag = -1 THEN pt ELSE bt END,
+  CASE WHEN turns THEN c ELSE e END, CASE WHEN turns THEN c END, CASE WHEN turns THEN ct END, CASE WHEN turns THEN flag ELSE 0 END
+FROM (SELECT *, old IS NULL OR e IS NULL OR flag = 1 AND e < c AND c > p OR flag = -1 AND e > c AND c < p AS turns
+  FROM (SELECT s.ticker, r.k, r.price AS p, r.ts AS pt, r.flag, s.m, s.t, s.tt, s.b, s.bt, s.e, CASE WHEN r.flag = 1 THEN s.t ELSE s.b END AS old,
+    coalesce(CASE WHEN r.flag = 1 THEN s.t ELSE s.b END, s.m) AS c, coalesce(CASE WHEN r.flag = 1 THEN s.tt ELSE s.bt END, s.mt) AS ct FROM s{n} s JOIN l{n - 1} r ON r.ticker = s.ticker AND r.k = s.k + 1))),
+l{n} AS MATERIALIZED (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY k) AS k, ut AS ts, u AS price, f AS flag FROM s{n} WHERE f <> 0)"""
+        for n in range(1, top + 1)
+    )
+
+
+@register(f"WITH RECURSIVE {_levels(3)} " + " UNION ALL ".join(f"SELECT ticker, {n} AS level, round(ts, 3) AS ts, price, flag FROM l{n}" for n in range(4)))
 def q_recursive_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extremes of four levels; level 0 equals q_turning_points, the rest is tested against a plain model."""
+    """Extremes of four levels."""
     return decoder.turning_points(trades(spark, sf_dir, "event_type"), 3).withColumn("ts", F.round("ts", 3))
 
 
-@register()
+#: Segments between extremes of level 3: rows with their segment's extremes, and the highest and lowest price up to its end.
+WAVES = f"""{_levels(3)}, e AS (SELECT ticker, ts, arg_max(price, flag) AS price, max(flag) AS flag FROM l3 GROUP BY 1, 2),
+marks AS MATERIALIZED (SELECT ticker, ts AS from_ts, flag, row_number() OVER w AS seg, lead(ts) OVER w AS next_ts, lead(flag) OVER w AS next_flag, lead(price, 2) OVER w AS after_price FROM e WINDOW w AS (PARTITION BY ticker ORDER BY ts)),
+r AS MATERIALIZED (SELECT tape.ticker, tape.ts, tape.seq, tape.price, m.seg, m.from_ts, m.flag, m.next_ts, m.next_flag, m.after_price FROM tape ASOF LEFT JOIN marks m ON m.ticker = tape.ticker AND tape.ts >= m.from_ts),
+both_ AS (SELECT *, seg AS s FROM r WHERE seg IS NOT NULL UNION ALL SELECT *, seg - 1 FROM r WHERE ts = from_ts),
+x AS (SELECT *, max(price) OVER w AS hi, min(price) OVER w AS lo FROM both_ WINDOW w AS (PARTITION BY ticker, s ORDER BY ts, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+y AS (SELECT ticker, ts, seq, price, seg, from_ts, next_ts, next_flag, after_price, -flag AS state, hi, lo FROM x WHERE s = seg UNION ALL SELECT ticker, ts, seq, price, NULL, NULL, NULL, NULL, NULL, 0, NULL, NULL FROM r WHERE seg IS NULL),
+z AS (SELECT *, CASE WHEN price <> 0 THEN hi / price END - 1 AS up, CASE WHEN price <> 0 THEN lo / price END - 1 AS down FROM y),
+w AS MATERIALIZED (SELECT *, CASE state WHEN 1 THEN up WHEN -1 THEN down ELSE up + down END AS target FROM z)"""
+
+
+@register(f"""WITH RECURSIVE {WAVES} SELECT ticker, round(ts, 4) AS ts, seq, price, state, hi AS local_max, lo AS local_min, round(up, 4) + 0.0 AS up_actual, round(down, 4) + 0.0 AS down_actual, round(target, 4) + 0.0 AS target_actual FROM w""")
 def q_wave_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets between extremes; tested against a plain model."""
+    """Targets between extremes."""
     tape = trades(spark, sf_dir, "event_type").select("ticker", "ts", "seq", "price")
     return rounded(targets.wave_target(tape, level=3, smooth=False), 4)
 
 
-@register()
+#: Parts of segments near their ends, as (ticker, s), with the share of holding on (h) and the next segment's gain (g).
+_BLEND = """p0 AS (SELECT w.*, w.seg - d AS s FROM w, (VALUES (0), (1)) v(d) WHERE w.seg IS NOT NULL AND (d = 0 OR w.ts = w.from_ts)),
+ends AS (SELECT DISTINCT ticker, seg AS s, from_ts AS a, next_ts AS z, next_flag AS zf, after_price AS za FROM w WHERE seg IS NOT NULL),
+p1 AS (SELECT p0.*, a, z, zf, za, CASE WHEN zf = -1 THEN down ELSE -up END AS worst FROM p0 JOIN ends ON ends.ticker = p0.ticker AND ends.s = p0.s WHERE za IS NOT NULL AND ts >= greatest(a, z - 7200) AND ts <= z),
+p2 AS (SELECT *, min(worst) OVER (PARTITION BY ticker, s ORDER BY ts, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS loss, greatest(min(worst) OVER (PARTITION BY ticker, s), -0.008) AS thr FROM p1),
+p3 AS MATERIALIZED (SELECT ticker, ts, seq, seg - s AS d, zf, CASE WHEN loss > thr THEN 1 - loss / nullif(thr, 0) ELSE 0 END AS h, CASE WHEN zf = -1 THEN greatest(za / nullif(price, 0) - 1, 0) ELSE least(za / nullif(price, 0) - 1, 0) END AS g FROM p2),
+q0 AS (SELECT w.*, up AS u0, down AS d0, target AS t0 FROM w)"""
+
+
+def _blended(source: str, d: int, n: int) -> str:
+    """CTE q<n>: the smoothed forms after the end of the segment that lies ``d`` before a row's own."""
+    return f"""q{n} AS (SELECT q.* EXCLUDE (u0, d0, t0), CASE WHEN zf = -1 THEN h * g + (1 - h) * up ELSE u0 END AS u0, CASE WHEN zf = 1 THEN h * g + (1 - h) * down ELSE d0 END AS d0,
+CASE WHEN zf = -1 THEN h * g + (1 - h) * d0 WHEN zf = 1 THEN h * g + (1 - h) * u0 ELSE t0 END AS t0 FROM {source} q LEFT JOIN p3 ON p3.ticker = q.ticker AND p3.ts = q.ts AND p3.seq = q.seq AND p3.d = {d})"""
+
+
+@register(f"""WITH RECURSIVE {WAVES}, {_BLEND}, {_blended("q0", 1, 1)}, {_blended("q1", 0, 2)}
+SELECT q.ticker, round(q.ts, 4) AS ts, q.seq, q.price, q.state AS state_3, {", ".join(f"round({c}, 4) + 0.0 AS {n}_3" for c, n in (("q.up", "up_actual"), ("q.down", "down_actual"), ("q.target", "target_actual"), ("u0", "up_smoothed"), ("d0", "down_smoothed"), ("t0", "target_smoothed")))},
+round(CASE WHEN q.price <> 0 THEN r.price / q.price - 1 END, 4) + 0.0 AS pct_change_900 FROM (SELECT *, ts + 900 AS at FROM q2) q ASOF LEFT JOIN tape r ON r.ticker = q.ticker AND r.ts >= q.at""")
 def q_wave_target_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L3, L4: the smoothed targets; tested against a plain model."""
+    """L3, L4: the smoothed targets and the fixed horizon, by the names that predictions carry."""
     tape = trades(spark, sf_dir, "event_type").select("ticker", "ts", "seq", "price")
-    return rounded(targets.wave_target(tape, level=3, look_back=7200.0), 4)
+    return rounded(targets.named_targets(tape, level=3, look_back=7200.0), 4)
