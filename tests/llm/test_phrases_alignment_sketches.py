@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tidemark.llm import alignment, phrases, queries, sketches
-from tidemark.llm.encoding import BYTE_BPE, tokenizer_path
+from tidemark.llm.encoding import BYTE_BPE, pack_ids, tokenizer_path
 from tidemark.llm.store import P, materialize
 
 SF = "/root/testdata/sf0.001"
@@ -99,11 +99,18 @@ def test_equal_hashes_are_told_apart():
 # --- operator 12
 
 
+def plain_encode(tok, text):
+    """Ids as the libraries give them for a whole text."""
+    a, b = tok.first.encode(" " + text, add_special_tokens=False).ids, tok.second.encode(text)
+    whole = text and b"".join(map(tok.bytes_a.__getitem__, a)) == b"".join(map(tok.bytes_b.__getitem__, b)) == f" {text}".encode()
+    return (pack_ids(a), pack_ids(b)) if whole else (b"", b"")
+
+
 def plain_alignment(rows):
     tok = alignment.Pair(tokenizer_path(BYTE_BPE), tokenizer_path(alignment.PIECES))
     aligned = []
     for _, text in rows:
-        a, b = (x.tolist() for x in tok.encode([text or ""])[0])
+        a, b = (np.frombuffer(x, "<u4").tolist() for x in plain_encode(tok, text or ""))
         ends = [[], []]
         for side, ids, by in ((0, a, tok.bytes_a), (1, b, tok.bytes_b)):
             at = 0
@@ -128,9 +135,18 @@ def test_tokens_are_those_of_the_files():
     """Bytes of every id, against the libraries' own decoding; special tokens in a text are plain text."""
     tok = alignment.Pair(tokenizer_path(BYTE_BPE), tokenizer_path(alignment.PIECES))
     for text in ["naïve <|endoftext|> <s> x", "日本 \n\t 🙂", "a  b   c"]:
-        a, b = tok.encode([text])[0]
+        a, b = (np.frombuffer(x, "<u4").tolist() for x in tok.encode([text])[0])
         assert b"".join(tok.bytes_a[i] for i in a).decode() == b"".join(tok.bytes_b[i] for i in b).decode() == " " + text
-        assert 50256 not in a and not {1, 2} & set(b.tolist())
+        assert 50256 not in a and not {1, 2} & set(b)
+
+
+def test_units_give_the_whole_texts_tokens():
+    """Random texts with spaces, marks, bytes that no piece has, and special tokens."""
+    rnd = np.random.default_rng(5)
+    tok = alignment.Pair(tokenizer_path(BYTE_BPE), tokenizer_path(alignment.PIECES))
+    bits = [" ", "  ", "   ", "▁", "\n", "\t", "a", "the", "é", "日本", "🙂", "<s>", "</s>", "<unk>", "<|endoftext|>", "<0x0A>", ".", "1", "\x00", "\u0301", "ﬁ", "\xa0", "\u3000", "'s"]
+    texts = ["".join(rnd.choice(bits, rnd.integers(0, 30))) for _ in range(4000)]
+    assert tok.encode(texts) == [plain_encode(tok, t) for t in texts]
 
 
 @pytest.mark.parametrize(("part", "block"), [(1 << 17, 32), (64, 3)])

@@ -12,6 +12,7 @@ Parts are taken in blocks of bounded size, so what is sent to tasks does not gro
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,15 +23,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .encoding import BYTE_BPE, batches, byte_alphabet, tokenizer_path
+from .encoding import BYTE_BPE, batches, byte_alphabet, encoder, latin, pack_ids, tokenizer_path
 from .store import documents, materialize, small_batches, text_of
 
 PIECES = "piece_bpe_32k.model"
 #: Pairs of a part, about; parts of a block; and vectors that are summed at a time.
 PART, BLOCK, FAN_IN = 1 << 17, 32, 32
 GAMMA = 2
-#: Ids of the second tokenizer take the lower bits of a pair.
-SHIFT = np.uint64(32)
+MARK = "▁"
+#: Before a space that follows neither a space nor the mark that stands for one.
+CUT = re.compile(f"(?<=[^ {MARK}])(?= )")
+#: Characters of units that a worker keeps.
+UNITS = 7_000_000
 
 
 class Pair:
@@ -44,6 +48,7 @@ class Pair:
         self.first.encode_special_tokens = True  # their strings are plain text
         self.first.no_truncation()
         self.first.no_padding()
+        self.ranked = encoder(first).ranked  # gives what the library gives for Latin-1 texts, and knows no special tokens
         self.second = sentencepiece.SentencePieceProcessor(model_file=second)
         byte_of = {c: b for b, c in byte_alphabet().items()}
         vocab = self.first.get_vocab(with_added_tokens=True)
@@ -51,21 +56,50 @@ class Pair:
         for token, i in vocab.items():
             self.bytes_a[i] = bytes(map(byte_of.__getitem__, token)) if all(c in byte_of for c in token) else token.encode()
         n = self.second.get_piece_size()
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.second.id_to_piece, range(n)))]
+        pieces = list(map(self.second.id_to_piece, range(n)))
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.len_a, self.len_b = (np.array([len(b) for b in x], np.int64) for x in (self.bytes_a, self.bytes_b))
+        # no piece goes on over a space, so what stands between spaces can be encoded by itself, and kept
+        self.apart = not any(MARK in p.lstrip(MARK) for p in pieces)
+        # the tokenizer adds no space to an empty text, so a last space is known from the start
+        self.lone = {" ": pack_ids([self.second.piece_to_id(MARK)])}
+        self.units: dict[str, bytes | None] = dict(self.lone)
+        self.held = 0
         # a token with the mark that follows it: within a group, at the end of its first half, at its end
         self.written = [f"{i}{m}" for i in range(max(len(self.bytes_a), n)) for m in ",|;"]
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both; none where a text is empty or the tokens' bytes are not the text with a space before it."""
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of both, as little-endian unsigned 32-bit integers; none where a text is empty or the tokens' bytes are not the text with a space before it."""
         spaced = [" " + t for t in texts]
-        a = [e.ids for e in self.first.encode_batch(spaced, add_special_tokens=False)]
-        b = self.second.encode(texts, num_threads=1)
         out = []
-        for t, s, x, y in zip(texts, spaced, a, b, strict=True):
-            data = s.encode()
-            fits = t and b"".join(map(self.bytes_a.__getitem__, x)) == data and b"".join(map(self.bytes_b.__getitem__, y)) == data
-            out.append((np.array(x if fits else [], "<u4"), np.array(y if fits else [], "<u4")))
+        for s, a, b in zip(spaced, self._first(spaced), self._second(spaced), strict=True):
+            fits = len(s) > 1 and b is not None and int(self.len_a[np.frombuffer(a, "<u4")].sum()) == len(s.encode())
+            out.append((a, b) if fits else (b"", b""))
+        return out
+
+    def _first(self, spaced: list[str]) -> list[bytes]:
+        """Byte-level tokens are the text's bytes, so their lengths tell whether it is whole."""
+        easy = [self.ranked is not None and latin(s) for s in spaced]
+        hard = [s for s, e in zip(spaced, easy, strict=True) if not e]
+        others = iter(self.first.encode_batch_fast(hard, add_special_tokens=False) if hard else [])
+        return [self.ranked.encode_to_numpy(s, disallowed_special=()).astype("<u4", copy=False).tobytes() if e else pack_ids(next(others).ids) for s, e in zip(spaced, easy, strict=True)]
+
+    def _second(self, spaced: list[str]) -> list[bytes | None]:
+        """None where the pieces' bytes are not the text's."""
+        cut = [CUT.split(s) if self.apart else [s] for s in spaced]
+        new = list({u for us in cut for u in us if u not in self.units})
+        for i in range(0, len(new), 10_000):
+            # each begins with the space that the tokenizer itself adds
+            for u, ids in zip(new[i : i + 10_000], self.second.encode([u[1:] for u in new[i : i + 10_000]], num_threads=1), strict=True):
+                whole = b"".join(map(self.bytes_b.__getitem__, ids)) == u.encode()
+                self.units[u] = pack_ids(ids) if whole else None
+                self.held += len(u) + 8
+        out: list[bytes | None] = []
+        for us in cut:
+            parts = list(map(self.units.__getitem__, us))
+            out.append(None if None in parts else b"".join(parts))
+        if self.held > UNITS:
+            self.units, self.held = dict(self.lone), 0
         return out
 
 
@@ -100,20 +134,22 @@ class Aligned:
         self.size_a, self.size_b = self.stop_a - self.start_a, self.stop_b - self.start_b
         self.doc_of = np.searchsorted(np.cumsum(na), self.start_a, side="right")  # of each group
         self.n_groups = np.bincount(self.doc_of, minlength=self.docs)
-        self.n_links = self.per_doc(self.doc_of, self.size_a * self.size_b)
+        of_groups = np.concatenate([[0], np.cumsum(self.size_a * self.size_b)])
+        stops = np.cumsum(self.n_groups)
+        self.n_links = of_groups[stops] - of_groups[stops - self.n_groups]
 
-    def per_doc(self, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.docs, np.int64)
-        np.add.at(out, doc, n)
-        return out
+    def per_doc(self, n: np.ndarray) -> np.ndarray:
+        """Sums over each document's links, which stand in its order."""
+        upto, stops = np.concatenate([[0], np.cumsum(n)]), np.cumsum(self.n_links)
+        return upto[stops] - upto[stops - self.n_links]
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """(document, pair) of every link of occurrences."""
+        """(document, pair) of every link of occurrences, by document. A pair is its first id times the number of second ids, plus the second."""
         n = self.size_a * self.size_b
         group = np.repeat(np.arange(len(n)), n)
         k = np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n)
         x, y = self.a[self.start_a[group] + k // self.size_b[group]], self.b[self.start_b[group] + k % self.size_b[group]]
-        return self.doc_of[group], x.astype(np.uint64) << SHIFT | y.astype(np.uint64)
+        return self.doc_of[group], (x * len(self.tok.bytes_b) + y).astype(np.uint64)
 
     def digests(self) -> list[str]:
         """Hash of each document's groups, written as text; empty without tokens."""
@@ -216,7 +252,7 @@ def encoded(docs: DataFrame, first: str, second: str) -> DataFrame:
         for whole in it:
             for batch in batches(whole, 500_000):
                 ids = tok.encode(batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *(pa.array([x[k].tobytes() for x in ids], pa.binary()) for k in (0, 1))], names=["row", "doc_id", "a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *(pa.array([x[k] for x in ids], pa.binary()) for k in (0, 1))], names=["row", "doc_id", "a", "b"])
 
     return materialize(rows.mapInArrow(run, "row long, doc_id long, a binary, b binary"), "aligned_ids")
 
@@ -237,9 +273,16 @@ def _aligned(batch: pa.RecordBatch, tok: Pair, tokens: int = 1 << 19) -> Iterato
 def _in_documents(x: Aligned) -> tuple[np.ndarray, np.ndarray]:
     """(pair, how many documents of a batch hold it linked)."""
     doc, keys = x.links()
-    pairs, own = np.unique(keys, return_inverse=True)
-    once = np.unique(doc * len(pairs) + own)
-    return pairs, np.bincount(once % len(pairs), minlength=len(pairs)) if len(pairs) else once
+    span = np.int64(len(x.tok.bytes_a) * len(x.tok.bytes_b))
+    once = _distinct(doc * span + keys.astype(np.int64))
+    pairs = np.sort(once % span)
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else pairs
+    return pairs[first].astype(np.uint64), np.diff(np.concatenate([first, [len(pairs)]]))
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 def functions(ids: DataFrame, first: str, second: str, part: int) -> tuple[DataFrame, int]:
@@ -249,7 +292,7 @@ def functions(ids: DataFrame, first: str, second: str, part: int) -> tuple[DataF
         tok, found, held = pair(first, second), [], 0
         for batch in it:
             for _, x in _aligned(batch, tok):
-                found.append(np.unique(x.links()[1]))
+                found.append(_distinct(x.links()[1]))
                 held += len(found[-1])
                 if held > 1 << 21:
                     found = [np.unique(np.concatenate(found))]
@@ -346,13 +389,14 @@ def counted(ids: DataFrame, table: DataFrame, first: str, second: str, parts: in
     return materialize(table.join(every, "part"), "aligned_counts")
 
 
-def highest(table: DataFrame) -> np.ndarray:
+def highest(table: DataFrame, first: str, second: str) -> np.ndarray:
     """Of each id of the first tokenizer, the highest count of its pairs: as many numbers as the tokenizer has ids."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(pair(first, second).bytes_b)
         for b in it:
             for f, c in zip(b.column("function"), b.column("counts"), strict=True):
-                ids = (Perfect.from_bytes(f.as_py()).keys >> SHIFT).astype(np.int64)
+                ids = (Perfect.from_bytes(f.as_py()).keys // np.uint64(width)).astype(np.int64)
                 some, at = np.unique(ids, return_inverse=True)
                 most = np.zeros(len(some), np.int64)
                 np.maximum.at(most, at, np.frombuffer(c.as_buffer(), "<i8"))
@@ -378,7 +422,7 @@ def align(docs: DataFrame, *, first: str = BYTE_BPE, second: str = PIECES, part:
     ids = encoded(docs, first, second)
     table, parts = functions(ids, first, second, part)
     counts = counted(ids, table, first, second, parts, block)
-    best = spark.sparkContext.broadcast(highest(counts))
+    best = spark.sparkContext.broadcast(highest(counts, first, second))
     names = [c for c in COLUMNS if c != "doc_id"]
     kinds = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.StringType() if c == "groups_sha256" else T.LongType()) for c in names)])
     passes = []
@@ -393,15 +437,14 @@ def align(docs: DataFrame, *, first: str = BYTE_BPE, second: str = PIECES, part:
             tok, (b, totals), most = pair(first, second), shared.value, best.value
             for batch in it:
                 for rows, x in _aligned(batch, tok):
-                    doc, keys = x.links()
-                    some, where = np.unique(keys, return_inverse=True)
+                    some, where = np.unique(x.links()[1], return_inverse=True)
                     at = b.index(some)
                     n = np.where(at >= 0, totals[at] if b.size else 0, 0)
-                    is_best = (at >= 0) & (n == most[(some >> SHIFT).astype(np.int64)])
+                    is_best = (at >= 0) & (n == most[(some // np.uint64(len(tok.bytes_b))).astype(np.int64)])
                     out = {"n_a": x.n_a, "n_b": x.n_b, "n_groups": x.n_groups, "n_links": x.n_links}
                     zeros = np.zeros(x.docs, np.int64)
                     made = [pa.array(v if leads else zeros) for v in out.values()]
-                    sums = [pa.array(x.per_doc(doc, v[where].astype(np.int64))) for v in (is_best, n)]
+                    sums = [pa.array(x.per_doc(v[where].astype(np.int64))) for v in (is_best, n)]
                     yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), *made, *sums, pa.array(x.digests() if leads else [""] * x.docs, pa.string())], names=["row", "doc_id", *names])
 
         passes.append(ids.mapInArrow(run, kinds))

@@ -117,7 +117,7 @@ class Encoder:
             self.kind = "byte"
         elif simple and [p["type"] for p in before.get("pretokenizers", [])] == ["Split", "ByteLevel"] and before["pretokenizers"][0]["pattern"].get("Regex") == WORD_PATTERN and [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.kind = "word"
-        self._ranked = self._by_rank(spec["model"]) if self.kind == "byte" else None
+        self.ranked = self._by_rank(spec["model"]) if self.kind == "byte" else None
         self._cut = regex.compile(WORD_PATTERN).findall
         self._marks = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self._pre = _Pieces(self._piece)
@@ -178,12 +178,12 @@ class Encoder:
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         """Latin-1 texts by the ranked form of the same vocabulary, others by the library itself."""
-        if self._ranked is None:
+        if self.ranked is None:
             return self._plainly(texts)
-        easy = [_latin(t) and not any(s in t for s in self.specials) for t in texts]
+        easy = [latin(t) and not any(s in t for s in self.specials) for t in texts]
         others = [t for t, e in zip(texts, easy, strict=True) if not e]
         hard = iter(self._plainly(others) if others else [])
-        return [self._ranked.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False).tobytes() if e else next(hard) for t, e in zip(texts, easy, strict=True)]
+        return [self.ranked.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False).tobytes() if e else next(hard) for t, e in zip(texts, easy, strict=True)]
 
     def _by_rank(self, model: dict):
         """The same vocabulary for tiktoken, if its ids are ranks: bytes first, then merges in order."""
@@ -199,7 +199,7 @@ class Encoder:
         return tiktoken.Encoding("ranked", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _latin(text: str) -> bool:
+def latin(text: str) -> bool:
     try:
         return text.isascii() or bool(text.encode("latin-1"))
     except UnicodeEncodeError:
