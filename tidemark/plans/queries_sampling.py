@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.calendar import CN
 from ..functions.filters import FilterMode, checked, constituents, dispatch, finite, mask, side_split
 from ..operators import bars as display
-from ..operators import sampling, volume_clock, volume_profile
+from ..operators import sampling, snapshots, volume_clock, volume_profile
 from ..operators.composite import normalize
 from ..operators.running import running_sum
 from ..operators.sampling import Topic
 from ..sources.shared import scratch
 from ..sources.tape import TAPE, daily_supplier, read_tape, synthetic_bars, trades, type_weights, write_tape
 from . import sql
-from .catalog import long, register, rounded
+from .catalog import _ORACLES, long, register, rounded
 
 H6, H1 = 21600, 3600
 MODES = tuple(Topic(m, "price", m) for m in ("update", "first", "accumulate", "max", "min", "median", "mean", "variance"))
@@ -87,6 +87,29 @@ def q_sampler_modes_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("variance", F.round("variance", 4))
 
 
+#: In the middle of the events' month, inside a bar.
+CUT = 1_705_300_000.0
+
+
+def _saved(spark: SparkSession, states: DataFrame) -> DataFrame:
+    """Snapshots as a later run finds them."""
+    path = scratch(spark, "sampler_states")
+    snapshots.save(states, path)
+    return snapshots.load(spark, path)
+
+
+@register(_ORACLES["q_sampler_modes_fixed"])
+def q_sampler_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight modes of bars, cut inside a bar: the ring is kept as JSON, and later rows go on from it."""
+    tape, index = trades(spark, sf_dir), sampling.time_index(H6)
+    before = snapshots.partial_bars(tape.where(F.col("ts") < CUT), MODES, index)
+    states = _saved(spark, snapshots.snapshot(before, MODES, 3))
+    after = snapshots.resume(tape.where(F.col("ts") >= CUT), states, MODES, index)
+    kept = snapshots.restored(states, MODES).select("ticker", F.inline("ring")).select("ticker", "idx")
+    out = snapshots.finished(before.join(kept, ["ticker", "idx"], "left_anti").unionByName(after), MODES)
+    return rounded(out).withColumn("variance", F.round("variance", 4))
+
+
 @register(f"WITH {sql.trades()} SELECT ticker, CAST(floor(ts / 86400) AS BIGINT) AS idx, string_agg(CAST(CAST(round(price * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY ts, seq) AS prices FROM tape GROUP BY ALL")
 def q_sampler_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw values of daily bars."""
@@ -215,6 +238,18 @@ def q_volume_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(volume_clock.volume_bars(trades(spark, sf_dir), 500.0, BAR), 4)
 
 
+@register(VOLUME_BARS)
+def q_volume_clock_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volume bars, cut inside a bar: the clock's total and the open bar are kept as JSON and gone on with."""
+    tape, index = trades(spark, sf_dir), F.floor(F.col("vol_acc") / 500.0)
+    early = tape.where(F.col("ts") < CUT)
+    before = snapshots.partial_bars(volume_clock.with_volume(early), BAR, index)
+    states = _saved(spark, snapshots.snapshot(before, BAR, 1, snapshots.clock_totals(early, "volume")))
+    after = snapshots.resume(snapshots.resumed_volume(tape.where(F.col("ts") >= CUT), states, BAR), states, BAR, index)
+    kept = snapshots.restored(states, BAR).select("ticker", F.inline("ring")).select("ticker", "idx")
+    return rounded(snapshots.finished(before.join(kept, ["ticker", "idx"], "left_anti").unionByName(after), BAR), 4)
+
+
 BASELINE = f"""v AS (SELECT ticker, floor(ts / {H6}) AS idx, sum(volume) AS v FROM tape GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY idx) AS k FROM v),
 base AS (SELECT ticker, CASE WHEN count(*) >= 10 AND avg(v) > 0 THEN avg(v) END AS baseline, count(*) AS n FROM r WHERE k <= 20 GROUP BY 1)"""
 
