@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import CN
 from ..functions.filters import side_split
 from ..operators import composite, entropy, recurrence, sampling, volume_clock, volume_profile
+from ..sources.shared import written
 from .registry import FactorSpec, factor_plan
 
 CLOSE = (sampling.Topic("close", "price", "update"),)
@@ -17,7 +18,12 @@ ENTROPY_GRID = [(5, 60), (15, 60), (30, 30), (60, 15), (150, 10)]
 
 
 def _clock(tape: DataFrame, spec: FactorSpec, topics: tuple[sampling.Topic, ...]) -> DataFrame:
-    """(ticker, idx, topics, bar_ts) on the spec's clock: time, volume, adaptive, or the day's volume profile."""
+    """(ticker, idx, topics, bar_ts) on the spec's clock, written: what a factor makes of its bars does not read the tape again."""
+    return written(_bars(tape, spec, topics), "factor_bars")
+
+
+def _bars(tape: DataFrame, spec: FactorSpec, topics: tuple[sampling.Topic, ...]) -> DataFrame:
+    """On time, volume, adaptive volume, or the day's volume profile."""
     p, topics = spec.params, (*topics, BAR_TS)
     kind = p.get("clock", "time")
     if kind == "time":
