@@ -92,7 +92,7 @@ def test_no_phrases(spark):
 
 def test_equal_hashes_are_told_apart():
     ids = np.array([1, 2, 3, 4, 1, 2], np.int32)
-    at, n = phrases._groups(ids, np.array([0, 2, 4]), np.zeros(3, np.uint64), 2)
+    at, n, _ = phrases._groups(ids, np.array([0, 2, 4]), np.zeros(3, np.uint64), 2)
     assert sorted(zip(ids[at].tolist(), n.tolist(), strict=True)) == [(1, 2), (3, 1)]
 
 

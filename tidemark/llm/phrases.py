@@ -2,11 +2,12 @@
 
 A sample of the documents is mined level by level with a lowered threshold. What it finds are proposals; their negative
 border are the phrases that are not proposed though both their parts, without the last and without the first word, are
-(of single words: all others). One pass over all documents counts proposals and border exactly. A phrase that is frequent
-has frequent parts only, so nothing is missed unless a phrase of the border turns out frequent; then an expansion pass
-counts every longer phrase that such a one can be part of: those whose parts are known, failures of the border, or
-themselves counted in this pass. That closes the border. Counts are of whole texts and exact whatever the sample
-holds: it decides only how much is counted in which pass.
+(of single words: all others). One pass over all documents counts proposals and border, by hash: an entry is a few bytes
+in a block of its bucket, and buckets are summed as arrays. A phrase that is frequent has frequent parts only, so
+nothing is missed unless a phrase of the border turns out frequent. An expansion pass counts every longer phrase that
+such a one can be part of: those whose parts are known, failures of the border, or themselves counted in this pass.
+That closes the border. The same pass counts all that may be frequent by their words, so equal hashes change nothing.
+Counts are of whole texts and exact whatever the sample holds: it decides only what is counted in which pass.
 
 Tasks learn which phrases are known from bits set by their hashes, a table of bounded size. Phrases that share another's
 bits are counted too, which costs work and changes nothing. Counting within a chunk of words is by hash, verified word by
@@ -15,7 +16,7 @@ word; between tasks it is by the phrase itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, sqrt
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import documents, materialize, small_batches, text_of
+from .store import documents, materialize, partitions_for, small_batches, text_of
 
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
 #: One document in so many is in the sample; its threshold lies a standard deviation below the expected count.
@@ -34,7 +35,7 @@ SAMPLE = 8
 MAX_BITS, BITS_EACH = 1 << 27, 16
 #: Words that are counted at once, and distinct words that a task keeps.
 CHUNK, VOCABULARY = 1 << 20, 400_000
-COUNTED = "lang string, phrase string, m int, inside boolean, n long"
+COUNTED = "lang string, phrase string, m int, n long"
 #: Capitals become small, ends of pieces a line feed, tabs a space.
 FOLD = bytes(10 if c in b".,;:!?\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -51,45 +52,63 @@ def word_hash(word: bytes) -> int:
     return xxh64_intdigest(word)
 
 
+#: Bits of a hash that an entry keeps beside its bucket.
+KEPT = np.uint64(40)
+LOW = (np.uint64(1) << KEPT) - np.uint64(1)
+
+
+def code_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """What is left of hashes: bucket and kept bits."""
+    return (hashes >> KEPT) % np.uint64(buckets) << KEPT | hashes & LOW
+
+
 class Known:
-    """Bits at two places of each phrase's hash."""
+    """Bits at two places of each hash, or of what ``buckets`` leave of it."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.mask = bits, np.uint64(len(bits) * 8 - 1)
+    def __init__(self, bits: np.ndarray, buckets: int = 0):
+        self.bits, self.size, self.buckets = bits, len(bits) * 8, buckets
 
     @staticmethod
-    def places(hashes: np.ndarray, size: int) -> np.ndarray:
-        mask = np.uint64(size - 1)
-        return np.concatenate([hashes & mask, hashes >> np.uint64(32) & mask])
+    def places(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        return hashes & np.uint64(size - 1), hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - size.bit_length())
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), bool)
-        for at in (hashes & self.mask, hashes >> np.uint64(32) & self.mask):
+        for at in self.places(code_of(hashes, self.buckets) if self.buckets else hashes, self.size):
             out &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         return out
 
 
-def known(phrases: DataFrame) -> Broadcast:
-    """The bits of ``phrases`` (lang, phrase); at most MAX_BITS of them are sent to the driver and to the tasks."""
-    size = min(MAX_BITS, max(1 << 10, 1 << (BITS_EACH * phrases.count()).bit_length()))
+def _table(hashes: DataFrame, buckets: int = 0) -> Broadcast:
+    """The bits of ``hashes`` (h); at most MAX_BITS of them are sent to the driver and to the tasks."""
+    size = min(MAX_BITS, max(1 << 10, 1 << (BITS_EACH * hashes.count()).bit_length()))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            hashes = np.zeros(b.num_rows, np.uint64)
-            words = [p.encode().split(b" ") for p in b.column("phrase").to_pylist()]
-            hashes[:] = [word_hash(lang.encode()) for lang in b.column("lang").to_pylist()]
-            for j in range(LONGEST):
-                at = np.array([i for i, w in enumerate(words) if len(w) > j], np.int64)
-                hashes[at] = mix(hashes[at], np.array([word_hash(words[i][j]) for i in at], np.uint64))
-            places = np.unique(Known.places(hashes, size))
+            places = np.unique(np.concatenate(Known.places(b.column("h").to_numpy().view(np.uint64), size)))
             slots, first = np.unique(places >> np.uint64(6), return_index=True)
             bits = np.bitwise_or.reduceat(np.uint64(1) << (places & np.uint64(63)), first) if len(first) else places
             yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64)), pa.array(bits.view(np.int64))], names=["slot", "bits"])
 
-    slots = phrases.select("lang", "phrase").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    slots = hashes.select("h").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(size // 64, "<i8")
     table[slots.column("slot").to_numpy()] = slots.column("bits").to_numpy()
-    return phrases.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+    return hashes.sparkSession.sparkContext.broadcast((table.view(np.uint8), buckets))
+
+
+def known(phrases: DataFrame) -> Broadcast:
+    """The bits of ``phrases`` (lang, phrase)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            words = [p.encode().split(b" ") for p in b.column("phrase").to_pylist()]
+            hashes = np.array([word_hash(lang.encode()) for lang in b.column("lang").to_pylist()], np.uint64)
+            for j in range(LONGEST):
+                at = np.array([i for i, w in enumerate(words) if len(w) > j], np.int64)
+                hashes[at] = mix(hashes[at], np.array([word_hash(words[i][j]) for i in at], np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["h"])
+
+    return _table(phrases.select("lang", "phrase").mapInArrow(run, "h long"))
 
 
 class _Ids(dict):
@@ -117,32 +136,40 @@ class _Ids(dict):
         yield np.zeros(1, np.int32)
 
 
-def _groups(ids: np.ndarray, at: np.ndarray, hashes: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a place, how many) of each distinct phrase of ``m`` words at the places ``at``: by hash, verified."""
+def _groups(ids: np.ndarray, at: np.ndarray, hashes: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place, how many, hash) of each distinct phrase of ``m`` words at the places ``at``: by hash, verified."""
     order = np.argsort(hashes, kind="stable")
     at, hashes = at[order], hashes[order]
     first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
     n = np.diff(np.concatenate([first, [len(at)]]))
     lead = np.repeat(at[first], n)
     if all(np.array_equal(ids[at + j], ids[lead + j]) for j in range(m)):
-        return at[first], n
+        return at[first], n, hashes[first]
     _, first, n = np.unique(np.stack([ids[at + j] for j in range(m)], axis=1), axis=0, return_index=True, return_counts=True)
-    return at[first], n
+    return at[first], n, hashes[first]
 
 
-def _count(ids: np.ndarray, stop: int, book: _Ids, old: Known | None, new: Known | None, words: bool, expand: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(m, places, how many, whether it is known) of the phrases that a pass counts and that start before ``stop``; m = 0 is the number of words."""
+#: A place of each phrase in a chunk, how many of it, whether it is known, and its hash.
+Found = tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _count(ids: np.ndarray, stop: int, book: _Ids, old: Known | None, new: Known | None, words: bool, expand: bool) -> Iterator[Found]:
+    """(m, ...) of the phrases that a pass counts and that start before ``stop``; m = 0 is the number of words.
+
+    Without ``expand``: all words if asked for, and phrases both of whose parts are in ``old``, one of them in ``new``.
+    With it: all that is in ``old``, and phrases whose parts are in ``old`` or counted, one of them in ``new`` or counted.
+    """
     raw = np.array(book.hashes, np.uint64)
     hash_of = mix(np.full(len(raw), book.start), raw)
     is_old, is_new = (k.has(hash_of) if k else np.zeros(len(raw), bool) for k in (old, new))
     is_old[0] = is_new[0] = False
-    if words:
+    if words or expand:
         n = np.bincount(ids[:stop], minlength=len(raw))
         n[0] = 0
-        place, some = np.zeros(len(raw), np.int64), np.flatnonzero(n)
+        place, some = np.zeros(len(raw), np.int64), np.flatnonzero(n if words else n * is_old)
         place[ids[:stop]] = np.arange(stop)
-        yield 0, np.zeros(1, np.int64), n.sum(keepdims=True), np.ones(1, bool)
-        yield 1, place[some], n[some], is_old[some]
+        yield 0, np.zeros(1, np.int64), n.sum(keepdims=True), np.ones(1, bool), np.zeros(1, np.uint64)
+        yield 1, place[some], n[some], is_old[some], hash_of[some]
     # of each place that starts a phrase of m - 1 words that is known, or counted by an expansion: its hash, and whether it is new
     at = np.flatnonzero(is_old[ids])
     hashes, fresh = hash_of[ids[at]], is_new[ids[at]]
@@ -153,41 +180,30 @@ def _count(ids: np.ndarray, stop: int, book: _Ids, old: Known | None, new: Known
         at, wanted = at[both], fresh[both] | fresh[both + 1]
         hashes = mix(hashes[both], raw[ids[at + m - 1]])
         inside = old.has(hashes)
-        own = wanted & (at < stop)
+        own = (wanted | inside if expand else wanted) & (at < stop)
         if own.any():
-            place, n = _groups(ids, at[own], hashes[own], m)
-            yield m, place, n, inside[np.searchsorted(at, place)]
+            place, n, h = _groups(ids, at[own], hashes[own], m)
+            yield m, place, n, inside[np.searchsorted(at, place)], h
         goes_on = inside | wanted if expand else inside
         at, hashes = at[goes_on], hashes[goes_on]
         fresh = new.has(hashes) | wanted[goes_on] if expand else new.has(hashes)
 
 
-def count(docs: DataFrame, threshold: int, old: Broadcast | None = None, new: Broadcast | None = None, *, words: bool = False, expand: bool = False) -> DataFrame:
-    """(lang, phrase, m, inside, n) of ``docs`` (lang, text, no nulls): exact counts from ``threshold`` on.
-
-    Counted are single words if asked for, and phrases both of whose parts are in ``old``, one of them in ``new``;
-    with ``expand``, phrases that are counted themselves stand for both. ``inside``: they are in ``old``. m = 0: all
-    words of a language. Tasks give each phrase of a chunk once, so phrases are dealt as they are, hot or not.
-    """
+def _chunks(docs: DataFrame, old: Broadcast | None, new: Broadcast | None, words: bool, expand: bool, give: Callable[[str, _Ids, np.ndarray, list[Found]], Iterator[pa.RecordBatch]], kind: str) -> DataFrame:
+    """What ``give`` makes of the phrases that are counted in each chunk of a language's words."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = [Known(b.value) if b else None for b in (old, new)]
+        have = [Known(*b.value) if b else None for b in (old, new)]
         books: dict[str, _Ids] = {}
         held: dict[str, list[np.ndarray]] = {}
         n_held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
-                ids, book = np.concatenate(parts), books[lang]
-                names = pa.array(book.words, pa.binary()).cast(pa.string())
+                ids = np.concatenate(parts)
                 for start in range(0, len(ids), CHUNK):  # phrases that start in a chunk may end after it
                     part = ids[start : start + CHUNK + LONGEST - 1]
-                    for m, place, n, inside in _count(part, min(CHUNK, len(part)), book, *have, words, expand):
-                        for i in range(0, len(place), 200_000):
-                            at = place[i : i + 200_000]
-                            each = [names.take(pa.array(part[at + j])) for j in range(m)]
-                            joined = pc.binary_join_element_wise(*each, " ") if m else pa.repeat("", len(at))
-                            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(at)), joined, pa.repeat(pa.scalar(m, pa.int32()), len(at)), pa.array(inside[i : i + len(at)]), pa.array(n[i : i + len(at)].astype(np.int64))], names=["lang", "phrase", "m", "inside", "n"])
+                    yield from give(lang, books[lang], part, _count(part, min(CHUNK, len(part)), books[lang], *have, words, expand))
             held.clear()
             if sum(len(b.words) for b in books.values()) > VOCABULARY:
                 books.clear()
@@ -204,8 +220,64 @@ def count(docs: DataFrame, threshold: int, old: Broadcast | None = None, new: Br
                     n_held = 0
         yield from flush()
 
-    found = docs.select("lang", "text").mapInArrow(run, COUNTED).repartition("lang", "phrase")
-    return found.groupBy("lang", "phrase", "m", "inside").agg(F.sum("n").alias("n")).where((F.col("n") >= threshold) | (F.col("m") == 0))
+    return docs.select("lang", "text").mapInArrow(run, kind)
+
+
+def count(docs: DataFrame, threshold: int, old: Broadcast | None = None, new: Broadcast | None = None, *, words: bool = False, expand: bool = False) -> DataFrame:
+    """(lang, phrase, m, n) of ``docs`` (lang, text, no nulls): exact counts from ``threshold`` on, and with m = 0 all words of a language.
+
+    Tasks give each phrase of a chunk once, so phrases are dealt as they are, hot or not.
+    """
+
+    def give(lang: str, book: _Ids, part: np.ndarray, found: Iterator[Found]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(book.words, pa.binary()).cast(pa.string())
+        for m, place, n, _, _ in found:
+            for i in range(0, len(place), 200_000):
+                at = place[i : i + 200_000]
+                each = [names.take(pa.array(part[at + j])) for j in range(m)]
+                joined = pc.binary_join_element_wise(*each, " ") if m else pa.repeat("", len(at))
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(at)), joined, pa.repeat(pa.scalar(m, pa.int32()), len(at)), pa.array(n[i : i + len(at)].astype(np.int64))], names=["lang", "phrase", "m", "n"])
+
+    found = _chunks(docs, old, new, words, expand, give, COUNTED).repartition("lang", "phrase")
+    return found.groupBy("lang", "phrase", "m").agg(F.sum("n").alias("n")).where((F.col("n") >= threshold) | (F.col("m") == 0))
+
+
+def count_hashes(docs: DataFrame, threshold: int, old: Broadcast, buckets: int) -> DataFrame:
+    """(h, inside): what ``buckets`` leave of the hashes of proposals and border that come ``threshold`` times or more.
+
+    ``old`` are the proposals; ``inside`` tells them. A chunk's entries of a bucket are one row: kept bits and counts, by
+    their bytes, so that equal high bytes stand together.
+    """
+
+    def give(lang: str, book: _Ids, part: np.ndarray, found: Iterator[Found]) -> Iterator[pa.RecordBatch]:
+        parts = [(n, i, h) for m, _, n, i, h in found if m]
+        n, inside, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+        code = code_of(h, buckets)
+        order = np.lexsort((code, inside))
+        n, inside, code = n[order].astype("<u4"), inside[order], code[order]
+        group = code >> KEPT << np.uint64(1) | inside
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+        stop = np.concatenate([first[1:], [len(group)]]) if len(first) else first
+        low = code & LOW
+        rows = [(int(group[a] >> np.uint64(1)), bool(inside[a]), np.concatenate([low[a:z].view("u1").reshape(-1, 8)[:, :5].T.ravel(), n[a:z].view("u1").reshape(-1, 4).T.ravel()]).tobytes()) for a, z in zip(first.tolist(), stop.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "inside", "entries"])
+
+    def add(t: pa.Table) -> pa.Table:
+        lows, counts = [], []
+        for x in t.column("entries"):
+            planes = np.frombuffer(x.as_buffer(), "u1").reshape(9, -1)
+            lows.append(sum(planes[i].astype(np.uint64) << np.uint64(8 * i) for i in range(5)))
+            counts.append(np.ascontiguousarray(planes[5:].T).view("<u4").ravel())
+        low, n = np.concatenate(lows), np.concatenate(counts).astype(np.int64)
+        order = np.argsort(low)
+        low, n = low[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        often = low[first][np.add.reduceat(n, first) >= threshold]
+        code = np.uint64(t.column("bucket")[0].as_py()) << KEPT | often
+        return pa.table({"h": pa.array(code.view(np.int64)), "inside": pa.repeat(t.column("inside")[0], len(code))})
+
+    blocks = _chunks(docs, old, old, True, False, give, "bucket long, inside boolean, entries binary")
+    return blocks.groupBy("bucket", "inside").applyInArrow(add, "h long, inside boolean")
 
 
 def frequent(docs: DataFrame, *, least: int = MIN_COUNT, sample: int = SAMPLE) -> DataFrame:
@@ -224,15 +296,10 @@ def frequent(docs: DataFrame, *, least: int = MIN_COUNT, sample: int = SAMPLE) -
             break
         level = materialize(count(some, low, known(proposed), known(level)), "phrase_proposals")
         proposed = proposed.unionByName(level)
-    bits = known(proposed)
-    found = materialize(count(texts, least, bits, bits, words=True), "phrases")
-    beyond = found.where(f"m BETWEEN 1 AND {LONGEST - 1} AND NOT inside")
-    out = found
-    if not beyond.isEmpty():
-        every = found.where("m > 0")
-        more = count(texts, least, known(every), known(beyond), expand=True)
-        out = out.unionByName(materialize(more.join(every.select("lang", "phrase"), ["lang", "phrase"], "left_anti"), "phrases"))
-    return out.select("lang", "phrase", "m", "n")
+    # a bucket's entries come from so much text as fits one partition, whatever there is to count
+    buckets = partitions_for(docs.sparkSession, texts.agg(F.sum(F.octet_length("text"))).first()[0])
+    often = materialize(count_hashes(texts, least, known(proposed), buckets), "phrase_hashes")
+    return materialize(count(texts, least, _table(often, buckets), _table(often.where("NOT inside"), buckets), expand=True), "phrases")
 
 
 def collocations(counts: DataFrame, *, top: int = TOP) -> DataFrame:
