@@ -287,9 +287,23 @@ def q_aligned_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(volume_clock.aligned_bars(tape, clock, H1, BAR), 4)
 
 
-@register()
+#: What the adaptive clock knows at each row (buckets done, volume at the bucket's start, first volume), its baseline, and its steps.
+ADAPTIVE_ONLINE = f"""WITH RECURSIVE {sql.trades('event_type')}, a AS (SELECT ticker, CAST(floor(ts / 86400) AS BIGINT) AS day, ts, seq, price, volume, floor(ts / {H1}) AS h FROM tape),
+b AS (SELECT *, sum(volume) OVER w AS acc, first_value(volume) OVER w AS v0, dense_rank() OVER (PARTITION BY ticker, day ORDER BY h) - 1 AS done, row_number() OVER w AS k FROM a WINDOW w AS (PARTITION BY ticker, day ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, CASE WHEN done = 0 THEN v0 ELSE first_value(acc - volume) OVER (PARTITION BY ticker, day, h ORDER BY ts, seq) END AS start, ts - h * {H1} AS passed FROM b),
+d AS (SELECT *, max(CASE WHEN done = 8 THEN start END) OVER (PARTITION BY ticker, day) AS frozen, done + CASE WHEN passed > {H1 / 2} THEN 1 ELSE 0 END AS cnt,
+  start - v0 + CASE WHEN passed > {H1 / 2} THEN (acc - start) / greatest(1, passed) * {H1} ELSE 0 END AS total FROM c),
+e AS (SELECT *, CASE WHEN done >= 8 THEN (frozen - v0) / 8 WHEN done >= 3 AND cnt > 0 AND total > 0 THEN total / cnt END AS base FROM d),
+f AS MATERIALIZED (SELECT ticker, day, k, ts, seq, price, volume, CASE WHEN base IS NULL THEN h ELSE 0 END AS x, CASE WHEN base IS NULL THEN 0 ELSE floor(acc / base) END AS y FROM e),
+s AS (SELECT ticker, day, k, x, y, 0::BIGINT AS bar FROM f WHERE k = 1
+UNION ALL SELECT f.ticker, f.day, f.k, CASE WHEN f.x > s.x OR f.y > s.y THEN f.x ELSE s.x END, CASE WHEN f.x > s.x OR f.y > s.y THEN f.y ELSE s.y END, s.bar + CASE WHEN f.x > s.x OR f.y > s.y THEN 1 ELSE 0 END
+  FROM s JOIN f ON f.ticker = s.ticker AND f.day = s.day AND f.k = s.k + 1)
+SELECT f.ticker, f.day, s.bar AS idx, round(arg_max(price, (ts, seq)), 6) AS close, sum(volume) AS volume FROM f JOIN s ON s.ticker = f.ticker AND s.day = f.day AND s.k = f.k GROUP BY ALL"""
+
+
+@register(ADAPTIVE_ONLINE)
 def q_adaptive_bars_online(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W13, W14 as they stood at each row; tested against a plain model."""
+    """W13, W14 as they stood at each row."""
     return rounded(volume_clock.adaptive_bars_online(trades(spark, sf_dir, "event_type"), H1, 8, (Topic("close", "price", "update"), Topic("volume", "volume", "accumulate")), sample_size=4))
 
 
@@ -316,9 +330,22 @@ def q_profile_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volume_profile.profile_bars_online(tape, CN, 1800, topics, window=1 << 30, forecast=volume_profile.naive_forecast(tape))
 
 
-@register()
+#: At each row the leading intervals without a gap (rk counts intervals, n them), what they forecast, the forecast that stays from the fifth interval on, and the clock's steps.
+PROFILE_ONLINE = f"""WITH RECURSIVE {sql.trades('event_type')}, a AS (SELECT ticker, CAST(floor(ts / 86400) AS BIGINT) AS day, ts, seq, price, volume, {sql.ELAPSED} AS e, floor({sql.ELAPSED} / 1800) AS i FROM tape WHERE {sql.SESSION}),
+b AS (SELECT *, dense_rank() OVER (PARTITION BY ticker, day ORDER BY i) - 1 AS rk FROM a),
+c AS (SELECT *, sum(volume) OVER w AS acc, coalesce(max(CASE WHEN i = rk THEN i + 1 END) OVER w, 0) AS n, sum(CASE WHEN i = rk THEN volume ELSE 0 END) OVER w AS v, row_number() OVER w AS k FROM b WINDOW w AS (PARTITION BY ticker, day ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT *, CASE WHEN n >= 2 AND e > 0 THEN v / e * 14400 END AS fc FROM c),
+g AS (SELECT *, CASE WHEN i >= 4 THEN lag(fc) OVER (PARTITION BY ticker, day ORDER BY ts, seq) END AS old FROM d),
+f AS MATERIALIZED (SELECT ticker, day, k, ts, seq, price, volume, i, acc, coalesce(first_value(old IGNORE NULLS) OVER (PARTITION BY ticker, day ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), fc) AS fc FROM g),
+s AS (SELECT ticker, day, 0::BIGINT AS k, NULL::DOUBLE AS bucket, 0::DOUBLE AS last, 0::BIGINT AS bar FROM f WHERE k = 1
+UNION ALL SELECT ticker, day, k, CASE WHEN idx > last THEN NULL ELSE bucket END, idx, bar + CASE WHEN idx > last THEN 1 ELSE 0 END
+  FROM (SELECT *, CASE WHEN bucket IS NULL THEN i ELSE floor(acc / bucket) END AS idx FROM (SELECT f.ticker, f.day, f.k, f.i, f.acc, s.last, s.bar, coalesce(s.bucket, nullif(f.fc, 0) / 8) AS bucket FROM s JOIN f ON f.ticker = s.ticker AND f.day = s.day AND f.k = s.k + 1)))
+SELECT f.ticker, f.day, s.bar AS idx, arg_max(price, (ts, seq)) AS close, sum(volume) AS volume, arg_max(fc IS NOT NULL, (ts, seq)) AS ready FROM f JOIN s ON s.ticker = f.ticker AND s.day = f.day AND s.k = f.k GROUP BY ALL"""
+
+
+@register(PROFILE_ONLINE)
 def q_profile_bars_online(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars whose bucket is forecast anew after each roll, by the day itself; tested against a plain model."""
+    """Bars whose bucket is forecast anew after each roll, by the day itself."""
     topics = (Topic("close", "price", "update"), Topic("volume", "volume", "accumulate"))
     return volume_profile.profile_bars_online(trades(spark, sf_dir, "event_type"), CN, 1800, topics, window=4)
 
