@@ -237,6 +237,17 @@ def q_wave_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(waves.select("ticker", F.round("start_ts", 3).alias("start_ts"), decoder.pct_change().alias("pct_change")), 4)
 
 
+_WAVES = _ORACLES["q_online_decoder"].rpartition("SELECT ticker, round(cst, 3)")[0]
+
+
+@register(f"""{_WAVES}, o AS (SELECT ticker, cst, cf, lag(cf) OVER (PARTITION BY ticker ORDER BY cst) AS b FROM s WHERE cf IS NOT NULL)
+SELECT ticker, round(cst, 3) AS start_ts, cf AS flag, NOT coalesce(cf = 'up_overshoot' AND b NOT IN ('up', 'up_overshoot', 'unknown') OR cf = 'down_overshoot' AND b NOT IN ('down', 'down_overshoot', 'unknown'), false) AS valid FROM o""")
+def q_wave_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags of waves, and whether each may follow the one before."""
+    waves = decoder.valid_transitions(decoder.decode_waves(trades(spark, sf_dir), **ONLINE))
+    return waves.select("ticker", F.round("start_ts", 3).alias("start_ts"), "flag", "valid")
+
+
 def _levels(top: int) -> str:
     """CTEs l0 to l<top> (ticker, k, ts, price, flag): extremes of each level, in the order in which they are found."""
     first = f"""{sql.trades('event_type')}, a AS (SELECT *, sign(lead(price) OVER w - price) AS d FROM tape WINDOW w AS (PARTITION BY ticker ORDER BY ts, seq)),

@@ -287,6 +287,13 @@ def q_aligned_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(volume_clock.aligned_bars(tape, clock, H1, BAR), 4)
 
 
+@register(f"WITH {sql.trades()}, {BASELINE}, g AS (SELECT base.*, CAST(ticker AS BIGINT) % 5 AS grp FROM base) SELECT grp, bool_and(baseline IS NOT NULL) AS ready FROM g GROUP BY 1")
+def q_baseline_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all tickers of a group have a baseline."""
+    base = volume_clock.volume_baseline(trades(spark, sf_dir), H6, 20)
+    return volume_clock.readiness(base.withColumn("grp", F.col("ticker").cast("long") % 5), "baseline", ("grp",))
+
+
 #: What the adaptive clock knows at each row (buckets done, volume at the bucket's start, first volume), its baseline, and its steps.
 ADAPTIVE_ONLINE = f"""WITH RECURSIVE {sql.trades('event_type')}, a AS (SELECT ticker, CAST(floor(ts / 86400) AS BIGINT) AS day, ts, seq, price, volume, floor(ts / {H1}) AS h FROM tape),
 b AS (SELECT *, sum(volume) OVER w AS acc, first_value(volume) OVER w AS v0, dense_rank() OVER (PARTITION BY ticker, day ORDER BY h) - 1 AS done, row_number() OVER w AS k FROM a WINDOW w AS (PARTITION BY ticker, day ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
