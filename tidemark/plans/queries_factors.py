@@ -285,11 +285,11 @@ z AS (SELECT *, CASE WHEN price <> 0 THEN hi / price END - 1 AS up, CASE WHEN pr
 w AS MATERIALIZED (SELECT *, CASE state WHEN 1 THEN up WHEN -1 THEN down ELSE up + down END AS target FROM z)"""
 
 
-@register(f"""WITH RECURSIVE {WAVES} SELECT ticker, round(ts, 4) AS ts, seq, price, state, hi AS local_max, lo AS local_min, round(up, 4) + 0.0 AS up_actual, round(down, 4) + 0.0 AS down_actual, round(target, 4) + 0.0 AS target_actual FROM w""")
+@register(f"""WITH RECURSIVE {WAVES} SELECT ticker, seq, price, state, hi AS local_max, lo AS local_min, round(up, 4) + 0.0 AS up_actual, round(down, 4) + 0.0 AS down_actual, round(target, 4) + 0.0 AS target_actual FROM w""")
 def q_wave_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets between extremes."""
     tape = trades(spark, sf_dir, "event_type").select("ticker", "ts", "seq", "price")
-    return rounded(targets.wave_target(tape, level=3, smooth=False), 4)
+    return rounded(targets.wave_target(tape, level=3, smooth=False).drop("ts"), 4)
 
 
 #: Parts of segments near their ends, as (ticker, s), with the share of holding on (h) and the next segment's gain (g).
@@ -308,9 +308,9 @@ CASE WHEN zf = -1 THEN h * g + (1 - h) * d0 WHEN zf = 1 THEN h * g + (1 - h) * u
 
 
 @register(f"""WITH RECURSIVE {WAVES}, {_BLEND}, {_blended("q0", 1, 1)}, {_blended("q1", 0, 2)}
-SELECT q.ticker, round(q.ts, 4) AS ts, q.seq, q.price, q.state AS state_3, {", ".join(f"round({c}, 4) + 0.0 AS {n}_3" for c, n in (("q.up", "up_actual"), ("q.down", "down_actual"), ("q.target", "target_actual"), ("u0", "up_smoothed"), ("d0", "down_smoothed"), ("t0", "target_smoothed")))},
+SELECT q.ticker, q.seq, q.price, q.state AS state_3, {", ".join(f"round({c}, 4) + 0.0 AS {n}_3" for c, n in (("q.up", "up_actual"), ("q.down", "down_actual"), ("q.target", "target_actual"), ("u0", "up_smoothed"), ("d0", "down_smoothed"), ("t0", "target_smoothed")))},
 round(CASE WHEN q.price <> 0 THEN r.price / q.price - 1 END, 4) + 0.0 AS pct_change_900 FROM (SELECT *, ts + 900 AS at FROM q2) q ASOF LEFT JOIN tape r ON r.ticker = q.ticker AND r.ts >= q.at""")
 def q_wave_target_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L3, L4: the smoothed targets and the fixed horizon, by the names that predictions carry."""
     tape = trades(spark, sf_dir, "event_type").select("ticker", "ts", "seq", "price")
-    return rounded(targets.named_targets(tape, level=3, look_back=7200.0), 4)
+    return rounded(targets.named_targets(tape, level=3, look_back=7200.0).drop("ts"), 4)
