@@ -222,6 +222,23 @@ def test_given_pages(spark):
         assert html_text.main_text(h) == " ".join(html.unescape(inner).split())
 
 
+@pytest.mark.parametrize("part", ["<div>word, one. ", "<p>word, one. ", "<b>x ", "<ul><li>word ", "<article>word, one. ", "<a>w</p>", "<svg>", '<div class="sidebar">word, one. '])
+def test_long_pages_take_time_in_proportion(part):
+    """A page of elements that nothing closes, and one ten times as long."""
+    import time
+
+    took = []
+    for n in (2_000, 20_000):
+        start = time.process_time()
+        html_text.main_text(part * n)
+        took.append(time.process_time() - start)
+    assert took[1] < 40 * max(took[0], 0.02)
+
+
+def test_deep_pages():
+    assert html_text.main_text("<div>" * 20_000 + "text here." + "</div>" * 20_000) == "text here."
+
+
 def nameless(page):
     """The page without any element or class that tells of its part."""
     return re.sub(r"<(/?)(article|nav|footer)>", r"<\1div>", re.sub(r' class="[^"]*"', "", page))

@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Collection, Iterator
 
 import pyarrow as pa
@@ -58,7 +59,7 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|
 _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _STOPS = re.compile(r"[.,;:!?…](?=\s|\Z)|[、。，；：！？]")
-_HEADING = re.compile(r"/h[1-6](?:/|$)")
+_HEADING = re.compile(r"h[1-6]")
 #: Blocks that can stand between a heading and the text.
 LEAD = 2
 #: Power of a path's text in its score.
@@ -85,19 +86,33 @@ def _boilerplate(name: str, attrs: str, by_name: bool) -> tuple[bool, set[str]]:
 
 
 class Page:
-    """Texts of a page with their tag paths; regions form a tree by number."""
+    """Texts of a page with their tag paths; paths and regions form trees by number, so a page takes time in proportion to its length."""
 
     def __init__(self, source: str, by_name: bool = True):
         self.by_name = by_name
         self.texts: list[list] = []  # [text, path, region, in a link, boilerplate, starts a block, mark]
+        self.above, self.leaf, self.heading = [-1], [""], [False]  # of each path: the path above, its element, whether a heading is among its elements
         self.parent, self.kind, self.off, self.mark = [-1], ["body"], [False], [-1]
         self.marks: list[tuple[int, str, set[str], bool]] = []  # parent, element, words, inside an article or main
         self._read(source)
         self._settle()
 
     def _read(self, s: str) -> None:
-        stack: list[tuple[str, str, int, bool, int]] = []  # name, path, region, boilerplate, mark
+        stack: list[tuple[str, int, int, bool, int]] = []  # name, path, region, boilerplate, mark
+        opened: Counter[str] = Counter()  # names on the stack
+        blocks: list[int] = []  # places on the stack of elements that are not inline
+        numbers: dict[tuple[int, str], int] = {}  # of paths
+        unclosed: set[str] = set()  # raw elements whose end the page has no more
         at, fresh = 0, True
+
+        def cut(n: int) -> None:
+            """Leaves the first ``n`` of the stack."""
+            for name, *_ in stack[n:]:
+                opened[name] -= 1
+            del stack[n:]
+            while blocks and blocks[-1] >= n:
+                blocks.pop()
+
         while at < len(s):
             m = _TOKEN.search(s, at)
             if m is None:
@@ -105,42 +120,41 @@ class Page:
             else:
                 m_start, m_end = m.span()
             if m_start > at:
-                self._add(s[at:m_start], stack, fresh)
+                self._add(s[at:m_start], stack, opened, fresh)
                 fresh = False
             if m is None:
                 break
             at = m_end
             name, attrs = (m["name"] or "").lower(), (m["attrs"] or "").removesuffix(">")
             if m["cdata"]:
-                self._add(m["cdata"], stack, fresh)
+                self._add(m["cdata"], stack, opened, fresh)
                 fresh = False
             if not name:
                 continue
             if name not in INLINE:
                 fresh = True
             if m["close"]:
-                if any(x[0] == name for x in stack):
-                    while stack.pop()[0] != name:
-                        pass
+                if opened[name]:
+                    cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
                 continue
             if name in VOID or attrs.endswith("/") and (name in MATH or name not in INLINE) and name not in REGION and name != "p":
                 continue
             if name in RAW:
-                end = re.compile(rf"</{name}\s*>", re.I).search(s, at)
+                end = None if name in unclosed else re.compile(rf"</{name}\s*>", re.I).search(s, at)
+                if end is None:
+                    unclosed.add(name)
                 at = end.end() if end else len(s) if name in TO_THE_END else at
                 continue
             if name not in INLINE:
                 closes = CLOSED_BY.get(name, {"p"})
-                while stack:
-                    i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)
-                    if i is None or stack[i][0] not in closes or stack[i][0] in HOLDERS:
-                        break
-                    del stack[i:]
-            path, region, off, mark = stack[-1][1:] if stack else ("", 0, False, -1)
+                while blocks and stack[blocks[-1]][0] in closes and stack[blocks[-1]][0] not in HOLDERS:
+                    cut(blocks[-1])
+            path, region, off, mark = stack[-1][1:] if stack else (0, 0, False, -1)
+            inside = opened["article"] + opened["main"] > 0
             never, words = _boilerplate(name, attrs, self.by_name)
-            off = off or never or (name == "header" and not any(x[0] in ("article", "main") for x in stack))
+            off = off or never or (name == "header" and not inside)
             if words:
-                self.marks.append((mark, name, words, any(x[0] in ("article", "main") for x in stack)))
+                self.marks.append((mark, name, words, inside))
                 mark = len(self.marks) - 1
             if name in REGION and name != "body":
                 self.parent.append(region)
@@ -148,11 +162,19 @@ class Page:
                 self.off.append(off)
                 self.mark.append(mark)
                 region = len(self.parent) - 1
-            stack.append((name, path if name in INLINE else f"{path}/{name}", region, off, mark))
+            if name not in INLINE:
+                blocks.append(len(stack))
+                path = numbers.setdefault((path, name), len(self.leaf))
+                if path == len(self.leaf):
+                    self.heading.append(self.heading[up := stack[-1][1] if stack else 0] or _HEADING.fullmatch(name) is not None)
+                    self.above.append(up)
+                    self.leaf.append(name)
+            stack.append((name, path, region, off, mark))
+            opened[name] += 1
 
-    def _add(self, raw: str, stack: list, fresh: bool) -> None:
-        _, path, region, off, mark = stack[-1] if stack else ("", "", 0, False, -1)
-        self.texts.append([html.unescape(raw) if "&" in raw else raw, path, region, any(x[0] == "a" for x in stack), off, fresh, mark])
+    def _add(self, raw: str, stack: list, opened: Counter, fresh: bool) -> None:
+        _, path, region, off, mark = stack[-1] if stack else ("", 0, 0, False, -1)
+        self.texts.append([html.unescape(raw) if "&" in raw else raw, path, region, opened["a"] > 0, off, fresh, mark])
 
     def _settle(self) -> None:
         """Decides by the ratios which marks hold: none that holds the page's main element or most of its picked text."""
@@ -214,9 +236,9 @@ class Page:
             x[4] = x[4] or x[6] >= 0 and holds[x[6]]
         self.off = [off or m >= 0 and holds[m] for off, m in zip(self.off, self.mark, strict=True)]
 
-    def content_paths(self, without: Collection[int] = ()) -> set[str]:
+    def content_paths(self, without: Collection[int] = ()) -> set[int]:
         """Paths whose smoothed and fused ratios pass the threshold; ``without`` the texts of some marks."""
-        total: dict[str, list[float]] = {}  # characters outside of links, blocks, stops
+        total: dict[int, list[float]] = {}  # characters outside of links, blocks, stops
         seen = None  # the path of the block at hand, if it is counted
         for text, path, _, link, off, fresh, mark in self.texts:
             n = len(text.strip())
@@ -236,11 +258,19 @@ class Page:
         mean = sum(score * f[0] for score, f in zip(fused, total.values(), strict=True)) / max(weight, 1)
         picked = {p for (p, f), score in zip(total.items(), fused, strict=True) if f[0] and score >= THRESHOLD * mean}
         # paths that end in the same element further up, below the page itself, go with them
-        above = {(p[:i], p[p.rindex("/") :]) for p in picked for i in range(len(p)) if p[i] == "/"}
-        above = {(up, leaf) for up, leaf in above if up not in ("", "/html", "/html/body", "/body")}
-        return picked | {p for p, f in total.items() if f[0] and p and (p[: p.rindex("/")], p[p.rindex("/") :]) in above}
+        page = {0}
+        for p, (up, leaf) in enumerate(zip(self.above, self.leaf, strict=True)):
+            if up == 0 and leaf in ("html", "body") or leaf == "body" and up > 0 and self.above[up] == 0 and self.leaf[up] == "html":
+                page.add(p)
+        reached: set[tuple[int, str]] = set()
+        for p in picked:
+            up, leaf = self.above[p], self.leaf[p]
+            while up >= 0 and (up, leaf) not in reached:
+                reached.add((up, leaf))
+                up = self.above[up]
+        return picked | {p for p, f in total.items() if f[0] and p and self.above[p] not in page and (self.above[p], self.leaf[p]) in reached}
 
-    def region(self, paths: set[str]) -> int:
+    def region(self, paths: set[int]) -> int:
         """The innermost region with nearly all picked text. Ties go to an article or main element."""
         held, whole = [0] * len(self.parent), [0] * len(self.parent)
         for text, path, region, link, off, *_ in self.texts:
@@ -258,32 +288,36 @@ class Page:
                 outer = [i for i in named if i not in inner and held[i] > 0]
                 # several articles of weight: their common parent
                 return inner[-1] if not outer or held[best] >= 2 * max(held[i] for i in outer) else self._common([i for i in named if held[i] > 0])
+        below: list[list[int]] = [[] for _ in held]
+        for i in range(1, len(held)):
+            below[self.parent[i]].append(i)
         at = 0
         while True:
-            inner = [i for i in range(1, len(held)) if self.parent[i] == at and held[i] >= 0.8 * held[at] > 0]
-            if not inner:
+            inner = next((i for i in below[at] if held[i] >= 0.8 * held[at] > 0), None)
+            if inner is None:
                 return at
-            at = inner[0]
+            at = inner
 
     def _common(self, regions: list[int]) -> int:
-        def up(i: int) -> list[int]:
-            out = [i]
-            while self.parent[out[-1]] >= 0:
-                out.append(self.parent[out[-1]])
-            return out
-
-        shared = set(up(regions[0])).intersection(*map(up, regions[1:]))
-        return max(shared)
+        """The innermost region that holds all of ``regions``."""
+        n = [0] * len(self.parent)
+        for i in regions:
+            n[i] += 1
+        for i in range(len(n) - 1, 0, -1):
+            n[self.parent[i]] += n[i]
+        return max(i for i, x in enumerate(n) if x == len(regions))
 
     def main_text(self) -> str:
         paths = self.content_paths()
         chosen = self.region(paths)
         inside, around = [False] * len(self.parent), [False] * len(self.parent)
-        at = chosen
+        at, outer = chosen, -1
         while at >= 0:  # the outermost article or main around the region
             if self.kind[at] in ("article", "main") and not self.off[at]:
-                around = [i == at for i in range(len(self.parent))]
+                outer = at
             at = self.parent[at]
+        if outer >= 0:
+            around[outer] = True
         for i in range(len(self.parent)):
             up = self.parent[i]
             inside[i] = i == chosen and i > 0 or up >= 0 and inside[up]  # the page itself is no region
@@ -300,7 +334,7 @@ class Page:
             size = sum(len(x[0].strip()) for x in block)
             plain.append(sum(len(x[0].strip()) for x in block if x[3]) * 2 <= size)
             picked.append(any(inside[x[2]] or plain[-1] and x[1] in paths and x[0].strip() for x in block))
-            heads.append(any(_HEADING.search(x[1]) for x in block))
+            heads.append(any(self.heading[x[1]] for x in block))
         kept = [i for i, k in enumerate(picked) if k]
         first, last = (kept[0], kept[-1]) if kept else (0, -1)
         keep = [k or plain[i] and (first < i < last or any(around[x[2]] for x in blocks[i])) for i, k in enumerate(picked)]
