@@ -400,6 +400,21 @@ def test_factors_on_every_clock(spark):
         FactorSpec("X", "trend")
 
 
+def test_profile_entropy_is_ready_once_the_session_is_long_enough(spark):
+    """Few bars come, so only the elapsed session makes it ready: from 40 x 60 s on, the lunch break left out, and for the rest of the day."""
+    from tidemark.plans import factors
+    from tidemark.plans.registry import FactorSpec
+
+    start = 19_000 * 86_400 + 34_200
+    seconds = [60.0 * i for i in range(0, 44, 4)] + [12_700.0]  # the last in the afternoon
+    rows = [(m, start + s + j, 10 * i + j, float((i * 7 + j) % 5 + 1), 1.0, 2.0, 1 if j else -1, "TradeData") for i, s in enumerate(seconds) for j, m in enumerate("ab")]
+    rows += [(m, start + 86_400.0 + j, 1000 + j, 3.0, 1.0, 2.0, 1, "TradeData") for j, m in enumerate("ab")]
+    t = spark.createDataFrame(rows, "ticker string, ts double, seq long, price double, volume double, notional double, side int, dtype string")
+    spec = FactorSpec("Monitor.E", "entropy", {"clock": "profile", "interval": 60, "sample_size": 40, "members": ["a", "b"]})
+    got = {r["ts"] - start: r["ready"] for r in factors.entropy_factor(t, spec).select("ts", "ready").distinct().collect()}
+    assert got and all(ready == (2400 < s < 86_400) for s, ready in got.items()) and {True, False} == set(got.values())
+
+
 def test_registry_round_trip(tmp_path):
     from tidemark.plans.registry import DecisionCore, FactorSet, FactorSpec
 

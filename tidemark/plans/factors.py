@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import CN
@@ -82,6 +82,11 @@ def entropy_factor(tape: DataFrame, spec: FactorSpec) -> DataFrame:
     names = {"close": "price", "close_change": "price_pct", "notional": "notional", "buy_share": "notional_buy_pct", "sell_share": "notional_sell_pct"}
     found = entropy.rolling_entropies(bars, members, names, n)
     both = _stamped(found, bars, ("idx",))
+    if p.get("clock") == "profile":
+        # a day's bars are as many as its volume makes; once the session has lasted for as long as they should, they count as enough for its rest
+        late = F.col("ready") | (CN.elapsed(F.col("ts")) > n * p["interval"])
+        day = Window.partitionBy(F.floor(F.col("ts") / 86400.0)).orderBy("ts", "idx").rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn("ready", F.coalesce(F.bool_or(late).over(day), F.lit(False)))
     values = [f"{x}_entropy" for x in ("price", "price_pct", "notional", "notional_buy_pct", "notional_sell_pct")] + ["price_secondary_entropy"]
     return both.select("ts", "ready", F.explode(F.array(*(F.struct(F.lit(v).alias("key"), F.col(v).alias("value")) for v in values))).alias("z")).select("ts", "z.*", "ready")
 
