@@ -26,13 +26,15 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import documents, materialize, partitions_for, small_batches, text_of
+from .store import documents, materialize, small_batches, text_of
 
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
 #: One document in so many is in the sample; its threshold lies a standard deviation below the expected count.
 SAMPLE = 8
 #: Bits of the table of known phrases at most, and bits for each phrase below that.
 MAX_BITS, BITS_EACH = 1 << 27, 16
+#: Bytes of text whose entries one bucket takes: its arrays stay small whatever there is to count.
+BUCKET = 8 << 20
 #: Words that are counted at once, and distinct words that a task keeps.
 CHUNK, VOCABULARY = 1 << 20, 400_000
 COUNTED = "lang string, phrase string, m int, n long"
@@ -296,8 +298,7 @@ def frequent(docs: DataFrame, *, least: int = MIN_COUNT, sample: int = SAMPLE) -
             break
         level = materialize(count(some, low, known(proposed), known(level)), "phrase_proposals")
         proposed = proposed.unionByName(level)
-    # a bucket's entries come from so much text as fits one partition, whatever there is to count
-    buckets = partitions_for(docs.sparkSession, texts.agg(F.sum(F.octet_length("text"))).first()[0])
+    buckets = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET))
     often = materialize(count_hashes(texts, least, known(proposed), buckets), "phrase_hashes")
     return materialize(count(texts, least, _table(often, buckets), _table(often.where("NOT inside"), buckets), expand=True), "phrases")
 
