@@ -107,3 +107,23 @@ def test_files_in_any_order(spark, shuffled, name, monkeypatch):
     got = got.drop("n")
     same(got, want.select(*got.columns))
     return None
+
+
+@pytest.mark.parametrize(("name", "few"), [("volume_bars", 20_000), ("ema", 20_000), ("decoder", 20_000), ("volume_bars", 7), ("sessions", 3), ("state", 3)])
+def test_a_session_of_other_settings(spark, shuffled, name, few, monkeypatch):
+    """Spark's default store can't keep these states, so streams bring their own; rows wait together or by slots."""
+    import duckdb
+
+    store = spark.conf.get(runs.STORE)
+    monkeypatch.setattr(runs, "ROWS", 100)
+    monkeypatch.setattr(processors, "FEW", few)
+    spark.conf.set(runs.STORE, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        got = catalog.queries()[f"q_stream_{name}"](spark, shuffled)
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW events AS SELECT * FROM '{shuffled}/events.parquet/*.parquet'")
+        want, cols = con.sql(catalog.oracle_sql()[f"q_stream_{name}"]), sorted(got.columns)
+        assert sorted(map(str, (tuple(r) for r in got.select(cols).collect()))) == sorted(map(str, want.select(", ".join(cols)).fetchall()))
+        assert "HDFS" in spark.conf.get(runs.STORE)
+    finally:
+        spark.conf.set(runs.STORE, store)
