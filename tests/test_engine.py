@@ -425,3 +425,11 @@ def test_registry_round_trip(tmp_path):
     DecisionCore().dump(tmp_path / "core.2024.json", {"a": 1})
     DecisionCore().dump(tmp_path / "core.2025.json", {"a": 2})
     assert DecisionCore.load(tmp_path, "core.*.json") == {"a": 2}
+
+
+def test_aligned_clock_on_a_buckets_edge(spark):
+    """Eight tenths of volume, added as doubles, lie just below the eighth bucket's edge."""
+    rows_ = tape(spark, [(0, 10, 0.7), (4000, 10, 0.1)])
+    weights = spark.createDataFrame([("a", 1.0)], "ticker string, weight double")
+    intervals = spark.createDataFrame([("a", 0.1)], "ticker string, baseline double")
+    assert rows(volume_clock.aligned_clock(rows_, weights, intervals, 3600), "step_idx") == [(0, 7), (1, 8)]

@@ -61,13 +61,14 @@ def adaptive_bars_final(tape: DataFrame, interval: float, window: int, topics: t
 def aligned_clock(tape: DataFrame, weights: DataFrame, intervals: DataFrame, step: float, value: str = "volume") -> DataFrame:
     """(step_idx, clock): one index for all tickers, from weighted volume over weighted intervals.
 
-    The global order is cut into steps of ``step`` seconds, summed first, so only one row a step is ordered.
+    The global order is cut into steps of ``step`` seconds, summed first, so only one row a step is ordered. A clock is
+    known to a millionth: sums in another order would else put a total that lies on a bucket's edge to either side.
     """
     scale = weights.join(intervals.select("ticker", "baseline"), "ticker").agg(F.nullif(F.sum(F.col("weight") * F.col("baseline")), F.lit(0.0)).alias("scale"))
     rows = tape.join(weights.select("ticker", "weight"), "ticker").groupBy(F.floor(F.col("ts") / step).alias("step_idx")).agg(F.sum(F.col("weight") * F.col(value)).alias("v"))
     acc = running_sum(rows.select(F.lit("all").alias("ticker"), (F.col("step_idx") * step).alias("ts"), F.col("step_idx").alias("seq"), "step_idx", "v"), F.col("v"), "acc")
     # ``scale`` is an aggregate without groups: one row
-    return acc.join(F.broadcast(scale)).select("step_idx", F.floor(F.col("acc") / F.col("scale")).cast("long").alias("clock"))
+    return acc.join(F.broadcast(scale)).select("step_idx", F.floor(F.round(F.col("acc") / F.col("scale"), 6)).cast("long").alias("clock"))
 
 
 def aligned_bars(tape: DataFrame, clock: DataFrame, step: float, topics: tuple[Topic, ...]) -> DataFrame:
