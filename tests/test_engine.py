@@ -433,3 +433,19 @@ def test_aligned_clock_on_a_buckets_edge(spark):
     weights = spark.createDataFrame([("a", 1.0)], "ticker string, weight double")
     intervals = spark.createDataFrame([("a", 0.1)], "ticker string, baseline double")
     assert rows(volume_clock.aligned_clock(rows_, weights, intervals, 3600), "step_idx") == [(0, 7), (1, 8)]
+
+
+def test_walks_after_a_join_that_turns_out_to_be_a_broadcast(spark):
+    """A join's shuffle is read by mapper then, but a day's rows stay one walk."""
+    days = [("a", 86400.0 * d + 34200 + 30 * i, 10) for d in (19000, 19001) for i in range(200)]
+    asked = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in asked}
+    try:
+        for k, v in asked.items():
+            spark.conf.set(k, v)
+        spread = tape(spark, days).repartition(8)
+        got = volume_profile.profile_bars_online(spread, CN, 1800, (Topic("volume", "volume", "accumulate"),), window=1 << 30, forecast=volume_profile.naive_forecast(spread))
+        assert [r["volume"] for r in got.where("day = 19001").orderBy("idx").collect()] == [24.0, *[25.0] * 7, 1.0]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

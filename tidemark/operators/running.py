@@ -72,8 +72,12 @@ def asof(left: DataFrame, right: DataFrame, at: Column, *, forward: bool = True,
 
 
 def in_key_order(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """``rows`` with a key's rows one after the other in a partition, for walks that carry a small state over batches."""
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "ts", "seq")
+    """``rows`` with a key's rows one after the other in a partition, for walks that carry a small state over batches.
+
+    They are dealt by a hash of the keys: a shuffle by the keys themselves is left out after a join by them, and that join's
+    own shuffle may be read by mapper once the join turns out to be a broadcast.
+    """
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, "ts", "seq")
 
 
 def key_values(pdf: pd.DataFrame, keys: tuple[str, ...]) -> list[tuple]:
