@@ -12,6 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 PLAIN = ["on_order", "on_report", "launch_signal", "eod", "eod_done", "bod", "bod_done"]
 WITH_TICKER = ["launch_order", "cancel_order", "open", "close"]
 WITH_DTYPE = ["query", "subscribe", "realtime", "history"]
+#: Parts of a log, each of many topics.
+LOG_PARTS = 16
 
 
 def push_topic(ticker: Column, dtype: Column) -> Column:
@@ -27,12 +29,19 @@ def parse(topic: Column) -> Column:
     return F.struct(action.alias("action"), ticker.alias("ticker"), dtype.alias("dtype"))
 
 
+def log_part(topic: Column) -> Column:
+    """Where a log keeps a topic."""
+    return F.pmod(F.xxhash64(topic), F.lit(LOG_PARTS)).alias("part")
+
+
 def send(stream: DataFrame, path: str, state: str, drain: Callable[[StreamingQuery], None] | None = None) -> None:
-    """Appends a stream of (topic, payload) to a log of JSON files by topic, until its input ends; ``state``: its checkpoint.
+    """Appends a stream of (topic, payload) to a log of JSON files by parts of topics, until its input ends; ``state``: its checkpoint.
+
+    A folder for each topic would be a file for each topic in each task: nearly one for each message, with many topics.
 
     ``drain`` waits for the end of an input that goes on by itself, such as a replay.
     """
-    writer = stream.writeStream.format("json").partitionBy("topic").option("path", path).option("checkpointLocation", state)
+    writer = stream.select("topic", "payload", log_part(F.col("topic"))).writeStream.format("json").partitionBy("part").option("path", path).option("checkpointLocation", state)
     if drain:
         drain(writer.start())
     else:
@@ -41,7 +50,7 @@ def send(stream: DataFrame, path: str, state: str, drain: Callable[[StreamingQue
 
 def listen(spark: SparkSession, path: str) -> DataFrame:
     """Stream of (topic, payload) from a log: its history first, then what is appended."""
-    return spark.readStream.schema("payload string, topic string").json(path)
+    return spark.readStream.schema("topic string, payload string, part long").json(path).select("topic", "payload")
 
 
 def messages(rows: DataFrame, topic: Column) -> DataFrame:
