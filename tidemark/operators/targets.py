@@ -59,11 +59,12 @@ def wave_target(frame: DataFrame, *, price: str = "price", level: int = 4, keys:
         return own.select(*actual)
 
     # each row once for its own segment's end, and at an extreme also for the end of the segment before
-    last = own.select(*keys, "seg", "from_ts", "next_ts", "next_flag", "after_price").where("seg IS NOT NULL").distinct()
+    own = written(own, "actual")
+    last = rows.select(*keys, "seg", "from_ts", "next_ts", "next_flag", "after_price").where("seg IS NOT NULL").distinct()
     ends = last.select(*keys, F.col("seg").alias("s"), F.col("from_ts").alias("w_from"), F.col("next_ts").alias("w_end"), F.col("next_flag").alias("w_flag"), F.col("after_price").alias("w_after"))
     part = own.where("seg IS NOT NULL").withColumn("s", F.explode(both)).join(ends, [*keys, "s"]).where((F.col("ts") >= F.greatest("w_from", F.col("w_end") - look_back)) & (F.col("ts") <= F.col("w_end")) & F.col("w_after").isNotNull())
     worst = F.when(F.col("w_flag") == -1, F.col("down_actual")).otherwise(-F.col("up_actual"))
-    part = _ahead(part, {}, {"loss": worst}, (*keys, "s"))
+    part = written(_ahead(part, {}, {"loss": worst}, (*keys, "s")), "losses")
     least = part.groupBy(*keys, "s").agg(F.greatest(F.min("loss"), F.lit(-alpha)).alias("thr"))
     part = part.join(least, [*keys, "s"])
     hold = F.when(F.col("loss") > F.col("thr"), 1 - F.try_divide("loss", "thr")).otherwise(0.0)
@@ -87,4 +88,4 @@ def named_targets(frame: DataFrame, *, horizon: float = 900.0, level: int = 3, p
     waves = wave_target(frame, price=price, level=level, keys=keys, alpha=alpha, look_back=look_back)
     ends = [c for c in waves.columns if c == "state" or c.endswith(("_actual", "_smoothed"))]
     named = waves.select(*frame.columns, *(F.col(c).alias(f"{c}_{level}") for c in ends))
-    return fixed_horizon(named, horizon, price=price)
+    return fixed_horizon(written(named, "targets"), horizon, price=price)
