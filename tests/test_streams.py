@@ -127,3 +127,28 @@ def test_a_session_of_other_settings(spark, shuffled, name, few, monkeypatch):
         assert "HDFS" in spark.conf.get(runs.STORE)
     finally:
         spark.conf.set(runs.STORE, store)
+
+
+def test_streams_that_start_at_once(spark):
+    """The first stream's settings go while the second starts; the second still has its own, and the session's come back."""
+    import threading
+
+    store, seen, left = spark.conf.get(runs.STORE), [], threading.Event()
+    rocks, plain = (f"org.apache.spark.sql.execution.streaming.state.{x}StateStoreProvider" for x in ("RocksDB", "HDFSBacked"))
+
+    def second():
+        with runs.settings(spark, {runs.STORE: rocks}):
+            left.wait(60)
+            seen.append(spark.conf.get(runs.STORE))
+
+    spark.conf.set(runs.STORE, plain)
+    try:
+        other = threading.Thread(target=second)
+        with runs.settings(spark, {runs.STORE: rocks}):
+            other.start()
+            other.join(1)
+        left.set()
+        other.join(60)
+        assert seen == [rocks] and spark.conf.get(runs.STORE) == plain
+    finally:
+        spark.conf.set(runs.STORE, store)

@@ -7,6 +7,7 @@ has passed them.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -33,6 +34,9 @@ STATE_ROWS, FILE_ROWS = 25_000, 50_000
 #: Seconds of a slot in which keyed processors let rows wait.
 SLOT = 3600.0
 
+#: Held while a stream's settings stand in the session: of streams that start at once, one would else take the other's away.
+STARTS = threading.RLock()
+
 
 class Feed(NamedTuple):
     """A replay's rows, their span in seconds, and how many partitions their state takes."""
@@ -44,7 +48,9 @@ class Feed(NamedTuple):
 
 def state_parts(spark: SparkSession, rows: int) -> int:
     """Partitions for the state of ``rows``: a stream keeps its number, and opens each one in each micro-batch."""
-    return min(max(-(-rows // STATE_ROWS), spark.sparkContext.defaultParallelism), int(spark.conf.get(PARTS)))
+    with STARTS:
+        most = int(spark.conf.get(PARTS))
+    return min(max(-(-rows // STATE_ROWS), spark.sparkContext.defaultParallelism), most)
 
 
 def source(spark: SparkSession, sf_dir: str, rows: int | None = None) -> Feed:
@@ -74,17 +80,18 @@ def ordered(spark: SparkSession, sf_dir: str, *names: str) -> Feed:
 @contextmanager
 def settings(spark: SparkSession, asked: dict[str, str]) -> Iterator[None]:
     """Queries that start inside have the settings ``asked``, whatever the session's; a query takes its settings at its start."""
-    before = {k: spark.conf.get(k, None) for k in asked}
-    try:
-        for k, v in asked.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
+    with STARTS:
+        before = {k: spark.conf.get(k, None) for k in asked}
+        try:
+            for k, v in asked.items():
                 spark.conf.set(k, v)
+            yield
+        finally:
+            for k, v in before.items():
+                if v is None:
+                    spark.conf.unset(k)
+                else:
+                    spark.conf.set(k, v)
 
 
 def drain(query: StreamingQuery) -> None:
