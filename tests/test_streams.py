@@ -152,3 +152,31 @@ def test_streams_that_start_at_once(spark):
         assert seen == [rocks] and spark.conf.get(runs.STORE) == plain
     finally:
         spark.conf.set(runs.STORE, store)
+
+
+#: Events of 5 users with what tables may hold: ids in another order than times, no price, no time, no user.
+ODD = {
+    "order": {"event_id": "(event_id * 7919) % 400"},
+    "price": {"value": "CASE WHEN event_id % 7 <> 3 THEN value END"},
+    "time": {"ts": "CASE WHEN event_id % 50 <> 3 THEN ts END"},
+    "user": {"user_id": "CASE WHEN event_id % 9 <> 3 THEN user_id END"},
+}
+
+
+def odd_events(spark, root, *kinds):
+    """The SQL's results over odd events by DuckDB; the events are written to ``root``."""
+    import duckdb
+
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_id < 400").withColumn("user_id", F.col("user_id") % 5)
+    exprs = {c: e for k in kinds for c, e in ODD[k].items()}
+    df.selectExpr(*(f"{exprs.get(c, c)} AS {c}" for c in df.columns)).repartition(3).write.parquet(f"{root}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{root}/events.parquet/*.parquet'")
+    return lambda name: con.sql(catalog.oracle_sql()[name])
+
+
+def test_ema_of_odd_events(spark, tmp_path):
+    """Prices are taken in the order of their ids; rows without a price count for nothing, those without a time as others."""
+    want = odd_events(spark, tmp_path, *ODD)("q_stream_ema").select("ticker, seq, ema").fetchall()
+    got = catalog.queries()["q_stream_ema"](spark, str(tmp_path)).select("ticker", "seq", "ema")
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
