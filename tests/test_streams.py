@@ -163,13 +163,13 @@ ODD = {
 }
 
 
-def odd_events(spark, root, *kinds):
-    """The SQL's results over odd events by DuckDB; the events are written to ``root``."""
+def odd_events(spark, root, *kinds, but="false"):
+    """The SQL's results over odd events by DuckDB; the events, without those of ``but``, are written to ``root``."""
     import duckdb
 
     df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_id < 400").withColumn("user_id", F.col("user_id") % 5)
     exprs = {c: e for k in kinds for c, e in ODD[k].items()}
-    df.selectExpr(*(f"{exprs.get(c, c)} AS {c}" for c in df.columns)).repartition(3).write.parquet(f"{root}/events.parquet")
+    df.selectExpr(*(f"{exprs.get(c, c)} AS {c}" for c in df.columns)).where(f"NOT coalesce({but}, false)").repartition(3).write.parquet(f"{root}/events.parquet")
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{root}/events.parquet/*.parquet'")
     return lambda name: con.sql(catalog.oracle_sql()[name])
@@ -180,3 +180,11 @@ def test_ema_of_odd_events(spark, tmp_path):
     want = odd_events(spark, tmp_path, *ODD)("q_stream_ema").select("ticker, seq, ema").fetchall()
     got = catalog.queries()["q_stream_ema"](spark, str(tmp_path)).select("ticker", "seq", "ema")
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_sessions_and_states_of_odd_events(spark, tmp_path):
+    """A row without a price is a sign of life alone; rows without a time are a key's last, and no silence lies before them."""
+    want = odd_events(spark, tmp_path, "price", "time", "user", but="user_id = 0 AND ts IS NOT NULL AND event_id > 120")
+    rows, left = runs.sessions(spark, str(tmp_path), 0.2, float(5 * 86400))
+    for name, got in (("q_stream_sessions", rows.withColumn("ema", F.round("ema", 6))), ("q_stream_state", left.select("ticker", F.round("seen", 3).alias("seen"), F.round("memory", 6).alias("memory")))):
+        assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want(name).select(", ".join(got.columns)).fetchall()))
