@@ -195,3 +195,17 @@ def test_waves_of_odd_events(spark, tmp_path):
     want = odd_events(spark, tmp_path, "price", "time", "user")("q_stream_decoder")
     got = catalog.queries()["q_stream_decoder"](spark, str(tmp_path))
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want.select(", ".join(got.columns)).fetchall()))
+
+
+def test_events_before_1970(spark, tmp_path):
+    """A watermark starts at 1970 and would drop them."""
+    import duckdb
+
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_id < 200")
+    old = df.withColumn("ts", F.expr("ts - make_interval(100)").cast(df.schema["ts"].dataType)).withColumn("user_id", F.col("user_id") % 5)
+    old.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("q_stream_decoder", "q_stream_state"):
+        got, want = catalog.queries()[name](spark, str(tmp_path)), con.sql(catalog.oracle_sql()[name])
+        assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want.select(", ".join(got.columns)).fetchall()))
