@@ -210,7 +210,7 @@ def volume_bars(spark: SparkSession, sf_dir: str, interval: float) -> DataFrame:
 def ema(spark: SparkSession, sf_dir: str, alpha: float) -> DataFrame:
     """EMA of each ticker's prices in the order of their ids, whatever their times."""
     feed = ordered(spark, sf_dir, "price", order=by_id)
-    return to_table(processors.ema(feed.rows, "price", alpha, late=SLOT), "stream_ema", "append", replayed=True, parts=feed.parts).drop("batch")
+    return to_table(processors.ema(feed.rows, "price", alpha, late=SLOT, groups=feed.groups), "stream_ema", "append", replayed=True, parts=feed.parts).drop("batch")
 
 
 def sessions(spark: SparkSession, sf_dir: str, alpha: float, idle: float) -> tuple[DataFrame, DataFrame]:
