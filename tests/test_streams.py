@@ -209,3 +209,24 @@ def test_events_before_1970(spark, tmp_path):
     for name in ("q_stream_decoder", "q_stream_state"):
         got, want = catalog.queries()[name](spark, str(tmp_path)), con.sql(catalog.oracle_sql()[name])
         assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want.select(", ".join(got.columns)).fetchall()))
+
+
+def test_many_tickers_share_their_state(spark, tmp_path, monkeypatch):
+    """Tickers of few rows are kept by groups: an access to the state for each of them in each micro-batch takes most of the time."""
+    import duckdb
+
+    monkeypatch.setattr(runs, "scratch", lambda spark, name: f"file://{tmp_path}/{name}")
+    monkeypatch.setattr(runs, "GROUP_ROWS", 100)
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_id < 600").withColumn("user_id", F.col("event_id") % 300)
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("ema", "sessions", "decoder"):
+        got, want = catalog.queries()[f"q_stream_{name}"](spark, str(tmp_path / ".")), con.sql(catalog.oracle_sql()[f"q_stream_{name}"])
+        assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want.select(", ".join(got.columns)).fetchall()))
+        monkeypatch.setattr(runs, "scratch", lambda spark, part, name=name: f"file://{tmp_path}/{name}/{part}")
+    kept = [p for p in tmp_path.rglob("state") if (p / "commits").exists()]
+    assert len(kept) == 3
+    for path in kept:
+        held = spark.read.format("statestore").option("stateVarName", "memory").load(f"file://{path}")
+        assert 1 <= held.count() <= 6

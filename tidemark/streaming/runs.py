@@ -217,9 +217,10 @@ def sessions(spark: SparkSession, sf_dir: str, alpha: float, idle: float) -> tup
     """EMA that starts anew after ``idle`` seconds without a row, and (ticker, seen, memory) of the states that are left at the end."""
     path, feed = scratch(spark, "stream_sessions"), ordered(spark, sf_dir, "price")
     given = of_tickers(feed.rows).withColumn("given", F.col("price").isNotNull())
-    rows = to_table(processors.ema(given, "price", alpha, idle=idle, late=SLOT, untimed=feed.last, shift=feed.shift), "stream_sessions", "append", path, replayed=True, parts=feed.parts)
+    rows = to_table(processors.ema(given, "price", alpha, idle=idle, late=SLOT, untimed=feed.last, shift=feed.shift, groups=feed.groups), "stream_sessions", "append", path, replayed=True, parts=feed.parts)
     left = spark.read.format("statestore").option("stateVarName", "memory").load(f"{path}/state")
-    return rows.drop("batch"), left.where("value.memory IS NOT NULL").select(F.col("key.ticker").alias("ticker"), "value.*")
+    each = left.select(F.inline(F.arrays_zip("value.ticker", "value.seen", "value.memory")))
+    return rows.drop("batch"), each.where("memory IS NOT NULL")
 
 
 def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
