@@ -449,3 +449,13 @@ def test_walks_after_a_join_that_turns_out_to_be_a_broadcast(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_forward_search_takes_no_frame_to_the_last_row(spark):
+    """Such a frame is made anew for each row, so a block's work grew with the square of its rows."""
+    left = spark.createDataFrame([("a", 1.0), ("a", 5.0), ("a", 90_000.0), ("a", 300_000.0), ("b", 2.0)], "ticker string, ts double")
+    right = spark.createDataFrame([("a", 5.0, 2.0), ("a", 5.0, 1.0), ("a", 200_000.0, 3.0)], "ticker string, ts double, price double")
+    for strict, want in ((False, [1.0, 1.0, 3.0, None, None]), (True, [1.0, 3.0, 3.0, None, None])):
+        got = running.asof(left, right, F.col("ts"), strict=strict)
+        assert "unboundedfollowing" not in got._jdf.queryExecution().analyzed().toString().lower()
+        assert [r["matched"] for r in got.orderBy("ticker", "ts").collect()] == want

@@ -57,15 +57,15 @@ def asof(left: DataFrame, right: DataFrame, at: Column, *, forward: bool = True,
     other = right.select(*keys, F.col("ts").alias("__k"), F.lit(1 - _left_rank(forward, strict)).alias("__o"), F.lit(None).cast(sides.schema["__l"].dataType).alias("__l"), F.struct("ts", value).alias("__r"))
     # at equal times a left row must see the right one unless strict
     both = sides.unionByName(other).withColumn("__b", F.floor(F.col("__k") / block))
-    span = Window.partitionBy(*keys, "__b").orderBy("__k", "__o", F.col(f"__r.{value}"))
-    pick = F.first if forward else F.last
-    frame = span.rowsBetween(0, Window.unboundedFollowing) if forward else span.rowsBetween(Window.unboundedPreceding, 0)
-    near = both.withColumn("__m", pick("__r", ignorenulls=True).over(frame))
+    # a search forward runs backwards: a frame up to the last row is made anew for each row, in the square of a block's rows
+    turn = F.desc if forward else F.asc
+    span = Window.partitionBy(*keys, "__b").orderBy(turn("__k"), turn("__o"), turn(F.col(f"__r.{value}")))
+    near = both.withColumn("__m", F.last("__r", ignorenulls=True).over(span.rowsBetween(Window.unboundedPreceding, 0)))
     edge = both.where("__r IS NOT NULL").groupBy(*keys, "__b").agg((F.min if forward else F.max)("__r").alias("__e"))
     # blocks of left rows alone need the next block that has right rows
     blocks = both.select(*keys, "__b").distinct().join(edge, [*keys, "__b"], "left")
-    over = Window.partitionBy(*keys).orderBy("__b")
-    beyond = pick("__e", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing) if forward else over.rowsBetween(Window.unboundedPreceding, -1))
+    over = Window.partitionBy(*keys).orderBy(turn("__b"))
+    beyond = F.last("__e", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
     next_edge = blocks.select(*keys, "__b", beyond.alias("__n"))
     found = near.where("__l IS NOT NULL").join(next_edge, [*keys, "__b"]).withColumn("__f", F.coalesce("__m", "__n"))
     return found.select("__l.*", F.col("__f.ts").alias("matched_ts"), F.col(f"__f.{value}").alias("matched"))

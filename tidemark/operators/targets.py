@@ -58,20 +58,27 @@ def wave_target(frame: DataFrame, *, price: str = "price", level: int = 4, keys:
     if not smooth:
         return own.select(*actual)
 
-    # each row once for its own segment's end, and at an extreme also for the end of the segment before
+    # each row once for its own segment's end, whose bounds it has, and at an extreme also for the end of the segment before
     own = written(own, "actual")
-    last = rows.select(*keys, "seg", "from_ts", "next_ts", "next_flag", "after_price").where("seg IS NOT NULL").distinct()
-    ends = last.select(*keys, F.col("seg").alias("s"), F.col("from_ts").alias("w_from"), F.col("next_ts").alias("w_end"), F.col("next_flag").alias("w_flag"), F.col("after_price").alias("w_after"))
-    part = own.where("seg IS NOT NULL").withColumn("s", F.explode(both)).join(ends, [*keys, "s"]).where((F.col("ts") >= F.greatest("w_from", F.col("w_end") - look_back)) & (F.col("ts") <= F.col("w_end")) & F.col("w_after").isNotNull())
+    bounds = {"w_from": "from_ts", "w_end": "next_ts", "w_flag": "next_flag", "w_after": "after_price"}
+    near = (F.col("ts") >= F.greatest("w_from", F.col("w_end") - look_back)) & (F.col("ts") <= F.col("w_end")) & F.col("w_after").isNotNull()
+    for k in keys:
+        near = near & F.col(k).isNotNull()
+    here = own.select("*", F.col("seg").alias("s"), *(F.col(c).alias(n) for n, c in bounds.items())).withColumn("near", F.coalesce(near, F.lit(False)))
+    starts = own.where("ts = from_ts")
+    ends = starts.select(*keys, F.col("seg").alias("s"), *(F.col(c).alias(n) for n, c in bounds.items())).distinct()
+    before = starts.withColumn("s", F.col("seg") - 1).join(ends, [*keys, "s"]).where(near).withColumn("near", F.lit(True))
     worst = F.when(F.col("w_flag") == -1, F.col("down_actual")).otherwise(-F.col("up_actual"))
-    part = written(_ahead(part, {}, {"loss": worst}, (*keys, "s")), "losses")
-    least = part.groupBy(*keys, "s").agg(F.greatest(F.min("loss"), F.lit(-alpha)).alias("thr"))
-    part = part.join(least, [*keys, "s"])
+    part = written(_ahead(here.where("near").unionByName(before), {}, {"loss": worst}, (*keys, "s")), "losses")
+    least = written(part.groupBy(*keys, "s").agg(F.greatest(F.min("loss"), F.lit(-alpha)).alias("thr")), "thresholds")
     hold = F.when(F.col("loss") > F.col("thr"), 1 - F.try_divide("loss", "thr")).otherwise(0.0)
     change = F.try_divide("w_after", p) - 1
     gain = F.when(F.col("w_flag") == -1, F.greatest(change, F.lit(0.0))).otherwise(F.least(change, F.lit(0.0)))
-    blend = part.groupBy(*keys, "ts", "seq").agg(*(F.max(F.when(F.col("s") == F.col("seg") + d, F.struct(F.col("w_flag").alias("flag"), hold.alias("h"), gain.alias("g")))).alias(c) for c, d in (("a", 0), ("b", -1))))
-    out = own.join(blend, [*keys, "ts", "seq"], "left")
+    part = part.join(least, [*keys, "s"]).withColumn("a", F.struct(F.col("w_flag").alias("flag"), hold.alias("h"), gain.alias("g")))
+    # few rows lie at extremes, so only these are joined back; the others have their end beside them
+    ended = written(part.where("s <> seg").groupBy(*keys, "ts", "seq").agg(F.max("a").alias("b")), "ended")
+    far = here.where("NOT near").withColumn("a", F.lit(None).cast(part.schema["a"].dataType))
+    out = part.where("s = seg").select(*own.columns, "a").unionByName(far.select(*own.columns, "a")).join(ended, [*keys, "ts", "seq"], "left")
 
     def mix(c: str, rest: Column) -> Column:
         return F.col(f"{c}.h") * F.col(f"{c}.g") + (1 - F.col(f"{c}.h")) * rest
